@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 _MODULES = (
     "ledgerline.plans.panel_queries",
     "ledgerline.plans.report_queries",
+    "ledgerline.plans.peer_queries",
     "ledgerline.plans.profile_queries",
     "ledgerline.plans.timeseries_queries",
     "ledgerline.plans.ingest_queries",
