@@ -51,3 +51,14 @@ def finite_or_null(c) -> Column:
 
 def as_long(c) -> Column:
     return col_(c).cast("bigint")
+
+
+def rnd_sig(c, digits: int = 10) -> Column:
+    """Round to ``digits`` significant digits (engine-independent: the scale
+    is an exact power of ten, applied by multiplication or division)."""
+    c = col_(c)
+    k = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
+    s = F.pow(F.lit(10.0), F.abs(k))
+    return (F.when(c.isNull() | (c == 0), c)
+            .when(k >= 0, F.round(c * s) / s)
+            .otherwise(F.round(c / s) * s))

@@ -66,3 +66,12 @@ def with_std(body: str, *extra_ctes: str) -> str:
 def with_panel(body: str, *extra_ctes: str) -> str:
     ctes = [PANEL.strip(), *[c.strip() for c in extra_ctes]]
     return "with " + ",\n".join(ctes) + "\n" + body
+
+
+def RS(expr: str, digits: int = 10) -> str:
+    """Significant-digit rounding, twin of functions.numeric.rnd_sig."""
+    x = f"({expr})"
+    k = f"({digits - 1} - floor(log10(abs({x}))))"
+    s = f"pow(10.0, abs({k}))"
+    return (f"(case when {x} is null or {x} = 0 then {x} when {k} >= 0 then round({x} * {s}) / {s}"
+            f" else round({x} / {s}) * {s} end)")

@@ -43,6 +43,7 @@ def main():
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
     spark = build_session("local[8]", shuffle_partitions=8)
+    spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{table_path(sf, t)}')")
@@ -58,7 +59,7 @@ def main():
             stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
         except Exception:
             bad += 1
-            print(f"[SPARK-ERR] {n}\n{traceback.format_exc()[-3000:]}")
+            print(f"[SPARK-ERR] {n}\n{traceback.format_exc()[-1500:]}")
             continue
         dt = time.time() - t0
         if n not in sqls:
