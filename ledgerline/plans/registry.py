@@ -18,6 +18,7 @@ _MODULES = (
     "ledgerline.plans.report_queries",
     "ledgerline.plans.peer_queries",
     "ledgerline.plans.profile_queries",
+    "ledgerline.plans.prep_queries",
     "ledgerline.plans.timeseries_queries",
     "ledgerline.plans.ingest_queries",
     "ledgerline.plans.forecast_queries",
