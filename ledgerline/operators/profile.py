@@ -143,8 +143,13 @@ def corr_importance(corr: DataFrame, target: str = "net_income", k: int = 8) ->
 
 # --------------------------------------------------------------- quantiles
 
+# Largest group (values of one key) that may be buffered by one task for an
+# exact ``percentile``; larger groups take the distributed path below.
+EXACT_GROUP_LIMIT = 2_000_000
 
-def grouped_quantiles(lf: DataFrame, key: str, value: str, probs) -> DataFrame:
+
+def grouped_quantiles(lf: DataFrame, key: str, value: str, probs,
+                      exact_limit: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``key``
     (pandas / ``quantile_cont`` definition) -> (key, p, q).
 
@@ -158,6 +163,17 @@ def grouped_quantiles(lf: DataFrame, key: str, value: str, probs) -> DataFrame:
     """
     nb = max(2, int(lf.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(value)
+    # Size check: when the largest group is proven small, Spark's exact
+    # ``percentile`` (which buffers one group's values in one task) is safe.
+    largest = lf.filter(v.isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")) \
+        .agg(F.max("n")).first()[0]
+    limit = EXACT_GROUP_LIMIT if exact_limit is None else exact_limit
+    if largest is not None and largest <= limit:
+        g = lf.filter(v.isNotNull()).groupBy(key).agg(
+            F.percentile(value, [float(p) for p in probs]).alias("_qs"))
+        return g.select(key, F.posexplode("_qs").alias("_i", "q")).select(
+            key, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
+            .alias("p"), "q")
     vc = lf.filter(v.isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     bounds = lf.filter(v.isNotNull()).groupBy(key).agg(
         F.percentile_approx(value, [i / nb for i in range(1, nb)], 10000).alias("_bounds"))
