@@ -170,10 +170,12 @@ def grouped_quantiles(lf: DataFrame, key: str, value: str, probs,
     limit = EXACT_GROUP_LIMIT if exact_limit is None else exact_limit
     if largest is not None and largest <= limit:
         g = lf.filter(v.isNotNull()).groupBy(key).agg(
-            F.percentile(value, [float(p) for p in probs]).alias("_qs"))
-        return g.select(key, F.posexplode("_qs").alias("_i", "q")).select(
-            key, F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-            .alias("p"), "q")
+            F.array_sort(F.collect_list(value)).alias("_a"))
+        g = g.select(key, "_a", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+        pos = (F.size("_a") - 1) * F.col("p")
+        lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+        vlo, vhi = F.element_at("_a", lo + 1), F.element_at("_a", hi + 1)
+        return g.select(key, "p", (vlo + (vhi - vlo) * (pos - F.floor(pos))).alias("q"))
     vc = lf.filter(v.isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
     bounds = lf.filter(v.isNotNull()).groupBy(key).agg(
         F.percentile_approx(value, [i / nb for i in range(1, nb)], 10000).alias("_bounds"))
