@@ -22,6 +22,7 @@ _MODULES = (
     "ledgerline.plans.timeseries_queries",
     "ledgerline.plans.ingest_queries",
     "ledgerline.plans.forecast_queries",
+    "ledgerline.plans.learner_queries",
     "ledgerline.plans.scoring_queries",
 )
 

@@ -14,7 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from ledgerline.session import build_session
-    s = build_session("local[*]", app="ledgerline-tests", shuffle_partitions=8)
+    s = build_session("local[*]", app="ledgerline-tests", shuffle_partitions=8,
+                      extra={"spark.driver.memory": "8g"})
     if not s.conf.get("spark.checkpoint.dir", None):
         s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerline-test-ckpt-"))
     yield s

@@ -141,3 +141,24 @@ def test_infer_ticker_vote_and_fallback(spark):
     assert got[1] == ("MSFT", "file data")
     assert got[2] == ("ACME", "filename")
     assert got[3] == ("ACME", "filename")
+
+
+def test_linear_shapley_adds_up(spark):
+    from ledgerline.operators import learners as L
+    from ledgerline.operators.profile import FEATURE_COLS
+    from ledgerline.sources.panel import standard_table
+    std = standard_table(spark, SMALL)
+    sp = fc.time_split(fc.supervised_set(std, 1))
+    _, m = L.linear_forecast(sp, list(FEATURE_COLS))
+    phi = L.shapley_linear(m, sp, fc.future_rows(std, FEATURE_COLS), list(FEATURE_COLS)).toPandas()
+    g = phi.groupby("ticker").agg(s=("shap_value", "sum"), base=("base_value", "first"),
+                                  pred=("predicted_growth_rate", "first"))
+    assert np.allclose(g.s + g.base, g.pred, rtol=1e-9, atol=1e-6)
+
+
+def test_svr_solver_fits_a_line():
+    from ledgerline.operators.learners import svr_fit
+    x = np.linspace(-2, 2, 40)[:, None]
+    y = 3 * x[:, 0] + 1
+    f = svr_fit(x, y, "linear", 100.0, 0.01, "scale")
+    assert np.abs(f(x) - y).max() < 0.05
