@@ -21,6 +21,7 @@ _MODULES = (
     "ledgerline.plans.prep_queries",
     "ledgerline.plans.timeseries_queries",
     "ledgerline.plans.ingest_queries",
+    "ledgerline.plans.source_queries",
     "ledgerline.plans.forecast_queries",
     "ledgerline.plans.learner_queries",
     "ledgerline.plans.scoring_queries",
