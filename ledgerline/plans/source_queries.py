@@ -231,3 +231,12 @@ def ascii_safe_q(spark, sf_dir):
     return d.select("doc_id", P.ascii_safe("text").alias("ascii_text"),
                     (F.length("text") - F.length(F.regexp_replace("text", r"[^\x00-\x7F]", "")))
                     .alias("replaced"))
+
+
+@query("stream_ingest")
+def stream_ingest_q(spark, sf_dir):
+    """Incremental upload ingest: Structured Streaming over the landed CSV
+    uploads -> normalise -> keep-last upsert per (ticker, date, user)."""
+    from ledgerline.streaming.ingest import run_upload_stream
+    return run_upload_stream(spark, os.path.join(uploads_root(spark, sf_dir), "csv"),
+                             name=f"stream_{abs(hash(sf_dir)) % 10**8}")

@@ -162,3 +162,17 @@ def test_svr_solver_fits_a_line():
     y = 3 * x[:, 0] + 1
     f = svr_fit(x, y, "linear", 100.0, 0.01, "scale")
     assert np.abs(f(x) - y).max() < 0.05
+
+
+def test_stream_ingest_equals_batch(spark):
+    import os
+    from ledgerline.sources import files
+    from ledgerline.streaming.ingest import CSV_SCHEMA, normalize_batch, run_upload_stream
+    src = os.path.join(files.land_uploads(spark, SMALL), "csv")
+    streamed = run_upload_stream(spark, src, name="test_stream", files_per_trigger=3)
+    batch = tables.dedupe_keep_last(normalize_batch(
+        spark.read.schema(CSV_SCHEMA).option("header", True).csv(src)))
+    cols = sorted(batch.columns)
+    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
+    b = sorted(tuple(r) for r in batch.select(*cols).collect())
+    assert a == b and len(a) > 0
