@@ -15,6 +15,7 @@ ORACLES: dict[str, str] = {}
 
 _MODULES = (
     "ledgerline.plans.panel_queries",
+    "ledgerline.plans.dashboard_queries",
     "ledgerline.plans.report_queries",
     "ledgerline.plans.peer_queries",
     "ledgerline.plans.profile_queries",
