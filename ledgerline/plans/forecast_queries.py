@@ -18,8 +18,9 @@ NOTNULL = " and ".join(f"{c} is not null" for c in FEATURE_COLS)
 
 def setup(spark, sf_dir):
     """Shared set-up: standard table, base frequency, horizon, split."""
+    from ledgerline.plans.memo import remember
     std = standard_table(spark, sf_dir)
-    ppy = fc.base_periods_per_year(std)
+    ppy = remember(spark, f"ppy|{sf_dir}", lambda: fc.base_periods_per_year(std))
     h = fc.horizon_py(ppy)
     eff = max(1.0, ppy / h)
     sp = fc.time_split(fc.supervised_set(std, h))

@@ -176,3 +176,27 @@ def test_stream_ingest_equals_batch(spark):
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b and len(a) > 0
+
+
+def test_sampled_shapley_is_efficient_for_linear_model(spark):
+    # For a linear model, permutation Shapley values are exact whatever the
+    # permutations: Σφ = f(x) - mean_b f(b).
+    from ledgerline.operators import learners as L
+    rng = np.random.default_rng(1)
+    feats = ["a", "b", "c"]
+    pdf = pd.DataFrame(rng.normal(size=(60, 3)), columns=feats)
+    pdf["target"] = 2 * pdf.a - pdf.b + 0.5 * pdf.c + 1
+    pdf["ticker"] = [f"t{i}" for i in range(60)]
+    pdf["date"] = pd.Timestamp("2020-01-01")
+    df = spark.createDataFrame(pdf)
+    from pyspark.ml.regression import LinearRegression
+    m = LinearRegression(featuresCol="features", labelCol="target", solver="normal") \
+        .fit(L.assemble(df, feats))
+    phi = L.shapley_sampled(m, df, df.limit(5), feats, n_background=10, n_perm=3).toPandas()
+    bg = L.seeded_sample(df.withColumn("_bk", F.concat_ws("|", "ticker", F.col("date").cast("string"))), 10, "_bk").toPandas()
+    coef, icpt = m.coefficients.toArray(), m.intercept
+    base = float(np.mean(bg[feats].to_numpy() @ coef + icpt))
+    rows = pdf.set_index("ticker")
+    for t, g in phi.groupby("ticker"):
+        fx = float(rows.loc[t, feats].to_numpy() @ coef + icpt)
+        assert math.isclose(g.shap_value.sum(), fx - base, rel_tol=1e-6, abs_tol=1e-6)
