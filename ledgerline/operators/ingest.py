@@ -140,3 +140,25 @@ def infer_ticker(raw: DataFrame, upload_col: str, file_col: str | None = None) -
 
 def clean_tickers(df: DataFrame, col: str = "ticker") -> DataFrame:
     return df.withColumn(col, clean_ticker(col))
+
+
+# The eight direct-schema columns.
+DIRECT_STANDARD_COLUMNS = ("date", "ticker", "revenue", "operating_income", "net_income",
+                           "total_assets", "total_liabilities", "operating_cashflow")
+
+
+def has_direct_standard_schema(df: DataFrame) -> bool:
+    """All eight direct columns present after the C2 header rule."""
+    from ledgerline.functions.parsing import normalize_header_dash
+    cols = {normalize_header_dash(c) for c in df.columns}
+    return all(c in cols for c in DIRECT_STANDARD_COLUMNS)
+
+
+def require_columns(df: DataFrame, required=None) -> DataFrame:
+    """Fail before planning when a required column is missing."""
+    req = required or ("date", "ticker", "revenue", "operating_income", "net_income",
+                       "total_assets", "total_liabilities", "operating_cashflow")
+    missing = [c for c in req if c not in df.columns]
+    if missing:
+        raise ValueError(f"Missing required columns: {missing}")
+    return df

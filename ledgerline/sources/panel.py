@@ -135,7 +135,9 @@ def _materialize(spark: SparkSession, key: str, sf_dir: str, build) -> DataFrame
         digest = hashlib.sha1(f"{key}|{sf_dir}".encode()).hexdigest()[:12]
         name = f"ledgerline_{key}_{digest}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (build().write.mode("overwrite")
+        # Hash-partition by the bucket column first: one file per bucket per
+        # writer instead of tasks × buckets small files.
+        (build().repartition(buckets, "ticker").write.mode("overwrite")
             .bucketBy(buckets, "ticker")
             .option("path", job_folder(spark, f"{key}_{digest}"))
             .saveAsTable(name))
