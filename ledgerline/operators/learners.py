@@ -40,14 +40,22 @@ def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
 
 
-def standardized_split(split_df: DataFrame, features) -> DataFrame:
-    """Population-σ standardisation fitted on the training rows only."""
+def train_moments(split_df: DataFrame, features) -> dict[str, float]:
+    """Mean and population σ of each feature on the training rows: one
+    aggregate, 2 × features numbers to the driver (a bounded fit result,
+    like a scaler's parameters)."""
     train = split_df.filter(F.col("split") == "train")
-    stats = train.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in features],
-                               *[F.stddev_pop(c).alias(f"s_{c}") for c in features])).scalar()
+    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
+                    *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
+    return row.asDict()
+
+
+def standardized_split(split_df: DataFrame, features, moments=None) -> DataFrame:
+    """Population-σ standardisation fitted on the training rows only."""
+    mo = moments or train_moments(split_df, features)
     return split_df.withColumns({
-        c: (F.col(c) - stats[f"m_{c}"]) / F.when(F.coalesce(stats[f"s_{c}"], F.lit(0.0)) == 0, 1.0)
-        .otherwise(stats[f"s_{c}"]) for c in features})
+        c: (F.col(c) - F.lit(mo[f"m_{c}"])) / F.lit(mo[f"s_{c}"] if mo[f"s_{c}"] else 1.0)
+        for c in features})
 
 
 def _pred_frame(model_name: str, pred: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def linear_forecast(split_df: DataFrame, features) -> tuple[DataFrame, object]:
 def rf_forecast(split_df: DataFrame, features, params=RF_BENCH, name="RandomForest"):
     """M5: random forest regressor (min 2 rows per leaf, fixed seed)."""
     d = assemble(split_df, features)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxDepth=12,
+    rf = RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxDepth=10,
                                **params)
     m = rf.fit(d.filter(F.col("split") == "train"))
     return _pred_frame(name, m.transform(d.filter(F.col("split") == "test"))), m
@@ -137,7 +145,7 @@ def _features_for(x: np.ndarray, kind: str, gamma: float):
 
 
 def svr_fit_batch(x: np.ndarray, y: np.ndarray, kind: str, g: str, cs, epss,
-                  iters: int = 600, tol: float = 1e-5):
+                  iters: int = 400, tol: float = 1e-4):
     """ε-insensitive regression for several (C, ε) at once.
 
     Dual: min ½βᵀ(K+1)β − yᵀβ + ε‖β‖₁ s.t. −C ≤ β ≤ C (the bias is folded into
@@ -258,16 +266,16 @@ def shapley_linear(model, split_df: DataFrame, rows: DataFrame, features) -> Dat
     """M15 (linear): φ_j = coef_j · (x_j − mean_train(x_j)) on standardised
     features; base = intercept + Σ coef·mean.  Σφ + base = prediction."""
     coef = [float(v) for v in model.coefficients.toArray()]
-    std_rows = standardized_split(split_df.unionByName(rows.withColumn("split", F.lit("future")),
-                                                       allowMissingColumns=True), features)
-    means = std_rows.filter(F.col("split") == "train").agg(
-        F.struct(*[F.avg(c).alias(c) for c in features])).scalar()
-    fut = std_rows.filter(F.col("split") == "future")
+    mo = train_moments(split_df, features)
+    fut = standardized_split(rows.withColumn("split", F.lit("future")), features, mo)
+    # the background is the training mean, and a standardised feature has
+    # training mean 0
+    means = {c: 0.0 for c in features}
     base = F.lit(float(model.intercept))
     for c, w in zip(features, coef):
-        base = base + F.lit(w) * means[c]
+        base = base + F.lit(w * means[c])
     phis = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("feature_value_scaled"),
-                     (F.lit(w) * (F.col(c) - means[c])).alias("shap_value"))
+                     (F.lit(w) * (F.col(c) - F.lit(means[c]))).alias("shap_value"))
             for c, w in zip(features, coef)]
     pred = F.lit(float(model.intercept))
     for c, w in zip(features, coef):

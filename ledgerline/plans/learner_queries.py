@@ -149,10 +149,13 @@ def cv_summary_q(spark, sf_dir):
 
 
 def _linear_shap(spark, sf_dir):
-    std, _, _, _, sp = setup(spark, sf_dir)
-    _, m = linear_model(spark, sf_dir)
-    fut = fc.future_rows(std, FEATS)
-    return L.shapley_linear(m, sp, fut, FEATS)
+    """Phase artifact: exact linear attributions of every future row."""
+    def build():
+        std, _, _, _, sp = setup(spark, sf_dir)
+        _, m = linear_model(spark, sf_dir)
+        fut = fc.future_rows(std, FEATS)
+        return L.shapley_linear(m, sp, fut, FEATS)
+    return remember(spark, f"linshap|{sf_dir}", build)
 
 
 @query("shapley_linear")
