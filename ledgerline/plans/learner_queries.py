@@ -232,7 +232,10 @@ def upload_analysis_q(spark, sf_dir):
                                           "operating_income", "total_assets", "total_liabilities",
                                           "operating_cashflow")
     up = up.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
-    eng = engineer_features(up)
+    # the validated upload table is a stored artifact (read by three branches)
+    from ledgerline.session import shared_dir
+    shared_dir(spark)
+    eng = engineer_features(up).checkpoint()
     issues = validate.validate_features(eng)
     bad = issues.filter(F.col("severity") == "CRITICAL").select(F.col("batch").alias("ticker")).distinct()
     good = eng.join(bad, "ticker", "left_anti")
