@@ -59,6 +59,6 @@ def rnd_sig(c, digits: int = 10) -> Column:
     c = col_(c)
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))
     s = F.pow(F.lit(10.0), F.abs(k))
-    return (F.when(c.isNull() | (c == 0), c)
+    return (F.when(c.isNull(), c).when(c == 0, F.lit(0.0))
             .when(k >= 0, F.round(c * s) / s)
             .otherwise(F.round(c / s) * s))

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 
 def R(expr: str, k: int = 6) -> str:
-    """Engine-independent rounding, twin of functions.numeric.rnd."""
-    return f"(round(({expr}) * 1e{k}) / 1e{k})"
+    """Engine-independent rounding, twin of functions.numeric.rnd (Spark's
+    rounding never yields -0.0, so negative zero is normalised here too)."""
+    r = f"(round(({expr}) * 1e{k}) / 1e{k})"
+    return f"(case when {r} = 0 then 0.0 else {r} end)"
 
 
 def XSUM(expr: str) -> str:
@@ -73,5 +75,5 @@ def RS(expr: str, digits: int = 10) -> str:
     x = f"({expr})"
     k = f"({digits - 1} - floor(log10(abs({x}))))"
     s = f"pow(10.0, abs({k}))"
-    return (f"(case when {x} is null or {x} = 0 then {x} when {k} >= 0 then round({x} * {s}) / {s}"
+    return (f"(case when {x} is null then {x} when {x} = 0 then 0.0 when {k} >= 0 then round({x} * {s}) / {s}"
             f" else round({x} / {s}) * {s} end)")
