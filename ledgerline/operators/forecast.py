@@ -6,8 +6,9 @@ Design
 * frequency, priors, naive forecasts and the per-ticker trend model are
   per-ticker windows / aggregates (co-partitioned on a ticker-bucketed table);
 * the chronological split works on the *distinct dates* (bounded by the
-  calendar, so the one ordered window over them is small) and reaches every
-  row as a scalar subquery — no join fan-out, no cross join;
+  calendar, so the one ordered window over them is small); the cutoff and
+  the training mean are fitted scalars applied as literals — no join
+  fan-out, no cross join, no repeated subquery;
 * metrics are one ``groupBy(model)`` over the stacked predictions;
 * model constants below are fixed values of the reference behaviour.
 """
@@ -20,6 +21,24 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numeric import as_long, col_, rnd
 from ledgerline.operators.profile import FEATURE_COLS, grouped_quantiles
 
+
+def fitted(df: DataFrame):
+    """First value of a one-row, one-column result (a fitted scalar such as
+    a cutoff date or a training mean), applied downstream as a literal."""
+    row = df.first()
+    return None if row is None else row[0]
+
+
+def small_local(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Re-create a tiny result (one row per candidate model) as a local
+    relation so that consumers do not re-run its lineage; refuses results
+    above ``max_rows`` (those are checkpointed instead)."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df.checkpoint()
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 TARGET_COL = "net_income"
 TEST_RATIO = 0.2
 DEFAULT_TARGET_GROWTH = 10.0     # annual target growth, percent
@@ -156,12 +175,12 @@ def date_positions(sup: DataFrame) -> DataFrame:
 
 
 def cutoff_date(sup: DataFrame, test_ratio: float = TEST_RATIO) -> Column:
-    """W16 cutoff as a scalar subquery: dates[split - 1] with
+    """W16 cutoff (a fitted scalar, applied as a literal): dates[split - 1] with
     split = min(max(1, int(n * (1 - ratio))), n - 1)."""
     dp = date_positions(sup)
     split = F.least(F.greatest(F.lit(1), F.floor(F.col("n_dates") * (1 - test_ratio)).cast("int")),
                     F.col("n_dates") - 1)
-    return dp.filter(F.col("k") == split).select("date").scalar()
+    return F.lit(fitted(dp.filter(F.col("k") == split).select("date")))
 
 
 def time_split(sup: DataFrame, test_ratio: float = TEST_RATIO) -> DataFrame:
@@ -177,7 +196,7 @@ def ts_folds(split_df: DataFrame, max_splits: int = 5) -> DataFrame:
     [D - (n_splits - f)·size, D - (n_splits - f - 1)·size) and trains on
     all earlier dates.  Output (fold, date, role)."""
     train = split_df.filter(F.col("split") == "train")
-    n_rows = train.agg(F.count(F.lit(1))).scalar()
+    n_rows = F.lit(fitted(train.agg(F.count(F.lit(1)))))
     dp = date_positions(train)
     ns = F.least(F.lit(max_splits), F.greatest(F.lit(2), F.floor(n_rows / 6).cast("int")))
     dp = dp.withColumns({"ns": ns, "size": F.floor(F.col("n_dates") / (ns + 1)).cast("int")})
@@ -200,7 +219,7 @@ def naive_last(split_df: DataFrame) -> DataFrame:
     """Previous realised target of the same ticker (train history then
     earlier test rows); a ticker without history gets the train mean."""
     w = Window.partitionBy("ticker").orderBy("date")
-    mean_train = split_df.filter(F.col("split") == "train").agg(F.avg("target")).scalar()
+    mean_train = F.lit(fitted(split_df.filter(F.col("split") == "train").agg(F.avg("target"))))
     d = split_df.select("ticker", "date", "target", "split",
                         F.lag("target").over(w).alias("prev"))
     return d.filter(F.col("split") == "test").select(
@@ -209,8 +228,8 @@ def naive_last(split_df: DataFrame) -> DataFrame:
 
 
 def naive_mean(split_df: DataFrame) -> DataFrame:
-    """M6: the training mean for every test row (scalar subquery)."""
-    mean_train = split_df.filter(F.col("split") == "train").agg(F.avg("target")).scalar()
+    """M6: the training mean for every test row."""
+    mean_train = F.lit(fitted(split_df.filter(F.col("split") == "train").agg(F.avg("target"))))
     return split_df.filter(F.col("split") == "test").select(
         F.lit("NaiveMean").alias("model"), "ticker", "date", F.col("target").alias("actual"),
         mean_train.alias("predicted"))
@@ -230,7 +249,7 @@ def trend_fit(split_df: DataFrame) -> DataFrame:
 def linear_trend(split_df: DataFrame) -> DataFrame:
     """Per-ticker linear trend of the growth target (train rows); tickers
     with fewer than two training rows fall back to the training mean."""
-    mean_train = split_df.filter(F.col("split") == "train").agg(F.avg("target")).scalar()
+    mean_train = F.lit(fitted(split_df.filter(F.col("split") == "train").agg(F.avg("target"))))
     d, fit = trend_fit(split_df)
     t = d.filter(F.col("split") == "test").join(fit, "ticker", "left")
     pred = F.when(F.col("n_train") >= 2, F.col("intercept") + F.col("slope") * F.col("idx")) \
@@ -280,10 +299,11 @@ def champion(metrics: DataFrame) -> DataFrame:
 
 def reliability(metrics: DataFrame, champion_model: Column | None = None) -> DataFrame:
     """M9: reliability ladder for the champion + beats-naive + best benchmark."""
+    metrics = small_local(metrics)
     ch = champion(metrics).filter(F.col("rank") == 1).select("model")
     m = metrics.join(ch, "model")
-    naive_mae = metrics.filter(F.col("model") == "NaiveLast").select("mae").scalar()
-    best = metrics.agg(F.min_by("model", F.struct("mae", "model"))).scalar()
+    naive_mae = F.lit(fitted(metrics.filter(F.col("model") == "NaiveLast").select("mae")))
+    best = F.lit(fitted(metrics.agg(F.min_by("model", F.struct("mae", "model")))))
     beats = F.coalesce(F.col("mae") <= naive_mae, F.lit(False))
     r2 = F.col("r2")
     status = (F.when(F.col("test_size") < 8, "Low").when(r2.isNull(), "Low")
@@ -349,7 +369,7 @@ def merge_priors(recent: DataFrame, level: DataFrame, w_recent: float = RECENT_W
 
 def model_future_predictions(split_df: DataFrame, fut: DataFrame, model: str) -> DataFrame:
     """Prediction of one deterministic model for the future row of each ticker."""
-    mean_train = split_df.filter(F.col("split") == "train").agg(F.avg("target")).scalar()
+    mean_train = F.lit(fitted(split_df.filter(F.col("split") == "train").agg(F.avg("target"))))
     if model == "NaiveMean":
         return fut.select("ticker", mean_train.alias("pred"))
     if model == "NaiveLast":

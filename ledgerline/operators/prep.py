@@ -1,9 +1,10 @@
 """Feature preprocessing.
 
-Column statistics (means, medians, min/max, σ, quartiles) are computed in
-one aggregate and reach every row as a single struct-valued scalar subquery
-(executed once, no join, no cross join).  Medians and quartiles use the
-distributed exact quantile of ``operators.profile``.
+Column statistics (means, medians, min/max, σ, quartiles) are *fitted* in
+one aggregate — a bounded result of 2-3 numbers per column, like the summary
+a scaler keeps — and applied to every row as literals (no join, no cross
+join, no per-column re-scan).  Medians and quartiles use the distributed
+exact quantile of ``operators.profile``.
 """
 
 from __future__ import annotations
@@ -33,9 +34,14 @@ def string_cols(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
-def _stats(df: DataFrame, aggs: dict[str, Column]) -> Column:
-    """One aggregate, exposed as a struct scalar subquery."""
-    return df.agg(F.struct(*[v.alias(k) for k, v in aggs.items()]).alias("s")).scalar()
+def _stats(df: DataFrame, aggs: dict[str, Column]) -> dict:
+    """Fit: one aggregate, one row of statistics (bounded by the column count)."""
+    row = df.agg(*[v.alias(k) for k, v in aggs.items()]).first()
+    return row.asDict() if row is not None else {k: None for k in aggs}
+
+
+def _lit(v) -> Column:
+    return F.lit(v)
 
 
 def growth_raw(x: str) -> Column:
@@ -53,8 +59,8 @@ def fix_infinite(df: DataFrame, cols=None) -> DataFrame:
     fin = {c: F.when(F.abs(F.col(c)) != F.lit(INF), F.col(c)) for c in cols}
     s = _stats(df, {**{f"mx_{c}": F.max(fin[c]) for c in cols},
                     **{f"mn_{c}": F.min(fin[c]) for c in cols}})
-    return df.withColumns({c: F.when(F.col(c) == F.lit(INF), s[f"mx_{c}"])
-                           .when(F.col(c) == F.lit(-INF), s[f"mn_{c}"]).otherwise(F.col(c))
+    return df.withColumns({c: F.when(F.col(c) == F.lit(INF), _lit(s[f"mx_{c}"]))
+                           .when(F.col(c) == F.lit(-INF), _lit(s[f"mn_{c}"])).otherwise(F.col(c))
                            for c in cols})
 
 
@@ -62,7 +68,8 @@ def _mode_fill(df: DataFrame, cats) -> DataFrame:
     if not cats:
         return df
     s = _stats(df, {f"mode_{c}": F.mode(c, True) for c in cats})
-    return df.withColumns({c: F.coalesce(F.col(c), s[f"mode_{c}"], F.lit("Unknown")) for c in cats})
+    return df.withColumns({c: F.coalesce(F.col(c), _lit(s[f"mode_{c}"]), F.lit("Unknown"))
+                           for c in cats})
 
 
 def impute_mean(df: DataFrame, keys=("ticker", "date")) -> DataFrame:
@@ -70,7 +77,7 @@ def impute_mean(df: DataFrame, keys=("ticker", "date")) -> DataFrame:
     (smallest on ties) else 'Unknown'."""
     nums = numeric_cols(df)
     s = _stats(df, {f"mu_{c}": F.avg(c) for c in nums})
-    d = df.withColumns({c: F.coalesce(F.col(c), s[f"mu_{c}"]) for c in nums})
+    d = df.withColumns({c: F.coalesce(F.col(c), _lit(s[f"mu_{c}"])) for c in nums})
     return _mode_fill(d, string_cols(df, keys))
 
 
@@ -78,8 +85,8 @@ def impute_median(df: DataFrame, keys=("ticker", "date")) -> DataFrame:
     """C29 median: numeric NULLs -> exact column median (distributed)."""
     nums = numeric_cols(df)
     q = grouped_quantiles(long_values(df, nums, keys), "feature", "value", [0.5])
-    s = q.agg(F.map_from_entries(F.collect_list(F.struct("feature", "q"))).alias("m")).scalar()
-    d = df.withColumns({c: F.coalesce(F.col(c), s[F.lit(c)]) for c in nums})
+    med = {r["feature"]: r["q"] for r in q.collect()}   # one row per column
+    d = df.withColumns({c: F.coalesce(F.col(c), _lit(med.get(c))) for c in nums})
     return _mode_fill(d, string_cols(df, keys))
 
 
@@ -133,17 +140,21 @@ def scale(df: DataFrame, method: str = "standard", exclude=SCALE_EXCLUDE) -> Dat
                         **{f"s_{c}": (F.max(c) - F.min(c)).cast("double") for c in nums}})
     elif method == "robust":
         q = grouped_quantiles(long_values(df, nums), "feature", "value", [0.25, 0.5, 0.75])
-        s = q.agg(F.map_from_entries(F.collect_list(F.struct(
-            F.concat(F.col("feature"), F.lit("@"), F.col("p").cast("string")), "q"))).alias("m")).scalar()
-        return df.withColumns({c: (F.col(c) - s[F.lit(f"{c}@0.5")]) /
-                               _unit(s[F.lit(f"{c}@0.75")] - s[F.lit(f"{c}@0.25")]) for c in nums})
+        qs = {(r["feature"], r["p"]): r["q"] for r in q.collect()}   # 3 rows per column
+        out = {}
+        for c in nums:
+            lo, med, hi = qs.get((c, 0.25)), qs.get((c, 0.5)), qs.get((c, 0.75))
+            spread = None if lo is None or hi is None else hi - lo
+            out[c] = (F.col(c) - _lit(med)) / _unit(_lit(spread))
+        return df.withColumns(out)
     else:
         raise ValueError(method)
-    return df.withColumns({c: (F.col(c) - s[f"c_{c}"]) / _unit(s[f"s_{c}"]) for c in nums})
+    return df.withColumns({c: (F.col(c) - _lit(s[f"c_{c}"])) / _unit(_lit(s[f"s_{c}"]))
+                           for c in nums})
 
 
 def _unit(spread: Column) -> Column:
-    return F.when(spread.isNull() | (spread == 0), F.lit(1.0)).otherwise(spread)
+    return F.when(spread.isNull() | (spread == 0), F.lit(1.0)).otherwise(spread.cast("double"))
 
 
 def prepare_ml(df: DataFrame, method: str = "standard") -> tuple[DataFrame, DataFrame]:

@@ -18,10 +18,10 @@ from ledgerline.session import build_session  # noqa: E402
 
 def facts(plan: str) -> dict:
     return {
-        "exchanges": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning|Exchange SinglePartition", plan)),
+        "shuffles": len(re.findall(r"(?m)^\(\d+\) (?:Exchange|ShuffleQueryStage)", plan)),
         "single_partition": len(re.findall(r"SinglePartition", plan)),
-        "broadcasts": len(re.findall(r"BroadcastExchange", plan)),
-        "smj": len(re.findall(r"SortMergeJoin", plan)),
+        "broadcasts": len(re.findall(r"(?m)^\(\d+\) (?:BroadcastExchange|BroadcastQueryStage)", plan)),
+        "smj": len(re.findall(r"(?m)^\(\d+\) SortMergeJoin", plan)),
         "bucketed_scans": len(re.findall(r"Bucketed: true", plan)),
         "pushed": sorted(set(re.findall(r"PushedFilters: \[([^\]]*)\]", plan)))[:3],
         "read_schema": sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)))[:3],
