@@ -29,7 +29,11 @@ def long_form(std: DataFrame, metrics, fill_zero: bool = True) -> DataFrame:
         F.greatest(F.col("revenue") - F.col("operating_income"), F.lit(0.0)))
     base = base.withColumn("idx", F.row_number().over(
         Window.partitionBy("ticker").orderBy("date")) - 1)
-    lf = base.unpivot(["ticker", "date", "idx"], list(metrics), "metric", "value")
+    # explode (Generate) keeps the ticker partitioning of a bucketed input,
+    # so the per-(ticker, metric) windows below need no exchange
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                      for m in metrics])
+    lf = base.select("ticker", "date", "idx", F.inline(pairs))
     if fill_zero:
         lf = lf.withColumn("value", F.coalesce(F.col("value"), F.lit(0.0)))
     return lf

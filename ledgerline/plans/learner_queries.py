@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions.numeric import rnd
 from ledgerline.operators import forecast as fc
 from ledgerline.operators import learners as L
-from ledgerline.operators.profile import FEATURE_COLS, correlation_matrix
-from ledgerline.plans.profile_queries import CM, frame, psql
+from ledgerline.operators.profile import FEATURE_COLS
+from ledgerline.plans.profile_queries import CM, corr_table, frame, psql
 from ledgerline.plans.forecast_queries import setup
 from ledgerline.plans.memo import remember
 from ledgerline.plans.registry import query
@@ -21,7 +21,7 @@ FEATS = list(FEATURE_COLS)
 
 
 def corr_imp(spark, sf_dir):
-    c = correlation_matrix(frame(spark, sf_dir))
+    c = corr_table(spark, sf_dir)
     return c.filter((F.col("feature_1") == "net_income") & (F.col("feature_2") != "net_income")
                     & F.col("correlation").isNotNull()) \
         .select(F.col("feature_2").alias("feature"), F.abs("correlation").alias("importance"))

@@ -36,6 +36,14 @@ def frame(spark, sf_dir):
     return profile.analysis_frame(std, clean.category_table(std))
 
 
+def corr_table(spark, sf_dir):
+    """The correlation report as a phase artifact (checkpointed once per
+    application, read by every report built on it)."""
+    from ledgerline.plans.memo import remember
+    return remember(spark, f"corr|{sf_dir}",
+                    lambda: profile.correlation_matrix(frame(spark, sf_dir)))
+
+
 def psql(body: str, *extra: str) -> str:
     return with_std(body, CAT, AF, LV, *extra)
 
@@ -85,14 +93,14 @@ CM = _corr_sql()
 @query("correlation_matrix", psql("select * from cm", CM))
 def correlation_matrix_q(spark, sf_dir):
     """Pairwise-complete correlation matrix, long form."""
-    return profile.correlation_matrix(frame(spark, sf_dir))
+    return corr_table(spark, sf_dir)
 
 
 @query("high_corr_pairs", psql("""select feature_1, feature_2, correlation from cm
 where i < j and abs(correlation) > 0.7""", CM))
 def high_corr_pairs_q(spark, sf_dir):
     """|r| > 0.7, upper triangle."""
-    return profile.high_corr_pairs(profile.correlation_matrix(frame(spark, sf_dir)))
+    return profile.high_corr_pairs(corr_table(spark, sf_dir))
 
 
 @query("redundant_features", psql("""select feature_1, feature_2, correlation,
@@ -100,7 +108,7 @@ def high_corr_pairs_q(spark, sf_dir):
 from cm where i < j and abs(correlation) > 0.8""", CM))
 def redundant_features_q(spark, sf_dir):
     """|r| > 0.8 with a recommendation."""
-    return profile.redundant_features(profile.correlation_matrix(frame(spark, sf_dir)))
+    return profile.redundant_features(corr_table(spark, sf_dir))
 
 
 @query("corr_importance", psql("""select feature_2 as feature, abs(correlation) as importance from cm
@@ -108,7 +116,7 @@ where feature_1 = 'net_income' and feature_2 <> 'net_income' and correlation is
 order by importance desc, feature limit 8""", CM))
 def corr_importance_q(spark, sf_dir):
     """Top-8 |corr| with net income."""
-    return profile.corr_importance(profile.correlation_matrix(frame(spark, sf_dir)))
+    return profile.corr_importance(corr_table(spark, sf_dir))
 
 
 QB = """
