@@ -52,9 +52,10 @@ def category_table_q(spark, sf_dir):
 
 @query("growth", with_std("select ticker, date, revenue_growth, net_income_growth from std"))
 def growth_q(spark, sf_dir):
-    """Period growth % per ticker (lag over ticker/date)."""
-    std = derive_panel(spark, sf_dir)
-    return engineer_features(std).select("ticker", "date", "revenue_growth", "net_income_growth")
+    """Period growth % per ticker (lag over ticker/date) on the
+    ticker-bucketed raw panel (no exchange)."""
+    from ledgerline.sources.panel import panel
+    return engineer_features(panel(spark, sf_dir)).select("ticker", "date", "revenue_growth", "net_income_growth")
 
 
 @query("ratios", with_std("""select ticker, date, profit_margin, operating_margin,
