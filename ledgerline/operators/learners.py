@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import rnd
-from ledgerline.operators.prep import scale
 
 # The ε-SVR grid and the forest settings of the reference.
 SVR_GRID = [(k, c, e, g) for k in ("rbf", "linear") for c in (1.0, 10.0, 50.0, 100.0)

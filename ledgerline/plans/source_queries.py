@@ -6,12 +6,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import parsing as P
 from ledgerline.plans import variant_sql as V
-from ledgerline.plans.ingest_queries import MU, PU, normalized, sql_money, sql_period
+from ledgerline.plans.ingest_queries import MU, PU, sql_money, sql_period
 from ledgerline.plans.registry import query
 from ledgerline.plans.sqlparts import with_panel
 from ledgerline.sources import files, variants
