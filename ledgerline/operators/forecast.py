@@ -266,12 +266,13 @@ def predictions(split_df: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ metrics and selection
 
 
-def regression_metrics(preds: DataFrame, by: str = "model") -> DataFrame:
+def regression_metrics(preds: DataFrame, by="model") -> DataFrame:
     """MAE, RMSE, R² (NULL when n < 2; 1 - SSE/SST with SST = 0 giving
     1.0 for a perfect fit and 0.0 otherwise), residual mean / population σ /
     min / max, test size."""
+    by = [by] if isinstance(by, str) else list(by)
     r = F.col("actual") - F.col("predicted")
-    g = preds.groupBy(by).agg(
+    g = preds.groupBy(*by).agg(
         F.avg(F.abs(r)).alias("mae"), F.avg(r * r).alias("mse"), F.sum(r * r).alias("sse"),
         (F.var_pop("actual") * F.count(F.lit(1))).alias("sst"),
         F.avg(r).alias("residual_mean"), F.stddev_pop(r).alias("residual_std"),
@@ -280,7 +281,7 @@ def regression_metrics(preds: DataFrame, by: str = "model") -> DataFrame:
     r2 = (F.when(F.col("test_size") < 2, F.lit(None).cast("double"))
           .when(F.col("sst") == 0, F.when(F.col("sse") == 0, 1.0).otherwise(0.0))
           .otherwise(1 - F.col("sse") / F.col("sst")))
-    return g.select(by, rnd("mae", 6).alias("mae"), rnd(F.sqrt("mse"), 6).alias("rmse"),
+    return g.select(*by, rnd("mae", 6).alias("mae"), rnd(F.sqrt("mse"), 6).alias("rmse"),
                     rnd(r2, 6).alias("r2"), rnd("residual_mean", 6).alias("residual_mean"),
                     rnd("residual_std", 6).alias("residual_std"),
                     rnd("residual_min", 6).alias("residual_min"),
@@ -471,19 +472,39 @@ def has_predictions(tickers: DataFrame, fc: DataFrame) -> DataFrame:
         .select("ticker", F.coalesce("_hit", F.lit(False)).alias("has_predictions"))
 
 
+def fold_predictions(d: DataFrame) -> DataFrame:
+    """The three deterministic models evaluated in every fold at once.
+    ``d`` = (fold, ticker, date, target, split); every statistic is keyed by
+    the fold (per-fold training means are one row per fold)."""
+    tr = F.col("split") == "train"
+    means = d.filter(tr).groupBy("fold").agg(F.avg("target").alias("_mt"))
+    w = Window.partitionBy("fold", "ticker").orderBy("date")
+    x = d.join(means, "fold", "left").withColumns({
+        "_prev": F.lag("target").over(w), "_idx": F.row_number().over(w) - 1})
+    fit = x.filter(tr).groupBy("fold", "ticker").agg(
+        F.regr_slope("target", "_idx").alias("_slope"),
+        F.regr_intercept("target", "_idx").alias("_icpt"), F.count(F.lit(1)).alias("_n"))
+    t = x.filter(~tr).join(fit, ["fold", "ticker"], "left")
+    trend = F.when(F.col("_n") >= 2, F.col("_icpt") + F.col("_slope") * F.col("_idx")) \
+        .otherwise(F.col("_mt"))
+    models = F.array(
+        F.struct(F.lit("NaiveLast").alias("model"), F.coalesce("_prev", "_mt").alias("predicted")),
+        F.struct(F.lit("NaiveMean").alias("model"), F.col("_mt").alias("predicted")),
+        F.struct(F.lit("LinearTrend").alias("model"), trend.alias("predicted")))
+    return t.select("fold", "ticker", "date", F.col("target").alias("actual"), F.inline(models))
+
+
 def cv_summary(split_df: DataFrame, folds: DataFrame) -> DataFrame:
     """Per deterministic model, mean and population σ of MAE / RMSE /
-    R² over the expanding-window folds."""
+    R² over the expanding-window folds — one job: the training rows are
+    replicated into their folds by a join with the (bounded) fold-date
+    table, then every fold is evaluated by fold-keyed windows/aggregates."""
     rows = split_df.filter(F.col("split") == "train").select("ticker", "date", "target")
-    out = None
-    fold_ids = folds.select("fold").distinct()
-    for fid in [r["fold"] for r in fold_ids.collect()]:  # at most 5 folds
-        f = folds.filter(F.col("fold") == fid)
-        d = rows.join(f, "date").withColumn(
-            "split", F.when(F.col("role") == "train", "train").otherwise("test"))
-        m = regression_metrics(predictions(d)).withColumn("fold", F.lit(fid))
-        out = m if out is None else out.unionByName(m)
-    return out.groupBy("model").agg(
+    d = rows.join(folds, "date").select(
+        "fold", "ticker", "date", "target",
+        F.when(F.col("role") == "train", "train").otherwise("test").alias("split"))
+    m = regression_metrics(fold_predictions(d), by=["fold", "model"])
+    return m.groupBy("model").agg(
         rnd(F.avg("mae"), 6).alias("cv_mae_mean"), rnd(F.stddev_pop("mae"), 6).alias("cv_mae_std"),
         rnd(F.avg("rmse"), 6).alias("cv_rmse_mean"), rnd(F.stddev_pop("rmse"), 6).alias("cv_rmse_std"),
         rnd(F.avg("r2"), 6).alias("cv_r2_mean"), rnd(F.stddev_pop("r2"), 6).alias("cv_r2_std"),
