@@ -117,7 +117,10 @@ def horizon_q(spark, sf_dir):
         .select("ticker", "horizon", "effective_periods_per_year")
 
 
-@query("alias_map")
+@query("alias_map", with_panel("""select upload_id, row_pos, true_ticker, "Symbol" as ticker, "Period" as date,
+  "Total Revenue" as revenue, "Net Profit" as net_income, "Operating Profit" as operating_income,
+  "Total Assets" as total_assets, "Total Liabilities" as total_liabilities,
+  "Cash From Operations" as operating_cashflow from mu""", MU))
 def alias_map_q(spark, sf_dir):
     """C4: canonical names for header variants (first match wins, only when
     the canonical name is absent)."""

@@ -159,7 +159,10 @@ def coerce_types_q(spark, sf_dir):
     return ingest.coerce_types(d).select(*NORM_OUT)
 
 
-@query("normalize_headers")
+@query("normalize_headers", with_panel("""select upload_id, row_pos, true_ticker, "Symbol" as ticker, "Period" as date,
+  "Total Revenue" as revenue, "Net Profit" as net_income, "Operating Profit" as operating_income,
+  "Total Assets" as total_assets, "Total Liabilities" as total_liabilities,
+  "Cash From Operations" as operating_cashflow from mu""", MU))
 def normalize_headers_q(spark, sf_dir):
     """C3 + C4: header rule and alias resolution on the raw upload (schema
     only; the rows pass through)."""

@@ -197,7 +197,7 @@ def scale_robust_q(spark, sf_dir):
     return _scaled_out(prep.scale(base_frame(spark, sf_dir), "robust"))
 
 
-@query("drop_constant")
+@query("drop_constant", with_std("select * from bf", *BASEF))
 def drop_constant_q(spark, sf_dir):
     """Drop zero-variance numeric columns (adds a constant column to
     show the drop)."""
@@ -214,7 +214,12 @@ def prepare_ml_q(spark, sf_dir):
     return d
 
 
-@query("prepare_ml_log")
+@query("prepare_ml_log", with_panel("""
+select 'Fix infinite values' as step, cast(count(*) filter (where abs(revenue) = 'inf'::double) + count(*) filter (where abs(operating_income) = 'inf'::double) + count(*) filter (where abs(net_income) = 'inf'::double) + count(*) filter (where abs(total_assets) = 'inf'::double) + count(*) filter (where abs(total_liabilities) = 'inf'::double) + count(*) filter (where abs(operating_cashflow) = 'inf'::double) + count(*) filter (where abs(profit_margin) = 'inf'::double) + count(*) filter (where abs(operating_margin) = 'inf'::double) + count(*) filter (where abs(revenue_growth) = 'inf'::double) + count(*) filter (where abs(net_income_growth) = 'inf'::double) + count(*) filter (where abs(asset_efficiency) = 'inf'::double) + count(*) filter (where abs(debt_to_asset) = 'inf'::double) as bigint) as value from rf
+union all select 'Handle missing values', cast(count(*) filter (where ticker is null) + count(*) filter (where date is null) + count(*) filter (where sector is null) + count(*) filter (where revenue is null) + count(*) filter (where operating_income is null) + count(*) filter (where net_income is null) + count(*) filter (where total_assets is null) + count(*) filter (where total_liabilities is null) + count(*) filter (where operating_cashflow is null) + count(*) filter (where profit_margin is null) + count(*) filter (where operating_margin is null) + count(*) filter (where revenue_growth is null) + count(*) filter (where net_income_growth is null) + count(*) filter (where asset_efficiency is null) + count(*) filter (where debt_to_asset is null) + count(*) filter (where category is null) + count(*) filter (where risk_level is null) as bigint) from rf
+union all select 'Encode categorical features', cast(3 as bigint)
+union all select 'Remove constant features', cast((case when var_samp(case when abs(revenue) <> 'inf'::double then revenue end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(operating_income) <> 'inf'::double then operating_income end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(net_income) <> 'inf'::double then net_income end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(total_assets) <> 'inf'::double then total_assets end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(total_liabilities) <> 'inf'::double then total_liabilities end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(operating_cashflow) <> 'inf'::double then operating_cashflow end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(profit_margin) <> 'inf'::double then profit_margin end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(operating_margin) <> 'inf'::double then operating_margin end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(revenue_growth) <> 'inf'::double then revenue_growth end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(net_income_growth) <> 'inf'::double then net_income_growth end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(asset_efficiency) <> 'inf'::double then asset_efficiency end) <= 0 then 1 else 0 end) + (case when var_samp(case when abs(debt_to_asset) <> 'inf'::double then debt_to_asset end) <= 0 then 1 else 0 end) as bigint) from rf
+union all select 'Scale features', cast(12 as bigint)""", *RAW))
 def prepare_ml_log_q(spark, sf_dir):
     """The step log of the preprocessing chain."""
     _, log = prep.prepare_ml(raw_frame(spark, sf_dir))
