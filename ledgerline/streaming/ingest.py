@@ -6,22 +6,22 @@ stream over the upload landing folder:
 
 ``readStream`` (file source, fixed schema, ``maxFilesPerTrigger``) ->
 ``foreachBatch``: normalise + stamp user + keep-last dedupe inside the batch,
-then a keep-last merge with the current table version written as a *new*
-version directory named by the batch id.  A replayed batch (after a failure)
-rewrites the same version, so the sink is idempotent; the stream checkpoint
-and the table live in the shared folder (``spark.checkpoint.dir``).
+then a keep-last merge into the table that rewrites only the ``user_id``
+partitions the batch touches (dynamic partition overwrite from a staged
+copy).  The merge is idempotent, so a batch replayed after a failure gives
+the same table; the stream checkpoint and the table live in the shared
+folder (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import parsing as P
 from ledgerline.operators import tables
-from ledgerline.session import job_folder
+from ledgerline.session import job_folder, shared_dir
 from ledgerline.sources.files import UPLOAD_COLS
 
 CSV_SCHEMA = ", ".join(f"`{c}` string" for c in UPLOAD_COLS) + ", upload_id int"
@@ -42,49 +42,54 @@ def normalize_batch(batch: DataFrame) -> DataFrame:
     return d.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
 
 
-class VersionedTable:
-    """A parquet table kept as versions ``v=<batch id>``; the newest complete
-    version is the table."""
+class PartitionedTable:
+    """A parquet table partitioned by ``user_id``.  A merge rewrites only
+    the partitions a batch touches (dynamic partition overwrite), from a
+    staged (checkpointed) copy, so no job reads the files it replaces."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, part: str = "user_id"):
+        self.root, self.part = root, part
 
-    def latest(self, spark: SparkSession) -> DataFrame | None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return None
-        done = [s.getPath().getName() for s in fs.listStatus(hadoop)
-                if s.isDirectory() and fs.exists(
-                    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        if not done:
-            return None
-        last = max(done, key=lambda n: int(n.split("=")[1]))
-        return spark.read.parquet(os.path.join(self.root, last))
+    def _exists(self, spark: SparkSession) -> bool:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.exists(path) and any(
+            st.getPath().getName().startswith(f"{self.part}=") for st in fs.listStatus(path))
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(self.root, f"v={version}"))
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        return spark.read.parquet(self.root) if self._exists(spark) else None
+
+    def merge(self, new: DataFrame) -> None:
+        spark = new.sparkSession
+        shared_dir(spark)
+        cur = self.read(spark)
+        if cur is None:
+            merged = new
+        else:
+            touched = new.select(self.part).distinct()
+            merged = tables.upsert(cur.join(touched, self.part, "left_semi"), new)
+        staged = merged.checkpoint(eager=True)
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        staged.write.mode("overwrite").partitionBy(self.part).parquet(self.root)
 
 
 def run_upload_stream(spark: SparkSession, source_dir: str, name: str = "stream_panel",
                       files_per_trigger: int = 50) -> DataFrame:
     """Run the ingest stream to completion over the files present now
     (``availableNow``) and return the resulting table."""
-    table = VersionedTable(job_folder(spark, f"{name}/table"))
+    table = PartitionedTable(job_folder(spark, f"{name}/table"))
     checkpoint = job_folder(spark, f"{name}/checkpoint")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = tables.dedupe_keep_last(normalize_batch(batch))
-        cur = table.latest(batch.sparkSession)
-        merged = new if cur is None else tables.upsert(cur, new)
-        table.write(merged, batch_id)
+        table.merge(tables.dedupe_keep_last(normalize_batch(batch)))
 
     stream = (spark.readStream.schema(CSV_SCHEMA).option("header", True)
               .option("maxFilesPerTrigger", files_per_trigger).csv(source_dir))
     q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = table.latest(spark)
+    out = table.read(spark)
     if out is None:
-        raise RuntimeError("stream produced no table version")
+        raise RuntimeError("stream produced no table")
     return out
