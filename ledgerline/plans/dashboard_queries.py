@@ -222,7 +222,28 @@ def transform_dynamic_q(spark, sf_dir):
         "category", "risk_level")
 
 
-@query("training_data")
+def _training_sql() -> str:
+    from ledgerline.plans.ingest_queries import PU
+    from ledgerline.plans.source_queries import FALLBACK_BODY
+    req = " and ".join(f"{c} is not null" for c in ("date", "ticker", "revenue", "net_income",
+                                                     "operating_income", "total_assets",
+                                                     "total_liabilities", "operating_cashflow"))
+    return with_panel(f"""
+select *, net_income / (revenue + 1e-9) * 100 as profit_margin,
+  operating_income / (revenue + 1e-9) * 100 as operating_margin,
+  (revenue / nullif(lag(revenue) over w, 0) - 1) * 100 as revenue_growth,
+  (net_income / nullif(lag(net_income) over w, 0) - 1) * 100 as net_income_growth,
+  revenue / (total_assets + 1e-9) as asset_efficiency,
+  total_liabilities / (total_assets + 1e-9) as debt_to_asset
+from (select f.ticker, f.date, f.revenue, f.net_income, p.operating_income, p.total_assets,
+        p.total_liabilities, p.operating_cashflow, f.source
+      from ({FALLBACK_BODY}) f
+      left join panel p on upper(f.ticker) = upper(p.ticker) and f.date = p.date) t
+where {req}
+window w as (partition by ticker order by date)""", MU, PU)
+
+
+@query("training_data", _training_sql())
 def training_data_q(spark, sf_dir):
     """Training rows for a user — the source fallback (raw upload else
     panel), typed, engineered when features are missing, validated (rows with

@@ -151,14 +151,17 @@ def common_dates_q(spark, sf_dir):
 
 # ------------------------------------------------------------ fallback
 
-@query("source_fallback", with_panel(f"""
+FALLBACK_BODY = f"""
 select upper(true_ticker) as ticker, {sql_period('"Period"')} as date, {sql_money('"Total Revenue"')} as revenue,
   {sql_money('"Net Profit"')} as net_income, 'raw_upload' as source
 from mu where upload_id % 3 = 1
 union all
 select ticker, date, revenue, net_income, 'standard_table' from pu
 where (user_id = 'u1' or user_id = 'predefined')
-  and upper(ticker) not in (select distinct upper(true_ticker) from mu where upload_id % 3 = 1)""", MU, PU))
+  and upper(ticker) not in (select distinct upper(true_ticker) from mu where upload_id % 3 = 1)"""
+
+
+@query("source_fallback", with_panel(FALLBACK_BODY, MU, PU))
 def source_fallback_q(spark, sf_dir):
     """A user's raw upload when one exists for the ticker, else the
     user-scoped standard panel, tagged with the source."""

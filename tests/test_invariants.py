@@ -98,3 +98,16 @@ def test_benchmark_contains_every_candidate(spark):
 def test_upload_listing_is_the_users_files(spark):
     lst = QS["upload_listing"](spark, SMALL).toPandas()
     assert len(lst) > 0 and (lst.upload_id % 3 == 1).all()
+
+
+def test_report_sinks_round_trip(spark, tmp_path):
+    from ledgerline.plans import reports
+    out = str(tmp_path / "reports")
+    paths = reports.write_reports(spark, SMALL, out, names=("historical_performance", "peer_rankings"))
+    assert set(paths) == {"historical_performance", "peer_rankings"}
+    back = reports.read_report(spark, out, "historical_performance", {"num_periods": "num_years"})
+    assert "num_years" in back.columns
+    assert back.count() == QS["historical_performance"](spark, SMALL).count()
+    with __import__("pytest").raises(ValueError):
+        reports.load_modeling_data(spark, SMALL).select("ticker").transform(
+            lambda d: __import__("ledgerline.operators.ingest", fromlist=["x"]).require_columns(d))
