@@ -235,7 +235,24 @@ def ascii_safe_q(spark, sf_dir):
                     .alias("replaced"))
 
 
-@query("stream_ingest")
+def _stream_sql() -> str:
+    from ledgerline.plans.ingest_queries import sql_clean_ticker
+    meas = {"revenue": "Total Revenue", "net_income": "Net Profit",
+            "operating_income": "Operating Profit", "total_assets": "Total Assets",
+            "total_liabilities": "Total Liabilities", "operating_cashflow": "Cash From Operations"}
+    cols = ", ".join(f"{sql_money(chr(34) + src + chr(34))} as {dst}" for dst, src in meas.items())
+    return with_panel(f"""
+select ticker, date, {", ".join(meas)}, user_id, load_seq from (
+  select *, row_number() over (partition by ticker, date, user_id order by load_seq desc) as rn from (
+    select {sql_clean_ticker('"Symbol"')} as ticker, {sql_period('"Period"')} as date, {cols},
+      case upload_id % 3 when 0 then 'predefined' when 1 then 'u1' else 'u2' end as user_id,
+      cast(upload_id as bigint) as load_seq
+    from mu where upload_id % 2 = 0) x
+  where ticker is not null and date is not null) y
+where rn = 1""", MU)
+
+
+@query("stream_ingest", _stream_sql())
 def stream_ingest_q(spark, sf_dir):
     """Incremental upload ingest: Structured Streaming over the landed CSV
     uploads -> normalise -> keep-last upsert per (ticker, date, user)."""
