@@ -24,6 +24,18 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import rnd
 
+# The grouped-map function below runs in Python workers, which need not have
+# this package on their path (a cluster ships code with --py-files; a local
+# session started elsewhere does not).  Pickling this module's functions by
+# value makes the task self-contained.
+try:  # pragma: no cover - depends on the pyspark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 # The ε-SVR grid and the forest settings of the reference.
 SVR_GRID = [(k, c, e, g) for k in ("rbf", "linear") for c in (1.0, 10.0, 50.0, 100.0)
             for e in (0.01, 0.1, 0.5) for g in ("scale", "auto")]
