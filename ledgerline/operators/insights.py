@@ -114,7 +114,8 @@ def insight_lines(std: DataFrame) -> DataFrame:
         F.lit(3).alias("section"), "ticker",
         (kind_order * 100000 + F.coalesce(F.datediff("date", F.lit("1900-01-01")), F.lit(0)) % 100000)
         .alias("item"), "message")
-    return market_lines.unionByName(comp).unionByName(anomaly_lines)
+    out = market_lines.unionByName(comp).unionByName(anomaly_lines)
+    return out.withColumn("item", F.col("item").cast("bigint"))
 
 
 def insights_report(std: DataFrame) -> DataFrame:

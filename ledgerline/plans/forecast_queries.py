@@ -115,10 +115,10 @@ def fsql(body: str, *extra: str) -> str:
 
 
 @query("infer_frequency", with_std("""
-select ticker, median_gap_days, ppy as periods_per_year,
+select ticker, median_gap_days, cast(ppy as double) as periods_per_year,
   case when round(ppy) >= 300 then 'daily' when round(ppy) >= 48 then 'weekly' when round(ppy) >= 10 then 'monthly'
        when round(ppy) >= 3 then 'quarterly' else 'yearly' end as period_type,
-  h as horizon, greatest(1.0, ppy / greatest(1, h)) as effective_periods_per_year
+  h as horizon, cast(greatest(1.0, ppy / greatest(1, h)) as double) as effective_periods_per_year
 from (select *, case when ppy >= 300 then 30 when ppy >= 48 then 4 when ppy >= 10 then 3 else 1 end as h
       from (select t.ticker, m.median_gap_days,
               case when m.median_gap_days is null then 1.0 when m.median_gap_days <= 2 then 365.0
@@ -137,10 +137,10 @@ def infer_frequency_q(spark, sf_dir):
 with g as (select user_id, date_diff('day', lag(d) over (partition by user_id order by d), d) as gap
            from (select distinct user_id, cast(ts as date) as d from events) e)
 select t.user_id, m.median_gap_days,
-  case when m.median_gap_days is null then 1.0 when m.median_gap_days <= 2 then 365.0
+  cast(case when m.median_gap_days is null then 1.0 when m.median_gap_days <= 2 then 365.0
        when m.median_gap_days <= 8 then 52.0 when m.median_gap_days <= 16 then 24.0
        when m.median_gap_days <= 45 then 12.0 when m.median_gap_days <= 120 then 4.0
-       when m.median_gap_days <= 240 then 2.0 else 1.0 end as periods_per_year
+       when m.median_gap_days <= 240 then 2.0 else 1.0 end as double) as periods_per_year
 from (select distinct user_id from events) t
 left join (select user_id, quantile_cont(gap, 0.5) as median_gap_days from g where gap is not null group by user_id) m
   on t.user_id = m.user_id""")
@@ -350,7 +350,7 @@ def infer_periods_from_target_q(spark, sf_dir):
 
 
 @query("basic_forecast", with_std(f"""
-select ticker, date, last as current_net_income, {R('g')} as predicted_growth_rate, 10.0 as target_growth_rate,
+select ticker, date, last as current_net_income, {R('g')} as predicted_growth_rate, 10.0::double as target_growth_rate,
   {R('g - 10.0')} as gap_vs_target, case when g - 10.0 >= 0 then 'surplus' else 'shortfall' end as gap_status
 from (select ticker, max(date) as date, arg_max(net_income, date) as last,
         case when count(*) < 2 then 5.0 when arg_min(net_income, date) = 0 then 0.0
@@ -362,7 +362,7 @@ def basic_forecast_q(spark, sf_dir):
 
 
 @query("forecast_table", with_std(f"""
-select ticker as "Ticker", date as "Date", {R('g')} as "Predicted Growth Rate", 10.0 as "Target Growth Rate",
+select ticker as "Ticker", date as "Date", {R('g')} as "Predicted Growth Rate", 10.0::double as "Target Growth Rate",
   {R('g - 10.0')} as "Gap Vs Target", case when g - 10.0 >= 0 then 'surplus' else 'shortfall' end as "Gap Status",
   {R(R('g') + ' - 10.0')} as "Lower", {R(R('g') + ' + 10.0')} as "Upper"
 from (select ticker, max(date) as date,

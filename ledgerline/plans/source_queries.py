@@ -263,7 +263,7 @@ def ascii_safe_q(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select("doc_id", P.ascii_safe("text").alias("ascii_text"),
                     (F.length("text") - F.length(F.regexp_replace("text", r"[^\x00-\x7F]", "")))
-                    .alias("replaced"))
+                    .cast("bigint").alias("replaced"))
 
 
 def _stream_sql() -> str:
