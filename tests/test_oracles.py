@@ -28,6 +28,11 @@ def _rows(cols, recs):
     return sorted((tuple(_norm(r[c]) for c in cols) for r in recs), key=repr)
 
 
+# Spark type -> DuckDB type of the same family (what a schema compare sees).
+TYPE_TWINS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+              "date": "DATE", "boolean": "BOOLEAN", "float": "FLOAT", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql_oracle(spark, duck, name):
     sdf = QS[name](spark, SMALL)
@@ -35,8 +40,11 @@ def test_matches_sql_oracle(spark, duck, name):
     srows = [r.asDict(recursive=True) for r in sdf.collect()]
     cur = duck.execute(SQL[name])
     dcols = [d[0] for d in cur.description]
+    dtypes = {d[0]: str(d[1]) for d in cur.description}
     drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
     assert sorted(dcols) == cols
+    stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    assert {c: TYPE_TWINS.get(stypes[c], stypes[c]) for c in cols} == {c: dtypes[c] for c in cols}
     assert _rows(cols, srows) == _rows(cols, drows)
 
 
