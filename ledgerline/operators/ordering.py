@@ -62,6 +62,40 @@ def global_rank(df: DataFrame, value_col: str, out_col: str, descending: bool =
     return (df.withColumn("_k", key).join(ranks, "_k", "left").drop("_k"))
 
 
+def global_rank_many(df: DataFrame, id_cols, value_cols, descending: bool = True,
+                     suffix: str = "_rank_avg") -> DataFrame:
+    """Average-tie ranks of several columns over all rows in one set of
+    stages: a long (metric, value) form, distinct values with multiplicities
+    per metric, per-metric ``percentile_approx`` range buckets, bucket
+    offsets (metrics × buckets rows), running counts inside (metric, bucket),
+    and a pivot back to one row per id (``id_cols`` must identify rows)."""
+    ids = list(id_cols)
+    nb = _parts(df)
+    pairs = F.array(*[F.struct(F.lit(c).alias("_m"), F.col(c).cast("double").alias("_v"))
+                      for c in value_cols])
+    lf = df.select(*ids, F.inline(pairs))
+    key = (-F.col("_v")) if descending else F.col("_v")
+    lf = lf.withColumn("_k", key)
+    vc = lf.filter(F.col("_k").isNotNull()).groupBy("_m", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = vc.groupBy("_m").agg(
+        F.percentile_approx("_k", [i / nb for i in range(1, nb)], 10000).alias("_bounds")) \
+        if nb > 1 else vc.select("_m").distinct().withColumn("_bounds", F.array().cast("array<double>"))
+    vb = vc.join(bounds, "_m").withColumn(
+        "_b", F.size(F.filter("_bounds", lambda b: b < F.col("_k")))).drop("_bounds")
+    tot = vb.groupBy("_m", "_b").agg(F.sum("_n").alias("_bn"))
+    off = tot.select("_m", "_b", F.coalesce(F.sum("_bn").over(
+        Window.partitionBy("_m").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_m", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = vb.join(off, ["_m", "_b"]).select(
+        "_m", "_k", (F.col("_off") + F.coalesce(F.sum("_n").over(w), F.lit(0))
+                     + (F.col("_n") + 1) / 2.0).alias("_r"))
+    out = lf.join(ranked, ["_m", "_k"], "left")
+    return out.groupBy(*ids).agg(
+        *[F.max(F.when(F.col("_m") == c, F.col("_v"))).alias(c) for c in value_cols],
+        *[F.max(F.when(F.col("_m") == c, F.col("_r"))).alias(f"{c}{suffix}") for c in value_cols])
+
+
 def global_row_number(df: DataFrame, order: list[Column], out_col: str = "row_no") -> DataFrame:
     """1-based row number over a total order (``order`` must be unique)."""
     shared_dir(df.sparkSession)

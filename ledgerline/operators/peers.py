@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import rnd
-from ledgerline.operators.ordering import global_rank
+from ledgerline.operators.ordering import global_rank_many
 
 
 def latest_row(std: DataFrame) -> DataFrame:
@@ -61,9 +61,7 @@ def peer_rankings(std: DataFrame) -> DataFrame:
     latest = latest_row(std).select(
         F.col("ticker").alias("company"), "profit_margin", "asset_efficiency",
         (1 - F.col("debt_to_asset")).alias("financial_health"))
-    out = latest
-    for c in ("profit_margin", "asset_efficiency", "financial_health"):
-        out = global_rank(out, c, f"{c}_rank_avg", descending=True)
-        out = out.withColumn(f"{c}_rank", F.floor(f"{c}_rank_avg").cast("bigint")) \
-                 .drop(f"{c}_rank_avg")
-    return out
+    metrics = ("profit_margin", "asset_efficiency", "financial_health")
+    out = global_rank_many(latest, ["company"], metrics, descending=True)
+    return out.select("company", *metrics,
+                      *[F.floor(f"{c}_rank_avg").cast("bigint").alias(f"{c}_rank") for c in metrics])

@@ -200,3 +200,17 @@ def test_sampled_shapley_is_efficient_for_linear_model(spark):
     for t, g in phi.groupby("ticker"):
         fx = float(rows.loc[t, feats].to_numpy() @ coef + icpt)
         assert math.isclose(g.shap_value.sum(), fx - base, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_global_rank_many_matches_pandas(spark):
+    from ledgerline.operators.ordering import global_rank_many
+    rng = np.random.default_rng(11)
+    n = 3000
+    pdf = pd.DataFrame({"id": np.arange(n),
+                        "a": np.where(rng.random(n) < 0.4, 3.0, rng.normal(size=n)),
+                        "b": rng.integers(0, 20, n).astype(float)})
+    pdf.loc[5, "b"] = np.nan
+    got = global_rank_many(spark.createDataFrame(pdf), ["id"], ["a", "b"]).toPandas().sort_values("id")
+    for c in ("a", "b"):
+        exp = pdf[c].rank(ascending=False, method="average").values
+        assert np.allclose(got[f"{c}_rank_avg"].values, exp, equal_nan=True)
