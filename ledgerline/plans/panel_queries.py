@@ -46,7 +46,7 @@ select ticker, date, sector, {_CATEGORY_SQL} as category, {_RISK_SQL} as risk_le
   revenue, operating_income, net_income
 from (select *, lag(revenue) over (partition by ticker order by date) as prev_revenue from std)"""))
 def category_table_q(spark, sf_dir):
-    """C20 + C18 + C19 over the stored standard table."""
+    """C20 + C18 + C19: category table over the stored standard table."""
     return clean.category_table(standard_table(spark, sf_dir))
 
 
@@ -81,14 +81,14 @@ def ratios_null_q(spark, sf_dir):
   {_CATEGORY_SQL} as category
 from (select *, lag(revenue) over (partition by ticker order by date) as prev_revenue from std)"""))
 def growth_category_q(spark, sf_dir):
-    """C18 growth class, including the zero-base rule."""
+    """Growth class, including the zero-base rule."""
     return clean.with_category(standard_table(spark, sf_dir)).select(
         "ticker", "date", "revenue_growth", "category")
 
 
 @query("risk_level", with_std(f"select ticker, date, debt_to_asset, {_RISK_SQL} as risk_level from std"))
 def risk_level_q(spark, sf_dir):
-    """C19 risk class from the debt ratio."""
+    """Risk class from the debt ratio."""
     return standard_table(spark, sf_dir).select(
         "ticker", "date", "debt_to_asset", risk_level("debt_to_asset").alias("risk_level"))
 
