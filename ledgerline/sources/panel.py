@@ -153,7 +153,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The engineered standard table plus ``sector`` (the ETL output every
     analysis reads), materialized and bucketed by ticker."""
+    # Built from the materialized panel: the line-item join runs once per
+    # application, and the feature window over the ticker-bucketed panel
+    # needs no exchange.
     return _materialize(
         spark, "standard", sf_dir,
-        lambda: engineer_features(derive_panel(spark, sf_dir))
-        .select(*STANDARD_COLUMNS, "sector"))
+        lambda: engineer_features(panel(spark, sf_dir)).select(*STANDARD_COLUMNS, "sector"))
