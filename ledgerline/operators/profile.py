@@ -310,7 +310,8 @@ def flag_anomalies(df: DataFrame) -> DataFrame:
 
 def outlier_recommendations(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
     """Severity rules over IQR outliers (>10% high, >5% medium, else low)
-    and anomalies (NULLs medium, infinities high)."""
+    and anomalies (NULLs medium, infinities high).  The issue / treatment
+    texts and thresholds are fixed values of the reference behaviour."""
     o = outliers_iqr(df, cols).filter(F.col("outlier_count") > 0)
     pct = F.col("outlier_percentage")
     recs_o = o.select(

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import rnd
 
-# Field groups and thresholds of the gates.
+# Field groups and thresholds of the gates (the issue message
+# texts in the functions below are fixed values too).
 REQUIRED_FOR_ML = ("revenue", "net_income", "total_assets", "date", "ticker")
 REQUIRED_FOR_ANALYSIS = ("operating_income", "total_liabilities", "operating_cashflow")
 ENGINEERED = ("profit_margin", "operating_margin", "revenue_growth", "net_income_growth",
