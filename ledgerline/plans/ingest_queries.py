@@ -101,15 +101,16 @@ def fill_ticker_q(spark, sf_dir):
 
 
 @query("fill_ticker_first", with_panel(f"""select upload_id, row_pos,
-  coalesce(t, first(t ignore nulls) over (partition by upload_id % 20 order by upload_id, row_pos
+  coalesce(t, first(t ignore nulls) over (partition by upload_id // 20 order by upload_id, row_pos
            rows between unbounded preceding and unbounded following), 'UNKNOWN') as ticker
 from (select *, {sql_clean_ticker('"Symbol"')} as t from mu) x""", MU))
 def fill_ticker_first_q(spark, sf_dir):
-    """NULL ticker -> first valid ticker of its batch (batches of
-    uploads), else a parameter."""
+    """NULL ticker -> first valid ticker of its batch, else a parameter.
+    A batch is 20 consecutive uploads: bounded, and the number of batches
+    grows with the data (no hot window partition)."""
     m = messy(spark, sf_dir).select("upload_id", "row_pos",
                                     P.clean_ticker("Symbol").alias("ticker"))
-    m = m.withColumns({"batch": F.pmod("upload_id", F.lit(20)),
+    m = m.withColumns({"batch": F.floor(F.col("upload_id") / 20).cast("int"),
                        "ord": F.struct("upload_id", "row_pos")})
     return ingest.fill_ticker_first(m, "batch", "ord", "UNKNOWN").select(
         "upload_id", "row_pos", "ticker")
