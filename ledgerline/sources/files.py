@@ -182,12 +182,14 @@ def land_statements(spark: SparkSession, sf_dir: str) -> str:
                                                F.struct("date", rep.alias("r")))), False).alias("a"),
             F.sort_array(F.collect_list(F.when(F.col("report_type") == "quarterly",
                                                F.struct("date", rep.alias("r")))), False).alias("q"))
-        outs.append(g.select(F.lit(fn).alias("function"), F.to_json(F.struct(
+        outs.append(g.select(F.lit(fn).alias("function"), "ticker", F.to_json(F.struct(
             F.col("ticker").alias("symbol"),
             F.transform("a", lambda x: x["r"]).alias("annualReports"),
             F.transform("q", lambda x: x["r"]).alias("quarterlyReports"))).alias("value")))
     docs = outs[0].unionByName(outs[1]).unionByName(outs[2])
-    docs.repartition("function").write.mode("overwrite").partitionBy("function").text(root)
+    # spread the write by symbol (three statement kinds would be three hot tasks)
+    (docs.repartition("ticker").select("function", "value")
+         .write.mode("overwrite").partitionBy("function").text(root))
     _LANDED[key] = root
     return root
 
