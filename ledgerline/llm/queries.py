@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import langid, line_dedup, near_dedup, packing
+from ledgerline.llm import embed_dedup, langid, line_dedup, near_dedup, nearest, packing, token_store
 from ledgerline.llm.common import table
 
 
@@ -24,13 +24,26 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify_documents(docs).select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "support")
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_tokens(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_line_dedup, op4_near_dedup, op8_language)}
+    f.__name__: f for f in (
+        op2_packing, op3_line_dedup, op4_near_dedup, op7_embedding_dedup, op8_language, op9_token_store, op10_nearest)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
