@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import embed_dedup, langid, line_dedup, near_dedup, nearest, packing, token_store
+from ledgerline.llm import (embed_dedup, html_mincut, langid, license_scan, line_dedup, near_dedup, nearest, packing,
+                            sentence_pieces, token_store)
 from ledgerline.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,14 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +57,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_packing, op3_line_dedup, op4_near_dedup, op7_embedding_dedup, op8_language, op9_token_store, op10_nearest)}
+        op1_license_scan, op2_packing, op3_line_dedup, op4_near_dedup, op5_sentence_pieces, op6_html_text,
+        op7_embedding_dedup, op8_language, op9_token_store, op10_nearest)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}

@@ -30,11 +30,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class WordTable:
     """Open-addressing table from word hashes to runs in a pool of ids."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
+    def __init__(self, encode):
+        self.encode = encode  # distinct words -> their lists of ids
         self.clear()
 
     def clear(self):
@@ -58,7 +55,7 @@ class WordTable:
         return out
 
     def add(self, keys: np.ndarray, strings: list) -> None:
-        runs = [e.ids for e in self.encoder.encode_batch_fast(strings, add_special_tokens=False)]
+        runs = self.encode(strings)
         sizes = np.fromiter(map(len, runs), np.int64, len(runs))
         last, total = self.at[self.words], int(sizes.sum())
         if self.words + len(keys) + 1 >= len(self.at):
@@ -79,10 +76,36 @@ class WordTable:
         self.words += len(keys)
 
 
+    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray):
+        """Ids of all spans end to end, and how many each span has."""
+        if self.words + len(keys) > MAX_WORDS:
+            self.clear()
+        number = self.find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            distinct, first = np.unique(keys[new], return_index=True)
+            spans = new[first]
+            text = buf.tobytes()
+            self.add(distinct, [text[a:b].decode("utf-8", "replace")
+                                for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
+            number[new] = self.find(keys[new])
+        first_id = self.at[number]
+        sizes = self.at[number + 1] - first_id
+        ends_at = np.cumsum(sizes)
+        total = int(ends_at[-1]) if len(ends_at) else 0
+        return self.pool[np.repeat(first_id - (ends_at - sizes), sizes) + np.arange(total)], sizes
+
+
 def word_table(path: str) -> WordTable:
+    """The worker's table for a vocabulary file of the `tokenizers` library."""
     store = process_cache()
     if ("words", path) not in store:
-        store["words", path] = WordTable(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(path)
+        store["words", path] = WordTable(
+            lambda words: [e.ids for e in encoder.encode_batch_fast(words, add_special_tokens=False)])
     return store["words", path]
 
 
@@ -122,24 +145,9 @@ def encode_column(column, table: WordTable, end_id: int):
             order = np.argsort(starts, kind="stable")
             starts, ends, rows = starts[order], ends[order], rows[order]
         keys = span_hashes(low, starts, ends) | np.uint64(1)
-        if table.words + len(keys) > MAX_WORDS:
-            table.clear()
-        number = table.find(keys)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            distinct, first = np.unique(keys[new], return_index=True)
-            spans = new[first]
-            text = low.tobytes()
-            table.add(distinct, [text[a:b].decode("utf-8", "replace")
-                                 for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
-            number[new] = table.find(keys[new])
-        first_id = table.at[number]
-        sizes = table.at[number + 1] - first_id
-        ends_at = np.cumsum(sizes)
-        total = int(ends_at[-1]) if len(ends_at) else 0
-        source = np.repeat(first_id - (ends_at - sizes), sizes) + np.arange(total)
+        flat, sizes = table.ids(low, starts, ends, keys)
         of_row = np.repeat(rows, sizes)
-        out = np.full(total + (j - i), end_id, np.uint32)
-        out[np.arange(total) + of_row] = table.pool[source]
+        out = np.full(len(flat) + (j - i), end_id, np.uint32)
+        out[np.arange(len(flat)) + of_row] = flat
         per_row = np.bincount(of_row, minlength=j - i) + 1
         yield i, out, np.concatenate([[0], np.cumsum(per_row)])
