@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.session import shared_dir
 
 #: Bytes of text that a task turns into numpy arrays at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

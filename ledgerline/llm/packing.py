@@ -35,7 +35,7 @@ WINDOW = 4096
 COMMON = 24
 STEPS = 300
 #: Sub-groups of one length whose ranks are counted apart.
-SALTS = 64
+SALTS = 16
 
 
 def _pieces(path: str, end_id: int, window: int):

@@ -16,9 +16,9 @@ import numpy as np
 
 from ledgerline.llm.common import ascii_lower, process_cache, row_chunks, span_hashes, text_bytes, word_spans
 
-TABLE_BITS = 22
+TABLE_BITS = 21
 #: Distinct words that a worker's table holds before it starts anew.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_000_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -104,8 +104,13 @@ def word_table(path: str) -> WordTable:
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_file(path)
-        store["words", path] = WordTable(
-            lambda words: [e.ids for e in encoder.encode_batch_fast(words, add_special_tokens=False)])
+
+        def encode(words: list) -> list:
+            # the library's results are large: a few thousand words at a time
+            return [e.ids for s in range(0, len(words), 2048)
+                    for e in encoder.encode_batch_fast(words[s:s + 2048], add_special_tokens=False)]
+
+        store["words", path] = WordTable(encode)
     return store["words", path]
 
 
