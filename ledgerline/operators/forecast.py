@@ -29,16 +29,15 @@ def fitted(df: DataFrame):
     return None if row is None else row[0]
 
 
-def small_local(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Re-create a tiny result (one row per candidate model) as a local
-    relation so that consumers do not re-run its lineage; refuses results
-    above ``max_rows`` (those are checkpointed instead)."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df.checkpoint()
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def one_row_each(metrics: DataFrame) -> DataFrame:
+    """Metrics (one row per model by construction) as a local relation, so that
+    their consumers do not run the models again."""
+    return metrics.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
 
 
+# The benchmark that sees earlier test actuals; it is no candidate.
+BENCHMARK_ONLY = ("NaiveLast",)
+
 TARGET_COL = "net_income"
 TEST_RATIO = 0.2
 DEFAULT_TARGET_GROWTH = 10.0     # annual target growth, percent
@@ -290,17 +289,17 @@ def regression_metrics(preds: DataFrame, by="model") -> DataFrame:
 
 
 def champion(metrics: DataFrame) -> DataFrame:
-    """M8: rank models by R² (NULL last) then MAE; rank 1 is the champion.
+    """M8: rank the candidates by R² (NULL last) then MAE; rank 1 is the champion.
     One row per model — the unpartitioned window is over the handful of
     candidate models."""
     w = Window.orderBy(F.col("r2").desc_nulls_last(), F.col("mae").asc(), F.col("model"))
-    return metrics.select("model", "r2", "mae", "rmse",
+    return metrics.filter(~F.col("model").isin(*BENCHMARK_ONLY)).select("model", "r2", "mae", "rmse",
                           F.row_number().over(w).cast("bigint").alias("rank"))
 
 
 def reliability(metrics: DataFrame, champion_model: Column | None = None) -> DataFrame:
     """M9: reliability ladder for the champion + beats-naive + best benchmark."""
-    metrics = small_local(metrics)
+    metrics = one_row_each(metrics)
     ch = champion(metrics).filter(F.col("rank") == 1).select("model")
     m = metrics.join(ch, "model")
     naive_mae = F.lit(fitted(metrics.filter(F.col("model") == "NaiveLast").select("mae")))
@@ -387,14 +386,16 @@ def model_future_predictions(split_df: DataFrame, fut: DataFrame, model: str) ->
 
 def forecast_gap(std: DataFrame, split_df: DataFrame, metrics: DataFrame,
                  priors: DataFrame, ppy: float, target_annual: float = DEFAULT_TARGET_GROWTH,
-                 h: int = 1) -> DataFrame:
+                 h: int = 1, future=None) -> DataFrame:
     """Blend the champion's prediction with the prior, gap vs the
-    period target, ±1.96σ band, next income, annualised variants."""
+    period target, ±1.96σ band, next income, annualised variants.
+    ``future`` maps the champion's name to (ticker, pred) rows; without it the
+    deterministic models predict."""
     rel = reliability(metrics)
     model = rel.select("selected_model").first()["selected_model"]  # one row
     fut = std.groupBy("ticker").agg(F.max("date").alias("date"),
                                     F.max_by(TARGET_COL, "date").alias("net_income"))
-    preds = model_future_predictions(split_df, fut, model)
+    preds = future(model) if future else model_future_predictions(split_df, fut, model)
     r = rel.first()
     w = blend_weight(F.lit(r["r2"]).cast("double"))
     pr = priors.select(F.col("ticker").alias("_t"), "prior")
@@ -408,6 +409,8 @@ def forecast_gap(std: DataFrame, split_df: DataFrame, metrics: DataFrame,
         "ticker", "date", F.col("net_income").alias("current_net_income"),
         rnd("p", 6).alias("predicted_growth_rate"), rnd("t", 6).alias("target_growth_rate"),
         rnd(F.col("p") - F.col("t"), 6).alias("gap_vs_target"),
+        rnd("p", 6).alias("predicted_growth_rate_period_pct"), rnd("t", 6).alias("target_growth_rate_period_pct"),
+        rnd(F.col("p") - F.col("t"), 6).alias("gap_vs_target_period_pct"),
         F.when(F.col("p") - F.col("t") >= 0, "surplus").otherwise("shortfall").alias("gap_status"),
         rnd(F.col("p") - CI_Z * sigma, 6).alias("confidence_lower_95"),
         rnd(F.col("p") + CI_Z * sigma, 6).alias("confidence_upper_95"),

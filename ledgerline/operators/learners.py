@@ -1,23 +1,15 @@
-"""Learners and explanations.
+"""Learners and explanations.
 
-* pooled learners are MLlib estimators on a ``features`` vector
+* learners are pooled MLlib estimators on a ``features`` vector
   (``VectorAssembler``) of population-σ standardised columns;
-* the ε-insensitive regression (SVR) is fitted per ticker: one
-  ``groupBy('ticker').applyInPandas`` group per ticker holds only that
-  ticker's history, and the hyper-parameter grid × expanding folds loop runs
-  inside the group with a small numpy dual solver (accelerated proximal
-  gradient, one batched iteration for the whole grid of a fold; no row
-  explosion, no cross join).  Groups above ``EXACT_KERNEL_ROWS`` switch
-  to random Fourier features, which keeps the cost linear in the rows;
 * Shapley values: exact for the linear model (coef × (x − mean)); for the
-  forest, permutation sampling as prefix chains over every future row (the
-  global summary uses a seeded sample, as the reference explainer does).
+  forest, permutation sampling as prefix chains over every row to explain.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import random
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
@@ -25,39 +17,16 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import rnd
 
-# The grouped-map function below runs in Python workers, which need not have
-# this package on their path (a cluster ships code with --py-files; a local
-# session started elsewhere does not).  Pickling this module's functions by
-# value makes the task self-contained.
-try:  # pragma: no cover - depends on the pyspark build
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
-
-# The ε-SVR grid and the forest settings of the reference.
-SVR_GRID = [(k, c, e, g) for k in ("rbf", "linear") for c in (1.0, 10.0, 50.0, 100.0)
-            for e in (0.01, 0.1, 0.5) for g in ("scale", "auto")]
-SMALL_DATA_PARAMS = ("rbf", 10.0, 0.1, "scale")
+# The forest settings of the reference.
 RF_BENCH = {"numTrees": 200, "minInstancesPerNode": 2}
 RF_CANDIDATE = {"numTrees": 300, "minInstancesPerNode": 2}
 RF_IMPORTANCE = {"numTrees": 100, "maxDepth": 10}
 SEED = 42
-EXACT_KERNEL_ROWS = 2000
-
-
-def fit_input(df: DataFrame) -> DataFrame:
-    """MLlib trains on the RDD, where AQE does not coalesce small shuffle
-    partitions: cap the partition count at the cluster's parallelism
-    (``coalesce``, no shuffle) so every tree level is one task per core."""
-    target = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
 
 
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
+    """Feature vectors; rows with a NULL feature must have been dropped before."""
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
 def train_moments(split_df: DataFrame, features) -> dict[str, float]:
@@ -87,7 +56,7 @@ def linear_forecast(split_df: DataFrame, features) -> tuple[DataFrame, object]:
     """M4: standardised linear regression (normal equations)."""
     d = assemble(standardized_split(split_df, features), features)
     lr = LinearRegression(featuresCol="features", labelCol="target", solver="normal", regParam=0.0)
-    m = lr.fit(fit_input(d.filter(F.col("split") == "train")))
+    m = lr.fit(d.filter(F.col("split") == "train"))
     return _pred_frame("LinearRegression", m.transform(d.filter(F.col("split") == "test"))), m
 
 
@@ -96,7 +65,7 @@ def rf_forecast(split_df: DataFrame, features, params=RF_BENCH, name="RandomFore
     d = assemble(split_df, features)
     rf = RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxDepth=10,
                                **params)
-    m = rf.fit(fit_input(d.filter(F.col("split") == "train")))
+    m = rf.fit(d.filter(F.col("split") == "train"))
     return _pred_frame(name, m.transform(d.filter(F.col("split") == "test"))), m
 
 
@@ -107,7 +76,7 @@ def rf_importance(frame: DataFrame, target: str, features) -> DataFrame:
     d = frame.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                        for c in feats + [target]])
     m = RandomForestRegressor(featuresCol="features", labelCol=target, seed=SEED, **RF_IMPORTANCE) \
-        .fit(fit_input(assemble(d, feats)))
+        .fit(assemble(d, feats))
     imp = [float(x) for x in m.featureImportances.toArray()]
     spark = frame.sparkSession
     t = spark.createDataFrame(list(zip(feats, imp)), "feature string, importance double")
@@ -136,188 +105,6 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFram
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
-# ------------------------------------------------------------------ ε-SVR (M3)
-
-
-def _kernel(a: np.ndarray, b: np.ndarray, kind: str, gamma: float) -> np.ndarray:
-    if kind == "linear":
-        return a @ b.T
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.exp(-gamma * np.maximum(d2, 0.0))
-
-
-def _gamma(x: np.ndarray, g: str) -> float:
-    nf = max(1, x.shape[1])
-    if g == "auto":
-        return 1.0 / nf
-    v = float(x.var())
-    return 1.0 / (nf * v) if v > 0 else 1.0
-
-
-def _features_for(x: np.ndarray, kind: str, gamma: float):
-    """Large rbf groups use random Fourier features (linear cost)."""
-    if len(x) > EXACT_KERNEL_ROWS and kind == "rbf":
-        rng = np.random.default_rng(SEED)
-        w = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], 256))
-        b = rng.uniform(0, 2 * np.pi, 256)
-        return (lambda z: np.sqrt(2.0 / 256) * np.cos(z @ w + b)), "linear"
-    return (lambda z: z), kind
-
-
-def svr_fit_batch(x: np.ndarray, y: np.ndarray, kind: str, g: str, cs, epss,
-                  iters: int = 400, tol: float = 1e-4):
-    """ε-insensitive regression for several (C, ε) at once.
-
-    Dual: min ½βᵀ(K+1)β − yᵀβ + ε‖β‖₁ s.t. −C ≤ β ≤ C (the bias is folded into
-    the kernel), solved by accelerated proximal gradient (soft-threshold then
-    clip) with one column per (C, ε): the kernel depends only on (kernel, γ),
-    so a whole grid row shares every matrix product.  Returns a predict
-    function giving one column per (C, ε)."""
-    gamma = _gamma(x, g)
-    phi, k_kind = _features_for(x, kind, gamma)
-    xf = phi(x)
-    k = _kernel(xf, xf, k_kind, gamma) + 1.0
-    lip = float(np.linalg.eigvalsh(k)[-1]) if len(y) <= 400 else _power_norm(k)
-    lip = max(lip, 1e-12)
-    cs = np.asarray(cs, float)[None, :]
-    es = np.asarray(epss, float)[None, :] / lip
-    yy = np.asarray(y, float)[:, None]
-    beta = np.zeros((len(y), cs.shape[1]))
-    z = beta.copy()
-    t = 1.0
-    for _ in range(iters):
-        step = z - (k @ z - yy) / lip
-        nb = np.clip(np.sign(step) * np.maximum(np.abs(step) - es, 0.0), -cs, cs)
-        t_next = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        change = np.max(np.abs(nb - beta))
-        z = nb + ((t - 1.0) / t_next) * (nb - beta)
-        beta, t = nb, t_next
-        if change < tol * max(1.0, float(np.max(np.abs(nb)))):
-            break
-    return lambda q: (_kernel(phi(q), xf, k_kind, gamma) + 1.0) @ beta
-
-
-def svr_fit(x: np.ndarray, y: np.ndarray, kind: str, c: float, eps: float, g: str):
-    """Single ε-SVR fit (one grid point)."""
-    f = svr_fit_batch(x, y, kind, g, [c], [eps])
-    return lambda q: f(q)[:, 0]
-
-
-def svr_grid_errors(xa: np.ndarray, ya: np.ndarray, xb: np.ndarray, yb: np.ndarray,
-                    grid=None, iters: int = 400, tol: float = 1e-4) -> dict:
-    """Mean absolute test error of every grid point, all solved in one
-    batched iteration: one kernel matrix per distinct (kernel, γ) stacked in
-    a 3-D array, one column per (C, ε)."""
-    grid = grid or SVR_GRID
-    kernels = []
-    for kind, g in dict.fromkeys((p[0], p[3]) for p in grid):
-        key = ("linear", None) if kind == "linear" else (kind, g)
-        if key not in kernels:
-            kernels.append(key)
-    gam = {g: _gamma(xa, g) for g in ("scale", "auto")}
-    ks, kq = [], []
-    for kind, g in kernels:
-        gm = gam.get(g, 1.0)
-        ks.append(_kernel(xa, xa, kind, gm) + 1.0)
-        kq.append(_kernel(xb, xa, kind, gm) + 1.0)
-    k3, q3 = np.stack(ks), np.stack(kq)
-    lip = np.maximum(np.linalg.eigvalsh(k3)[:, -1], 1e-12)[:, None, None]
-    combos = list(dict.fromkeys((p[1], p[2]) for p in grid))
-    cs = np.array([c for c, _ in combos])[None, None, :]
-    es = np.array([e for _, e in combos])[None, None, :] / lip
-    yy = ya[None, :, None]
-    beta = np.zeros((len(kernels), len(ya), len(combos)))
-    z = beta.copy()
-    t = 1.0
-    for _ in range(iters):
-        step = z - (k3 @ z - yy) / lip
-        nb = np.clip(np.sign(step) * np.maximum(np.abs(step) - es, 0.0), -cs, cs)
-        t_next = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        change = np.max(np.abs(nb - beta))
-        z = nb + ((t - 1.0) / t_next) * (nb - beta)
-        beta, t = nb, t_next
-        if change < tol * max(1.0, float(np.max(np.abs(nb)))):
-            break
-    err = np.abs(q3 @ beta - yb[None, :, None]).mean(1)          # (kernels, combos)
-    out = {}
-    for p in grid:
-        ki = kernels.index(("linear", None) if p[0] == "linear" else (p[0], p[3]))
-        out[p] = float(err[ki, combos.index((p[1], p[2]))])
-    return out
-
-
-def _power_norm(k: np.ndarray, iters: int = 50) -> float:
-    v = np.ones(k.shape[0]) / np.sqrt(k.shape[0])
-    lam = 0.0
-    for _ in range(iters):
-        w = k @ v
-        lam = float(np.linalg.norm(w))
-        if lam == 0:
-            return 0.0
-        v = w / lam
-    return lam * 1.01
-
-
-def _folds(n: int):
-    ns = min(5, max(2, n // 6))
-    size = n // (ns + 1)
-    for f in range(ns):
-        start = n - (ns - f) * size
-        if size > 0 and start > 0:
-            yield np.arange(start), np.arange(start, start + size)
-
-
-SVR_SCHEMA = ("ticker string, date date, split string, actual double, predicted double, "
-              "kernel string, C double, epsilon double, gamma string, cv_mae_mean double, "
-              "cv_mae_std double, cv_folds int")
-
-
-def _svr_group(features):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        tr, te = pdf[pdf.split == "train"], pdf[pdf.split == "test"]
-        if len(tr) == 0:
-            return pd.DataFrame(columns=[c.split()[0] for c in SVR_SCHEMA.split(", ")])
-        x, y = tr[list(features)].to_numpy(float), tr["target"].to_numpy(float)
-        mu, sd = x.mean(0), x.std(0)
-        sd[sd == 0] = 1.0
-        xs = (x - mu) / sd
-        best, best_score, best_std, nf = SMALL_DATA_PARAMS, np.nan, np.nan, 0
-        if len(tr) >= 8 and np.unique(y).size > 1:
-            folds = list(_folds(len(xs)))
-            maes = {p: [] for p in SVR_GRID}
-            for a, b in folds:
-                # scaler refitted on each fold's training rows, as a pipeline would
-                m2, s2 = x[a].mean(0), x[a].std(0)
-                s2[s2 == 0] = 1.0
-                errs = svr_grid_errors((x[a] - m2) / s2, y[a], (x[b] - m2) / s2, y[b])
-                for p, e in errs.items():
-                    maes[p].append(e)
-            scored = [(np.mean(v), np.std(v), len(v), p) for p, v in maes.items() if v]
-            if scored:
-                s_best = min(scored, key=lambda r: r[0])   # first best in grid order
-                best_score, best_std, nf, best = s_best
-        f = svr_fit(xs, y, *best)
-        rows = pdf.copy()
-        rows["predicted"] = f((rows[list(features)].to_numpy(float) - mu) / sd)
-        out = pd.DataFrame({
-            "ticker": rows["ticker"], "date": rows["date"], "split": rows["split"],
-            "actual": rows["target"], "predicted": rows["predicted"],
-            "kernel": best[0], "C": float(best[1]), "epsilon": float(best[2]), "gamma": best[3],
-            "cv_mae_mean": best_score, "cv_mae_std": best_std, "cv_folds": int(nf)})
-        return out
-    return fit
-
-
-def eps_regression_cv(split_df: DataFrame, features) -> DataFrame:
-    """M3: per-ticker ε-SVR, 48-point grid selected by mean MAE over
-    expanding-window folds, refitted on all training rows; returns train and
-    test predictions with the chosen parameters and CV summary."""
-    cols = ["ticker", "date", "split", "target", *features]
-    return split_df.select(*cols).groupBy("ticker").applyInPandas(_svr_group(list(features)),
-                                                                  SVR_SCHEMA)
-
-
 # ------------------------------------------------------------------ Shapley
 
 
@@ -344,47 +131,48 @@ def shapley_linear(model, split_df: DataFrame, rows: DataFrame, features) -> Dat
 
 
 def shapley_sampled(model, train: DataFrame, rows: DataFrame, features, n_background: int = 25,
-                    n_eval: int | None = None, n_perm: int = 8) -> DataFrame:
+                    n_perm: int = 8) -> DataFrame:
     """M15 (model-agnostic): permutation-sampling Shapley values.  For each
-    evaluated row, permutation and background row, the feature prefix of the
+    row, permutation and background row, the feature prefix of the
     permutation comes from the row and the rest from the background row; φ_j
-    is the mean prediction difference when feature j joins the prefix.  The
-    job is an explode + ``model.transform`` + ``groupBy`` — distributed and
-    linear in the evaluated rows.  ``n_eval=None`` explains every row (local
-    explanations of all future rows); a number takes a seeded sample (the
-    global summary of the reference uses 30 training rows)."""
+    is the mean prediction difference when feature j joins the prefix.
+    ``n_background`` training rows and ``n_perm`` permutations are the
+    explainer's parameters; every row of ``rows`` is explained (its
+    ``ticker`` is its key).  The job is an explode, ``model.transform`` and a
+    sum that is combined before its shuffle."""
     d = len(features)
-    rng = np.random.default_rng(SEED)
-    perms = [list(rng.permutation(d)) for _ in range(n_perm)]
-    ev = (rows if n_eval is None else seeded_sample(rows, n_eval, "ticker")).select("ticker", *features)
+    rng = random.Random(SEED)
+    perms = [rng.sample(range(d), d) for _ in range(n_perm)]
+    ev = rows.select("ticker", *features)
     bg = seeded_sample(train.withColumn("_bk", F.concat_ws("|", "ticker", F.col("date").cast("string"))),
                        n_background, "_bk").select(*[F.col(c).alias(f"b_{c}") for c in features])
     bg_arr = bg.agg(F.collect_list(F.struct(*[f"b_{c}" for c in features])).alias("bg")).scalar()
     # Each permutation is a chain x_0 = background, x_k = x_(k-1) with the
     # k-th permuted feature taken from the row: one model evaluation per
-    # step, and φ of the added feature is f(x_k) - f(x_(k-1)).
+    # step.  φ of the added feature is f(x_k) - f(x_(k-1)), so f(x_k) counts
+    # for the feature just taken and against the next one.
     steps = []
-    for pi, perm in enumerate(perms):
+    for perm in perms:
         for pos in range(d + 1):
             prefix = set(perm[:pos])
-            added = features[perm[pos - 1]] if pos > 0 else None
-            steps.append((pi, pos, added, [i in prefix for i in range(d)]))
-    step_arr = F.array(*[F.struct(F.lit(pi).alias("perm"), F.lit(pos).alias("pos"),
-                                  F.lit(added).cast("string").alias("feature"),
-                                  F.array(*[F.lit(b) for b in mask]).alias("mask"))
-                         for pi, pos, added, mask in steps])
-    x = ev.select("ticker", *features, F.posexplode(bg_arr).alias("bgi", "_bgrow"))
-    x = x.select("*", F.explode(step_arr).alias("s"))
+            taken = features[perm[pos - 1]] if pos > 0 else None
+            coming = features[perm[pos]] if pos < d else None
+            steps.append(F.struct(F.lit(taken).cast("string").alias("taken"),
+                                  F.lit(coming).cast("string").alias("coming"),
+                                  F.array(*[F.lit(i in prefix) for i in range(d)]).alias("mask")))
+    x = ev.select("ticker", *features, bg_arr.alias("_bg"))
+    x = x.select("*", F.size("_bg").alias("_n"), F.explode("_bg").alias("_bgrow")).drop("_bg")
+    x = x.select("*", F.explode(F.array(*steps)).alias("s"))
     cols = [F.when(F.col("s.mask")[i], F.col(c)).otherwise(F.col(f"_bgrow.b_{c}")).alias(f"x_{c}")
             for i, c in enumerate(features)]
-    x = x.select("ticker", "bgi", F.col("s.perm").alias("perm"), F.col("s.pos").alias("pos"),
-                 F.col("s.feature").alias("feature"), *cols)
+    x = x.select("ticker", "_n", "s.taken", "s.coming", *cols)
     pred = model.transform(VectorAssembler(inputCols=[f"x_{c}" for c in features],
                                            outputCol="features").transform(x))
-    w = Window.partitionBy("ticker", "bgi", "perm").orderBy("pos")
-    diff = pred.select("ticker", "feature", (F.col("prediction") - F.lag("prediction").over(w))
-                       .alias("delta")).filter(F.col("feature").isNotNull())
-    return diff.groupBy("ticker", "feature").agg(F.avg("delta").alias("shap_value"))
+    signed = pred.select("ticker", "_n", F.inline(F.array(
+        F.struct(F.col("taken").alias("feature"), F.col("prediction").alias("part")),
+        F.struct(F.col("coming").alias("feature"), (-F.col("prediction")).alias("part")))))
+    return signed.filter(F.col("feature").isNotNull()).groupBy("ticker", "feature").agg(
+        (F.sum("part") / (F.first("_n") * n_perm)).alias("shap_value"))
 
 
 def shap_global(phi: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Table maintenance as DataFrame operators.
 
 There is no row-level table format here, so an upsert is a keep-last merge
-(``left_anti`` on the key + ``unionByName``) written with dynamic partition
-overwrite; deletes are rewrites with ``left_anti``.  Keys are always full
+(``left_anti`` on the key + ``unionByName``); deletes are rewrites with
+``left_anti``.  Keys are always full
 keys — nothing is capped or sampled.
 """
 
@@ -43,14 +43,6 @@ def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str] = PANEL_KEY)
     return existing.join(new_keys, list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def write_upsert(merged: DataFrame, path: str, partition_col: str = "user_id") -> None:
-    """Persist a merge with dynamic partition overwrite: only the partitions
-    present in ``merged`` are replaced.  Never read and overwrite the same
-    path in one job — write to a staging path and swap."""
-    merged.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    merged.write.mode("overwrite").partitionBy(partition_col).parquet(path)
-
-
 def user_scope(df: DataFrame, user_id: str) -> DataFrame:
     """Own rows plus predefined rows."""
     return df.filter((F.col("user_id") == user_id) | (F.col("user_id") == "predefined"))
@@ -91,18 +83,19 @@ def reload_verify(df: DataFrame) -> DataFrame:
     return df.groupBy("ticker").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def content_hash(rows: DataFrame, upload_col: str, order_col: str, cols: Sequence[str]) -> DataFrame:
+def content_hash(rows: DataFrame, upload_col: str | Sequence[str], order_col: str, cols: Sequence[str]) -> DataFrame:
     """SHA-256 of the canonical JSON of an upload's records (keys
     sorted, records in upload order).  The records of one upload are
     gathered into one value by construction (the hash is over the whole
     upload); uploads are independent groups."""
     cols = sorted(cols)
     rec = F.struct(*[F.col(c) for c in cols])
-    g = rows.groupBy(upload_col).agg(
+    keys = [upload_col] if isinstance(upload_col, str) else list(upload_col)
+    g = rows.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("_o"), rec.alias("r"))))
         .alias("_recs"))
-    return g.select(upload_col, F.sha2(F.to_json(F.transform("_recs", lambda x: x["r"])), 256)
-                    .alias("content_hash"))
+    text = F.to_json(F.transform("_recs", lambda x: x["r"]), {"ignoreNullFields": "false"})
+    return g.select(*keys, F.sha2(text, 256).alias("content_hash"))
 
 
 def duplicate_uploads(new: DataFrame, existing: DataFrame) -> DataFrame:

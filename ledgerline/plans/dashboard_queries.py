@@ -194,32 +194,26 @@ select s.date, s.ticker, s.revenue, s.operating_income, s.net_income, s.operatin
   s.total_liabilities / (s.total_assets + 1e-9) as debt_to_asset,
   case when s.upload_id % 3 = 1 then 'u1' else 'u2' end as user_id,
   'Unknown' as sector, 'Unknown' as category, 'Unknown' as risk_level
-from (select {_norm_cols_sql(True)} from mu) s
-window w as (partition by s.ticker order by s.date asc nulls last, s.upload_id, s.row_pos)""", MU))
+from (select n.* replace (coalesce({sql_clean_ticker('n.ticker')}, upper(n.true_ticker)) as ticker)
+      from (select {_norm_cols_sql(True)}, true_ticker from mu) n) s
+window w as (partition by s.upload_id order by s.date asc nulls last, s.row_pos)""", MU))
 def transform_dynamic_q(spark, sf_dir):
-    """Extracted standard records -> typed, engineered, user-tagged; the
-    category side borrows its date from the standard record by row key
-    (upload, position) and defaults missing labels to 'Unknown'."""
-    std = normalized(spark, sf_dir)
-    w = Window.partitionBy("ticker").orderBy(F.col("date").asc_nulls_last(), "upload_id", "row_pos")
+    """Extracted standard records -> typed, tickers cleaned and filled from
+    the upload, engineered within the upload (one company), user-tagged; the
+    category side has no labels, so they default to 'Unknown'."""
+    std = normalized(spark, sf_dir, "true_ticker")
+    w = Window.partitionBy("upload_id").orderBy(F.col("date").asc_nulls_last(), "row_pos")
     rev, ni = F.col("revenue"), F.col("net_income")
-    s = std.select(
-        "upload_id", "row_pos", "date", "ticker", *MEASURES,
+    return std.select(
+        "date", F.coalesce(P.clean_ticker("ticker"), F.upper("true_ticker")).alias("ticker"), *MEASURES,
         (ni / (rev + EPS) * 100).alias("profit_margin"),
         (F.col("operating_income") / (rev + EPS) * 100).alias("operating_margin"),
         ((rev / F.nullif(F.lag(rev).over(w), F.lit(0.0)) - 1) * 100).alias("revenue_growth"),
         ((ni / F.nullif(F.lag(ni).over(w), F.lit(0.0)) - 1) * 100).alias("net_income_growth"),
         (rev / (F.col("total_assets") + EPS)).alias("asset_efficiency"),
         (F.col("total_liabilities") / (F.col("total_assets") + EPS)).alias("debt_to_asset"),
-        F.when(F.pmod("upload_id", F.lit(3)) == 1, "u1").otherwise("u2").alias("user_id"))
-    cat = std.select("upload_id", "row_pos")  # category records without dates or labels
-    cat = cat.join(s.select("upload_id", "row_pos"), ["upload_id", "row_pos"]) \
-        .withColumns({"sector": F.lit("Unknown"), "category": F.lit("Unknown"),
-                      "risk_level": F.lit("Unknown")})
-    return s.join(cat, ["upload_id", "row_pos"]).select(
-        "date", "ticker", *MEASURES, "profit_margin", "operating_margin", "revenue_growth",
-        "net_income_growth", "asset_efficiency", "debt_to_asset", "user_id", "sector",
-        "category", "risk_level")
+        F.when(F.pmod("upload_id", F.lit(3)) == 1, "u1").otherwise("u2").alias("user_id"),
+        *[F.lit("Unknown").alias(c) for c in ("sector", "category", "risk_level")])
 
 
 def _training_sql() -> str:
@@ -235,10 +229,7 @@ select *, net_income / (revenue + 1e-9) * 100 as profit_margin,
   (net_income / nullif(lag(net_income) over w, 0) - 1) * 100 as net_income_growth,
   revenue / (total_assets + 1e-9) as asset_efficiency,
   total_liabilities / (total_assets + 1e-9) as debt_to_asset
-from (select f.ticker, f.date, f.revenue, f.net_income, p.operating_income, p.total_assets,
-        p.total_liabilities, p.operating_cashflow, f.source
-      from ({FALLBACK_BODY}) f
-      left join panel p on upper(f.ticker) = upper(p.ticker) and f.date = p.date) t
+from ({FALLBACK_BODY}) t
 where {req}
 window w as (partition by ticker order by date)""", MU, PU)
 
@@ -250,12 +241,7 @@ def training_data_q(spark, sf_dir):
     a missing required field removed)."""
     from ledgerline.plans.source_queries import source_fallback_q
     from ledgerline.sources.panel import engineer_features
-    base = source_fallback_q(spark, sf_dir)
-    p = panel(spark, sf_dir).select("ticker", "date", "operating_income", "total_assets",
-                                    "total_liabilities", "operating_cashflow")
-    d = base.join(p, [F.upper(base["ticker"]) == F.upper(p["ticker"]), base["date"] == p["date"]], "left") \
-        .select(base["ticker"], base["date"], "revenue", "net_income", "operating_income",
-                "total_assets", "total_liabilities", "operating_cashflow", "source")
+    d = source_fallback_q(spark, sf_dir)
     d = d.dropna(subset=["date", "ticker", "revenue", "net_income", "operating_income",
                          "total_assets", "total_liabilities", "operating_cashflow"])
     return engineer_features(d)

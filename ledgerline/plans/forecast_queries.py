@@ -78,7 +78,7 @@ MET = f"met as ({_met()})"
 
 REL = """
 champ as (select model, r2, mae, rmse,
-            row_number() over (order by r2 desc nulls last, mae asc, model) as rank from met),
+            row_number() over (order by r2 desc nulls last, mae asc, model) as rank from met where model <> 'NaiveLast'),
 nv as (select mae as naive_mae from met where model = 'NaiveLast'),
 rel as (
   select m.model as selected_model, m.r2, m.mae, m.test_size, m.residual_std,
@@ -298,6 +298,8 @@ fg0 as (
 @query("forecast_gap", fsql(f"""
 select ticker, date, net_income as current_net_income, {R('p')} as predicted_growth_rate,
   {R('t')} as target_growth_rate, {R('p - t')} as gap_vs_target,
+  {R('p')} as predicted_growth_rate_period_pct, {R('t')} as target_growth_rate_period_pct,
+  {R('p - t')} as gap_vs_target_period_pct,
   case when p - t >= 0 then 'surplus' else 'shortfall' end as gap_status,
   {R('p - 1.96 * (select sigma from bw)')} as confidence_lower_95,
   {R('p + 1.96 * (select sigma from bw)')} as confidence_upper_95,

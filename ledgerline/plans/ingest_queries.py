@@ -13,6 +13,7 @@ from ledgerline.plans import variant_sql as V
 from ledgerline.plans.registry import query
 from ledgerline.plans.sqlparts import R, XSUM, with_panel
 from ledgerline.sources import variants
+from ledgerline.sources.files import UPLOAD_COLS, upload_user
 from ledgerline.sources.panel import engineer_features, panel
 
 # ------------------------------------------------------------------ SQL parsers
@@ -101,18 +102,14 @@ def fill_ticker_q(spark, sf_dir):
 
 
 @query("fill_ticker_first", with_panel(f"""select upload_id, row_pos,
-  coalesce(t, first(t ignore nulls) over (partition by upload_id // 20 order by upload_id, row_pos
+  coalesce(t, first(t ignore nulls) over (partition by upload_id order by row_pos
            rows between unbounded preceding and unbounded following), 'UNKNOWN') as ticker
 from (select *, {sql_clean_ticker('"Symbol"')} as t from mu) x""", MU))
 def fill_ticker_first_q(spark, sf_dir):
-    """NULL ticker -> first valid ticker of its batch, else a parameter.
-    A batch is 20 consecutive uploads: bounded, and the number of batches
-    grows with the data (no hot window partition)."""
+    """NULL ticker -> first valid ticker of its upload, else a parameter."""
     m = messy(spark, sf_dir).select("upload_id", "row_pos",
                                     P.clean_ticker("Symbol").alias("ticker"))
-    m = m.withColumns({"batch": F.floor(F.col("upload_id") / 20).cast("int"),
-                       "ord": F.struct("upload_id", "row_pos")})
-    return ingest.fill_ticker_first(m, "batch", "ord", "UNKNOWN").select(
+    return ingest.fill_ticker_first(m, "upload_id", "row_pos", "UNKNOWN").select(
         "upload_id", "row_pos", "ticker")
 
 
@@ -133,7 +130,8 @@ NORM_OUT = ("upload_id", "row_pos", "ticker", "date", "revenue", "net_income", "
             "total_assets", "total_liabilities", "operating_cashflow")
 
 
-def normalized(spark, sf_dir):
+def normalized(spark, sf_dir, *extra):
+    """C13 over all uploads; ``extra`` columns of the upload are carried along."""
     m = messy(spark, sf_dir)
     d = ingest.alias_map(ingest.normalize_headers(m))
     d = ingest.fill_ticker(d, "__param__")
@@ -141,7 +139,7 @@ def normalized(spark, sf_dir):
                      .otherwise(F.col("ticker")))
     cols = {"date": P.parse_period_date("date")}
     cols.update({c: P.parse_money(c) for c in NORM_OUT[4:]})
-    return d.withColumns(cols).select(*NORM_OUT)
+    return d.withColumns(cols).select(*NORM_OUT, *extra)
 
 
 @query("normalize_raw", with_panel(f"select {_norm_cols_sql(True)} from mu", MU))
@@ -321,31 +319,25 @@ def duplicate_keys_q(spark, sf_dir):
 
 
 CANON = """
-canon as (select upload_id, ticker, user_id, sha256(string_agg(line, chr(10) order by row_pos)) as content_hash
+canon as (select upload_id, ticker, user_id,
+            sha256(cast(to_json(list(rec order by row_pos)) as varchar)) as content_hash
           from (select upload_id, row_pos, true_ticker as ticker,
                   case {u} when 0 then 'predefined' when 1 then 'u1' else 'u2' end as user_id,
-                  concat_ws('|', "Period", "Total Revenue", "Net Profit", "Operating Profit", "Total Assets",
-                            "Total Liabilities", "Cash From Operations") as line
+                  {{{fields}}} as rec
                 from mu) x
-          group by upload_id, ticker, user_id)""".format(u=V._pm("upload_id", 3))
+          group by upload_id, ticker, user_id)""".format(
+    u=V._pm("upload_id", 3), fields=", ".join(f"'{c}': \"{c}\"" for c in sorted(UPLOAD_COLS)))
 
 
 def canonical_hashes(spark, sf_dir):
-    m = messy(spark, sf_dir)
-    r = F.pmod("upload_id", F.lit(3))
-    m = m.select("upload_id", "row_pos", F.col("true_ticker").alias("ticker"),
-                 F.when(r == 0, "predefined").when(r == 1, "u1").otherwise("u2").alias("user_id"),
-                 F.concat_ws("|", "Period", "Total Revenue", "Net Profit", "Operating Profit",
-                             "Total Assets", "Total Liabilities", "Cash From Operations").alias("line"))
-    g = m.groupBy("upload_id", "ticker", "user_id").agg(
-        F.sort_array(F.collect_list(F.struct("row_pos", "line"))).alias("recs"))
-    return g.select("upload_id", "ticker", "user_id", F.sha2(
-        F.array_join(F.transform("recs", lambda x: x["line"]), "\n"), 256).alias("content_hash"))
+    m = messy(spark, sf_dir).withColumnRenamed("true_ticker", "ticker").withColumn("user_id", upload_user())
+    return tables.content_hash(m, ["upload_id", "ticker", "user_id"], "row_pos", UPLOAD_COLS)
 
 
 @query("content_hash", with_panel("select * from canon", MU, CANON))
 def content_hash_q(spark, sf_dir):
-    """SHA-256 fingerprint of each upload's canonical record text."""
+    """SHA-256 fingerprint of each upload's canonical JSON (keys sorted,
+    NULL fields kept, records in upload order)."""
     return canonical_hashes(spark, sf_dir)
 
 

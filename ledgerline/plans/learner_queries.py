@@ -1,6 +1,6 @@
-"""Learner, explanation and importance queries (M2-M5, M7, M12, M15-M19,
-W12, W19, C40, L4, L7, A29).  MLlib fits and the SVR solver are iterative, so
-most of these are rows-only checked; invariants are unit-tested."""
+"""Learner, explanation and importance queries (M2, M4, M5, M7, M12, M15-M19,
+W12, W19, C40, L4, L7, A29).  MLlib fits are iterative, so most of these are
+rows-only checked; invariants are unit-tested."""
 
 from __future__ import annotations
 
@@ -70,12 +70,6 @@ def rf_forecast_q(spark, sf_dir):
     return p
 
 
-@query("eps_regression_cv")
-def eps_regression_cv_q(spark, sf_dir):
-    """M3: per-ticker ε-SVR with 48-point grid and expanding-window CV."""
-    return svr_predictions(spark, sf_dir)
-
-
 def linear_model(spark, sf_dir):
     """Phase artifact: fitted linear model + its holdout predictions."""
     def build():
@@ -92,52 +86,80 @@ def rf_model(spark, sf_dir):
     return remember(spark, f"rf|{sf_dir}", build)
 
 
-def svr_predictions(spark, sf_dir):
-    """Phase artifact: per-ticker SVR predictions (checkpointed table)."""
+def candidate_forest(spark, sf_dir):
+    """Phase artifact: the champion's forest candidate (300 trees)."""
     def build():
         _, _, _, _, sp = setup(spark, sf_dir)
-        return L.eps_regression_cv(sp, FEATS)
-    return remember(spark, f"svr|{sf_dir}", build)
+        return L.rf_forecast(sp, FEATS, L.RF_CANDIDATE)
+    return remember(spark, f"rf300|{sf_dir}", build)
 
 
 def all_predictions(spark, sf_dir):
-    """Holdout predictions of every candidate (checkpointed once)."""
+    """Holdout predictions of every benchmark model (checkpointed once)."""
     def build():
         _, _, _, _, sp = setup(spark, sf_dir)
         lin, _ = linear_model(spark, sf_dir)
         rf, _ = rf_model(spark, sf_dir)
-        svr = svr_predictions(spark, sf_dir).filter(F.col("split") == "test").select(
-            F.lit("SVR").alias("model"), "ticker", "date", "actual", "predicted")
-        return fc.predictions(sp).unionByName(lin).unionByName(rf).unionByName(svr)
+        return fc.predictions(sp).unionByName(lin).unionByName(rf)
     return remember(spark, f"allpred|{sf_dir}", build)
 
 
 @query("benchmark_table")
 def benchmark_table_q(spark, sf_dir):
-    """M7: metrics of NaiveLast / NaiveMean / LinearTrend / Linear / RF / SVR."""
+    """M7: metrics of NaiveLast / NaiveMean / LinearTrend / Linear / RF."""
     return fc.regression_metrics(all_predictions(spark, sf_dir))
 
 
 @query("ensemble_avg")
 def ensemble_avg_q(spark, sf_dir):
-    """Average of the linear and SVR predictions as an extra benchmark row."""
-    p = all_predictions(spark, sf_dir).filter(F.col("model").isin("LinearRegression", "SVR"))
+    """Average of the linear and forest predictions as an extra benchmark row."""
+    p = all_predictions(spark, sf_dir).filter(F.col("model").isin("LinearRegression", "RandomForest"))
     e = p.groupBy("ticker", "date").agg(F.first("actual").alias("actual"),
                                        F.avg("predicted").alias("predicted"))
-    return fc.regression_metrics(e.withColumn("model", F.lit("LinearSVRAverage")))
+    return fc.regression_metrics(e.withColumn("model", F.lit("LinearForestAverage")))
+
+
+def trained_metrics(sp, linear, forest):
+    """Holdout metrics of the trained candidates, NaiveMean and the NaiveLast benchmark."""
+    naive = fc.naive_last(sp).unionByName(fc.naive_mean(sp))
+    return fc.one_row_each(fc.regression_metrics(naive.unionByName(linear).unionByName(forest)))
+
+
+def trained_future(std, sp, linear_model, forest_model):
+    """Predictions of a named candidate for every ticker's future row."""
+    def predict(model):
+        if model == "NaiveMean":
+            return fc.model_future_predictions(sp, std.select("ticker").distinct(), model)
+        future = fc.future_rows(std, FEATS).withColumn("split", F.lit("future"))
+        if model == "LinearRegression":
+            rows = L.standardized_split(future, FEATS, L.train_moments(sp, FEATS))
+            return linear_model.transform(L.assemble(rows.dropna(subset=FEATS), FEATS)).select(
+                "ticker", F.col("prediction").alias("pred"))
+        return forest_model.transform(L.assemble(future.dropna(subset=FEATS), FEATS)).select(
+            "ticker", F.col("prediction").alias("pred"))
+    return predict
+
+
+def trained_forecast(spark, sf_dir):
+    """Phase artifact: forecast rows and metrics under the trained champion."""
+    def build():
+        std, ppy, h, eff, sp = setup(spark, sf_dir)
+        (lin, lin_m), (rf, rf_m) = linear_model(spark, sf_dir), candidate_forest(spark, sf_dir)
+        met = trained_metrics(sp, lin, rf)
+        pri = fc.merge_priors(fc.recent_prior(sp), fc.level_prior(std, h))
+        out = fc.forecast_gap(std, sp, met, pri, eff, h=h, future=trained_future(std, sp, lin_m, rf_m))
+        return out.checkpoint(eager=True), met
+    from ledgerline.session import shared_dir
+    shared_dir(spark)
+    return remember(spark, f"trained|{sf_dir}", build)
 
 
 @query("forecast_all")
 def forecast_all_q(spark, sf_dir):
-    """Champion over all candidates, reliability, and per-ticker
-    forecast with the blended prior (deterministic champion path)."""
-    std, ppy, h, eff, sp = setup(spark, sf_dir)
-    met = fc.regression_metrics(all_predictions(spark, sf_dir))
-    ranking = fc.champion(met)
-    pri = fc.merge_priors(fc.recent_prior(sp), fc.level_prior(std, h))
-    det = met.filter(F.col("model").isin("NaiveLast", "NaiveMean", "LinearTrend"))
-    out = fc.forecast_gap(std, sp, det, pri, eff, h=h)
-    best = ranking.filter(F.col("rank") == 1).select("model").first()["model"]
+    """The champion of LinearRegression, RandomForest and NaiveMean, its
+    reliability, and every ticker's forecast by it, blended with the prior."""
+    out, met = trained_forecast(spark, sf_dir)
+    best = fc.champion(met).filter(F.col("rank") == 1).select("model").first()["model"]
     return out.withColumn("overall_champion", F.lit(best))
 
 
@@ -197,24 +219,25 @@ def shapley_linear_q(spark, sf_dir):
     return _linear_shap(spark, sf_dir)
 
 
+def _forest_shap(spark, sf_dir):
+    """Phase artifact: sampled attributions of every future row."""
+    def build():
+        std, _, _, _, sp = setup(spark, sf_dir)
+        _, m = rf_model(spark, sf_dir)
+        return L.shapley_sampled(m, sp.filter(F.col("split") == "train"), fc.future_rows(std, FEATS), FEATS)
+    return remember(spark, f"rfshap|{sf_dir}", build)
+
+
 @query("shapley_sampled")
 def shapley_sampled_q(spark, sf_dir):
     """M15 (sampled, forest): permutation Shapley values of every future row."""
-    std, _, _, _, sp = setup(spark, sf_dir)
-    _, m = rf_model(spark, sf_dir)
-    fut = fc.future_rows(std, FEATS)
-    return L.shapley_sampled(m, sp.filter(F.col("split") == "train"), fut, FEATS)
+    return _forest_shap(spark, sf_dir)
 
 
 @query("shap_global")
 def shap_global_q(spark, sf_dir):
-    """Mean |φ| per feature over a seeded sample of 30 training rows."""
-    std, _, _, _, sp = setup(spark, sf_dir)
-    _, m = rf_model(spark, sf_dir)
-    train = sp.filter(F.col("split") == "train")
-    rows = train.withColumn("ticker", F.concat_ws("|", "ticker", F.col("date").cast("string")))
-    phi = L.shapley_sampled(m, train, rows, FEATS, n_eval=30)
-    return L.shap_global(phi)
+    """Mean |φ| per feature over all explained rows."""
+    return L.shap_global(_forest_shap(spark, sf_dir))
 
 
 @query("shap_local")
@@ -249,34 +272,38 @@ def basic_importance_q(spark, sf_dir):
 
 @query("upload_analysis")
 def upload_analysis_q(spark, sf_dir):
-    """Upload -> normalise -> validate -> train (SVR per ticker) or,
-    where validation fails, the basic forecast fallback — chosen per ticker by
-    a data predicate, not by an exception."""
+    """Upload -> normalise -> validate -> train on all valid uploads,
+    forecast and explain each or, where validation fails, the basic forecast
+    fallback — chosen per ticker by a data predicate, not by an exception."""
+    from ledgerline.functions.parsing import clean_ticker
     from ledgerline.operators import validate
     from ledgerline.plans.ingest_queries import normalized
-    from ledgerline.sources.panel import engineer_features
-    from ledgerline.functions.parsing import clean_ticker
-    from ledgerline.sources import variants
-    from ledgerline.sources.panel import panel
-    own = variants.messy_upload(panel(spark, sf_dir)).select("upload_id", "row_pos", "true_ticker")
-    up = normalized(spark, sf_dir).join(own, ["upload_id", "row_pos"]) \
-        .withColumn("ticker", F.coalesce(clean_ticker("ticker"), F.upper("true_ticker")))
-    up = up.select("ticker", "date", "revenue", "net_income",
-                                          "operating_income", "total_assets", "total_liabilities",
-                                          "operating_cashflow")
+    from ledgerline.session import shared_dir
+    from ledgerline.sources.panel import MEASURES, engineer_features
+    up = normalized(spark, sf_dir, "true_ticker").select(
+        F.coalesce(clean_ticker("ticker"), F.upper("true_ticker")).alias("ticker"), "date", *MEASURES)
     up = up.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
     # the validated upload table is a stored artifact (read by three branches)
-    from ledgerline.session import shared_dir
     shared_dir(spark)
     eng = engineer_features(up).checkpoint()
     issues = validate.validate_features(eng)
     bad = issues.filter(F.col("severity") == "CRITICAL").select(F.col("batch").alias("ticker")).distinct()
-    good = eng.join(bad, "ticker", "left_anti")
-    sup = fc.time_split(fc.supervised_set(good, 1))
-    svr = L.eps_regression_cv(sup, FEATS).groupBy("ticker").agg(
-        F.first("kernel").alias("kernel"), F.first("cv_mae_mean").alias("cv_mae_mean"),
-        F.count(F.lit(1)).alias("rows"))
+    good = eng.join(bad, "ticker", "left_anti").checkpoint()
+    sp = fc.time_split(fc.supervised_set(good, 1)).checkpoint()
+    lin, lin_m = L.linear_forecast(sp, FEATS)
+    rf, rf_m = L.rf_forecast(sp, FEATS, L.RF_CANDIDATE)
+    met = trained_metrics(sp, lin, rf)
+    pri = fc.merge_priors(fc.recent_prior(sp), fc.level_prior(good, 1))
+    ppy = fc.base_periods_per_year(good)
+    h = fc.horizon_py(ppy)
+    fg = fc.forecast_gap(good, sp, met, pri, max(1.0, ppy / max(1, h)), h=h,
+                         future=trained_future(good, sp, lin_m, rf_m))
+    drivers = L.shap_local(L.shapley_linear(lin_m, sp, fc.future_rows(good, FEATS).dropna(subset=FEATS), FEATS), 3) \
+        .groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("rank", "feature"))).alias("d")) \
+        .select("ticker", F.expr("transform(d, x -> x.feature)").alias("top_drivers"))
+    path = fg.join(drivers, "ticker", "left").select(
+        "ticker", F.lit("model").alias("path"), "selected_model", "predicted_growth_rate",
+        "model_reliability", "top_drivers")
     fb = fc.basic_forecast(eng.join(bad, "ticker", "left_semi")) \
         .select("ticker", F.lit("basic_forecast").alias("path"), "predicted_growth_rate")
-    return svr.select("ticker", F.lit("svr").alias("path"), "kernel", "cv_mae_mean", "rows") \
-        .unionByName(fb, allowMissingColumns=True)
+    return path.unionByName(fb, allowMissingColumns=True)

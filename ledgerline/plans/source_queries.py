@@ -13,53 +13,69 @@ from ledgerline.plans import variant_sql as V
 from ledgerline.plans.ingest_queries import MU, PU, sql_money, sql_period
 from ledgerline.plans.registry import query
 from ledgerline.plans.sqlparts import with_panel
+from ledgerline.session import job_folder
 from ledgerline.sources import files, variants
 from ledgerline.sources.panel import panel
 from ledgerline.sources.tables import read_table
+from ledgerline.streaming.ingest import MEASURE_SOURCES, run_upload_stream
 
 
 def uploads_root(spark, sf_dir):
     return files.land_uploads(spark, sf_dir)
 
 
-@query("scan_csv")
+REC_SQL = '''upload_id, row_pos, upper(true_ticker) as upload_ticker, "Symbol", "Period", "Total Revenue",
+  "Net Profit", "Operating Profit", "Total Assets", "Total Liabilities", "Cash From Operations"'''
+CSV_SQL = REC_SQL.replace('"Symbol"', """nullif("Symbol", '') as "Symbol\"""")  # an empty field of a CSV file
+TYPE_SQL = "case upload_id % 2 when 0 then 'csv' else 'json' end"
+
+
+@query("scan_csv", with_panel(f"select {CSV_SQL} from mu where upload_id % 2 = 0", MU))
 def scan_csv_q(spark, sf_dir):
     """Header CSV uploads read as text."""
-    return files.scan_csv(spark, os.path.join(uploads_root(spark, sf_dir), "csv"))
+    return files.scan_csv(spark, os.path.join(uploads_root(spark, sf_dir), "csv")).select(*files.RECORD_COLS)
 
 
-@query("scan_json")
+@query("scan_json", with_panel(
+    f"select {REC_SQL} from mu where upload_id % 2 = 1 and (upload_id // 2) % 3 = 0", MU))
 def scan_json_q(spark, sf_dir):
-    """JSON array-of-records uploads (multi-line documents)."""
-    return files.scan_json(spark, os.path.join(uploads_root(spark, sf_dir), "json"))
+    """JSON array-of-records uploads."""
+    return files.scan_json(spark, os.path.join(uploads_root(spark, sf_dir), "json", "array")) \
+        .select(*files.RECORD_COLS)
 
 
-@query("scan_json_flex")
+@query("scan_json_flex", with_panel(f"select {REC_SQL} from mu where upload_id % 2 = 1", MU))
 def scan_json_flex_q(spark, sf_dir):
     """S3: shape-tolerant JSON uploads (array / object with a list member /
     single record) through VARIANT."""
-    return files.scan_json_flex(spark, os.path.join(uploads_root(spark, sf_dir), "json"))
+    return files.scan_json_flex(spark, os.path.join(uploads_root(spark, sf_dir), "json")) \
+        .select(*files.RECORD_COLS)
 
 
-@query("ingest_dispatch")
+@query("ingest_dispatch", with_panel(f"""select {CSV_SQL}, 'csv' as source_type from mu where upload_id % 2 = 0
+union all select {REC_SQL}, 'json' from mu where upload_id % 2 = 1""", MU))
 def ingest_dispatch_q(spark, sf_dir):
     """Reader chosen by source type over all landed uploads."""
     return files.ingest_dispatch(spark, uploads_root(spark, sf_dir))
 
 
-@query("upload_envelope")
+ENVELOPE_SQL = f"""select 'upload_' || upload_id || '.' || {TYPE_SQL} as source_name,
+  arg_min(upper(trim("Symbol")), row_pos) filter (trim("Symbol") <> '') as ticker,
+  count(*) as record_count, upload_id
+from mu group by upload_id"""
+
+
+@query("upload_envelope", with_panel(ENVELOPE_SQL, MU))
 def upload_envelope_q(spark, sf_dir):
-    """Per uploaded file: name, ticker, record count."""
+    """Per upload: name, ticker, record count."""
     return files.upload_envelope(files.ingest_dispatch(spark, uploads_root(spark, sf_dir)))
 
 
-@query("upload_listing")
+@query("upload_listing", with_panel(f"select * from ({ENVELOPE_SQL}) e where upload_id % 3 = 1", MU))
 def upload_listing_q(spark, sf_dir):
     """A user's uploads (u1): file, ticker, records, newest first."""
     env = files.upload_envelope(files.ingest_dispatch(spark, uploads_root(spark, sf_dir)))
-    mine = env.filter(F.pmod("upload_id", F.lit(3)) == 1)
-    return mine.select("source_name", "ticker", "record_count", "upload_id") \
-        .orderBy(F.col("upload_id").desc())
+    return env.filter(files.upload_user() == "u1").orderBy(F.col("upload_id").desc())
 
 
 def _best_candidate_sql() -> str:
@@ -69,12 +85,7 @@ def _best_candidate_sql() -> str:
     stmt = "\n    union all ".join(
         f"select upload_id, 0 as cand, '{c}' as col, \"{c}\" as val from recs" for c in cols)
     return with_panel(f"""
-, recs as (
-  select * from mu where upload_id % 2 = 0 or (upload_id // 2) % 3 in (0, 1)
-  union all
-  select m.* from mu m
-  where m.upload_id % 2 = 1 and (m.upload_id // 2) % 3 = 2
-    and m.row_pos = (select max(row_pos) from mu m2 where m2.upload_id = m.upload_id)),
+, recs as (select * from mu),
 cells as (
     {stmt}
     union all select upload_id, 1, 'note', concat_ws(' ', "Symbol", "Period") from recs
@@ -98,8 +109,7 @@ def best_candidate_table_q(spark, sf_dir):
     """S14 (re-aimed): among candidate tables of a workbook — the statement
     table, a notes table and a two-column summary — pick the one with most
     numeric columns (first on ties).  Numeric = every non-empty value parses."""
-    recs = files.ingest_dispatch(spark, uploads_root(spark, sf_dir)) \
-        .withColumn("upload_id", files.upload_id_of())
+    recs = files.ingest_dispatch(spark, uploads_root(spark, sf_dir))
     statement = recs.select("upload_id", F.lit(0).alias("cand"),
                             F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").alias("val"))
                                                 for c in files.UPLOAD_COLS])).alias("cv"))
@@ -184,10 +194,13 @@ def common_dates_q(spark, sf_dir):
 
 FALLBACK_BODY = f"""
 select upper(true_ticker) as ticker, {sql_period('"Period"')} as date, {sql_money('"Total Revenue"')} as revenue,
-  {sql_money('"Net Profit"')} as net_income, 'raw_upload' as source
+  {sql_money('"Net Profit"')} as net_income, {sql_money('"Operating Profit"')} as operating_income,
+  {sql_money('"Total Assets"')} as total_assets, {sql_money('"Total Liabilities"')} as total_liabilities,
+  {sql_money('"Cash From Operations"')} as operating_cashflow, 'raw_upload' as source
 from mu where upload_id % 3 = 1
 union all
-select ticker, date, revenue, net_income, 'standard_table' from pu
+select ticker, date, revenue, net_income, operating_income, total_assets, total_liabilities, operating_cashflow,
+  'standard_table' from pu
 where (user_id = 'u1' or user_id = 'predefined')
   and upper(ticker) not in (select distinct upper(true_ticker) from mu where upload_id % 3 = 1)"""
 
@@ -196,15 +209,15 @@ where (user_id = 'u1' or user_id = 'predefined')
 def source_fallback_q(spark, sf_dir):
     """A user's raw upload when one exists for the ticker, else the
     user-scoped standard panel, tagged with the source."""
-    m = variants.messy_upload(panel(spark, sf_dir)).filter(F.pmod("upload_id", F.lit(3)) == 1)
+    m = variants.messy_upload(panel(spark, sf_dir)).filter(files.upload_user() == "u1")
     raw = m.select(F.upper("true_ticker").alias("ticker"), P.parse_period_date("Period").alias("date"),
-                   P.parse_money("Total Revenue").alias("revenue"),
-                   P.parse_money("Net Profit").alias("net_income"), F.lit("raw_upload").alias("source"))
+                   *[P.parse_money(src).alias(dst) for dst, src in MEASURE_SOURCES.items()],
+                   F.lit("raw_upload").alias("source"))
     keys = raw.select(F.col("ticker").alias("_t")).distinct()
     std = variants.with_users(panel(spark, sf_dir))
     std = std.filter(F.col("user_id").isin("u1", "predefined"))
     std = std.join(keys, F.upper(std["ticker"]) == keys["_t"], "left_anti") \
-        .select("ticker", "date", "revenue", "net_income", F.lit("standard_table").alias("source"))
+        .select("ticker", "date", *MEASURE_SOURCES, F.lit("standard_table").alias("source"))
     return raw.unionByName(std)
 
 
@@ -268,25 +281,21 @@ def ascii_safe_q(spark, sf_dir):
 
 def _stream_sql() -> str:
     from ledgerline.plans.ingest_queries import sql_clean_ticker
-    meas = {"revenue": "Total Revenue", "net_income": "Net Profit",
-            "operating_income": "Operating Profit", "total_assets": "Total Assets",
-            "total_liabilities": "Total Liabilities", "operating_cashflow": "Cash From Operations"}
-    cols = ", ".join(f"{sql_money(chr(34) + src + chr(34))} as {dst}" for dst, src in meas.items())
+    cols = ", ".join(f"{sql_money(chr(34) + src + chr(34))} as {dst}" for dst, src in MEASURE_SOURCES.items())
     return with_panel(f"""
-select ticker, date, {", ".join(meas)}, user_id, load_seq from (
+select ticker, date, {", ".join(MEASURE_SOURCES)}, user_id, load_seq from (
   select *, row_number() over (partition by ticker, date, user_id order by load_seq desc) as rn from (
-    select {sql_clean_ticker('"Symbol"')} as ticker, {sql_period('"Period"')} as date, {cols},
+    select coalesce({sql_clean_ticker('"Symbol"')}, upper(true_ticker)) as ticker, {sql_period('"Period"')} as date, {cols},
       case upload_id % 3 when 0 then 'predefined' when 1 then 'u1' else 'u2' end as user_id,
       cast(upload_id as bigint) as load_seq
-    from mu where upload_id % 2 = 0) x
+    from mu) x
   where ticker is not null and date is not null) y
 where rn = 1""", MU)
 
 
 @query("stream_ingest", _stream_sql())
 def stream_ingest_q(spark, sf_dir):
-    """Incremental upload ingest: Structured Streaming over the landed CSV
-    uploads -> normalise -> keep-last upsert per (ticker, date, user)."""
-    from ledgerline.streaming.ingest import run_upload_stream
-    return run_upload_stream(spark, os.path.join(uploads_root(spark, sf_dir), "csv"),
-                             name=f"stream_{abs(hash(sf_dir)) % 10**8}")
+    """Incremental upload ingest: Structured Streaming over all landed uploads
+    -> normalise -> append -> keep-last per (ticker, date, user) on read."""
+    root = uploads_root(spark, sf_dir)
+    return run_upload_stream(spark, root, job_folder(spark, "stream_" + os.path.basename(root)))

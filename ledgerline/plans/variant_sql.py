@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerline.sources.panel import MEASURES
 
-TN = "cast(right(ticker, 4) as integer)"
+TN = "cast(right(ticker, 9) as bigint)"
 QN = "(year(date) * 4 + quarter(date))"
 
 

@@ -2,16 +2,18 @@
 S14, K1, K6).
 
 Uploads are derived by Spark from the panel and landed once per application
-in the shared folder (``spark.checkpoint.dir``), one directory per upload, in
-three formats: CSV with a header, a JSON array of records, and
-shape-varying JSON (array / object holding the records in its first list
-member / a single record).  Readers then work on those files exactly as on
-user uploads.  Statement payloads are JSON documents per (symbol, statement)
-with ``annualReports`` and ``quarterlyReports`` arrays of string-typed values.
+in the shared folder (``spark.checkpoint.dir``), many uploads per file.  CSV
+files have a header and one record per line.  JSON files hold one document
+per line, in three shapes: an array with all records of an upload, an object
+with the records in its first list member, or one object per record.  Every
+record carries its upload's id and ticker, so no reader depends on paths.
+Statement payloads are JSON documents per (symbol, statement) with
+``annualReports`` and ``quarterlyReports`` arrays of string-typed values.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,91 +22,103 @@ from pyspark.sql import functions as F
 from ledgerline.session import job_folder
 from ledgerline.sources import variants
 from ledgerline.sources.panel import panel
+from ledgerline.sources.tables import data_version
 
 UPLOAD_COLS = ("Symbol", "Period", "Total Revenue", "Net Profit", "Operating Profit",
                "Total Assets", "Total Liabilities", "Cash From Operations")
+ENVELOPE_COLS = ("upload_id", "row_pos", "upload_ticker")
+RECORD_COLS = ENVELOPE_COLS + UPLOAD_COLS
+JSON_SHAPES = ("array", "object", "record")
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[str, str, str], str] = {}
 
 
-def guarded_uploads(uploads: DataFrame) -> DataFrame:
-    """K6: uploads need a real user and at least one record; the stored
-    ticker is upper-cased."""
-    counts = uploads.groupBy("upload_id").agg(F.count(F.lit(1)).alias("_n"))
-    u = uploads.join(counts, "upload_id").filter(
-        (F.col("_n") > 0) & F.col("user_id").isNotNull() & (F.col("user_id") != "")
-        & (F.col("user_id") != "anonymous")).drop("_n")
-    return u.withColumn("upload_ticker", F.upper(F.col("true_ticker")))
+def upload_user(c: str = "upload_id") -> Column:
+    r = F.pmod(F.col(c), F.lit(3))
+    return F.when(r == 0, "predefined").when(r == 1, "u1").otherwise("u2")
+
+
+def guarded_uploads(records: DataFrame) -> DataFrame:
+    """K6: records of uploads by a real user (an upload without records has no
+    rows here); the stored ticker is upper-cased."""
+    user = F.col("user_id")
+    return records.filter(user.isNotNull() & ~user.isin("", "anonymous")) \
+        .withColumn("upload_ticker", F.upper(F.col("true_ticker")))
 
 
 def land_uploads(spark: SparkSession, sf_dir: str) -> str:
-    """K1: write the uploads (per upload directory) as csv / json / flex json.
-    Returns the root folder.  Written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """K1: write the uploads as csv (even ids) and json (odd ids, one of the
+    three shapes).  Returns the root folder.  Written once per application
+    and version of the data."""
+    key = (spark.sparkContext.applicationId, sf_dir, data_version(spark, sf_dir))
     if key in _LANDED:
         return _LANDED[key]
-    root = job_folder(spark, f"uploads_{abs(hash(sf_dir)) % 10**8}")
-    m = variants.messy_upload(panel(spark, sf_dir))
-    r = F.pmod(F.col("upload_id"), F.lit(3))
-    m = m.withColumn("user_id", F.when(r == 0, "predefined").when(r == 1, "u1").otherwise("u2"))
-    m = guarded_uploads(m)
-    fmt = F.pmod(F.col("upload_id"), F.lit(2))
-    # CSV uploads (even ids): header + string values, one directory per upload.
-    (m.filter(fmt == 0).select("upload_id", *UPLOAD_COLS)
-       .repartition("upload_id").sortWithinPartitions("upload_id", "Period")
-       .write.mode("overwrite").partitionBy("upload_id").option("header", True)
-       .csv(os.path.join(root, "csv")))
-    # JSON uploads (odd ids): the records of one upload are one JSON document
-    # (an upload is a single file by definition).
-    rec = F.struct(*[F.col(c) for c in UPLOAD_COLS])
-    docs = (m.filter(fmt == 1).groupBy("upload_id")
-             .agg(F.sort_array(F.collect_list(F.struct("row_pos", rec.alias("r")))).alias("rs"))
-             .select("upload_id", F.transform("rs", lambda x: x["r"]).alias("records")))
-    shape = F.pmod(F.floor(F.col("upload_id") / 2), F.lit(3))
-    text = (F.when(shape == 0, F.to_json("records"))
-            .when(shape == 1, F.to_json(F.struct(F.lit("statement").alias("kind"),
-                                                 F.col("records").alias("data"))))
-            .otherwise(F.to_json(F.element_at("records", -1))))
-    (docs.select("upload_id", text.alias("value")).repartition("upload_id")
-         .write.mode("overwrite").partitionBy("upload_id").text(os.path.join(root, "json")))
+    root = job_folder(spark, "uploads_" + hashlib.sha1("|".join(key).encode()).hexdigest()[:12])
+    m = variants.messy_upload(panel(spark, sf_dir)).withColumn("user_id", upload_user())
+    m = guarded_uploads(m).select(*RECORD_COLS, F.pmod("upload_id", F.lit(2)).alias("fmt"),
+                                  F.pmod(F.floor(F.col("upload_id") / 2), F.lit(3)).alias("shape"))
+    (m.filter("fmt = 0").select(*RECORD_COLS)
+       .repartitionByRange("upload_id", "row_pos").sortWithinPartitions("upload_id", "row_pos")
+       .write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(os.path.join(root, "csv")))
+    odd = m.filter("fmt = 1")
+    rec = F.struct(*[F.col(c) for c in RECORD_COLS])
+    # an array or an object holds its whole upload by definition
+    docs = (odd.filter("shape < 2").groupBy("upload_id", "shape")
+            .agg(F.sort_array(F.collect_list(F.struct("row_pos", rec.alias("r")))).alias("rs"))
+            .select("shape", F.transform("rs", lambda x: x["r"]).alias("records")))
+    whole = docs.select("shape", F.when(F.col("shape") == 0, F.to_json("records")).otherwise(
+        F.to_json(F.struct(F.lit("statement").alias("kind"), F.col("records").alias("data")))).alias("value"))
+    single = odd.filter("shape = 2").select("shape", F.to_json(rec).alias("value"))
+    for k, name in enumerate(JSON_SHAPES):
+        (whole.union(single).filter(F.col("shape") == k).select("value")
+         .write.mode("overwrite").text(os.path.join(root, "json", name)))
     _LANDED[key] = root
     return root
 
 
+_RECORD_SCHEMA = ", ".join(f"`{c}` string" for c in RECORD_COLS)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in ("upload_id", "row_pos")})
+
+
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV, every value as text (PERMISSIVE), file path kept."""
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-            .withColumn("source_file", F.col("_metadata.file_path")))
+    """Header CSV, every value as text (PERMISSIVE), an empty field is NULL,
+    file path kept."""
+    raw = spark.read.schema(_RECORD_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return _typed(raw).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array-of-records files (multi-line documents)."""
-    schema = ", ".join(f"`{c}` string" for c in UPLOAD_COLS)
-    return (spark.read.schema(schema).option("multiLine", True).json(path)
-            .withColumn("source_file", F.col("_metadata.file_path")))
+    """JSON arrays of records.  A document that is no array of records
+    has no row here but one in ``_corrupt_record``, so nothing is all NULL."""
+    raw = spark.read.schema(_RECORD_SCHEMA + ", _corrupt_record string").json(path)
+    return _typed(raw).withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def flex_records(lines: DataFrame) -> DataFrame:
+    """S3: JSON documents (``value``) of any shape -> their records: an array's
+    elements, the elements of an object's first list-valued member, or the
+    object itself.  One expression per document, so it also runs on a stream."""
+    v = F.try_parse_json("value")
+    docs = lines.select(*[c for c in lines.columns if c != "value"], v.alias("v"))
+    kind = F.schema_of_variant("v")
+    members = F.map_entries(F.variant_get("v", "$", "map<string,variant>"))
+    lists = F.filter(members, lambda kv: F.schema_of_variant(kv["value"]).startswith("ARRAY"))
+    elements = F.when(kind.startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")) \
+        .when(kind.startswith("OBJECT"), F.coalesce(
+            F.variant_get(F.get(lists, F.lit(0))["value"], "$", "array<variant>"), F.array("v")))
+    recs = docs.select(*[c for c in docs.columns if c != "v"], F.explode(elements).alias("rec"))
+    return _typed(recs.select(*[c for c in recs.columns if c != "rec"], *[
+        F.variant_get("rec", f"$['{c}']", "string").alias(c) for c in RECORD_COLS]))
 
 
 def scan_json_flex(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one VARIANT per file; an array -> its elements; an object -> the
-    elements of its first list-valued member; otherwise the object itself as
-    one row.  Each file is one task (files are uploads)."""
-    raw = spark.read.option("wholetext", True).text(path) \
-        .select(F.col("_metadata.file_path").alias("source_file"),
-                F.try_parse_json("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    arr = raw.filter(kind.startswith("ARRAY")).select(
-        "source_file", F.explode(F.variant_get("v", "$", "array<variant>")).alias("rec"))
-    objs = raw.filter(kind.startswith("OBJECT"))
-    members = objs.select("source_file", "v", F.posexplode(
-        F.map_entries(F.variant_get("v", "$", "map<string,variant>"))).alias("pos", "kv"))
-    lists = members.filter(F.schema_of_variant(F.col("kv.value")).startswith("ARRAY")) \
-        .groupBy("source_file").agg(F.min_by("kv.value", "pos").alias("lst"))
-    from_obj = lists.select("source_file", F.explode(
-        F.variant_get("lst", "$", "array<variant>")).alias("rec"))
-    single = objs.join(lists, "source_file", "left_anti").select("source_file", F.col("v").alias("rec"))
-    recs = arr.unionByName(from_obj).unionByName(single)
-    return recs.select("source_file", *[F.variant_get("rec", f"$['{c}']", "string").alias(c)
-                                        for c in UPLOAD_COLS])
+    """S3: shape-tolerant JSON documents, one per line."""
+    lines = spark.read.text([os.path.join(path, s) for s in JSON_SHAPES])
+    return flex_records(lines.select("value", F.col("_metadata.file_path").alias("source_file")))
 
 
 READERS = {"csv": scan_csv, "json": scan_json_flex}
@@ -116,24 +130,21 @@ def ingest_dispatch(spark: SparkSession, root: str, kinds=("csv", "json")) -> Da
     for k in kinds:
         if k not in READERS:
             raise ValueError(f"Unsupported source type: {k}")
-        df = READERS[k](spark, os.path.join(root, k)).select("source_file", *UPLOAD_COLS) \
+        df = READERS[k](spark, os.path.join(root, k)).select(*RECORD_COLS) \
             .withColumn("source_type", F.lit(k))
         out = df if out is None else out.unionByName(df)
     return out
 
 
-def upload_id_of(path_col: str = "source_file") -> Column:
-    return F.regexp_extract(F.col(path_col), r"upload_id=(\d+)", 1).cast("int")
-
-
 def upload_envelope(records: DataFrame) -> DataFrame:
-    """Per source file: name, ticker (upper-cased first symbol), record
-    count."""
-    return records.groupBy("source_file").agg(
+    """Per upload: name, ticker (upper-cased first symbol in upload
+    order), record count."""
+    symbol = F.upper(F.trim("Symbol"))
+    return records.groupBy("upload_id", "source_type").agg(
         F.count(F.lit(1)).alias("record_count"),
-        F.upper(F.first(F.trim("Symbol"), ignorenulls=True)).alias("ticker")) \
-        .withColumn("source_name", F.regexp_extract("source_file", r"([^/]+)$", 1)) \
-        .withColumn("upload_id", upload_id_of())
+        F.min_by(symbol, F.when(symbol != "", F.col("row_pos"))).alias("ticker")) \
+        .select(F.concat(F.lit("upload_"), "upload_id", F.lit("."), "source_type").alias("source_name"),
+                "ticker", "record_count", "upload_id")
 
 
 # ------------------------------------------------------------- statements
@@ -168,10 +179,10 @@ def statement_values(p: DataFrame) -> DataFrame:
 
 def land_statements(spark: SparkSession, sf_dir: str) -> str:
     """K1: one JSON payload per (symbol, statement)."""
-    key = (spark.sparkContext.applicationId, "stmt:" + sf_dir)
+    key = (spark.sparkContext.applicationId, "statements:" + sf_dir, data_version(spark, sf_dir))
     if key in _LANDED:
         return _LANDED[key]
-    root = job_folder(spark, f"statements_{abs(hash(sf_dir)) % 10**8}")
+    root = job_folder(spark, "statements_" + hashlib.sha1("|".join(key).encode()).hexdigest()[:12])
     v = statement_values(panel(spark, sf_dir))
     outs = []
     for fn, fields in STATEMENTS.items():

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ledgerline.session import job_folder
-from ledgerline.sources.tables import read_table
+from ledgerline.sources.tables import data_version, read_table
 
 MEASURES = ("revenue", "operating_income", "net_income", "total_assets",
             "total_liabilities", "operating_cashflow")
@@ -121,7 +121,7 @@ def engineer_features(df: DataFrame, key: str = "ticker") -> DataFrame:
     )
 
 
-_MEMO: dict[tuple[str, str, str], str] = {}
+_MEMO: dict[tuple[str, str, str, str], str] = {}
 
 
 def _materialize(spark: SparkSession, key: str, sf_dir: str, build) -> DataFrame:
@@ -129,10 +129,10 @@ def _materialize(spark: SparkSession, key: str, sf_dir: str, build) -> DataFrame
     folder; later reads are co-partitioned by ticker, so per-ticker windows,
     aggregates and ticker joins run without another exchange."""
     app = spark.sparkContext.applicationId
-    memo_key = (app, key, sf_dir)
+    memo_key = (app, key, sf_dir, data_version(spark, sf_dir))
     name = _MEMO.get(memo_key)
     if name is None or not spark.catalog.tableExists(name):
-        digest = hashlib.sha1(f"{key}|{sf_dir}".encode()).hexdigest()[:12]
+        digest = hashlib.sha1("|".join(memo_key[1:]).encode()).hexdigest()[:12]
         name = f"ledgerline_{key}_{digest}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         # Hash-partition by the bucket column first: one file per bucket per

@@ -2,7 +2,7 @@
 
 The base panel has no NULLs, zero bases, duplicate keys, user scopes or messy
 strings, so every variant is derived by Spark from the panel with rules on
-the ticker number (last four characters of the ticker) and the quarter
+the ticker number (the nine digits that end the ticker) and the quarter
 number — never engine hashes, so the SQL oracle can derive the same rows.
 
 Fixed rule values (shared with the SQL twins in ``plans/variant_sql.py``):
@@ -26,7 +26,7 @@ from ledgerline.sources.panel import MEASURES
 
 
 def ticker_no(c: str = "ticker") -> Column:
-    return F.substring(F.col(c), -4, 4).cast("int")
+    return F.substring(F.col(c), -9, 9).cast("bigint")
 
 
 def quarter_no(c: str = "date") -> Column:

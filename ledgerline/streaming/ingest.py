@@ -2,111 +2,85 @@
 
 The reference ingests uploads on demand (extract -> normalise -> validate ->
 keep-last upsert per (ticker, date, user)).  Here the same flow runs as a
-stream over the upload landing folder:
-
-``readStream`` (file source, fixed schema, ``maxFilesPerTrigger``) ->
-``foreachBatch``: normalise + stamp user + keep-last dedupe inside the batch,
-then a keep-last merge into the table that rewrites only the (``user_id``,
-ticker bucket) partitions the batch touches (dynamic partition overwrite
-from a staged copy).  The merge is idempotent, so a batch replayed after a failure gives
-the same table; the stream checkpoint and the table live in the shared
-folder (``spark.checkpoint.dir``).
+stream over the upload landing folders, of every shape:
+
+``readStream`` (file sources, fixed schemas, ``maxFilesPerTrigger``) ->
+normalise, fill the ticker from the upload, stamp the user -> append to a
+Parquet table with the file sink, which commits every batch exactly once.
+
+A row carries its ``load_seq``; the row loaded last wins, whatever the order
+of arrival.  That is resolved when the table is read (one aggregation with
+map-side combine), so a batch costs its own size and never rewrites the
+table; :func:`compact` writes the resolved table anew now and then.
+
+Table, stream checkpoint and compacted copies live under one folder that the
+caller names in shared storage, so a restarted job goes on where it ended.
 """
 
 from __future__ import annotations
 
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import parsing as P
 from ledgerline.operators import tables
-from ledgerline.session import job_folder, shared_dir
-from ledgerline.sources.files import UPLOAD_COLS
+from ledgerline.sources import files
 
-CSV_SCHEMA = ", ".join(f"`{c}` string" for c in UPLOAD_COLS) + ", upload_id int"
 MEASURE_SOURCES = {"revenue": "Total Revenue", "net_income": "Net Profit",
                    "operating_income": "Operating Profit", "total_assets": "Total Assets",
                    "total_liabilities": "Total Liabilities",
                    "operating_cashflow": "Cash From Operations"}
 
 
-def normalize_batch(batch: DataFrame) -> DataFrame:
-    """Per micro-batch normalisation of raw upload rows."""
-    user = F.when(F.pmod("upload_id", F.lit(3)) == 0, "predefined") \
-        .when(F.pmod("upload_id", F.lit(3)) == 1, "u1").otherwise("u2")
-    d = batch.select(
-        P.clean_ticker("Symbol").alias("ticker"), P.parse_period_date("Period").alias("date"),
+def normalize_batch(records: DataFrame) -> DataFrame:
+    """Raw upload records -> typed rows; a missing or unusable symbol is filled
+    with the upload's ticker (C5)."""
+    seq = F.col("load_seq") if "load_seq" in records.columns else F.col("upload_id")
+    d = records.select(
+        F.coalesce(P.clean_ticker("Symbol"), F.col("upload_ticker")).alias("ticker"),
+        P.parse_period_date("Period").alias("date"),
         *[P.parse_money(src).alias(dst) for dst, src in MEASURE_SOURCES.items()],
-        user.alias("user_id"), F.col("upload_id").cast("long").alias("load_seq"))
+        files.upload_user().alias("user_id"), seq.cast("long").alias("load_seq"))
     return d.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull())
 
 
-# Fixed for the life of a table (a ticker must always map to the same bucket);
-# 32 keeps a merge slice at 1/(32 × users) of the table without a file explosion.
-TICKER_BUCKETS = 32
-
-
-class PartitionedTable:
-    """A parquet table partitioned by ``user_id`` and a hash bucket of the
-    ticker.  A merge rewrites only the (user, bucket) partitions a batch
-    touches (dynamic partition overwrite) — a small slice even when one
-    user owns a third of all rows — from a staged (checkpointed) copy, so no
-    job reads the files it replaces."""
-
-    def __init__(self, root: str, part: str = "user_id", buckets: int = TICKER_BUCKETS):
-        self.root, self.part, self.buckets = root, part, buckets
-
-    def _bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_tb", F.pmod(F.xxhash64("ticker"), F.lit(self.buckets)).cast("int"))
-
-    def _exists(self, spark: SparkSession) -> bool:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(path) and any(
-            st.getPath().getName().startswith(f"{self.part}=") for st in fs.listStatus(path))
-
-    def _read_raw(self, spark: SparkSession) -> DataFrame | None:
-        return spark.read.parquet(self.root) if self._exists(spark) else None
-
-    def read(self, spark: SparkSession) -> DataFrame | None:
-        raw = self._read_raw(spark)
-        return None if raw is None else raw.drop("_tb")
-
-    def merge(self, new: DataFrame) -> None:
-        spark = new.sparkSession
-        shared_dir(spark)
-        new = self._bucket(new)
-        cur = self._read_raw(spark)
-        if cur is None:
-            merged = new
-        else:
-            touched = new.select(self.part, "_tb").distinct()
-            merged = tables.upsert(cur.join(touched, [self.part, "_tb"], "left_semi"), new)
-        staged = merged.checkpoint(eager=True)
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        # one file per (user, bucket) directory instead of one per task and directory
-        (staged.repartition(self.part, "_tb").write.mode("overwrite")
-               .partitionBy(self.part, "_tb").parquet(self.root))
-
-
-def run_upload_stream(spark: SparkSession, source_dir: str, name: str = "stream_panel",
-                      files_per_trigger: int = 200) -> DataFrame:
-    """Run the ingest stream to completion over the files present now
-    (``availableNow``) and return the resulting table."""
-    table = PartitionedTable(job_folder(spark, f"{name}/table"))
-    checkpoint = job_folder(spark, f"{name}/checkpoint")
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        table.merge(tables.dedupe_keep_last(normalize_batch(batch)))
-
-    stream = (spark.readStream.schema(CSV_SCHEMA).option("header", True)
-              .option("maxFilesPerTrigger", files_per_trigger).csv(source_dir))
-    q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = table.read(spark)
-    if out is None:
-        raise RuntimeError("stream produced no table")
+def upload_stream(spark: SparkSession, root: str, files_per_trigger: int = 200) -> DataFrame:
+    """New records of all landing folders under ``root``."""
+    schema = ", ".join(f"`{c}` string" for c in files.RECORD_COLS)
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    csv = source.schema(schema).option("header", True).csv(os.path.join(root, "csv"))
+    out = csv.withColumns({c: F.col(c).cast("bigint") for c in ("upload_id", "row_pos")})
+    for shape in files.JSON_SHAPES:
+        lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) \
+            .text(os.path.join(root, "json", shape))
+        out = out.unionByName(files.flex_records(lines.select("value")))
     return out
+
+
+def append_stream(records: DataFrame, table_dir: str) -> None:
+    """Run a stream of raw records to the end of what is there now."""
+    query = (normalize_batch(records).writeStream.format("parquet").outputMode("append")
+             .option("path", os.path.join(table_dir, "rows"))
+             .option("checkpointLocation", os.path.join(table_dir, "checkpoint"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_table(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The table: per (ticker, date, user) the row with the largest ``load_seq``."""
+    return tables.dedupe_keep_last(spark.read.parquet(os.path.join(table_dir, "rows")))
+
+
+def compact(spark: SparkSession, table_dir: str, target: str) -> None:
+    """Write the resolved table to ``target`` (reads no longer pay for old loads)."""
+    read_table(spark, table_dir).repartition("user_id", "ticker") \
+        .write.mode("overwrite").parquet(target)
+
+
+def run_upload_stream(spark: SparkSession, root: str, table_dir: str,
+                      files_per_trigger: int = 200) -> DataFrame:
+    """Ingest the uploads present under ``root`` and return the table."""
+    append_stream(upload_stream(spark, root, files_per_trigger), table_dir)
+    return read_table(spark, table_dir)

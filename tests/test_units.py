@@ -156,28 +156,57 @@ def test_linear_shapley_adds_up(spark):
     assert np.allclose(g.s + g.base, g.pred, rtol=1e-9, atol=1e-6)
 
 
-def test_svr_solver_fits_a_line():
-    from ledgerline.operators.learners import svr_fit
-    x = np.linspace(-2, 2, 40)[:, None]
-    y = 3 * x[:, 0] + 1
-    f = svr_fit(x, y, "linear", 100.0, 0.01, "scale")
-    assert np.abs(f(x) - y).max() < 0.05
-
-
 def test_stream_ingest_equals_batch(spark):
-    import os
+    import tempfile
     from ledgerline.sources import files
-    from ledgerline.streaming.ingest import CSV_SCHEMA, normalize_batch, run_upload_stream
-    src = os.path.join(files.land_uploads(spark, SMALL), "csv")
-    streamed = run_upload_stream(spark, src, name="test_stream", files_per_trigger=3)
-    batch = tables.dedupe_keep_last(normalize_batch(
-        spark.read.schema(CSV_SCHEMA).option("header", True).csv(src)))
+    from ledgerline.streaming import ingest as stream
+    root = files.land_uploads(spark, SMALL)
+    streamed = stream.run_upload_stream(spark, root, tempfile.mkdtemp(), files_per_trigger=1)
+    batch = tables.dedupe_keep_last(stream.normalize_batch(files.ingest_dispatch(spark, root)))
     cols = sorted(batch.columns)
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b and len(a) > 0
 
 
+def test_stream_keeps_the_last_loaded_row_over_three_triggers(spark):
+    """Loads arrive out of order and in separate runs; the largest load_seq wins,
+    a restarted stream goes on from its state, and compaction changes nothing."""
+    import os
+    import tempfile
+    from ledgerline.sources import files
+    from ledgerline.streaming import ingest as stream
+    src, table = tempfile.mkdtemp(), tempfile.mkdtemp()
+    schema = ", ".join(f"`{c}` string" for c in files.RECORD_COLS) + ", load_seq long"
+    base = {c: None for c in files.RECORD_COLS} | {"upload_id": "1", "row_pos": "1", "upload_ticker": "ACME"}
+
+    def load(seq, revenue, symbol):
+        row = base | {"Symbol": symbol, "Period": "2020Q1", "Total Revenue": revenue}
+        spark.createDataFrame([(*row.values(), seq)], schema).coalesce(1).write.mode("append").json(src)
+        rows = spark.readStream.schema(schema).json(src)
+        stream.append_stream(rows.withColumn("upload_id", F.col("upload_id").cast("long")), table)
+
+    for seq, revenue, symbol in ((3, "$300", "acme"), (9, "$900", ""), (5, "$500", "nan")):
+        load(seq, revenue, symbol)
+    got = stream.read_table(spark, table).collect()
+    assert [(r["ticker"], r["revenue"], r["load_seq"]) for r in got] == [("ACME", 900.0, 9)]
+    stream.compact(spark, table, os.path.join(table, "compact"))
+    assert spark.read.parquet(os.path.join(table, "compact")).count() == 1
+
+
+def test_uploads_of_suppliers_far_apart_stay_apart(spark):
+    rows = [(f"Supplier#{n:09d}", "ASIA", d, *[100.0 * n] * 6)
+            for n in (7, 10_007) for d in ("2020-03-31", "2020-06-30")]
+    p = spark.createDataFrame(rows, "ticker string, sector string, date string, revenue double, "
+                              "operating_income double, net_income double, total_assets double, "
+                              "total_liabilities double, operating_cashflow double") \
+        .withColumn("date", F.col("date").cast("date"))
+    from ledgerline.sources import variants
+    m = variants.messy_upload(p)
+    assert sorted(r[0] for r in m.select("upload_id").distinct().collect()) == [7, 10_007]
+    assert m.groupBy("upload_id", "row_pos").count().where("count > 1").isEmpty()
+
+
 def test_sampled_shapley_is_efficient_for_linear_model(spark):
     # For a linear model, permutation Shapley values are exact whatever the
     # permutations: Σφ = f(x) - mean_b f(b).
