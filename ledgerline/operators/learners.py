@@ -101,8 +101,8 @@ def topk(imp: DataFrame, k: int = 10, col: str = "importance") -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
-    """Deterministic sample of at most n rows (hash order with a seed)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Deterministic sample of at most n rows (digest order with a seed)."""
+    return df.orderBy(F.md5(F.concat(F.col(key), F.lit(f"|{seed}"))), F.col(key)).limit(n)
 
 
 # ------------------------------------------------------------------ Shapley

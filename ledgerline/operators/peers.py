@@ -29,24 +29,29 @@ def first_last(std: DataFrame) -> DataFrame:
 
 def peer_comparison(std: DataFrame) -> DataFrame:
     """One row of leaders and ranges.  Leaders are ``max_by``/``min_by``
-    over one row per ticker (latest row joined with the mean growth)."""
+    over one row per ticker (latest row joined with the mean growth); a tie
+    goes to the later ticker for the largest and the earlier for the smallest."""
     latest = latest_row(std).select("ticker", "profit_margin", "operating_margin",
                                     "asset_efficiency", "debt_to_asset")
     growth = std.groupBy("ticker").agg(F.avg("revenue_growth").alias("avg_revenue_growth"),
                                        F.avg("net_income_growth").alias("avg_income_growth"))
     t = latest.join(growth, "ticker")
+
+    def first(c):
+        return F.when(F.col(c).isNotNull(), F.struct(c, "ticker"))
+
     g = t.agg(
-        F.max_by("ticker", "profit_margin").alias("profitability_leader"),
+        F.max_by("ticker", first("profit_margin")).alias("profitability_leader"),
         F.min("profit_margin").alias("profit_margin_min"),
         F.max("profit_margin").alias("profit_margin_max"),
         F.min("operating_margin").alias("operating_margin_min"),
         F.max("operating_margin").alias("operating_margin_max"),
-        F.max_by("ticker", "avg_revenue_growth").alias("growth_leader"),
+        F.max_by("ticker", first("avg_revenue_growth")).alias("growth_leader"),
         F.max("avg_revenue_growth").alias("growth_leader_rate"),
-        F.max_by("ticker", "asset_efficiency").alias("efficiency_leader"),
+        F.max_by("ticker", first("asset_efficiency")).alias("efficiency_leader"),
         F.min("asset_efficiency").alias("asset_efficiency_min"),
         F.max("asset_efficiency").alias("asset_efficiency_max"),
-        F.min_by("ticker", "debt_to_asset").alias("lowest_debt"),
+        F.min_by("ticker", first("debt_to_asset")).alias("lowest_debt"),
         F.min("debt_to_asset").alias("debt_ratio_min"),
         F.max("debt_to_asset").alias("debt_ratio_max"),
         F.count(F.lit(1)).cast("bigint").alias("num_companies"))

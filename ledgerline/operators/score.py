@@ -254,10 +254,10 @@ def peer_block(std: DataFrame, k: int = 4) -> DataFrame:
                       rnd(F.coalesce("debt_to_asset", z), 4).alias("debt_to_asset"))
 
 
-def anomaly_lines(report: DataFrame, k: int = 5) -> DataFrame:
-    """The first k report lines of a ticker that mention a drop /
-    anomaly / decline / risk (per-ticker window, k lines per group)."""
-    hit = report.filter((F.col("ticker") != "") & F.lower("message").rlike(ANOMALY_KEYWORDS))
-    w = Window.partitionBy("ticker").orderBy("line_no")
+def anomaly_lines(lines: DataFrame, k: int = 5) -> DataFrame:
+    """The first k insight lines of a ticker, in report order, that mention
+    a drop / anomaly / decline / risk (per-ticker window, k lines per group)."""
+    hit = lines.filter((F.col("ticker") != "") & F.lower("message").rlike(ANOMALY_KEYWORDS))
+    w = Window.partitionBy("ticker").orderBy("section", "item", "message")
     return hit.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k) \
         .select("ticker", F.col("n").cast("bigint").alias("n"), "message")

@@ -14,8 +14,8 @@ from ledgerline.plans.profile_queries import CM, corr_table, frame, psql
 from ledgerline.plans.forecast_queries import setup
 from ledgerline.plans.memo import remember
 from ledgerline.plans.registry import query
-from ledgerline.plans.sqlparts import R
-from ledgerline.sources.panel import standard_table
+from ledgerline.plans.sqlparts import R, with_std
+from ledgerline.sources.panel import STANDARD_COLUMNS, standard_table
 
 FEATS = list(FEATURE_COLS)
 
@@ -165,7 +165,7 @@ def forecast_all_q(spark, sf_dir):
 
 def _cv_sql() -> str:
     from ledgerline.plans.forecast_queries import _met, fsql
-    from ledgerline.plans.sqlparts import R
+    from ledgerline.plans.sqlparts import R, with_std
     return fsql(f"""
 , tdp as (select date, row_number() over (order by date) as k, count(*) over () as n_dates
           from (select distinct date from sp where split = 'train') d),
@@ -253,7 +253,8 @@ def drivers_sorted_q(spark, sf_dir):
     return phi.select("ticker", "feature", rnd("shap_value", 8).alias("shap_value"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", with_std(f"""select {", ".join(STANDARD_COLUMNS)}, sector from std
+order by md5(ticker || '|' || strftime(date, '%Y-%m-%d') || '|42'), ticker, date limit 30"""))
 def seeded_sample_q(spark, sf_dir):
     """Deterministic sample of 30 rows of the standard table (a
     sampling operator: the size is the feature)."""

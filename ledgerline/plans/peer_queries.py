@@ -29,13 +29,13 @@ def first_last_q(spark, sf_dir):
 
 
 @query("peer_comparison", with_std(f"""
-select arg_max(ticker, profit_margin) as profitability_leader,
+select arg_max(ticker, (profit_margin, ticker)) filter (profit_margin is not null) as profitability_leader,
   {R('min(profit_margin)')} as profit_margin_min, {R('max(profit_margin)')} as profit_margin_max,
   {R('min(operating_margin)')} as operating_margin_min, {R('max(operating_margin)')} as operating_margin_max,
-  arg_max(ticker, avg_revenue_growth) as growth_leader, {R('max(avg_revenue_growth)')} as growth_leader_rate,
-  arg_max(ticker, asset_efficiency) as efficiency_leader,
+  arg_max(ticker, (avg_revenue_growth, ticker)) filter (avg_revenue_growth is not null) as growth_leader, {R('max(avg_revenue_growth)')} as growth_leader_rate,
+  arg_max(ticker, (asset_efficiency, ticker)) filter (asset_efficiency is not null) as efficiency_leader,
   {R('min(asset_efficiency)')} as asset_efficiency_min, {R('max(asset_efficiency)')} as asset_efficiency_max,
-  arg_min(ticker, debt_to_asset) as lowest_debt,
+  arg_min(ticker, (debt_to_asset, ticker)) filter (debt_to_asset is not null) as lowest_debt,
   {R('min(debt_to_asset)')} as debt_ratio_min, {R('max(debt_to_asset)')} as debt_ratio_max,
   count(*) as num_companies
 from lt join (select ticker, avg(revenue_growth) as avg_revenue_growth from std group by ticker) g

@@ -26,6 +26,7 @@ _MODULES = (
     "ledgerline.plans.forecast_queries",
     "ledgerline.plans.learner_queries",
     "ledgerline.plans.scoring_queries",
+    "ledgerline.plans.access_queries",
     "ledgerline.plans.flagship",
 )
 

@@ -296,7 +296,7 @@ select ticker, cast(n as bigint) as n, message from (
 where n <= 5""", _DROPS, _EFF, _ANOM, _LINES))
 def anomaly_lines_q(spark, sf_dir):
     """First 5 anomaly-keyword report lines per ticker."""
-    return score.anomaly_lines(insights.insights_report(standard_table(spark, sf_dir)))
+    return score.anomaly_lines(insights.insight_lines(standard_table(spark, sf_dir)))
 
 
 @query("analysis_bundle")
@@ -305,7 +305,7 @@ def analysis_bundle_q(spark, sf_dir):
     lines ⟕ global drivers, all tickers in one plan (nested columns)."""
     std, fg, sig = forecast_signals(spark, sf_dir)
     lr = score.latest_ratios(std)
-    an = score.anomaly_lines(insights.insights_report(std)).groupBy("ticker").agg(
+    an = score.anomaly_lines(insights.insight_lines(std)).groupBy("ticker").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("n", "message"))), lambda x: x["message"])
         .alias("anomalies"))
     b = fg.join(sig.select("ticker", "mae", "rmse", "r2", "residual_std", "test_size", "naive_mae"),

@@ -99,14 +99,12 @@ def test_global_row_number_is_a_permutation(spark):
     assert list(out["rn"]) == list(range(1, 5001))
 
 
-@pytest.mark.parametrize("limit", [0, None])
-def test_grouped_quantiles_exact_with_hot_value(spark, limit):
+def test_grouped_quantiles_exact_with_hot_value(spark):
     rng = np.random.default_rng(3)
     a = np.concatenate([rng.normal(0, 1, 4000), np.full(3000, 0.25)])
     b = rng.exponential(2.0, 1500)
     pdf = pd.DataFrame({"k": ["a"] * len(a) + ["b"] * len(b), "v": np.concatenate([a, b])})
-    q = grouped_quantiles(spark.createDataFrame(pdf), "k", "v", [0.05, 0.25, 0.5, 0.95],
-                          exact_limit=limit).toPandas()
+    q = grouped_quantiles(spark.createDataFrame(pdf), "k", "v", [0.05, 0.25, 0.5, 0.95]).toPandas()
     for (k, p), grp in q.groupby(["k", "p"]):
         exp = np.quantile(pdf[pdf.k == k].v.values, p)  # linear interpolation
         assert math.isclose(grp.q.iloc[0], exp, rel_tol=1e-12, abs_tol=1e-12)
