@@ -157,8 +157,8 @@ def blocks(page: str) -> list:
     return out
 
 
-def evidence(text: str, element: _Element, linked: int) -> tuple[int, int]:
-    """Capacities of a block to the content and to the boilerplate terminal."""
+def evidence(text: str, element: _Element, linked: int, marked: bool = True) -> tuple[int, int]:
+    """Capacities of a block to the content and to the boilerplate terminal; `marked`: the page has an article."""
     content, other = 0, 0
     if element.noise:
         other += SURE
@@ -169,7 +169,7 @@ def evidence(text: str, element: _Element, linked: int) -> tuple[int, int]:
     if element.name == "p":
         content += 20
     if not element.inside:
-        other += 30
+        other += 60 if marked else 15
         if element.name == "li":
             other += 20
         if "©" in text:
@@ -239,7 +239,8 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
-    costs = [evidence(*b) for b in found]
+    marked = any(e.inside and not e.noise for _, e, _ in found)
+    costs = [evidence(*b, marked) for b in found]
     links, last_child = [], {}
     for k, (_, element, _) in enumerate(found):
         if k:

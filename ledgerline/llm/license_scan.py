@@ -5,8 +5,8 @@ verbatim.  Their words make up a small fixed vocabulary.
 
 1. Every text's distinct licence words give document frequencies over the whole
    corpus, so IDF ranks the vocabulary.
-2. Each template is indexed under its `RARE` highest-IDF words, as postings
-   (word, template, position).
+2. Each template is indexed under the `RARE` highest-IDF words of its key phrase, as
+   postings (word, template, position).
 3. A text is looked up only if it holds all rare words of some template.  Positions of
    its rare words minus the postings' positions are candidate starts; a start stays if
    all rare words agree on it.
@@ -18,7 +18,8 @@ Only (row key, position) rows are shuffled, and words of texts that hold a candi
 
 Defined results: null text counts as empty, with 0 words and no labels; labels are
 distinct, sorted and comma-joined, '' for none; score is the best share of a
-template's words (0 for none); repeated rows are scanned each; an empty table gives
+template's words (0 for none); a template may begin before the text does, if its
+key phrase doesn't; repeated rows are scanned each; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -96,7 +97,7 @@ def scan(docs: DataFrame, found_templates: list | None = None) -> DataFrame:
         F.array_intersect("words", _text_array(vocabulary)).alias("known")), "rows")
     counts = rows.select(F.explode("known").alias("word")).groupBy("word").count()
     frequency = {r[0]: r[1] for r in counts.collect()}  # one row per word of the templates
-    rare = {t[0]: sorted(set(t[3]), key=lambda w: (frequency.get(w, 0), w))[:RARE] for t in known}
+    rare = {t[0]: sorted(set(t[5]), key=lambda w: (frequency.get(w, 0), w))[:RARE] for t in known}
     # a template with a rare word that no text holds has no place at all
     live = [t for t in known if all(frequency.get(w) for w in rare[t[0]])]
     hits = "array<struct<label: string, base: boolean, start: int, share: double>>"
@@ -115,17 +116,18 @@ def scan(docs: DataFrame, found_templates: list | None = None) -> DataFrame:
     overlap = _words(docs).where(F.arrays_overlap("words", _text_array(anchors)))
     texts = stages.keep(overlap.drop("doc_id").join(few, ["k1", "k2"], "left_semi"), "texts")
     postings = spark.createDataFrame(
-        [(w, t[0], i) for t in live for i, w in enumerate(t[3]) if w in rare[t[0]]], "word string, t int, at int")
+        [(w, t[0], t[4] + i) for t in live for i, w in enumerate(t[5]) if w in rare[t[0]]], "word string, t int, at int")
     places = texts.select("k1", "k2", F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(anchors))
     starts = (places.join(F.broadcast(postings), "word").select("k1", "k2", "t", (F.col("pos") - F.col("at")).alias("start"), "at")
-              .where("start >= 0").groupBy("k1", "k2", "t", "start").agg(F.countDistinct("at").alias("n")))
+              .groupBy("k1", "k2", "t", "start").agg(F.countDistinct("at").alias("n")))
     needed = spark.createDataFrame(
-        [(t[0], sum(w in rare[t[0]] for w in t[3]), t[1], t[2], t[3], t[4], t[5]) for t in live],
+        [(t[0], sum(w in rare[t[0]] for w in t[5]), t[1], t[2], t[3], t[4], t[5]) for t in live],
         "t int, needed int, label string, base boolean, full array<string>, key_at int, key array<string>")
     agreed = starts.join(F.broadcast(needed), "t").where("n = needed").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("label", "base", "start", "full", "key_at", "key")).alias("at"))
     checked = texts.dropDuplicates(["k1", "k2"]).join(agreed, ["k1", "k2"]).select("k1", "k2", F.expr(f"""
-        filter(transform(filter(at, c -> slice(words, c.start + c.key_at + 1, size(c.key)) = c.key), c -> named_struct(
+        filter(transform(filter(at, c -> c.start + c.key_at >= 0
+            and slice(words, greatest(1, c.start + c.key_at + 1), size(c.key)) = c.key), c -> named_struct(
             'label', c.label, 'base', c.base, 'start', c.start,
             'share', size(filter(c.full, (w, i) -> get(words, c.start + i) <=> w)) / size(c.full))),
             h -> h.share >= {MIN_SHARE})""").cast(hits).alias("hits"))
