@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,17 +116,34 @@ def drop_constant(df: DataFrame, threshold: float = 0.0) -> tuple[DataFrame, lis
     return df.drop(*drop), drop
 
 
-def one_hot(df: DataFrame, cols, max_levels: int = 1000) -> DataFrame:
-    """Indicator columns ``{col}_{level}`` for every level except the
-    alphabetically first (drop-first).  Levels are a schema decision: one
-    distinct action per column, refused above ``max_levels``."""
-    out = df
+def one_hot(df: DataFrame, cols) -> DataFrame:
+    """One sparse indicator vector ``{col}_onehot`` per column, drop-first:
+    every level but the alphabetically first has a slot, in descending order,
+    however many levels there are.  The slots' names are the column's
+    ``levels`` metadata.  NULL counts as the first level (all zeros)."""
+    cols = list(cols)
+    first = df.agg(*[F.min(c).alias(c) for c in cols]).first()
+    d = df.fillna({c: first[c] for c in cols if first[c] is not None})
+    # the encoder drops the last index, so levels are indexed from the last to the first
+    index = StringIndexer(inputCols=cols, outputCols=[f"{c}_index" for c in cols],
+                          stringOrderType="alphabetDesc").fit(d)
+    encoder = OneHotEncoder(inputCols=[f"{c}_index" for c in cols], outputCols=[f"{c}_onehot" for c in cols])
+    indexed = index.transform(d)
+    out = encoder.fit(indexed).transform(indexed).drop(*cols, *[f"{c}_index" for c in cols])
+    for c, labels in zip(cols, index.labelsArray):
+        out = out.withMetadata(f"{c}_onehot", {"levels": list(labels[:-1])})
+    return out
+
+
+def one_hot_rows(df: DataFrame, keys, cols) -> DataFrame:
+    """The vectors of :func:`one_hot` in long form: (keys, dummy, value)."""
+    out = None
     for c in cols:
-        levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct()
-                  .orderBy(c).limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{c}: more than {max_levels} levels; not a one-hot column")
-        out = out.withColumns({f"{c}_{v}": (F.col(c) == v) for v in levels[1:]}).drop(c)
+        levels = df.schema[f"{c}_onehot"].metadata["levels"]
+        names = F.array(*[F.lit(f"{c}_{v}") for v in levels]).cast("array<string>")
+        part = df.select(*keys, F.posexplode(vector_to_array(f"{c}_onehot")).alias("pos", "value")) \
+            .select(*keys, names[F.col("pos")].alias("dummy"), F.col("value").cast("int").alias("value"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

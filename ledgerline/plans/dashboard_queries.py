@@ -251,5 +251,5 @@ def training_data_q(spark, sf_dir):
 def topk_drivers_q(spark, sf_dir):
     """Top-8 drivers per ticker by |value| (linear attributions)."""
     from ledgerline.operators import learners as L
-    from ledgerline.plans.learner_queries import _linear_shap
-    return L.shap_local(_linear_shap(spark, sf_dir), 8).select("ticker", "feature", "shap_value", "rank")
+    from ledgerline.plans.learner_queries import linear_attributions
+    return L.shap_local(linear_attributions(spark, sf_dir), 8).select("ticker", "feature", "shap_value", "rank")

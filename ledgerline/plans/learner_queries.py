@@ -203,7 +203,7 @@ def cv_summary_q(spark, sf_dir):
     return fc.cv_summary(sp, fc.ts_folds(sp))
 
 
-def _linear_shap(spark, sf_dir):
+def linear_attributions(spark, sf_dir):
     """Phase artifact: exact linear attributions of every future row."""
     def build():
         std, _, _, _, sp = setup(spark, sf_dir)
@@ -216,10 +216,10 @@ def _linear_shap(spark, sf_dir):
 @query("shapley_linear")
 def shapley_linear_q(spark, sf_dir):
     """M15 (exact, linear model): φ per ticker and feature on future rows."""
-    return _linear_shap(spark, sf_dir)
+    return linear_attributions(spark, sf_dir)
 
 
-def _forest_shap(spark, sf_dir):
+def forest_attributions(spark, sf_dir):
     """Phase artifact: sampled attributions of every future row."""
     def build():
         std, _, _, _, sp = setup(spark, sf_dir)
@@ -231,25 +231,25 @@ def _forest_shap(spark, sf_dir):
 @query("shapley_sampled")
 def shapley_sampled_q(spark, sf_dir):
     """M15 (sampled, forest): permutation Shapley values of every future row."""
-    return _forest_shap(spark, sf_dir)
+    return forest_attributions(spark, sf_dir)
 
 
 @query("shap_global")
 def shap_global_q(spark, sf_dir):
     """Mean |φ| per feature over all explained rows."""
-    return L.shap_global(_forest_shap(spark, sf_dir))
+    return L.shap_global(forest_attributions(spark, sf_dir))
 
 
 @query("shap_local")
 def shap_local_q(spark, sf_dir):
     """Top-8 drivers per ticker with direction (linear model)."""
-    return L.shap_local(_linear_shap(spark, sf_dir))
+    return L.shap_local(linear_attributions(spark, sf_dir))
 
 
 @query("drivers_sorted")
 def drivers_sorted_q(spark, sf_dir):
     """Drivers of each ticker sorted by value (first forecast row)."""
-    phi = _linear_shap(spark, sf_dir)
+    phi = linear_attributions(spark, sf_dir)
     return phi.select("ticker", "feature", rnd("shap_value", 8).alias("shap_value"))
 
 

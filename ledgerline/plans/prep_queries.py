@@ -159,12 +159,10 @@ def _onehot_sql() -> str:
 
 @query("one_hot", with_std(_onehot_sql(), *BASEF))
 def one_hot_q(spark, sf_dir):
-    """Drop-first one-hot of the low-cardinality labels (long form)."""
+    """Drop-first one-hot of the labels, sparse, then in long form."""
     f = base_frame(spark, sf_dir).select("ticker", "date", "sector", "category", "risk_level")
-    oh = prep.one_hot(f, ["sector", "category", "risk_level"])
-    dummies = [c for c in oh.columns if c not in ("ticker", "date")]
-    return oh.select("ticker", "date", *[F.col(c).cast("int").alias(c) for c in dummies]) \
-        .unpivot(["ticker", "date"], dummies, "dummy", "value")
+    cols = ["sector", "category", "risk_level"]
+    return prep.one_hot_rows(prep.one_hot(f, cols), ["ticker", "date"], cols)
 
 
 def _scale_sql(center: str, spread: str) -> str:

@@ -301,19 +301,35 @@ def anomaly_lines_q(spark, sf_dir):
 
 @query("analysis_bundle")
 def analysis_bundle_q(spark, sf_dir):
-    """Per-ticker bundle — forecast ⟕ metrics ⟕ latest ratios ⟕ anomaly
-    lines ⟕ global drivers, all tickers in one plan (nested columns)."""
-    std, fg, sig = forecast_signals(spark, sf_dir)
+    """Per-ticker bundle — the trained champion's forecast ⟕ its metrics ⟕
+    latest ratios ⟕ anomaly lines ⟕ local drivers, with the global drivers and
+    the peer block (a row per feature and four peers), all tickers in one plan."""
+    from ledgerline.operators import learners as L
+    from ledgerline.plans.learner_queries import linear_attributions, trained_forecast
+    std = standard_table(spark, sf_dir)
+    fg, met = trained_forecast(spark, sf_dir)
     lr = score.latest_ratios(std)
-    an = score.anomaly_lines(insights.insight_lines(std)).groupBy("ticker").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("n", "message"))), lambda x: x["message"])
-        .alias("anomalies"))
-    b = fg.join(sig.select("ticker", "mae", "rmse", "r2", "residual_std", "test_size", "naive_mae"),
-                "ticker", "left").join(lr, "ticker", "left").join(an, "ticker", "left")
-    return b.select("ticker", F.struct(*[c for c in fg.columns if c != "ticker"]).alias("svr_predictions"),
-                    F.struct("mae", "rmse", "r2", "residual_std", "test_size", "naive_mae").alias("model_metrics"),
-                    F.struct(*[c for c in lr.columns if c != "ticker"]).alias("latest_ratios"),
-                    F.coalesce("anomalies", F.array().cast("array<string>")).alias("anomalies"))
+
+    def listed(df, order, *cols):
+        return df.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(order, *cols))).alias("l"))
+
+    an = listed(score.anomaly_lines(insights.insight_lines(std)), "n", "message").select(
+        "ticker", F.expr("transform(l, x -> x.message)").alias("anomalies"))
+    phi = linear_attributions(spark, sf_dir)
+    local = listed(L.shap_local(phi), "rank", "feature", "shap_value", "direction").withColumnRenamed(
+        "l", "local_drivers")
+    everywhere = L.shap_global(phi).agg(F.sort_array(F.collect_list(
+        F.struct("mean_abs_shap", "feature")), asc=False)).scalar()
+    peers = score.peer_block(std)
+    peers = peers.agg(F.sort_array(F.collect_list(F.struct(*peers.columns)))).scalar()
+    metrics = met.select(F.col("model").alias("selected_model"), F.struct(
+        "mae", "rmse", "r2", "residual_std", "test_size").alias("model_metrics"))
+    b = fg.join(F.broadcast(metrics), "selected_model", "left").join(lr, "ticker", "left") \
+        .join(an, "ticker", "left").join(local, "ticker", "left")
+    return b.select("ticker", F.struct(*[c for c in fg.columns if c != "ticker"]).alias("predictions"),
+                    "model_metrics", F.struct(*[c for c in lr.columns if c != "ticker"]).alias("latest_ratios"),
+                    F.coalesce("anomalies", F.array().cast("array<string>")).alias("anomalies"),
+                    "local_drivers", everywhere.alias("global_drivers"), peers.alias("peers"))
 
 
 @query("recommend_all")
