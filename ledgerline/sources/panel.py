@@ -124,6 +124,13 @@ def engineer_features(df: DataFrame, key: str = "ticker") -> DataFrame:
 _MEMO: dict[tuple[str, str, str, str], str] = {}
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of the materialized panels: the setting ``spark.ledgerline.buckets``
+    where it is given (a bucket should hold 100-200 MB), else as many as the
+    session's shuffles have partitions."""
+    return int(spark.conf.get("spark.ledgerline.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _materialize(spark: SparkSession, key: str, sf_dir: str, build) -> DataFrame:
     """Write once per application as a ticker-bucketed table in the shared
     folder; later reads are co-partitioned by ticker, so per-ticker windows,
@@ -134,7 +141,7 @@ def _materialize(spark: SparkSession, key: str, sf_dir: str, build) -> DataFrame
     if name is None or not spark.catalog.tableExists(name):
         digest = hashlib.sha1("|".join(memo_key[1:]).encode()).hexdigest()[:12]
         name = f"ledgerline_{key}_{digest}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = bucket_count(spark)
         # Hash-partition by the bucket column first: one file per bucket per
         # writer instead of tasks × buckets small files.
         (build().repartition(buckets, "ticker").write.mode("overwrite")
