@@ -7,15 +7,18 @@ a parity bitmap of `BITS` bits (an odd sketch); the population count of two
 sketches' XOR estimates a high similarity more precisely than matching samples of
 the same size would.  Classes that share a band are candidates.
 
-Within a band's bucket everything is compared with the smallest id first, sketch
-before set, and the true links are joined into components.  Only members of
-*different* components are then compared with each other, inside a join whose
-condition is the sketch estimate; so a group of copies costs its size, not its
-square, and no pair that shares a band is left out.  Every link is confirmed on the
-full sets.
-
-At similarity 0.8 a pair misses all bands with probability (1 - 0.8**5)**40 = 1e-7,
-and the sketch bound lies five standard deviations away.
+Within a band's bucket everything is compared with one member first, sketch before
+set, and the true links are joined into components.  That member is the one whose
+buckets are largest in all: among near copies, a text close to their common origin.
+What then stays apart gets a second, finer odd sketch (`FINE` samples in `FINE_BITS`
+bits), and members of *different* components of a bucket are compared inside a join
+whose condition is both sketches' estimate, each pair in the first band it shares.
+So a group of copies costs its size, not its square; only pairs that are about as
+similar as asked become rows; and no pair that shares a band is left out.  Every link
+is confirmed on the full sets.
+
+At similarity 0.8 a pair misses all bands with probability (1 - 0.8**5)**40 = 1e-7.
+A sketch passes a pair up to `SIGMAS` standard deviations from what 0.8 would give.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing;
 fewer words than a shingle make one shingle; rows with a null doc_id link with
@@ -24,6 +27,8 @@ nothing and are kept; repeated rows are each returned; an empty table gives no r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +39,8 @@ from ledgerline.llm.components import connected_components
 
 BANDS, ROWS = 40, 5
 BITS = 512
-#: XOR bits up to which a candidate goes on: 120 of 512 stands for similarity 0.61.
-MAX_ODD = 120
+FINE, FINE_BITS = 4096, 8192
+SIGMAS = 4.5
 
 
 def shingle_sets(column, width: int):
@@ -66,15 +71,27 @@ def shingle_sets(column, width: int):
                 yield i + r, words[:0]
 
 
-def _samplers() -> tuple[np.ndarray, np.ndarray]:
-    seed = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+def odd_bound(samples: int, bits: int, similarity: float) -> int:
+    """XOR bits that two sketches of that similarity stay below, by SIGMAS deviations.
+
+    A differing sample toggles two of the bits; a bit is odd with probability p.
+    """
+    apart = samples * (1 - similarity)
+    fade = math.exp(-4 * apart / bits)
+    p = (1 - fade) / 2
+    spread = math.sqrt(4 * fade * fade * samples * similarity * (1 - similarity) + bits * p * (1 - p))
+    return math.ceil(bits * p + SIGMAS * spread)
+
+
+def _samplers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    seed = mix64(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     words = (seed >> np.uint64(32)).astype(np.uint32)
     return words[::2] | np.uint32(1), words[1::2]
 
 
-def samples(sets: list) -> np.ndarray:
+def samples(sets: list, count: int | None = None) -> np.ndarray:
     """MinHash samples, one row for each non-empty set."""
-    factor, flip = _samplers()
+    factor, flip = _samplers(count or BANDS * ROWS)
     out = np.empty((len(factor), len(sets)), np.uint32)
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
@@ -83,13 +100,13 @@ def samples(sets: list) -> np.ndarray:
     return out.T
 
 
-def odd_sketches(minima: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of the samples, as BITS / 64 signed longs a row."""
+def odd_sketches(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity bitmaps of the samples, as bits / 64 signed longs a row."""
     n, k = minima.shape
-    spot = mix64(minima.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)
-    flat = (np.arange(n)[:, None] * BITS + spot.astype(np.int64)).ravel()
-    bits = (np.bincount(flat, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
-    return np.packbits(bits, axis=1).view(np.int64)
+    spot = mix64(minima.astype(np.uint64) + (np.arange(k, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    flat = (np.arange(n)[:, None] * bits + spot.astype(np.int64)).ravel()
+    odd = (np.bincount(flat, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 _SKETCH = [f"s{i}" for i in range(BITS // 64)]
@@ -171,6 +188,31 @@ def _sets(width: int):
     return run
 
 
+def _fine(width: int):
+    """Set hashes and fine sketches of texts."""
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(held):
+            sketch = odd_sketches(samples(held, FINE), FINE_BITS)
+            ends = np.arange(0, sketch.size + 1, sketch.shape[1]).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(_set_hash(held).view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.ravel()))], ["h1", "fine"])
+
+        for batch in batches:
+            held = []
+            for _, own in shingle_sets(batch.column("text"), width):
+                if len(own):
+                    held.append(own)
+                if len(held) == 128:
+                    yield flush(held)
+                    held = []
+            if held:
+                yield flush(held)
+    return run
+
+
 class NearDedup:
     """One run over (doc_id, text): links of `percent` or more, and what they join."""
 
@@ -179,63 +221,75 @@ class NearDedup:
         self.width, self.percent = width, percent
         self.stages = Stages(docs.sparkSession, "near-dedup")
 
+    def _texts(self, classes: DataFrame) -> DataFrame:
+        """One text of every class in a (h1) table."""
+        ids = self.classes.join(classes, "h1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        self.reads += 1
+        return self.docs.join(self.stages.keep(ids, f"ids-{self.reads}"), "doc_id", "left_semi")
+
     def _confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Class pairs (a, b, na, nb) whose full sets are similar enough."""
+        """Those of the class pairs (a, b, na, nb, ...) whose full sets are similar enough."""
         ends = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-        ids = self.stages.keep(self.classes.join(ends, "h1", "left_semi").select(F.col("rep").alias("doc_id")),
-                               f"{name}-ids")
-        sets = self.stages.keep(self.docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(
+        sets = self.stages.keep(self._texts(ends).mapInArrow(
             _sets(self.width), "h1 long, items array<long>"), f"{name}-sets")
         both = (pairs.join(sets.select(F.col("h1").alias("a"), F.col("items").alias("ia")), "a")
                 .join(sets.select(F.col("h1").alias("b"), F.col("items").alias("ib")), "b")
-                .select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).cast("long").alias("m")))
-        links = self.stages.keep(both.where(f"100 * m >= {self.percent} * (na + nb - m)").select("a", "b"), name)
+                .withColumn("m", F.size(F.array_intersect("ia", "ib")).cast("long")))
+        links = self.stages.keep(both.where(f"100 * m >= {self.percent} * (na + nb - m)")
+                                 .select(*pairs.columns), name)
         self.stages.drop(f"{name}-sets")
         return links
 
+    def _stars(self, met: DataFrame, heads: DataFrame) -> DataFrame:
+        """Links of every bucket's members with its head, after their sketches."""
+        stars = self.stages.keep(met.join(heads, "key").where("h1 <> head").select(
+            F.col("h1").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+        side = {e: self.reps.select(F.col("h1").alias(e), F.col("n").alias(f"n{e}"),
+                                    *[F.col(s).alias(f"{e}{s}") for s in _SKETCH]) for e in "ab"}
+        odd = " + ".join(f"bit_count(a{s} ^ b{s})" for s in _SKETCH)
+        likely = self.stages.keep(stars.join(side["a"], "a").join(side["b"], "b").where(
+            f"100 * least(na, nb) >= {self.percent} * greatest(na, nb) and {odd} <= {self.bound}")
+            .select("a", "b", "na", "nb"), "likely")
+        links = self._confirm(likely, "links")
+        self.stages.drop("stars", "likely", "heads")
+        return links
+
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
         keep, p = self.stages.keep, self.percent
+        self.bound = odd_bound(BANDS * ROWS, BITS, p / 100)
+        self.reads = 0
         sig = keep(self.docs.mapInArrow(
             _signatures(self.width), "doc_id long, n long, h1 long, bands array<long>, "
             + ", ".join(f"{s} long" for s in _SKETCH)), "signatures")
         self.classes = classes = keep(sig.where("n > 0 and doc_id is not null").groupBy("h1")
                                       .agg(F.min("doc_id").alias("rep")), "classes")
-        reps = keep(sig.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"], "left_semi")
-                    .drop("doc_id"), "reps")
-        keys = reps.select("h1", "n", F.explode("bands").alias("key"))
-        heads = keep(keys.groupBy("key").agg(F.min("h1").alias("head"), F.count(F.lit(1)).alias("size"))
-                     .where("size > 1"), "heads")
-        met = keep(keys.join(heads, "key").select("key", "h1", "head", "size"), "met")
-        stars = keep(met.where("h1 <> head").select(F.col("h1").alias("a"), F.col("head").alias("b")).distinct(),
-                     "stars")
-        one = reps.select(F.col("h1").alias("a"), F.col("n").alias("na"), *[F.col(s).alias(f"a{s}") for s in _SKETCH])
-        two = reps.select(F.col("h1").alias("b"), F.col("n").alias("nb"), *[F.col(s).alias(f"b{s}") for s in _SKETCH])
-        odd = " + ".join(f"bit_count(a{s} ^ b{s})" for s in _SKETCH)
-        tried = keep(stars.join(one, "a").join(two, "b").where(
-            f"100 * least(na, nb) >= {p} * greatest(na, nb) and {odd} <= {MAX_ODD}").select("a", "b", "na", "nb"),
-            "tried")
-        links = self._confirm(tried, "links")
-        parts = connected_components(links, self.stages, "first")
+        self.reps = reps = keep(sig.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"],
+                                         "left_semi").drop("doc_id"), "reps")
+        keys = reps.select("h1", F.posexplode("bands").alias("band", "key"))
+        sizes = keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        met = keep(keys.join(sizes, "key").select("key", "band", "h1", "size"), "met")
+        weights = keep(met.groupBy("h1").agg(F.sum("size").alias("weight")), "weights")
+        heads = keep(met.join(weights, "h1").groupBy("key").agg(F.max(F.struct("weight", "h1")).alias("head"))
+                     .select("key", F.col("head.h1").alias("head")), "heads")
+        parts = connected_components(self._stars(met, heads), self.stages, "first-parts")
         # what stayed apart inside a bucket of three or more is compared member by member
         spot = keep(met.where("size > 2").join(parts.withColumnRenamed("node", "h1"), "h1", "left").select(
-            "key", "h1", F.coalesce("component", "h1").alias("part")), "spots")
+            "key", "band", "h1", F.coalesce("component", "h1").alias("part")), "spots")
         mixed = keep(spot.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"))
                      .where("x <> y").select("key"), "mixed")
-        rest = keep(spot.join(mixed, "key").join(reps.drop("bands"), "h1"), "rest")
-        odd = " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in _SKETCH)
-        more = rest.alias("x").join(rest.alias("y"), F.expr(
-            f"x.key = y.key and x.part <> y.part and x.h1 > y.h1 and "
-            f"100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) and {odd} <= {MAX_ODD}")).select(
-            F.col("x.h1").alias("a"), F.col("y.h1").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        seen = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = keep(more.distinct().join(seen, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            links = links.union(self._confirm(more, "more-links"))
-            parts = connected_components(links, self.stages, "second")
+        apart = keep(spot.join(mixed, "key"), "apart")
+        self.stages.drop("sizes", "met", "weights", "spots", "mixed")
         named = classes.join(parts.withColumnRenamed("node", "h1"), "h1", "left").select(
             "h1", "rep", F.coalesce("component", "h1").alias("part"))
+        more = None if apart.isEmpty() else self._across(apart)
+        if more is not None and not more.isEmpty():
+            across = connected_components(self._confirm(more, "more-links").select(
+                F.col("pa").alias("a"), F.col("pb").alias("b")), self.stages, "second-parts")
+            named = keep(named, "named-first").join(across.withColumnRenamed("node", "part"), "part", "left").select(
+                "h1", "rep", F.coalesce("component", "part").alias("part"))
         named = keep(named, "named")
+        self.stages.drop("reps", "apart", "apart-classes", "fine", "rest", "across")
         first = keep(named.groupBy("part").agg(F.min("rep").alias("component")), "first-ids")
         of_class = keep(named.join(first, "part").select("h1", "component"), "class-components")
         out = sig.select("doc_id", F.col("n").alias("n_shingles"), "h1").join(of_class, "h1", "left")
@@ -243,6 +297,24 @@ class NearDedup:
             "if(n_shingles > 0 and doc_id is not null, component, doc_id)").alias("component_id")).withColumn(
             "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+    def _across(self, apart: DataFrame) -> DataFrame:
+        """Pairs of different components of a bucket that both sketches let pass."""
+        p = self.percent
+        who = self.stages.keep(apart.select("h1").distinct(), "apart-classes")
+        fine = self.stages.keep(self._texts(who).mapInArrow(_fine(self.width), "h1 long, fine array<long>")
+                                .join(who, "h1", "left_semi"), "fine")
+        rest = self.stages.keep(apart.join(self.reps.join(fine, "h1"), "h1"), "rest")
+        odd = " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in _SKETCH)
+        pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"""
+            x.key = y.key and x.part <> y.part and x.h1 > y.h1
+            and 100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n) and {odd} <= {self.bound}
+            and array_position(zip_with(x.bands, y.bands, (k, l) -> k = l), true) = x.band + 1
+            and aggregate(zip_with(x.fine, y.fine, (k, l) -> bit_count(k ^ l)), 0, (k, l) -> k + l)
+                <= {odd_bound(FINE, FINE_BITS, p / 100)}"""))
+        return self.stages.keep(pairs.select(
+            F.col("x.h1").alias("a"), F.col("y.h1").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
+            F.col("x.part").alias("pa"), F.col("y.part").alias("pb")).distinct(), "across")
+
 
 def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     return NearDedup(docs, width, percent).run()
