@@ -46,6 +46,11 @@ class Stages:
             p.getFileSystem(conf).delete(p, True)
 
 
+    def clear(self) -> None:
+        """Delete the operator's whole folder, once nothing reads it any more."""
+        self.drop("")
+
+
 def process_cache() -> dict:
     """A dict that lives as long as the Python worker, across its tasks."""
     name = "_ledgerline_worker_cache"

@@ -325,7 +325,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept doc_id stay.  Only the ids to drop meet the texts.
     """
-    out = near_dedup(docs)
+    run = NearDedup(docs)
     stages = Stages(docs.sparkSession, "near-dedup-stage")
-    gone = stages.keep(out.where("not kept").select("doc_id").distinct(), "gone")
+    gone = stages.keep(run.run().where("not kept").select("doc_id").distinct(), "gone")
+    run.stages.clear()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
