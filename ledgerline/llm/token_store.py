@@ -56,54 +56,63 @@ class Model:
         self.next = np.full(lanes * 32, 1 << 14, np.int32)  # odds of "order 1 is right" once order 2 is wrong
         self.count = np.ones((lanes, 256), np.int32)
         self.edge = np.zeros((lanes, 257), np.int32)
-        self.last = np.zeros(lanes, np.int32)
-        self.before = np.zeros(lanes, np.int32)
-        self.lane = np.arange(lanes, dtype=np.int32)
+        self.flat_count = self.count.reshape(-1)
+        self.flat = self.edge.reshape(-1)
+        # what indexes is 64 bits wide, so that numpy needn't widen it
+        self.last = np.zeros(lanes, np.int64)
+        self.before = np.zeros(lanes, np.int64)
+        self.lane = np.arange(lanes, dtype=np.int64)
         self.refresh()
 
     def refresh(self):
         total = np.cumsum(self.count, axis=1, dtype=np.int32)
         scale = ((1 << BUCKETS) - 256) / total[:, -1:]
         np.add(total * scale, np.arange(1, 257), out=self.edge[:, 1:], casting="unsafe")
-        self.flat = self.edge.reshape(-1)
 
     def predict(self, n: int):
         """Odds out of 2**ODDS that order 2 is right, and that only order 1 is, for the first n lanes."""
         last, lane = self.last[:n], self.lane[:n]
-        mixed = last * np.int32(40503)
-        slot = lane * np.int32(CONTEXTS)
-        self.i2 = slot + (((mixed + self.before[:n] * np.int32(30011)) >> np.int32(6)) & np.int32(CONTEXTS - 1))
-        self.i1 = slot + ((mixed >> np.int32(7)) & np.int32(CONTEXTS - 1))
-        self.e2, self.e1 = self.two.take(self.i2), self.one.take(self.i1)
+        mixed = last * 40503
+        slot = lane * CONTEXTS
+        self.i2 = (((mixed + self.before[:n] * 30011) >> 6) & (CONTEXTS - 1)) + slot
+        self.i1 = ((mixed >> 7) & (CONTEXTS - 1)) + slot
+        self.e2, self.e1 = self.two.take(self.i2, mode="clip"), self.one.take(self.i1, mode="clip")
         self.p2, self.p1 = self.e2 & 0xFFFF, self.e1 & 0xFFFF
         self.c2, self.c1 = self.e2 >> 16, self.e1 >> 16
         self.ka = (lane << 2) + self.c2
-        self.kb = (lane << 5) + (self.c2 << 3) + (self.c1 << 1) + (self.p1 == self.p2)
-        self.qa, self.qb, self.qc = self.sure.take(self.ka), self.both.take(self.kb), self.next.take(self.kb)
-        f0 = ((self.qa + self.qb) >> (17 - ODDS)) + np.int32(1)  # the two predictions mixed evenly
-        f1 = (((1 << ODDS) - f0) * (self.qc >> 6) >> 10) + np.int32(1)
-        return np.minimum(f0, (1 << ODDS) - 3), np.minimum(f1, (1 << ODDS) - 1 - np.minimum(f0, (1 << ODDS) - 3))
-
-    def update(self, n: int, x: np.ndarray, which: np.ndarray):
+        self.kb = (self.ka << 3) + ((self.c1 << 1) + (self.p1 == self.p2))
+        self.qa, self.qb = self.sure.take(self.ka, mode="clip"), self.both.take(self.kb, mode="clip")
+        self.qc = self.next.take(self.kb, mode="clip")
+        f0 = ((self.qa + self.qb) >> (17 - ODDS)) + 1  # the two predictions mixed evenly
+        np.minimum(f0, (1 << ODDS) - 3, out=f0)
+        rest = (1 << ODDS) - f0
+        f1 = (rest * (self.qc >> 6) >> 10) + 1
+        return f0, np.minimum(f1, rest - 1, out=f1)
+
+    def update(self, n: int, x: np.ndarray, which: np.ndarray, missed: np.ndarray):
+        """Learn the ids x; `missed`: the lanes that neither order predicted."""
         goal = (which == 0) * np.int32(65535)
         self.sure[self.ka] = self.qa + ((goal - self.qa) >> 5)
         self.both[self.kb] = self.qb + ((goal - self.qb) >> 4)
-        late = np.flatnonzero(which)
-        seen = self.qc[late]
-        self.next[self.kb[late]] = seen + (((which[late] == 1) * np.int32(65535) - seen) >> 4)
-        self.count.reshape(-1)[(self.lane[:n] << 8) + (x >> 8)] += 24
-        for store, guess, sure, at in ((self.two, self.p2, self.c2, self.i2), (self.one, self.p1, self.c1, self.i1)):
+        # a right order 2 leaves the odds of order 1 as they are
+        step = ((which == 1) * np.int32(65535) - self.qc) >> 4
+        self.next[self.kb] = self.qc + step * (which > 0)
+        at = (missed << 8) + (x.take(missed) >> 8)
+        self.flat_count[at] = self.flat_count.take(at, mode="clip") + 24
+        for store, entry, guess, sure, i in ((self.two, self.e2, self.p2, self.c2, self.i2),
+                                             (self.one, self.e1, self.p1, self.c1, self.i1)):
             right = guess == x
-            keep = right | (sure > 1)
-            sure = np.minimum(np.maximum(sure + (right * np.int32(2) - np.int32(1)), 1), 3)
-            store[at] = np.where(keep, guess, x) | (sure << 16)
+            # a right guess gains confidence up to 3; a wrong one loses it, and at 1 gives way
+            gained = entry + ((sure < 3).astype(np.int32) << 16)
+            lost = np.where(sure > 1, entry - 65536, x | 65536)
+            store[i] = np.where(right & (sure > 0), gained, lost)
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
 
 def _due(t: int) -> bool:
-    """When order-0 buckets are rebuilt: often at first, then every 64 ids."""
-    return t % 64 == 0 or t in (4, 8, 16, 32)
+    """When order-0 buckets are rebuilt: often at first, then every 128 ids."""
+    return t % 128 == 0 or t in (4, 8, 16, 32, 64)
 
 
 def _shrink(low: np.ndarray, width: np.ndarray, emit) -> None:
@@ -114,7 +123,7 @@ def _shrink(low: np.ndarray, width: np.ndarray, emit) -> None:
         tight = (some_low ^ (some_low + some_width)) >= TOP
         if tight.any():
             some_width[tight] = (~some_low[tight] + np.uint64(1)) & (LEAST - np.uint64(1))
-        emit(due)
+        emit(due, some_low)
         some_low <<= np.uint64(16)
         some_width <<= np.uint64(16)
         low[due], width[due] = some_low, some_width
@@ -132,13 +141,13 @@ def encode_blocks(ids: np.ndarray) -> list:
     tail = len(ids) - (lanes - 1) * BLOCK
     model = Model(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, fill = np.zeros((lanes, 3 * BLOCK + 8), np.uint16), np.zeros(lanes, np.int64)
-    place = np.arange(lanes) * out.shape[1]
-    flat = out.reshape(-1)
+    out = np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
+    flat, place = out.reshape(-1), np.arange(lanes) * out.shape[1]
+    fill = place.copy()
 
-    def emit(due):
+    def emit(due, value):
         at = fill[due]
-        flat[place[due] + at] = low[due] >> np.uint64(48)
+        flat[at] = value >> np.uint64(48)
         fill[due] = at + 1
 
     for t in range(min(BLOCK, len(ids))):
@@ -155,8 +164,8 @@ def encode_blocks(ids: np.ndarray) -> list:
         if len(m):
             xm, fm = x[m], f0[m] + f1[m]
             at = (m * 257) + (xm >> 8)
-            edge = model.flat.take(at)
-            span = model.flat.take(at + 1) - edge
+            edge = model.flat.take(at, mode="clip")
+            span = model.flat.take(at + 1, mode="clip") - edge
             rest = (1 << ODDS) - fm
             first[m] = (fm << 20) + rest * ((edge << 8) + (xm & 255) * span)
             size[m] = rest * span
@@ -164,11 +173,11 @@ def encode_blocks(ids: np.ndarray) -> list:
         low[:n] += unit * first.astype(np.uint64)
         np.multiply(unit, size.astype(np.uint64), out=width[:n])
         _shrink(low[:n], width[:n], emit)
-        model.update(n, x, which)
+        model.update(n, x, which, m)
     for _ in range(4):
-        emit(np.arange(lanes))
+        emit(model.lane, low)
         low <<= np.uint64(16)
-    return [out[k, :fill[k]].astype("<u2").tobytes() for k in range(lanes)]
+    return [flat[a:b].astype("<u2").tobytes() for a, b in zip(place.tolist(), fill.tolist(), strict=True)]
 
 
 def decode_blocks(payloads: list, sizes: list) -> np.ndarray:
@@ -188,7 +197,7 @@ def decode_blocks(payloads: list, sizes: list) -> np.ndarray:
     flat, at = units.reshape(-1), np.arange(lanes) * units.shape[1] + 4
     grid = np.zeros((length, lanes), np.int32)
 
-    def take(due):
+    def take(due, _):
         where = at[due]
         code[due] = (code[due] << np.uint64(16)) | flat[where]
         at[due] = where + 1
@@ -212,9 +221,9 @@ def decode_blocks(payloads: list, sizes: list) -> np.ndarray:
             inner = (value[m] - (fm << 20)) // rest
             want, bucket = inner >> 8, m * 257
             for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                bucket += step * (model.flat.take(bucket + step) <= want)
-            edge = model.flat.take(bucket)
-            span = model.flat.take(bucket + 1) - edge
+                bucket += step * (model.flat.take(bucket + step, mode="clip") <= want)
+            edge = model.flat.take(bucket, mode="clip")
+            span = model.flat.take(bucket + 1, mode="clip") - edge
             byte = (inner - (edge << 8)) // span
             x[m] = ((bucket - m * 257) << 8) + byte
             first[m] = (fm << 20) + rest * ((edge << 8) + byte * span)
@@ -223,7 +232,7 @@ def decode_blocks(payloads: list, sizes: list) -> np.ndarray:
         low[:n] += unit * first.astype(np.uint64)
         np.multiply(unit, size.astype(np.uint64), out=width[:n])
         _shrink(low[:n], width[:n], take)
-        model.update(n, x, which)
+        model.update(n, x, which, m)
     return grid.T.reshape(-1)[:(lanes - 1) * length + sizes[-1]].astype(np.uint32)
 
 
