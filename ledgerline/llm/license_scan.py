@@ -125,13 +125,15 @@ def scan(docs: DataFrame, found_templates: list | None = None) -> DataFrame:
         "t int, needed int, label string, base boolean, full array<string>, key_at int, key array<string>")
     agreed = starts.join(F.broadcast(needed), "t").where("n = needed").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("label", "base", "start", "full", "key_at", "key")).alias("at"))
-    checked = texts.dropDuplicates(["k1", "k2"]).join(agreed, ["k1", "k2"]).select("k1", "k2", F.expr(f"""
+    checked = texts.join(agreed, ["k1", "k2"]).select("k1", "k2", F.expr(f"""
         filter(transform(filter(at, c -> c.start + c.key_at >= 0
             and slice(words, greatest(1, c.start + c.key_at + 1), size(c.key)) = c.key), c -> named_struct(
             'label', c.label, 'base', c.base, 'start', c.start,
             'share', size(filter(c.full, (w, i) -> get(words, c.start + i) <=> w)) / size(c.full))),
             h -> h.share >= {MIN_SHARE})""").cast(hits).alias("hits"))
-    checked = stages.keep(checked.where("size(hits) > 0"), "checked")
+    # repeated rows have equal hits; only rows with hits are grouped
+    checked = stages.keep(checked.where("size(hits) > 0").groupBy("k1", "k2", "hits").agg(
+        F.count(F.lit(1)).alias("times")).drop("times"), "checked")
     return rows.join(checked, ["k1", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("hits", F.expr(f"cast(array() as {hits})")).alias("hits"))
 
