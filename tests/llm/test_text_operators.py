@@ -73,6 +73,16 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert removed == {10, 11, 12}
 
 
+def test_fixed_blocks_and_copies_do_not_save_a_line_of_the_stage(spark):
+    menu = "Home\nProducts\nContact"
+    rows = [(i, f"{menu}\nown words {i}\n\nAll rights\n\nmore words {i}", "en", f"s{i % 12}") for i in range(40)]
+    rows += [(100 + i, f"one text\nAll rights\n{menu}", "en", f"s{i % 12}") for i in range(60)]  # copies
+    rows += [(200 + i, f"copied {i // 40}\nof few texts", "en", f"s{i % 12}") for i in range(80)]
+    text = {r.doc_id: r.text for r in line_dedup.dedup_lines_stage(documents(spark, rows)).collect()}
+    assert text[7] == "own words 7\n\n\nmore words 7"
+    assert text[130] == "one text" and text[250] == "copied 1\nof few texts"
+
+
 def test_near_dedup_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in small_documents(spark).select("doc_id", "text").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate(near_copies())]
