@@ -9,8 +9,9 @@ perturbations are scored, so the order is the true one.
 
 Buckets are dealt by Spark: rows of a bucket in blocks of `BLOCK` by hash, queries
 likewise, so neither a hot bucket nor a popular probe makes a large group.  Each
-(bucket, row block, query block) reranks by the exact cosine and returns its k best;
-they are merged per query.  A query that found fewer than k although more rows exist
+(bucket, row block, query block) reranks by the exact cosine and returns its k best,
+each vec_id once; they are merged per query.  Repeated rows collapse to one before
+they are indexed.  A query that found fewer than k although more rows exist
 visits every bucket of the first table, so small tables are answered in full.
 
 The defaults were fitted on vectors that are close to random directions, where
@@ -107,19 +108,25 @@ def _rerank(k: int):
         out_q, out_v, out_s = [], [], []
         if len(q) and len(c):
             norm = np.sqrt((m * m).sum(axis=1))
+            c = c[np.argsort(ids[c], kind="stable")]
+            first = np.flatnonzero(np.diff(ids[c], prepend=ids[c[0]] - 1))
             for s in range(0, len(q), 256):
                 mine = q[s:s + 256]
                 score = (m[mine] @ m[c].T) / np.outer(norm[mine], norm[c])
                 score[ids[mine][:, None] == ids[c][None, :]] = -np.inf
-                top = np.argpartition(-score, k - 1, axis=1)[:, :k] if len(c) > k else np.tile(np.arange(len(c)), (len(mine), 1))
-                edge = np.take_along_axis(score, top, 1).min(axis=1)
+                best = np.maximum.reduceat(score, first, axis=1)  # copies of a vec_id count once
+                edge = -np.partition(-best, k - 1, axis=1)[:, k - 1] if len(first) > k else best.min(axis=1)
                 r, j = np.nonzero((score >= edge[:, None] - 1e-12) & np.isfinite(score))  # all ties of the last place
-                exact = exact_cosine(m[mine[r]], m[c[j]])
-                order = np.lexsort((ids[c[j]], -exact, r))
+                exact, own = exact_cosine(m[mine[r]], m[c[j]]), ids[c[j]]
+                order = np.lexsort((-exact, own, r))
+                new = np.ones(len(r), bool)
+                new[1:] = (np.diff(own[order]) != 0) | (np.diff(r[order]) != 0)
+                r, j, exact, own = (x[order[new]] for x in (r, j, exact, own))
+                order = np.lexsort((own, -exact, r))
                 rank = np.arange(len(r)) - np.searchsorted(r[order], r[order], "left")
                 some = order[rank < k]
                 out_q.append(ids[mine[r[some]]])
-                out_v.append(ids[c[j[some]]])
+                out_v.append(own[some])
                 out_s.append(exact[some])
         flat = [np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_v, out_s)]
         return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)),
@@ -149,7 +156,7 @@ def search(df: DataFrame, is_query, k: int = 5, tables: int = TABLES, hashes: in
     stages = Stages(df.sparkSession, "nearest")
     rows = whole_vectors(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).where(
         "vec_id is not null").select("vec_id", "dim", "v")
-    rows = stages.keep(rows, "rows")
+    rows = stages.keep(rows.distinct(), "rows")
     schema = "vec_id long, dim int, v array<double>, tab int, bucket long"
     index = stages.keep(rows.mapInArrow(_hashed(tables, hashes, width, 0), schema), "index")
     queries = rows.where(is_query)

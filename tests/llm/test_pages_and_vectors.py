@@ -182,3 +182,24 @@ def test_small_blocks_change_nothing(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     a, b = (sorted(tuple(r) for r in nearest.search(df, "vec_id % 10 = 0", block=n).collect()) for n in (7, 2048))
     assert [x[:3] for x in a] == [x[:3] for x in b]
+
+
+def test_repeated_rows_take_no_neighbour_s_place(spark):
+    rows = vectors(60, seed=11)
+    other = [(i, [x + 0.05 * (d == i % 16) for d, x in enumerate(v)], label) for i, v, label in rows]  # a second vector each
+    for table in (rows, rows + other):
+        want, got = ({tuple(r) for r in nearest.search(spark.createDataFrame(x, SCHEMA), "vec_id % 10 = 0").collect()}
+                     for x in (table, table * 6))
+        assert {x[:3] for x in got} == {x[:3] for x in want} and len(got) == 6 * 5
+        score, ids = cosines(table), np.array([r[0] for r in table])
+        for q in range(0, 60, 10):
+            best = sorted((-max(score[np.ix_(ids == q, ids == i)].ravel()), i) for i in range(60) if i != q)[:5]
+            assert [i for _, i in best] == [x[2] for x in sorted(got) if x[0] == q]
+
+
+def test_rerank_counts_copies_once():
+    import pyarrow as pa
+    v = [[1.0, 0.0]] + [[1.0, 0.1 * i] for i in range(1, 8) for _ in range(6)]
+    ids = [0] + [i for i in range(1, 8) for _ in range(6)]
+    out = nearest._rerank(5)(pa.table({"query": [True] + [False] * 42, "vec_id": ids, "v": v}))
+    assert out.column("vec_id").to_pylist() == [1, 2, 3, 4, 5]
