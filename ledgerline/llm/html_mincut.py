@@ -3,7 +3,9 @@
 A page becomes its text blocks in page order, each with its chain of open elements.
 A small additive classifier gives every block evidence for content and for
 boilerplate (element names, class, id and role words, links, length); these are its
-capacities to the two terminals.  Neighbouring blocks, and consecutive blocks of one
+capacities to the two terminals.  Class words of an element count for all below it, but
+length and paragraphs can outweigh them, and they count nothing on html, body, article,
+main and on a wrapper that holds most of the page's text; nor does a form that does.  Neighbouring blocks, and consecutive blocks of one
 parent, are joined by smoothness capacities that shrink with their distance in the
 DOM.  The maximum flow's cut labels all blocks of the page at once; the source side
 is the article.
@@ -33,7 +35,7 @@ BLOCK = ("address article aside blockquote body center dd details dialog div dl
          "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot "
          "thead tr ul").split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-OUTSIDE = "nav footer aside form menu dialog".split()
+OUTSIDE = "nav footer aside menu dialog".split()
 INSIDE = "article main".split()
 NOISE = set("""ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie
 cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices
@@ -41,16 +43,19 @@ overlay pager pagination popup promo promotion related replies reply respond sea
 social sponsor sponsored subscribe toolbar widget complementary contentinfo""".split())
 HEAD_WORDS = {"header", "masthead", "top"}  # noise only outside the article
 
+WHOLE = "html body article main".split()  # never noise by their own words
 #: Evidence and smoothness, in units of one link of a chain of paragraphs.
 SURE, LIKELY, SMOOTH = 1000, 80, 30
+#: Noise by the words of class, id and role: a paragraph of 36 words outweighs it.
+WORDED = 90
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_MARK = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _WORD = re.compile(r"[a-z0-9]+")
-_BLOCK, _VOID, _OUTSIDE, _INSIDE = set(BLOCK), set(VOID), set(OUTSIDE), set(INSIDE)
+_BLOCK, _VOID, _OUTSIDE, _INSIDE, _WHOLE = set(BLOCK), set(VOID), set(OUTSIDE), set(INSIDE), set(WHOLE)
 _CLOSES_P = _BLOCK - {"body", "html"}
 
 
@@ -58,7 +63,7 @@ def _words(attrs: str) -> tuple[set, bool]:
     """Words of class, id and role, and whether the element is hidden."""
     found, hidden = set(), False
     for m in _MARK.finditer(attrs):
-        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        kind, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id", "role"):
             found.update(_WORD.findall(value))
         elif kind == "hidden" or (kind == "aria-hidden" and value == "true"):
@@ -69,25 +74,54 @@ def _words(attrs: str) -> tuple[set, bool]:
 
 
 class _Element:
-    __slots__ = ("name", "noise", "inside", "depth", "parent")
+    """An open element; noise is 0, WORDED (class words) or SURE; `inside` has bits for main (1) and article (2)."""
+
+    __slots__ = ("name", "own", "noise", "inside", "depth", "parent", "size")
 
     def __init__(self, name, parent, attrs):
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
-        self.noise = parent.noise if parent else False
-        self.inside = parent.inside if parent else False
+        self.inside = parent.inside if parent else 0
+        self.own = self.size = 0
         words, hidden = _words(attrs) if attrs else ((), False)
-        if name in _OUTSIDE or hidden or (words and not words.isdisjoint(NOISE)):
-            self.noise = True
-        elif not self.inside and (name == "header" or (words and not words.isdisjoint(HEAD_WORDS))):
-            self.noise = True
+        if name in _OUTSIDE or name == "form" or hidden or (name == "header" and not self.inside):
+            self.own = SURE
+        elif name not in _WHOLE and words and not (
+                words.isdisjoint(NOISE) and (self.inside or words.isdisjoint(HEAD_WORDS))):
+            self.own = WORDED
         if name in _INSIDE:
-            self.inside = True
+            self.inside |= 2 if name == "article" else 1
+        self.noise = max(self.own, parent.noise if parent else 0)
+
+
+def _judge(elements: list, found: list) -> None:
+    """Spare forms and elements with noise words that hold most of the page's text.
+
+    The page's text is that of its articles outside all noise, or else that of `main`, or else all text;
+    what lies in an element that is noise by its name or hidden doesn't count.
+    """
+    lasting = {}
+    for e in elements:  # parents come first
+        lasting[e] = (e.own == SURE and e.name != "form") or (e.parent is not None and lasting[e.parent])
+    some = [b for b in found if not lasting[b[1]]]
+    page = ([b for b in some if not b[1].noise and b[1].inside & 2]
+            or [b for b in some if b[1].inside & 1] or some)
+    for text, e, _ in page:
+        e.size += len(text)
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.size += e.size
+    total = elements[0].size
+    for e in elements:
+        spared = (e.own == WORDED or e.name == "form") and 2 * e.size > total
+        e.noise = max(0 if spared else e.own, e.parent.noise if e.parent else 0)
+        begins = e.name in _INSIDE and not e.noise  # an article in noise is a comment or a teaser
+        e.inside = begins or (e.parent is not None and bool(e.parent.inside))
 
 
 def blocks(page: str) -> list:
     """[(text, innermost element, link characters)] in page order."""
     root = _Element("#root", None, "")
-    stack, out = [root], []
+    stack, elements, out = [root], [root], []
     parts, linked, in_link, in_head = [], 0, 0, False
 
     def flush():
@@ -153,7 +187,10 @@ def blocks(page: str) -> list:
             in_link += 1
         if name in _BLOCK or not m["attrs"].endswith("/"):
             stack.append(_Element(name, stack[-1], m["attrs"]))
+            elements.append(stack[-1])
     flush()
+    if any(e.own for e in elements):
+        _judge(elements, out)
     return out
 
 
@@ -161,7 +198,7 @@ def evidence(text: str, element: _Element, linked: int, marked: bool = True) ->
     """Capacities of a block to the content and to the boilerplate terminal; `marked`: the page has an article."""
     content, other = 0, 0
     if element.noise:
-        other += SURE
+        other += element.noise
     elif element.inside:
         content += LIKELY
     words = text.count(" ") + 1

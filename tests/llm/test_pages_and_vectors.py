@@ -45,6 +45,30 @@ def test_main_text(page, want):
     assert html_mincut.main_text(page) == want
 
 
+STORY = "<p>A story with a fair number of words, so that it counts as text.</p><p>It goes on.</p>"
+LONG = "Many words make a long paragraph that says a lot of things about the matter " * 4
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article>STORY</article></body>",
+    "<body class='has-sidebar'><div class=wrap><article>STORY</article><div class='sidebar'><p>Latest posts</p></div></div>",
+    "<div id='page-with-menu'><article>STORY</article><div class='related'>Other story</div></div>",
+    "<article class='post comments-open'>STORY</article>",
+    "<form><nav>Menu</nav><div class='has-sidebar'><article>STORY</article></div></form>",
+    "<main><div class='content has-sidebar'>STORY</div></main><section id=comments><article><p>LONG</article></section>",
+    "<article><div title='hidden gems' data-hidden='false' data-class='ad'>STORY</div></article>",
+    "<main><article>STORY</article><div class='comments'><article><p>Nice one</p></article></div></main>",
+    "<article>STORY<div class='social share'>Tweet this</div><p aria-hidden='true'>LONG</p><div hidden>LONG</div></article>"])
+def test_words_of_a_wrapper_do_not_empty_a_page(page):
+    got = html_mincut.main_text(page.replace("STORY", STORY).replace("LONG", LONG))
+    assert got == "A story with a fair number of words, so that it counts as text.\nIt goes on."
+
+
+def test_long_paragraphs_outweigh_class_words():
+    page = f"<article>{STORY * 4}<div class='notice'><p>{LONG}</p></div><div class='notice'>Short</div></article>"
+    assert html_mincut.main_text(page).split("\n")[8:] == [LONG.strip()]
+
+
 def test_long_pages_and_deep_pages():
     many = "<article>" + "".join(f"<p>Paragraph number {i} of a long text.</p>" for i in range(4000)) + "</article><nav>m</nav>"
     assert html_mincut.main_text(many).count("\n") == 3999
