@@ -14,6 +14,9 @@ Blocks are divided by block elements; inline elements and `br` are white space o
 nothing.  Scripts, styles, forms' controls and comments have no text; character
 references are decoded; white space inside a block becomes one space.
 
+A page without an article or main part keeps every block that nothing speaks against,
+however short.
+
 Defined results: null, empty or wholly boilerplate html gives an empty text; unclosed
 and stray tags, and tags cut off at the end, are tolerated; text outside any body is
 text; repeated rows are returned each; an empty table gives no rows.
@@ -206,13 +209,14 @@ def evidence(text: str, element: _Element, linked: int, marked: bool = True) ->
     if element.name == "p":
         content += 20
     if not element.inside:
-        other += 60 if marked else 15
-        if element.name == "li":
-            other += 20
+        if marked:
+            other += 80 if element.name == "li" else 60
         if "©" in text:
             other += 40
     if 2 * linked > len(text):
         other += 60 if not element.inside else 10
+    if not marked and not other:  # a page without an article: only evidence removes text, no neighbours
+        content += SURE
     return content, other
 
 

@@ -64,6 +64,18 @@ def test_words_of_a_wrapper_do_not_empty_a_page(page):
     assert got == "A story with a fair number of words, so that it counts as text.\nIt goes on."
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div>Short text.</div>", "Short text."),
+    ("<table><tr><td>a<td>b</tr><tr><td>c<td>d</tr></table>", "a b\nc d"),
+    ("<ul><li>One<li>Two</ul>", "One\nTwo"),
+    ("<div>Roses are red</div><div>Violets</div>", "Roses are red\nViolets"),
+    ("<ul><li><a href=x>Home</a><li><a href=y>About us</a></ul><div>Short text.</div><div class=ad>Buy</div><div>© 2020 x</div>",
+     "Short text."),
+    ("<nav>Menu</nav><div class=post-body>Hi</div><div class=related><a href=z>Next story</a></div>", "Hi")])
+def test_pages_without_an_article_keep_short_blocks(page, want):
+    assert html_mincut.main_text(page) == want
+
+
 def test_long_paragraphs_outweigh_class_words():
     page = f"<article>{STORY * 4}<div class='notice'><p>{LONG}</p></div><div class='notice'>Short</div></article>"
     assert html_mincut.main_text(page).split("\n")[8:] == [LONG.strip()]
