@@ -117,11 +117,11 @@ def _signatures(width: int):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, whole_texts = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("whole")
             null = np.array(batch.column("doc_id").is_null())
             held, size = [], 0
 
-            def flush(held=held, ids=ids, null=null):
+            def flush(held=held, ids=ids, null=null, whole_texts=whole_texts):
                 rows = np.array([r for r, _ in held], np.int64)
                 counts = np.array([len(s) for _, s in held], np.int64)
                 full = np.flatnonzero(counts)
@@ -138,12 +138,12 @@ def _signatures(width: int):
                     whole[full] = _set_hash(sets)
                 own = [pa.array(ids[rows].astype(np.int64) if not null.any() else
                                 [None if null[r] else int(ids[r]) for r in rows], pa.int64()),
-                       pa.array(counts), pa.array(whole.view(np.int64)),
+                       whole_texts.take(pa.array(rows)), pa.array(counts), pa.array(whole.view(np.int64)),
                        pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()),
                                                 pa.array(bands.ravel()))]
                 own += [pa.array(np.ascontiguousarray(sketch[:, c])) for c in range(len(_SKETCH))]
                 held.clear()
-                return pa.RecordBatch.from_arrays(own, ["doc_id", "n", "h1", "bands", *_SKETCH])
+                return pa.RecordBatch.from_arrays(own, ["doc_id", "whole", "n", "h1", "bands", *_SKETCH])
 
             for row, own in shingle_sets(batch.column("text"), width):
                 held.append((row, own))
@@ -218,6 +218,7 @@ class NearDedup:
 
     def __init__(self, docs: DataFrame, width: int = 2, percent: int = 80):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.keyed = self.docs.withColumn("whole", F.xxhash64("text"))
         self.width, self.percent = width, percent
         self.stages = Stages(docs.sparkSession, "near-dedup")
 
@@ -255,17 +256,17 @@ class NearDedup:
         return links
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept for every row."""
+        """doc_id, the hash `whole` of the text, n_shingles, component_id, kept for every row."""
         keep, p = self.stages.keep, self.percent
         self.bound = odd_bound(BANDS * ROWS, BITS, p / 100)
         self.reads = 0
-        sig = keep(self.docs.mapInArrow(
-            _signatures(self.width), "doc_id long, n long, h1 long, bands array<long>, "
+        sig = keep(self.keyed.mapInArrow(
+            _signatures(self.width), "doc_id long, whole long, n long, h1 long, bands array<long>, "
             + ", ".join(f"{s} long" for s in _SKETCH)), "signatures")
         self.classes = classes = keep(sig.where("n > 0 and doc_id is not null").groupBy("h1")
                                       .agg(F.min("doc_id").alias("rep")), "classes")
         self.reps = reps = keep(sig.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"],
-                                         "left_semi").drop("doc_id"), "reps")
+                                         "left_semi").drop("doc_id", "whole"), "reps")
         keys = reps.select("h1", F.posexplode("bands").alias("band", "key"))
         sizes = keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         met = keep(keys.join(sizes, "key").select("key", "band", "h1", "size"), "met")
@@ -292,8 +293,8 @@ class NearDedup:
         self.stages.drop("reps", "apart", "apart-classes", "fine", "rest", "across")
         first = keep(named.groupBy("part").agg(F.min("rep").alias("component")), "first-ids")
         of_class = keep(named.join(first, "part").select("h1", "component"), "class-components")
-        out = sig.select("doc_id", F.col("n").alias("n_shingles"), "h1").join(of_class, "h1", "left")
-        return out.select("doc_id", "n_shingles", F.expr(
+        out = sig.select("doc_id", "whole", F.col("n").alias("n_shingles"), "h1").join(of_class, "h1", "left")
+        return out.select("doc_id", "whole", "n_shingles", F.expr(
             "if(n_shingles > 0 and doc_id is not null, component, doc_id)").alias("component_id")).withColumn(
             "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -317,16 +318,19 @@ class NearDedup:
 
 
 def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    return NearDedup(docs, width, percent).run()
+    return NearDedup(docs, width, percent).run().drop("whole")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose document is in a group kept under a smaller id.
+    """`docs` without the rows whose document is in a group kept under a smaller id, by two-word shingles.
 
-    Rows that repeat a kept doc_id stay.  Only the ids to drop meet the texts.
+    Rows that repeat a kept doc_id stay; of a doc_id with several texts each text is
+    judged alone.  Only the ids and text hashes to drop meet the texts.
     """
     run = NearDedup(docs)
     stages = Stages(docs.sparkSession, "near-dedup-stage")
-    gone = stages.keep(run.run().where("not kept").select("doc_id").distinct(), "gone")
+    gone = stages.keep(run.run().where("not kept").select(
+        F.col("doc_id").alias("__id"), F.col("whole").alias("__whole")).distinct(), "gone")
     run.stages.clear()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__whole"))
+    return docs.join(gone, own, "left_anti").select(*docs.columns)

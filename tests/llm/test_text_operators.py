@@ -122,6 +122,14 @@ def test_near_dedup_edge_cases(spark):
     assert near_dedup.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_each_text_of_a_repeated_doc_id_is_judged_alone(spark):
+    rows = [(1, "a b c d e", None, None), (7, "a b c d e", None, None), (7, "quite another text", None, None),
+            (8, "A B C D E", None, None), (8, None, None, None), (8, "", None, None)]
+    kept = near_dedup.keep_one_of_each(documents(spark, rows, CLASHING))
+    assert sorted((r.doc_id, str(r.text)) for r in kept.collect()) == [
+        (1, "a b c d e"), (7, "quite another text"), (8, ""), (8, "None")]
+
+
 def test_odd_bound_lets_the_similarity_pass():
     import numpy as np
     rng = np.random.default_rng(1)
