@@ -7,7 +7,8 @@ last return the columns of `documents`.
 * ``language``: documents whose language isn't found go (`und`, or too few known
   trigrams of the best language).
 * ``lines``: cross-site boilerplate lines go from the texts; every document stays.
-* ``near_duplicates``: of each group of near copies the smallest doc_id stays.
+* ``near_duplicates``: of each group of near copies (two-word shingles, 0.8) the
+  smallest doc_id stays.
 * ``packing``: what is left is tokenized and packed into windows.
 """
 
