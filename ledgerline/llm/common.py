@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.session import shared_dir
 
@@ -144,3 +145,43 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     ends = np.flatnonzero(solid & ~after) + 1
     rows = np.searchsorted(offsets, starts, "right") - 1
     return starts, ends, rows
+
+
+def _number(batches):
+    """Rows of a sorted partition with the partition's number and their place in it."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))],
+            [*batch.schema.names, "__part", "__at"])
+        at += n
+
+
+def ranked(df: DataFrame, order: list, stages: Stages, name: str) -> DataFrame:
+    """`df` (a written table) with `rank` from 1 in the order of `order`, which must tell rows apart."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    dealt = stages.keep(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                        .mapInArrow(_number, f"{kind}, __part int, __at long"), name)
+    first, rows = 1, []
+    for part, size in sorted(dealt.groupBy("__part").count().collect()):  # one row per partition
+        rows.append((part, first))
+        first += size
+    offsets = df.sparkSession.createDataFrame(rows, "__part int, __first long")
+    return (dealt.join(F.broadcast(offsets), "__part").withColumn("rank", F.col("__first") + F.col("__at"))
+            .drop("__part", "__at", "__first"))
+
+
+def crc_sql(value: str) -> str:
+    """DuckDB: the CRC-32 of a text's bytes; `t` is the table of `crc_table`."""
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode({value}))), "
+            f"lambda i: ('0x' || substr(hex(encode({value})), 2 * i + 1, 2))::bigint)), "
+            f"lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)")
+
+
+CRC_TABLE = """crc_table as (select list(v order by k) as t from (select k, list_reduce(list_prepend(k, range(0, 8)),
+   lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)) as v from (select unnest(range(0, 256)) as k)))"""
