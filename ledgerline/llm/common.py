@@ -52,13 +52,23 @@ class Stages:
         self.drop("")
 
 
-def process_cache() -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
+def process_cache(owner: str = "shared") -> dict:
+    """A dict that lives as long as the Python worker, across its tasks, for one owner.
+
+    An owner that asks for the first time ends the others' (all but the small "shared"
+    one), so a worker never holds the tables of steps that are over.
+    """
     name = "_ledgerline_worker_cache"
     if name not in sys.modules:
         sys.modules[name] = types.ModuleType(name)
         sys.modules[name].store = {}
-    return sys.modules[name].store
+    store = sys.modules[name].store
+    if owner not in store:
+        if owner != "shared":
+            for other in [o for o in store if o != "shared"]:
+                del store[other]
+        store[owner] = {}
+    return store[owner]
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ MIN_SUPPORT = 0.2
 
 
 def _letters() -> np.ndarray:
-    store = process_cache()
+    store = process_cache("langid")
     if "letters" not in store:
         store["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return store["letters"]

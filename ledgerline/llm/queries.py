@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (embed_dedup, html_mincut, langid, license_scan, line_dedup, near_dedup, nearest, packing,
+from ledgerline.llm import (embed_dedup, html_mincut, kneser_ney, langid, license_scan, line_dedup, near_dedup, nearest, packing,
                             prefix_trie, resample, sentence_pieces, token_store)
 from ledgerline.llm.common import table
 
@@ -59,6 +59,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_packing, op3_line_dedup, op4_near_dedup, op5_sentence_pieces, op6_html_text,
         op7_embedding_dedup, op8_language, op9_token_store, op10_nearest, op11_resample,
-        op13_prefix_trie)}
+        op12_perplexity, op13_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE, "op11_resample": resample.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}

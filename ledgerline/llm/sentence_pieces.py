@@ -118,14 +118,14 @@ class Pieces:
 
 
 def pieces(path: str) -> Pieces:
-    store = process_cache()
+    store = process_cache("sentence-pieces")
     if ("pieces", path) not in store:
         store["pieces", path] = Pieces(path)
     return store["pieces", path]
 
 
 def _table(path: str) -> WordTable:
-    store = process_cache()
+    store = process_cache("sentence-pieces")
     if ("piece words", path) not in store:
         store["piece words", path] = WordTable(pieces(path).encode)
     return store["piece words", path]

@@ -98,7 +98,7 @@ class WordTable:
 
 def word_table(path: str) -> WordTable:
     """The worker's table for a vocabulary file of the `tokenizers` library."""
-    store = process_cache()
+    store = process_cache("tokens")
     if ("words", path) not in store:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
