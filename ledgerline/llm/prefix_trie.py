@@ -221,22 +221,29 @@ def _digest(batches):
 
 
 def _subtrees(nodes: DataFrame, stages: Stages) -> DataFrame:
-    """k1, k2, leaves, saved summed over every node's subtree, by pointer doubling."""
-    state = nodes.select("k1", "k2", F.col("p1").alias("a1"), F.col("p2").alias("a2"), "leaves", "saved")
-    turn = 0
-    while not state.where("a1 is not null").isEmpty():
-        turn += 1
-        up = state.where("a1 is not null").groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(
-            F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
-        hop = state.where("a1 is not null").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"),
-                                                   F.col("a1").alias("far1"), F.col("a2").alias("far2"))
-        state = stages.keep(state.join(up, ["k1", "k2"], "left").join(hop, ["a1", "a2"], "left").select(
-            "k1", "k2", F.col("far1").alias("a1"), F.col("far2").alias("a2"),
+    """k1, k2, n_leaves, saved_tokens summed over every node's subtree, by pointer doubling.
+
+    Round k moves what a node holds of its descendants to distance 2**k to its ancestor
+    at that distance; only nodes that deep take part.  What every round moved is added up
+    at the end.
+    """
+    key = ["k1", "k2"]
+    live = nodes.where("depth > 0").select(*key, "depth", F.col("p1").alias("a1"), F.col("p2").alias("a2"), "leaves", "saved")
+    moved, reach, most = nodes.select(*key, "leaves", "saved"), 1, nodes.agg(F.max("depth")).first()[0] or 0
+    while reach <= most:
+        up = stages.keep(live.groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(
+            F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved")), f"moved-{reach}")
+        moved = moved.union(up)
+        hop = live.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
+        more = up.select(*key, F.col("leaves").alias("more_leaves"), F.col("saved").alias("more_saved"))
+        deep = live.where(f"depth >= {2 * reach}").join(more, key, "left").join(hop, ["a1", "a2"])
+        live = stages.keep(deep.select(
+            *key, "depth", F.col("b1").alias("a1"), F.col("b2").alias("a2"),
             (F.col("leaves") + F.coalesce("more_leaves", F.lit(0))).alias("leaves"),
-            (F.col("saved") + F.coalesce("more_saved", F.lit(0))).alias("saved")), f"sums-{turn}")
-        if turn > 1:
-            stages.drop(f"sums-{turn - 1}")
-    return state.select("k1", "k2", F.col("leaves").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
+            (F.col("saved") + F.coalesce("more_saved", F.lit(0))).alias("saved")), f"live-{reach}")
+        stages.drop(f"live-{reach // 2}")
+        reach *= 2
+    return moved.groupBy(*key).agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
 
 
 def prefix_trie(conversations: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
@@ -260,8 +267,13 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT, depth: int = DEPTH
     stages.drop("numbered", "convs", "lengths", "ranked", "dealt")
     kids = nodes.where("p1 is not null").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(
         F.count(F.lit(1)).alias("n_children"))
+    # the root is the parent of many: its smallest member is one number, so no join gathers them
     above = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    nodes = stages.keep(nodes.join(kids, key, "left").join(above, ["p1", "p2"], "left").select(
+    root = nodes.where("depth = 0").select("conv_id").first()
+    named = (nodes.where("depth > 1").join(above, ["p1", "p2"]).select(*nodes.columns, "parent_conv_id")
+             .union(nodes.where("depth < 2").withColumn("parent_conv_id", F.when(
+                 F.col("depth") == 1, F.lit(root and root[0]).cast("long")))))
+    nodes = stages.keep(named.join(kids, key, "left").select(
         *key, "p1", "p2", "depth", "conv_id", "parent_conv_id", "n_convs",
         F.coalesce("n_children", F.lit(0)).alias("n_children"),
         F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("leaves"),
