@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 import uuid
@@ -14,6 +15,8 @@ from ledgerline.session import shared_dir
 
 #: Bytes of text that a task turns into numpy arrays at once.
 CHUNK_BYTES = 1 << 18
+#: Arrow batches of written stages.
+BATCH = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,8 @@ class Stages:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -52,6 +56,18 @@ class Stages:
         self.drop("")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Python workers get `BATCH` of rows at a time while this holds, however long the rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def process_cache(owner: str = "shared") -> dict:
     """A dict that lives as long as the Python worker, across its tasks, for one owner.
 

@@ -2,8 +2,8 @@
 
 Counting runs in Spark.  Words are hashed to 64 bits; a word's ordinal is its place in
 the sorted array of all hashes.  Pairs of ordinals, added up per `SPAN` of text first,
-are counted by an aggregation inside `shards` hash shards; every shard streams its
-sorted pairs into arrays in the shared folder.  The same pass gives each word's
+are dealt to hash shards and sorted there; every shard streams its sorted pairs, equal
+ones added up, into arrays in the shared folder.  The same pass gives each word's
 continuation count (distinct words before it) and its followers seen once, twice and
 more often; they make its unigram probability and the weight it leaves to unigrams:
 
@@ -39,18 +39,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import (Stages, ascii_lower, mix64, process_cache, row_chunks, span_hashes, text_bytes,
-                                   word_spans)
+from ledgerline.llm.common import (Stages, ascii_lower, mix64, process_cache, row_chunks, small_batches, span_hashes,
+                                   text_bytes, word_spans)
 
 #: Bytes of text whose pairs are added up at once.
-SPAN = 1 << 23
+SPAN = 3 << 20
 #: Bytes of text for each shard of the pair arrays, and the most shards (a shard is streamed, so it may be large).
 SHARD_BYTES, MAX_SHARDS = 1 << 24, 1 << 14
 END = np.uint64(0x0E17)
 #: Larger pair counts stand in a list of their own, with 0 in the array.
 MOST = (1 << 16) - 1
 #: Pairs whose words' counts are added up before they are shuffled.
-HELD = 1 << 21
+HELD = 1 << 19
 
 
 # ---- arrays in the shared folder ------------------------------------------------------------------
@@ -234,7 +234,9 @@ def _store_words(root: str):
 
 
 def _store_pairs(root: str):
-    """Streams (shard, v, w, n, key) rows in (shard, key) order into files; yields sums per word.
+    """Streams one shard's (shard, v, w, n, key) rows in key order into files; yields sums per word.
+
+    Equal keys are neighbours and are added up on the way.
 
     kind 0: a word's `a` words before it, `total` as a context, followers seen 1, 2, 3+ times.
     kind 1: how many pairs (`a`) are seen `word` times, up to 4.
@@ -242,14 +244,7 @@ def _store_pairs(root: str):
     def run(batches):
         import pyarrow as pa
 
-        now, files, large, held, size = None, None, [], [], 0
-
-        def close():
-            if files:
-                if large:
-                    files[2].add(np.concatenate(large))
-                for f in files:
-                    f.close()
+        files, large, held, size, open_ = None, [], [], 0, None
 
         def sums():
             v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -265,28 +260,38 @@ def _store_pairs(root: str):
                 [pa.array(kind), pa.array(np.concatenate([found, np.arange(1, 5)])), *map(pa.array, cols)],
                 ["kind", "word", "a", "total", "n1", "n2", "n3"])
 
-        for batch in batches:
-            shard, v, w, n, key = (batch.column(c).to_numpy() for c in ("shard", "v", "w", "n", "key"))
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(shard)], strict=True):
-                if i == j:
-                    continue
-                if shard[i] != now:
-                    close()
-                    now, large = shard[i], []
-                    files = [ArrayFile(f"{root}/{now}.{c}") for c in ("key", "count", "large")]
-                files[0].add(key[i:j])
-                files[1].add(np.where(n[i:j] > MOST, 0, n[i:j]).astype(np.uint16))
-                big = np.flatnonzero(n[i:j] > MOST) + i
-                if len(big):
-                    large.append(np.stack([key[big], n[big]], 1))
+        def store(key, v, w, n):
+            files[0].add(key)
+            files[1].add(np.where(n > MOST, 0, n).astype(np.uint16))
+            big = n > MOST
+            if big.any():
+                large.append(np.stack([key[big], n[big]], 1))
             held.append((v, w, n))
-            size += len(v)
+            return len(v)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if files is None:
+                shard = batch.column("shard")[0].as_py()
+                files = [ArrayFile(f"{root}/{shard}.{c}") for c in ("key", "count", "large")]
+            cols = [batch.column(c).to_numpy() for c in ("key", "v", "w", "n")]
+            if open_:
+                cols = [np.concatenate(x) for x in zip(open_, cols, strict=True)]
+            first = np.flatnonzero(np.diff(cols[0], prepend=cols[0][0] - 1))
+            total = np.add.reduceat(cols[3], first)
+            whole = [*(c[first] for c in cols[:3]), total]
+            open_ = [c[-1:] for c in whole]  # the last key may go on
+            size += store(*(c[:-1] for c in whole))
             if size >= HELD:
                 yield sums()
                 held, size = [], 0
-        close()
-        if held:
+        if files:
+            store(*open_)
+            if large:
+                files[2].add(np.concatenate(large))
+            for f in files:
+                f.close()
             yield sums()
     return run
 
@@ -366,16 +371,17 @@ def fit(docs: DataFrame, stages: Stages | None = None) -> Model:
     shards = min(MAX_SHARDS, max(1, math.ceil(size / SHARD_BYTES)))
     counts = docs.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     root = stages.path("words")
-    kept = sorted(tuple(r) for r in counts.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(
-        _store_words(root), "part long, n long, total long, low long").collect())  # one row per partition
+    kept = counts.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(
+        _store_words(root), "part long, n long, total long, low long")
+    with small_batches(spark):
+        kept = sorted(tuple(r) for r in kept.collect())  # one row per partition
     words = Words(root, [r[:2] for r in kept], [r[3] for r in kept])
     tokens, v_size = sum(r[2] for r in kept), len(words)
     pairs = docs.mapInArrow(_count_pairs(words, shards),
                             "shard int, v long, w long, n long")
-    # the aggregation keeps to the shards' partitioning, so each pair moves once
-    pairs = (pairs.repartition(shards, "shard").groupBy("shard", "v", "w").agg(F.sum("n").alias("n"))
-             .withColumn("key", F.expr("(shiftleft(v, 32) | shiftrightunsigned(v, 32)) ^ w"))
-             .sortWithinPartitions("shard", "key"))
+    # each pair moves once, to its shard's partition, and is added up from the sorted stream
+    pairs = (pairs.repartitionById(shards, "shard")
+             .withColumn("key", F.expr("(shiftleft(v, 32) | shiftrightunsigned(v, 32)) ^ w")).sortWithinPartitions("key"))
     sums = stages.keep(pairs.mapInArrow(
         _store_pairs(stages.path("pairs")), "kind int, word long, a long, total long, n1 long, n2 long, n3 long"), "sums")
     stats = stages.keep(sums.groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in ("a", "total", "n1", "n2", "n3")]),
@@ -516,14 +522,15 @@ def _added(table):
     return docs.set_column(4, "score", pa.array(score))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, stages: Stages | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of (doc_id, text)."""
+    stages = stages or Stages(docs.sparkSession, "kneser-ney")
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _asked(model), "shard int, chunk long, kind int, sizes array<long>, data binary")
-    answered = asked.repartition("shard").mapInArrow(
+    answered = asked.repartitionById(model.shards, "shard").mapInArrow(
         _answered(model), "chunk long, kind int, shard int, data binary")
-    return answered.groupBy("chunk").applyInArrow(
-        _added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return stages.keep(answered.groupBy("chunk").applyInArrow(
+        _added, "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scores")
 
 
 def held_out(doc_id) -> F.Column:

@@ -185,14 +185,17 @@ def _predict(model):
     return run
 
 
-def _accept(model, at: int):
-    def run(batches):
+def _accepted(docs: DataFrame, model: LanguageFilter):
+    """Whether a text's language is found, as a column: only the text goes through Python."""
+    shared = _shared(docs, model)
+
+    def run(texts):
         import pyarrow as pa
 
-        for batch in batches:
-            names, _, supports = label(batch.column(at), model.value)
-            yield batch.filter(pa.array((np.array(names, object) != "und") & (supports >= MIN_SUPPORT), pa.bool_()))
-    return run
+        names, _, supports = label(texts, shared.value)
+        return pa.array((np.array(names, object) != "und") & (supports >= MIN_SUPPORT), pa.bool_())
+
+    return F.arrow_udf(run, "boolean", F.ArrowUDFType.SCALAR)(F.col("text"))
 
 
 def _shared(docs: DataFrame, model: LanguageFilter):
@@ -222,4 +225,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     A filter in place: every column passes through, repeated rows stay repeated.
     """
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return docs.mapInArrow(_accept(_shared(docs, model), docs.columns.index("text")), docs.schema)
+    return docs.where(_accepted(docs, model))
