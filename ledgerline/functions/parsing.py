@@ -18,21 +18,29 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
 
 
+# An amount without its symbols and separators: bracket, sign, digits, scale letter, bracket.
+MONEY_NOISE = r"[,$€£₹%\s]"
+MONEY_PATTERN = r"^(\(?)([-+]?)((?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)([KMBTkmbt]?)(\)?)$"
+
+
 def parse_money(c) -> Column:
-    """C11: ``$1,234`` / ``(123)`` -> -123 / ``12%`` -> 12 / ``1.2B`` ->
-    1.2e9 / currency symbols ₹€£$ and separators removed; null tokens ->
-    NULL; anything else unparseable -> NULL."""
-    s = strip_ws(c)
-    s = F.when(s.isin(*NULL_TOKENS), F.lit(None)).otherwise(s)
-    s = F.regexp_replace(s, r"^\((.*)\)$", "-$1")
-    s = F.regexp_replace(s, r"[,$€£₹\s]", "")
-    s = F.regexp_replace(s, "%", "")
-    suffix = F.upper(F.regexp_extract(s, r"([KMBTkmbt])$", 1))
-    mult = F.lit(1.0)
-    for k, v in SUFFIX_MULTIPLIERS.items():
-        mult = F.when(suffix == k, F.lit(v)).otherwise(mult)
-    s = F.regexp_replace(s, r"[KMBTkmbt]$", "")
-    return s.try_cast("double") * mult
+    """C11: ``$1,234`` / ``(123)`` -> -123 / ``12%`` -> 12 / ``1.2B`` -> 1.2e9 / currency
+    symbols ₹€£$ and separators skipped; null tokens and whatever is no amount -> NULL.
+
+    One anchored pattern takes the text apart and the parts are put together as a number,
+    so a text that is only partly an amount (one bracket, two signs, a word) is none.
+    """
+    s = F.regexp_replace(col_(c), MONEY_NOISE, "")
+    part = {name: F.regexp_extract(s, MONEY_PATTERN, k) for k, name in enumerate(("open", "sign", "digits", "scale", "close"), 1)}
+    digits = part["digits"].try_cast("double")
+    scale = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_MULTIPLIERS.items() for x in kv]),
+                                    F.nullif(F.upper(part["scale"]), F.lit(""))), F.lit(1.0))
+    whole = (part["open"] == "(") == (part["close"] == ")")
+    signed = F.when(part["sign"] == "-", -digits).otherwise(digits)
+    in_brackets = part["open"] == "("
+    # a sign inside brackets is no amount
+    value = F.when(in_brackets & (part["sign"] != ""), F.lit(None)).when(in_brackets, -digits).otherwise(signed)
+    return F.when(whole, value * scale)
 
 
 def quarter_end_date(year: Column, quarter: Column) -> Column:

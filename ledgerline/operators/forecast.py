@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.numeric import as_long, col_, rnd
+from ledgerline.functions.numeric import as_long, col_, rnd, rnd_sig
 from ledgerline.operators.profile import FEATURE_COLS, grouped_quantiles
 
 
@@ -497,18 +497,19 @@ def fold_predictions(d: DataFrame) -> DataFrame:
     return t.select("fold", "ticker", "date", F.col("target").alias("actual"), F.inline(models))
 
 
-def cv_summary(split_df: DataFrame, folds: DataFrame) -> DataFrame:
-    """Per deterministic model, mean and population σ of MAE / RMSE /
-    R² over the expanding-window folds — one job: the training rows are
-    replicated into their folds by a join with the (bounded) fold-date
-    table, then every fold is evaluated by fold-keyed windows/aggregates."""
+def fold_rows(split_df: DataFrame, folds: DataFrame) -> DataFrame:
+    """The training rows replicated into their folds (a bounded table of fold dates)."""
     rows = split_df.filter(F.col("split") == "train").select("ticker", "date", "target")
-    d = rows.join(folds, "date").select(
+    return rows.join(folds, "date").select(
         "fold", "ticker", "date", "target",
         F.when(F.col("role") == "train", "train").otherwise("test").alias("split"))
-    m = regression_metrics(fold_predictions(d), by=["fold", "model"])
+
+
+def cv_summary(preds: DataFrame) -> DataFrame:
+    """Per model, mean and population σ of MAE / RMSE / R² over the
+    expanding-window folds, from (fold, model, actual, predicted) rows."""
+    m = regression_metrics(preds, by=["fold", "model"])
     return m.groupBy("model").agg(
-        rnd(F.avg("mae"), 6).alias("cv_mae_mean"), rnd(F.stddev_pop("mae"), 6).alias("cv_mae_std"),
-        rnd(F.avg("rmse"), 6).alias("cv_rmse_mean"), rnd(F.stddev_pop("rmse"), 6).alias("cv_rmse_std"),
-        rnd(F.avg("r2"), 6).alias("cv_r2_mean"), rnd(F.stddev_pop("r2"), 6).alias("cv_r2_std"),
+        *[rnd_sig(f(c), 8).alias(f"cv_{c}_{n}") for c in ("mae", "rmse", "r2")
+          for n, f in (("mean", F.avg), ("std", F.stddev_pop))],
         F.count(F.lit(1)).alias("folds"))

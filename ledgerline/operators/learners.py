@@ -2,17 +2,21 @@
 
 * learners are pooled MLlib estimators on a ``features`` vector
   (``VectorAssembler``) of population-σ standardised columns;
-* Shapley values: exact for the linear model (coef × (x − mean)); for the
-  forest, permutation sampling as prefix chains over every row to explain.
+* Shapley values: exact for the linear model (coef × (x − mean)); the forest's
+  are exact too (:mod:`ledgerline.operators.attribution`); for other models,
+  permutation sampling as prefix chains;
+* cross-validation: every fold's linear fit comes from one pass over the rows
+  (a Gram matrix per date, added up over the fold's training dates).
 """
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numeric import rnd
@@ -63,12 +67,17 @@ def linear_forecast(split_df: DataFrame, features) -> tuple[DataFrame, object]:
 def rf_forecast(split_df: DataFrame, features, params=RF_BENCH, name="RandomForest"):
     """M5: random forest regressor (min 2 rows per leaf, fixed seed)."""
     d = assemble(split_df, features)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxDepth=10,
-                               **params)
-    m = rf.fit(d.filter(F.col("split") == "train"))
+    m = forest(params).fit(d.filter(F.col("split") == "train").select("features", "target"))
     return _pred_frame(name, m.transform(d.filter(F.col("split") == "test"))), m
 
 
+def forest(params) -> RandomForestRegressor:
+    """The forest estimator; a level of all trees is grown in one pass where its
+    statistics fit in ``maxMemoryInMB``."""
+    return RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxDepth=10,
+                                 maxMemoryInMB=1024, **params)
+
+
 def rf_importance(frame: DataFrame, target: str, features) -> DataFrame:
     """M2: random-forest importances (100 trees, depth 10), NULL -> 0, with
     cumulative importance and % (W12)."""
@@ -130,6 +139,113 @@ def shapley_linear(model, split_df: DataFrame, rows: DataFrame, features) -> Dat
                       F.inline(F.array(*phis)))
 
 
+# ------------------------------------------------------------------ cross-validation
+
+
+def gram_sums(features, target: str = "target") -> list:
+    """Sums of all products of (1, features, target)."""
+    z = [F.lit(1.0), *[F.col(c).cast("double") for c in (*features, target)]]
+    return [F.sum(z[i] * z[j]).alias(f"g_{i}_{j}") for i in range(len(z)) for j in range(i, len(z))]
+
+
+def least_squares(row, size: int) -> list[float]:
+    """Intercept and coefficients from the sums of products, centred and scaled first;
+    features that others determine exactly share their weight (least norm)."""
+    g = np.zeros((size, size))
+    for i in range(size):
+        for j in range(i, size):
+            g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
+    n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+    c = g[1:, 1:] - n * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(c)[:-1], 0.0))
+    scale[scale == 0] = 1.0
+    beta = np.linalg.lstsq(c[:-1, :-1] / np.outer(scale, scale), c[:-1, -1] / scale, rcond=1e-10)[0] / scale
+    return [float(mean[-1] - beta @ mean[:-1]), *map(float, beta)]
+
+
+def linear_value(coef, features) -> Column:
+    """Intercept + coefficients times features, as one expression."""
+    out = F.lit(coef[0])
+    for b, c in zip(coef[1:], features):
+        out = out + F.lit(b) * F.col(c)
+    return out
+
+
+def fold_linear_fits(rows: DataFrame, folds: DataFrame, features) -> DataFrame:
+    """(fold, coefficients with the intercept first): least squares on each fold's
+    training dates.  The rows are read once; folds add up their dates' matrices."""
+    size = len(features) + 2
+    train = folds.filter(F.col("role") == "train").select("fold", "date")
+    by_date = rows.groupBy("date").agg(*gram_sums(features))  # a row per date of the calendar
+    sums = by_date.join(train, "date").groupBy("fold").agg(
+        *[F.sum(f"g_{i}_{j}").alias(f"g_{i}_{j}") for i in range(size) for j in range(i, size)])
+    fits = [(r["fold"], least_squares(r, size)) for r in sums.collect()]  # one row per fold
+    return rows.sparkSession.createDataFrame(fits, "fold long, coef array<double>")
+
+
+def linear_fold_predictions(split_df: DataFrame, folds: DataFrame, features) -> DataFrame:
+    """LinearRegression's predictions of every fold's test rows (a training date
+    is tested in one fold at most)."""
+    rows = split_df.filter(F.col("split") == "train")
+    fits = fold_linear_fits(rows, folds, features)
+    tested = rows.join(folds.filter(F.col("role") == "test").select("fold", "date"), "date")
+    pred = F.col("coef")[0]
+    for k, c in enumerate(features, 1):
+        pred = pred + F.col("coef")[k] * F.col(c)
+    return tested.join(F.broadcast(fits), "fold").select(
+        "fold", "ticker", "date", F.col("target").alias("actual"), F.lit("LinearRegression").alias("model"),
+        pred.alias("predicted"))
+
+
+def forest_fold_predictions(split_df: DataFrame, folds: DataFrame, features, params=RF_BENCH) -> DataFrame:
+    """RandomForest's predictions of every fold's test rows: one MLlib fit a fold on
+    vectors that are assembled and written once."""
+    rows = assemble(split_df.filter(F.col("split") == "train"), features).select("ticker", "date", "target", "features")
+    rows = rows.checkpoint()
+    out = None
+    for fold in [r[0] for r in folds.select("fold").distinct().sort("fold").collect()]:  # at most five
+        own = folds.filter(F.col("fold") == fold)
+        fit = forest(params).fit(rows.join(own.filter(F.col("role") == "train").select("date"), "date", "left_semi"))
+        pred = fit.transform(rows.join(own.filter(F.col("role") == "test").select("date"), "date", "left_semi")).select(
+            F.lit(fold).alias("fold"), "ticker", "date", F.col("target").alias("actual"),
+            F.lit("RandomForest").alias("model"), F.col("prediction").alias("predicted"))
+        out = pred if out is None else out.unionByName(pred)
+    return out
+
+
+# ------------------------------------------------------------------ strategies
+
+
+def top_features(rows: DataFrame, features, k: int = 5) -> list[str]:
+    """The k features most correlated with the target on the training rows."""
+    train = rows.filter(F.col("split") == "train")
+    r = train.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col("target"))).alias(c) for c in features]).first()
+    return sorted(features, key=lambda c: (-(r[c] or 0.0), c))[:k]
+
+
+def strategy_predictions(split_df: DataFrame, features, k: int = 5) -> DataFrame:
+    """Holdout predictions of the linear strategies, all as growth in percent: the growth
+    target, the absolute target (the predicted level turned back into growth over the
+    current one), and the growth target on the top-k features of the training part.
+    Each fit is one pass over the training rows, which adds up products."""
+    train = split_df.filter(F.col("split") == "train")
+    test = split_df.filter(F.col("split") == "test")
+    best = top_features(split_df, features, k)
+
+    def fit(cols, target):
+        return least_squares(train.agg(*gram_sums(cols, target)).first(), len(cols) + 2)
+
+    level = linear_value(fit(features, "net_income_next"), features)
+    values = {"LinearGrowth": linear_value(fit(features, "target"), features),
+              "LinearAbsolute": (level - F.col("net_income")) / F.nullif("net_income", F.lit(0.0)) * 100,
+              f"LinearTop{k}": linear_value(fit(best, "target"), best)}
+    return test.select("ticker", "date", F.col("target").alias("actual"), F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), v.alias("predicted")) for n, v in values.items()])))
+
+
+# ------------------------------------------------------------------ explanations
+
+
 def shapley_sampled(model, train: DataFrame, rows: DataFrame, features, n_background: int = 25,
                     n_perm: int = 8) -> DataFrame:
     """M15 (model-agnostic): permutation-sampling Shapley values.  For each

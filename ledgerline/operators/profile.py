@@ -91,32 +91,46 @@ def feature_statistics(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
         rnd_sig(skew, 8).alias("skewness"), rnd_sig(kurt, 8).alias("kurtosis"))
 
 
+def second_moments(df: DataFrame, cols) -> DataFrame:
+    """(i, j, n, si, sj, pii, pjj, pij) for every pair i < j of columns over the rows
+    where both are there.
+
+    Rows are grouped by which columns are NULL: within a group all pairs share their
+    rows, so one set of sums and products per group (combined before its shuffle) holds
+    every pair; groups that hold both columns of a pair are added up.
+    """
+    k = len(cols)
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    there = F.concat(*[F.when(F.col(f"x{i}").isNull(), "0").otherwise("1") for i in range(k)])
+    g = x.groupBy(there.alias("there")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(k)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i in range(k) for j in range(i, k)])
+    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n").alias("n"), F.col(f"s{i}").alias("si"),
+                      F.col(f"s{j}").alias("sj"), F.col(f"p{i}_{i}").alias("pii"), F.col(f"p{j}_{j}").alias("pjj"),
+                      F.col(f"p{i}_{j}").alias("pij")) for i in range(k) for j in range(i + 1, k)]
+    return g.select(F.inline(F.array(*pairs))).filter(F.col("pij").isNotNull()).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "si", "sj", "pii", "pjj", "pij")])
+
+
 def correlation_matrix(df: DataFrame, cols=FEATURE_COLS) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (all ordered
-    pairs).  Zero variance gives NULL instead of an error."""
+    pairs).  Zero variance or no common row gives NULL instead of an error."""
     cols = list(cols)
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            x = F.when(F.col(b).isNotNull(), F.col(a))
-            y = F.when(F.col(a).isNotNull(), F.col(b))
-            aggs.append((F.covar_samp(x, y) /
-                         F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0)))
-                        .alias(f"{a}__{b}"))
-    row = df.agg(*aggs)
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                val = F.lit(1.0)
-            else:
-                lo, hi = (a, b) if i < j else (b, a)
-                val = F.col(f"{lo}__{hi}")
-            pairs.append(F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                                  F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                  val.alias("correlation")))
-    lf = row.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    return lf.withColumn("correlation", rnd("correlation", 6))
+    n = F.nullif(F.col("n").cast("double"), F.lit(0.0))
+
+    def centred(p, a, b):  # rounding of a constant column counts as no variance
+        c = F.col(p) - F.col(a) * F.col(b) / n
+        return F.when(F.abs(c) > 1e-13 * F.abs(p), c)
+
+    vi, vj = centred("pii", "si", "si"), centred("pjj", "sj", "sj")
+    cov = F.col("pij") - F.col("si") * F.col("sj") / n
+    corr = second_moments(df, cols).select("i", "j", (cov / (F.sqrt(vi) * F.sqrt(vj))).alias("r"))
+    every = df.sparkSession.createDataFrame(
+        [(a, b, i, j, min(i, j), max(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+        "feature_1 string, feature_2 string, i int, j int, lo int, hi int")
+    both = every.join(F.broadcast(corr.withColumnsRenamed({"i": "lo", "j": "hi"})), ["lo", "hi"], "left")
+    return both.select("feature_1", "feature_2", "i", "j", rnd(
+        F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("r")), 6).alias("correlation"))
 
 
 def high_corr_pairs(corr: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -143,54 +157,100 @@ def corr_importance(corr: DataFrame, target: str = "net_income", k: int = 8) ->
 
 # --------------------------------------------------------------- quantiles
 
+#: KLL sketches of this size are off by about 0.1 % of the rows; a bracket is SLACK wide on both sides.
+SKETCH_K, SLACK = 4096, 0.004
+#: Values that are sorted at once to find an order statistic in its bracket.
+HELD = 1 << 20
+
+
 def grouped_quantiles(lf: DataFrame, key: str, value: str, probs) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``key``
     (pandas / ``quantile_cont`` definition) -> (key, p, q).
 
-    1. distinct values with multiplicities (a hot value is one row);
-    2. per-key range buckets from ``percentile_approx`` sketches;
-    3. per-(key, bucket) totals -> bucket offsets (rows = keys × buckets);
-    4. running counts inside (key, bucket) give each distinct value its
-       position range [before, before + n);
-    5. the two order statistics around (N - 1)·p are looked up by range and
-       interpolated as lo + (hi - lo)·frac.
+    1. a KLL sketch per key (combined before its shuffle) brackets the two order
+       statistics around (N - 1)·p;
+    2. one pass counts the values below the bracket and at its ends, however often they
+       repeat, and sorts what lies strictly inside: at most HELD values, for wider
+       brackets are first sketched again within;
+    3. an order statistic outside its bracket (the sketch's rare miss) widens it and is
+       looked for again, so the result is exact.
+
+    Keys are few (columns, not entities): the brackets and the result are a row for each
+    key and probability, kept as a local relation, so consumers don't run this again.
     """
-    nb = max(2, int(lf.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    v = F.col(value)
-    vc = lf.filter(v.isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = lf.filter(v.isNotNull()).groupBy(key).agg(
-        F.percentile_approx(value, [i / nb for i in range(1, nb)], 10000).alias("_bounds"))
-    vb = vc.join(bounds, key).withColumn(
-        "_b", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
-    tot = vb.groupBy(key, "_b").agg(F.sum("_n").alias("_bn"))
-    kb = Window.partitionBy(key).orderBy("_b")
-    off = tot.select(key, "_b",
-                     F.coalesce(F.sum("_bn").over(kb.rowsBetween(Window.unboundedPreceding, -1)),
-                                F.lit(0)).alias("_off"),
-                     F.sum("_bn").over(Window.partitionBy(key)).alias("_total"))
-    w = Window.partitionBy(key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    pos = vb.join(off, [key, "_b"]).select(
-        key, value, "_n", (F.col("_off") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        .alias("_before"))
-    tg = off.select(key, "_total").distinct().select(
-        key, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "_total")
-    tg = tg.select(key, "p", ((F.col("_total") - 1) * F.col("p")).alias("_pos"))
-    tg = tg.select(key, "p", F.floor("_pos").cast("long").alias("_lo"),
-                   F.ceil("_pos").cast("long").alias("_hi"),
-                   (F.col("_pos") - F.floor("_pos")).alias("_frac"))
-
-    def at(idx: str, name: str) -> DataFrame:
-        t = tg.alias("t")
-        p = pos.alias("s")
-        cond = ((F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("s._before") <= F.col(f"t.{idx}"))
-                & (F.col(f"t.{idx}") < F.col("s._before") + F.col("s._n")))
-        return t.join(p, cond).select(F.col(f"t.{key}").alias(key), F.col("t.p").alias("p"),
-                                      F.col("t._frac").alias("_frac"),
-                                      F.col(f"s.{value}").alias(name))
-
-    lo, hi = at("_lo", "_vlo"), at("_hi", "_vhi").drop("_frac")
-    return lo.join(hi, [key, "p"]).select(
-        key, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q"))
+    spark = lf.sparkSession
+    vals = lf.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    found, todo = {}, [float(p) for p in probs]
+    slack, kind = SLACK, lf.schema[key].dataType.simpleString()
+    keys = None
+    while todo:
+        cut = sorted({min(1.0, max(0.0, p + d)) for p in todo for d in (-slack, slack)})
+        part = vals if keys is None else vals.filter(F.col("k").isin(keys))
+        rows = part.groupBy("k").agg(
+            F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("v", F.lit(SKETCH_K)).alias("s")).select(
+            "k", "n", F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(c) for c in cut])).alias("q")).collect()
+        brackets = []
+        for r in rows:
+            for p in todo:
+                if (r["k"], p) not in found:
+                    a, b = (r["q"][cut.index(min(1.0, max(0.0, p + d)))] for d in (-slack, slack))
+                    brackets.append((r["k"], p, (r["n"] - 1) * p, a, b, int(2 * slack * r["n"])))
+        while any(b[5] > HELD for b in brackets):
+            brackets = _narrowed(spark, part, brackets, kind, slack)
+        found.update(_order_statistics(spark, part, brackets, kind))
+        missed = [b for b in brackets if (b[0], b[1]) not in found]
+        todo, keys, slack = sorted({b[1] for b in missed}), sorted({b[0] for b in missed}), min(1.0, slack * 8)
+    return spark.createDataFrame([(k, p, q) for (k, p), q in found.items()], f"{key} {kind}, p double, q double")
+
+
+def _bracketed(spark, vals: DataFrame, brackets, kind: str) -> DataFrame:
+    """Each value with the brackets of its key (few rows, broadcast)."""
+    own = spark.createDataFrame([b[:5] for b in brackets], f"k {kind}, p double, pos double, a double, b double")
+    return vals.join(F.broadcast(own), "k").filter(F.col("v") <= F.col("b"))
+
+
+def _narrowed(spark, vals: DataFrame, brackets, kind: str, slack: float):
+    """The brackets of many values, sketched again over the values strictly inside them."""
+    wide = [b for b in brackets if b[5] > HELD]
+    strictly = (F.col("v") > F.col("a")) & (F.col("v") < F.col("b"))
+    rows = _bracketed(spark, vals, wide, kind).groupBy("k", "p", "pos", "a", "b").agg(
+        F.count_if(F.col("v") <= F.col("a")).alias("below"), F.count_if(strictly).alias("n"),
+        F.kll_sketch_agg_double(F.when(strictly, F.col("v")), F.lit(SKETCH_K)).alias("s"))
+    steps = 512  # the sketch is asked at fixed ranks
+    out = [b for b in brackets if b[5] <= HELD]
+    grid = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    for r in rows.select("k", "p", "pos", "a", "b", "below", "n", F.when(
+            F.col("n") > 0, F.kll_sketch_get_quantile_double("s", grid)).alias("q")).collect():
+        a, b, first, last = r["a"], r["b"], math.floor(r["pos"]), math.ceil(r["pos"])
+        if last < r["below"]:
+            b = a
+        elif r["n"]:  # an end stays where an order statistic lies on it
+            low, high = ((t - r["below"]) / r["n"] + d for t, d in ((first, -slack), (last, slack)))
+            a = a if first < r["below"] else r["q"][max(0, math.floor(low * steps))]
+            b = b if last >= r["below"] + r["n"] else r["q"][min(steps, math.ceil(high * steps))]
+        out.append((r["k"], r["p"], r["pos"], a, b, int((2 * slack + 2 / steps) * r["n"]) if b > a else 0))
+    return out
+
+
+def _order_statistics(spark, vals: DataFrame, brackets, kind: str) -> dict:
+    """(key, p) -> quantile, for those whose order statistics lie in their brackets."""
+    if not brackets:
+        return {}
+    v, a, b = F.col("v"), F.col("a"), F.col("b")
+    g = _bracketed(spark, vals, brackets, kind).groupBy("k", "p", "pos", "a", "b").agg(
+        F.count_if(v < a).alias("below"), F.count_if(v == a).alias("at_a"),
+        F.count_if((v == b) & (b > a)).alias("at_b"),
+        F.sort_array(F.collect_list(F.when((v > a) & (v < b), v))).alias("inside"))
+
+    def at(t):
+        t = t.cast("long") - F.col("below")
+        return (F.when(t < 0, F.lit(None)).when(t < F.col("at_a"), a)
+                .when(t < F.col("at_a") + F.size("inside"), F.get("inside", (t - F.col("at_a")).cast("int")))
+                .when(t < F.col("at_a") + F.size("inside") + F.col("at_b"), b))
+
+    rows = g.select("k", "p", "pos", at(F.floor("pos")).alias("lo"), at(F.ceil("pos")).alias("hi")).collect()
+    return {(r["k"], r["p"]): r["lo"] + (r["hi"] - r["lo"]) * (r["pos"] - math.floor(r["pos"]))
+            for r in rows if r["lo"] is not None and r["hi"] is not None}
 
 
 # --------------------------------------------------------------- outliers

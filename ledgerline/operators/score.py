@@ -109,7 +109,17 @@ def yearly_rows(frame: DataFrame) -> DataFrame:
 def light_recommendation(frame: DataFrame) -> DataFrame:
     """R6 for every ticker-year: strengths / risks / actions and status.
     ``frame`` carries fractional ``profit_margin`` and ``debt_ratio``."""
+    return _rules(yearly_rows(frame))
+
+
+def latest_recommendation(frame: DataFrame) -> DataFrame:
+    """R6 for the latest year of each ticker: the year is chosen before any text is built."""
     y = yearly_rows(frame)
+    rest = [c for c in y.columns if c != "ticker"]
+    return _rules(y.groupBy("ticker").agg(F.max_by(F.struct(*rest), "year").alias("l")).select("ticker", "l.*"))
+
+
+def _rules(y: DataFrame) -> DataFrame:
     pm, dr = F.coalesce("profit_margin", F.lit(0.0)), F.coalesce("debt_ratio", F.lit(0.0))
     ni, ocf = F.coalesce("net_income", F.lit(0.0)), F.coalesce("operating_cashflow", F.lit(0.0))
     cash_ratio = F.when(ni != 0, ocf / F.abs(ni)).otherwise(F.lit(0.0))
@@ -142,42 +152,165 @@ def light_recommendation(frame: DataFrame) -> DataFrame:
                     strengths.alias("strengths"), risks.alias("risks"), actions.alias("actions"))
 
 
-def fallback_recommendation(light: DataFrame, forecast: DataFrame, r2: Column) -> DataFrame:
-    """R7 per ticker: the light recommendation of the latest year + forecast
-    gap -> confidence, risk, score, verdict, opportunity, action items."""
-    latest = light.groupBy("ticker").agg(F.max_by(F.struct("year", "status", "strengths", "risks",
-                                                           "actions"), "year").alias("l")) \
-        .select("ticker", "l.*")
+# The texts of the fallback record and of the reliability gate.
+SUMMARY = ("Fallback recommendations generated for %s because the LLM provider is rate-limited. "
+           "Current financial signals indicate status: %s with predicted growth %s%%.")
+OUTLOOK = ("Predicted growth is %s%% with a %s of %s%% vs 10%% target. "
+           "Forecast confidence is based on available SVR evaluation metrics.")
+CONCERN = "Growth shortfall persists versus target; prioritize margin and efficiency improvements."
+NO_CONCERN = "No immediate structural concern detected in fallback analysis."
+NO_DRIVERS = "Data loaded successfully; awaiting richer model interpretation."
+NO_RISKS = "No major risks flagged by fallback analysis."
+RISK_FACTOR = "Profitability and leverage trend"
+ACTION_RATIONALE = "Derived from financial ratio and trend checks in fallback mode."
+ACTION_TIMELINE = "6-months"
+NO_ACTION = ("Medium", "Maintain current operating plan and monitor margin/debt trends monthly.",
+             "Fallback mode found no critical actions but recommends active monitoring.", "immediate")
+SHORTFALL_RATIONALE = ("Improve revenue momentum and margin quality through pricing, mix, and execution discipline.")
+SURPLUS_RATIONALE = "Protect forecast outperformance with capacity planning and operating controls."
+GATE_PREFIX = "Low-confidence mode:"
+GATE_SUMMARY = "Low-confidence mode: model reliability is currently below threshold. "
+GATE_OPPORTUNITY = (
+    "Model validation before directional action",
+    "Current forecast reliability is below threshold. Prioritize data quality checks, "
+    "retraining diagnostics, and benchmark improvement before directional investment actions.",
+    "Improved forecast trust and lower decision risk")
+GATE_ACTION = (
+    "High", "Run model remediation checklist: data drift scan, benchmark retraining, and hyperparameter retune",
+    "Reliability gate is active; model quality must be improved before directional recommendations.", "immediate")
+ACTION_FIELDS = ("priority", "action", "rationale", "timeline")
+OPPORTUNITY_FIELDS = ("title", "rationale", "estimated_upside")
+
+
+def _record(names, values) -> Column:
+    return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in zip(names, values)])
+
+
+def fallback_record(latest: DataFrame, forecast: DataFrame, r2: Column) -> DataFrame:
+    """R7 as the nested record of a ticker: summary, outlook, risks, opportunities and
+    action items from the latest year's rules (R6) and the forecast gap."""
     j = latest.join(forecast.select("ticker", "predicted_growth_rate", "gap_vs_target"), "ticker", "left")
     pg = F.coalesce("predicted_growth_rate", F.lit(0.0))
     gap = F.coalesce("gap_vs_target", pg - 10)
     risk = (F.when((F.col("status") == "Profitable") & (gap >= 0), "Low")
             .when((F.col("status") == "Loss") | (gap < -5), "High").otherwise("Medium"))
-    score0 = (F.lit(6) + F.when(F.col("status") == "Profitable", 2).otherwise(0)
-              + F.when(gap >= 0, 1).otherwise(0))
-    d = j.withColumns({"_pg": pg, "_gap": gap, "overall_risk": risk})
-    score = F.least(F.lit(10), F.greatest(F.lit(1), score0 - F.when(F.col("overall_risk") == "High", 2)
-                                          .otherwise(0)))
-    prio = F.transform("actions", lambda a: F.when(
-        F.lower(a).contains("debt") | F.lower(a).contains("cost"), "High").otherwise("Medium"))
+    d = j.withColumns({"pg": pg, "gap": gap, "risk": risk})
+    pg, gap, risk, short = F.col("pg"), F.col("gap"), F.col("risk"), F.col("gap") < 0
+    status = F.when(short, "shortfall").otherwise("surplus")
+    points = (F.lit(6) + F.when(F.col("status") == "Profitable", 2).otherwise(0) + F.when(~short, 1).otherwise(0)
+              - F.when(risk == "High", 2).otherwise(0))
+    worst = F.slice("risks", 1, 2)
+    items = F.transform("actions", lambda a: _record(ACTION_FIELDS, (
+        F.when(F.lower(a).contains("debt") | F.lower(a).contains("cost"), "High").otherwise("Medium"), a,
+        ACTION_RATIONALE, ACTION_TIMELINE)))
+    better = F.when(short, _record(OPPORTUNITY_FIELDS, (
+        "Close growth gap to 10% target", SHORTFALL_RATIONALE, F.concat(fmt1(F.abs(gap)), F.lit("% toward target"))))) \
+        .otherwise(_record(OPPORTUNITY_FIELDS, (
+            "Sustain above-target growth", SURPLUS_RATIONALE, "Maintain momentum with lower volatility")))
     return d.select(
-        "ticker", "year", "status", rnd("_pg", 2).alias("predicted_growth_rate"),
-        rnd("_gap", 2).alias("gap_vs_target"),
-        F.when(F.col("_gap") >= 0, "surplus").otherwise("shortfall").alias("gap_status"),
-        confidence_from_r2(F.coalesce(r2, F.lit(0.0))).alias("confidence"), "overall_risk",
-        score.alias("performance_score"),
-        F.when(F.col("overall_risk") == "Medium", "HOLD").when(F.col("overall_risk") == "Low", "BUY")
-        .otherwise("REDUCE").alias("investment_verdict"),
-        F.when(F.col("_gap") < 0, "Close growth gap to 10% target").otherwise("Sustain above-target growth")
-        .alias("opportunity_title"),
-        F.when(F.col("_gap") < 0, F.concat(fmt1(F.abs("_gap")), F.lit("% toward target")))
-        .otherwise("Maintain momentum with lower volatility").alias("estimated_upside"),
-        F.greatest(F.size("actions"), F.lit(1)).cast("bigint").alias("action_count"),
-        F.coalesce(F.element_at(prio, 1), F.lit("Medium")).alias("top_action_priority"),
-        F.array_join(F.slice(F.when(F.size("strengths") > 0, F.col("strengths")).otherwise(
-            F.array(F.lit("Data loaded successfully; awaiting richer model interpretation."))), 1, 3),
-            " | ").alias("key_drivers"),
-        F.array_join(F.slice("risks", 1, 2), " | ").alias("critical_warnings"))
+        "ticker", "year", "status",
+        F.format_string(SUMMARY, "ticker", "status", fmt2(pg)).alias("executive_summary"),
+        F.least(F.lit(10), F.greatest(F.lit(1), points)).alias("performance_score"),
+        F.struct(F.format_string(OUTLOOK, fmt2(pg), status, fmt2(gap)).alias("forecast"),
+                 rnd(pg, 2).alias("predicted_growth_rate"), rnd(gap, 2).alias("gap_vs_target"),
+                 status.alias("gap_status"), confidence_from_r2(F.coalesce(r2, F.lit(0.0))).alias("confidence"),
+                 F.when(F.size("strengths") > 0, F.slice("strengths", 1, 3)).otherwise(F.array(F.lit(NO_DRIVERS)))
+                 .alias("key_drivers"),
+                 F.when(short, CONCERN).otherwise(NO_CONCERN).alias("critical_concern")).alias("growth_outlook"),
+        F.struct(risk.alias("overall_risk"),
+                 F.array(F.struct(F.lit(RISK_FACTOR).alias("factor"), risk.alias("severity"),
+                                  F.when(F.size(worst) > 0, F.array_join(worst, "; ")).otherwise(NO_RISKS)
+                                  .alias("explanation"))).alias("risk_factors"),
+                 worst.alias("critical_warnings"), F.lit("stable").alias("risk_trend")).alias("risk_assessment"),
+        F.array(better).alias("opportunities"),
+        F.when(F.size("actions") > 0, items).otherwise(F.array(_record(ACTION_FIELDS, NO_ACTION)))
+        .alias("action_items"),
+        F.when(risk == "Medium", "HOLD").when(risk == "Low", "BUY").otherwise("REDUCE").alias("investment_verdict"))
+
+
+def fallback_recommendation(latest: DataFrame, forecast: DataFrame, r2: Column) -> DataFrame:
+    """R7 as one flat row per ticker: the main fields of :func:`fallback_record`."""
+    r = fallback_record(latest, forecast, r2)
+    g, k = F.col("growth_outlook"), F.col("risk_assessment")
+    return r.select(
+        "ticker", "year", "status", g["predicted_growth_rate"].alias("predicted_growth_rate"),
+        g["gap_vs_target"].alias("gap_vs_target"), g["gap_status"].alias("gap_status"),
+        g["confidence"].alias("confidence"), k["overall_risk"].alias("overall_risk"), "performance_score",
+        "investment_verdict", F.col("opportunities")[0]["title"].alias("opportunity_title"),
+        F.col("opportunities")[0]["estimated_upside"].alias("estimated_upside"),
+        F.size("action_items").cast("bigint").alias("action_count"),
+        F.col("action_items")[0]["priority"].alias("top_action_priority"),
+        F.array_join(g["key_drivers"], " | ").alias("key_drivers"),
+        F.array_join(k["critical_warnings"], " | ").alias("critical_warnings"))
+
+
+def normalized_record(base: DataFrame, signals: DataFrame) -> DataFrame:
+    """R3 (+R1, R2) on nested records.  The outlook takes the model's signals and the
+    score is calibrated.  Where the reliability gate has reasons the record is
+    rewritten in place: score capped at 4, confidence Low, verdict HOLD, Low risk raised
+    to Medium, both warnings appended once, the summary prefixed once, one conservative
+    opportunity, the first two action items at medium priority and a remediation item."""
+    s = calibrated_score(base.withColumn("overall_risk", F.col("risk_assessment.overall_risk")).join(signals, "ticker"))
+    s = s.withColumn("reasons", gate_reasons()).withColumn("gated", F.size("reasons") > 0)
+    g = F.col("gated")
+
+    def gated(when, otherwise):
+        return F.when(g, when).otherwise(otherwise)
+
+    def once(a, text):
+        return F.when(F.array_contains(a, text), a).otherwise(F.array_append(a, F.lit(text)))
+
+    risk, score = F.col("risk_assessment"), gated(F.least(F.col("final_score"), F.lit(4)), F.col("final_score"))
+    warnings = F.coalesce(risk["critical_warnings"], F.array().cast("array<string>"))
+    summary = F.coalesce("executive_summary", F.lit(""))
+    level = risk["overall_risk"]
+    conservative = F.concat(
+        F.transform(F.slice("action_items", 1, 2), lambda a: a.withField("priority", F.lit("Medium"))),
+        F.array(_record(ACTION_FIELDS, GATE_ACTION)))
+    outlook = F.col("growth_outlook")
+    for name, value in (("predicted_growth_rate", rnd("predicted_period", 6)), ("target_growth_rate", rnd("target_period", 6)),
+                        ("gap_vs_target", rnd("gap_period", 6)),
+                        ("gap_status", F.when(F.col("gap_period") >= 0, "surplus").otherwise("shortfall")),
+                        ("confidence", gated(F.lit("Low"), confidence_from_r2("r2"))),
+                        ("periods_per_year", rnd("periods_per_year", 2)),
+                        ("predicted_growth_rate_annualized_pct", rnd("predicted_annual", 6)),
+                        ("target_growth_rate_annualized_pct", rnd("target_annual", 6)),
+                        ("gap_vs_target_annualized_pct", rnd("gap_annual", 6)), ("low_confidence_mode", g)):
+        outlook = outlook.withField(name, value)
+    return s.select(
+        "ticker",
+        gated(F.when(F.contains(summary, F.lit(GATE_PREFIX)), summary).otherwise(
+            F.trim(F.concat(F.lit(GATE_SUMMARY), summary))), summary).alias("executive_summary"),
+        score.cast("bigint").alias("performance_score"),
+        F.struct(rnd("raw_score", 6).alias("raw_score"), score.cast("bigint").alias("final_score"),
+                 F.when(g, F.struct(F.lit("low_confidence_cap").alias("type"), score.cast("bigint").alias("capped_to"),
+                                    F.lit("model_reliability_gate").alias("reason"))).alias("cap_applied"))
+        .alias("score_breakdown"),
+        outlook.alias("growth_outlook"),
+        risk.withField("critical_warnings", gated(once(once(warnings, GATE_WARNING_2), GATE_WARNING), warnings))
+        .withField("overall_risk", gated(F.when(F.lower(F.trim(F.coalesce(level, F.lit("Medium")))) == "low", F.lit("Medium"))
+                                         .otherwise(level), level)).alias("risk_assessment"),
+        gated(F.array(_record(OPPORTUNITY_FIELDS, GATE_OPPORTUNITY)), F.col("opportunities")).alias("opportunities"),
+        gated(conservative, F.col("action_items")).alias("action_items"),
+        gated(F.lit("HOLD"), F.col("investment_verdict")).alias("investment_verdict"),
+        F.struct("model_reliability", "beats_naive", "r2", "test_size", g.alias("low_confidence_mode"),
+                 gated(F.lit(GATE_WARNING), F.lit("")).alias("gate_message")).alias("model_reliability"),
+        F.struct(g.alias("triggered"), F.col("reasons").alias("reasons")).alias("reliability_gate"))
+
+
+def flat_record(records: DataFrame) -> DataFrame:
+    """A normalised record as one flat row: lists joined by ' | ', an item's fields by ' / '."""
+    def items(column, names):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(" / ", *[x[n] for n in names])), " | ")
+
+    return records.select(
+        "ticker", "executive_summary", "performance_score", "investment_verdict",
+        F.col("growth_outlook.confidence").alias("confidence"), F.col("risk_assessment.overall_risk").alias("overall_risk"),
+        F.array_join("risk_assessment.critical_warnings", " | ").alias("critical_warnings"),
+        items("opportunities", OPPORTUNITY_FIELDS).alias("opportunities"),
+        items("action_items", ACTION_FIELDS).alias("action_items"),
+        F.col("score_breakdown.cap_applied.capped_to").alias("capped_to"),
+        F.col("model_reliability.gate_message").alias("gate_message"))
 
 
 def normalize_recommendation(base: DataFrame, signals: DataFrame) -> DataFrame:

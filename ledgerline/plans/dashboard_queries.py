@@ -249,7 +249,8 @@ def training_data_q(spark, sf_dir):
 
 @query("topk_drivers")
 def topk_drivers_q(spark, sf_dir):
-    """Top-8 drivers per ticker by |value| (linear attributions)."""
+    """Top-8 drivers per ticker by |value|, of the model that made the forecast."""
     from ledgerline.operators import learners as L
-    from ledgerline.plans.learner_queries import linear_attributions
-    return L.shap_local(linear_attributions(spark, sf_dir), 8).select("ticker", "feature", "shap_value", "rank")
+    from ledgerline.plans.learner_queries import champion_attributions
+    return L.shap_local(champion_attributions(spark, sf_dir), 8).select(
+        "ticker", "model", "feature", "shap_value", "rank")

@@ -225,14 +225,15 @@ def regression_metrics_q(spark, sf_dir):
 
 @query("champion", fsql("select * from champ"))
 def champion_q(spark, sf_dir):
-    """M8: model ranking, R² desc then MAE."""
+    """M8: model ranking, R² desc then MAE, over the models that SQL can state;
+    `forecast_all` ranks the trained candidates by the same operator."""
     _, _, _, _, sp = setup(spark, sf_dir)
     return fc.champion(fc.regression_metrics(fc.predictions(sp)))
 
 
 @query("reliability", fsql("select * from rel"))
 def reliability_q(spark, sf_dir):
-    """M9: reliability of the champion."""
+    """M9: reliability of the champion of the models that SQL can state."""
     _, _, _, _, sp = setup(spark, sf_dir)
     return fc.reliability(fc.regression_metrics(fc.predictions(sp)))
 
@@ -319,7 +320,8 @@ select ticker, date, net_income as current_net_income, {R('p')} as predicted_gro
   (select naive_mae from rel) as benchmark_naive_mae, (select beats_naive from rel) as beats_naive
 from fg0""", FGAP))
 def forecast_gap_q(spark, sf_dir):
-    """M10 (+ M11 blend, F5, F6): forecast vs target per ticker."""
+    """M10 (+ M11 blend, F5, F6): forecast vs target per ticker, by the champion of the
+    models that SQL can state; `forecast_all` is the same with the trained candidates."""
     std, ppy, h, eff, sp = setup(spark, sf_dir)
     met = fc.regression_metrics(fc.predictions(sp))
     pri = fc.merge_priors(fc.recent_prior(sp), fc.level_prior(std, h))

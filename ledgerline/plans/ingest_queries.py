@@ -434,3 +434,124 @@ from pn group by all""", PN))
 def prepare_training_q(spark, sf_dir):
     """V3: rows removed per first-missing required field, and rows kept."""
     return validate.prepare_training(variants.with_nulls(panel(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ committed changes
+
+
+def _stored(spark, name: str, df, key=tables.PANEL_KEY):
+    """A fresh stored table with `df` in it."""
+    import uuid
+
+    from ledgerline.session import job_folder
+    from ledgerline.sources.store import StoredTable
+    t = StoredTable(spark, f"{job_folder(spark, name)}-{uuid.uuid4().hex[:12]}", key, 16)
+    t.reload(df)
+    return t
+
+
+def _stored_users(spark, sf_dir, name):
+    p = variants.with_users(panel(spark, sf_dir)).withColumn("load_seq", F.lit(1))
+    return _stored(spark, name, p.select(*_PCOLS.split(", "), "user_id", "load_seq"))
+
+
+@query("committed_upsert", with_panel(f"""
+select {_PCOLS}, user_id, 1 as load_seq from pu e
+where not exists (select 1 from pud n where n.load_seq = 2 and n.ticker = e.ticker and n.date = e.date
+                  and n.user_id = e.user_id)
+union all select {_PCOLS}, user_id, load_seq from pud where load_seq = 2""", PU, PD2, PUD))
+def committed_upsert_q(spark, sf_dir):
+    """K3 on a stored table: re-delivered rows are committed to their buckets and the
+    folder is read back."""
+    t = _stored_users(spark, sf_dir, "upsert")
+    t.upsert(users_dups(spark, sf_dir).filter(F.col("load_seq") == 2).select(*_PCOLS.split(", "), "user_id", "load_seq"))
+    return t.read()
+
+
+@query("committed_delete", with_panel("""
+select 'standard_table' as table_name, ticker, user_id, count(*) as row_count from pu
+  where not (user_id = 'u1' and upper(ticker) = 'SUPPLIER#000000001') group by ticker, user_id
+union all select 'uploaded_files', ticker, user_id, count(*) from up
+  where not (user_id = 'u1' and upper(ticker) = 'SUPPLIER#000000001') group by ticker, user_id""", PU, UPLOADS))
+def committed_delete_q(spark, sf_dir):
+    """K8 on stored tables: a user's ticker is deleted from each, and the folders are
+    read back."""
+    from ledgerline.sources.store import delete_user_ticker
+    stored = {"standard_table": _stored_users(spark, sf_dir, "delete"),
+              "uploaded_files": _stored(spark, "delete_uploads", uploads(spark, sf_dir), ("upload_id",))}
+    delete_user_ticker(stored, "u1", "Supplier#000000001")
+    parts = [t.read().groupBy("ticker", "user_id").agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(n).alias("table_name"), "ticker", "user_id", "row_count") for n, t in stored.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("committed_replace", with_panel(f"""
+select ticker, date, revenue, null::varchar as source from (
+  select ticker, date, revenue, row_number() over (partition by ticker order by date desc) as rn from panel) l
+where rn = 1 and {V._pm(V.TN, 5)} <> 0
+union all
+select ticker, min(date), arg_min(revenue, date), 'refresh' from panel where {V._pm(V.TN, 5)} = 0 group by ticker"""))
+def committed_replace_q(spark, sf_dir):
+    """K11 on a stored report: the rows of some tickers are replaced and the folder is
+    read back."""
+    p = panel(spark, sf_dir)
+    report = latest_row(p).select("ticker", "date", "revenue", F.lit(None).cast("string").alias("source"))
+    t = _stored(spark, "replace", report, ("ticker",))
+    fl = first_last(p.filter(F.pmod(variants.ticker_no(), F.lit(5)) == 0))
+    new = fl.select("ticker", F.col("first_date").alias("date"), F.col("first_revenue").alias("revenue"),
+                    F.lit("refresh").alias("source"))
+    t.replace_tickers(new, new.select(F.lower("ticker").alias("ticker")))
+    return t.read()
+
+
+@query("committed_reload", with_panel("""
+select count(*) as written, count(distinct ticker) as tickers, count(*) as stored from panel"""))
+def committed_reload_q(spark, sf_dir):
+    """K9 on a stored table: the rows counted while they are written, against the folder."""
+    p = panel(spark, sf_dir)
+    t = _stored(spark, "reload", p, ("ticker", "date"))
+    seen = t.reload(p)
+    return t.read().agg(F.lit(int(seen["rows"])).alias("written"), F.count_distinct("ticker").alias("tickers"),
+                        F.count(F.lit(1)).alias("stored"))
+
+
+@query("prepared_rows", with_panel("""
+select coalesce(case when date is null then 'date' when ticker is null then 'ticker'
+  when revenue is null then 'revenue' when net_income is null then 'net_income'
+  when operating_income is null then 'operating_income' when total_assets is null then 'total_assets'
+  when total_liabilities is null then 'total_liabilities' when operating_cashflow is null then 'operating_cashflow'
+  end, '(kept)') as field, count(*) as rows
+from pn group by all""", PN))
+def prepared_rows_q(spark, sf_dir):
+    """V3 while writing: the kept rows go to a table, and how many each required field
+    removed is observed in the same pass."""
+    import uuid
+
+    from ledgerline.session import job_folder
+    path = f"{job_folder(spark, 'prepared')}-{uuid.uuid4().hex[:12]}"
+    counts = validate.write_prepared(variants.with_nulls(panel(spark, sf_dir)), path)
+    return spark.createDataFrame([(f, n) for f, n in counts.items() if n], "field string, rows long")
+
+
+@query("batch_gate", with_panel("""
+select count(*) as n, count(*) filter (where revenue is null) as nulls_revenue,
+  count(*) filter (where net_income is null) as nulls_net_income,
+  count(*) filter (where total_assets is null) as nulls_total_assets,
+  count(*) filter (where date is null) as nulls_date, count(*) filter (where ticker is null) as nulls_ticker,
+  count(*) filter (where operating_income is null) as nulls_operating_income,
+  count(*) filter (where total_liabilities is null) as nulls_total_liabilities,
+  count(*) filter (where operating_cashflow is null) as nulls_operating_cashflow,
+  count(*) >= 3 and not coalesce(max(abs(revenue)) = 0, false) and count(*) filter (where revenue is null) <= 0.3 * count(*)
+    and count(*) filter (where net_income is null) <= 0.3 * count(*)
+    and count(*) filter (where total_assets is null) <= 0.3 * count(*) and count(*) filter (where date is null) <= 0.3 * count(*)
+    and count(*) filter (where ticker is null) <= 0.3 * count(*) as valid
+from pn""", PN))
+def batch_gate_q(spark, sf_dir):
+    """V1 while landing: the counts of the record gate for a whole batch, observed while
+    the batch is written."""
+    import uuid
+
+    from ledgerline.session import job_folder
+    path = f"{job_folder(spark, 'landed')}-{uuid.uuid4().hex[:12]}"
+    got = validate.land_batch(variants.with_nulls(panel(spark, sf_dir)), path)
+    return spark.createDataFrame([got])

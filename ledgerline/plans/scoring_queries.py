@@ -64,10 +64,20 @@ def light_all(std):
     return score.light_recommendation(dashboard_frame(std))
 
 
+def latest_all(std):
+    return score.latest_recommendation(dashboard_frame(std))
+
+
 def fallback_all(spark, sf_dir):
     std, fg, sig = forecast_signals(spark, sf_dir)
     r2 = sig.select("r2").first()["r2"]
-    return score.fallback_recommendation(light_all(std), fg, F.lit(r2)), sig
+    return score.fallback_recommendation(latest_all(std), fg, F.lit(r2)), sig
+
+
+def fallback_records(spark, sf_dir):
+    std, fg, sig = forecast_signals(spark, sf_dir)
+    r2 = sig.select("r2").first()["r2"]
+    return score.fallback_record(latest_all(std), fg, F.lit(r2)), sig
 
 
 # ------------------------------------------------------------------ SQL side
@@ -252,6 +262,54 @@ def normalize_recommendation_q(spark, sf_dir):
     return score.normalize_recommendation(fb, sig)
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _f2(x):
+    v = R(x, 2)
+    return f"printf('%.2f', case when {v} = 0 then 0.0 else {v} end)"
+
+
+def _record_sql() -> str:
+    action, better = score.GATE_ACTION, score.GATE_OPPORTUNITY
+    summary = score.SUMMARY.replace("%%", "%").split("%s")
+    text = (f"{_q(summary[0])} || ticker || {_q(summary[1])} || status || {_q(summary[2])} || {_f2('pg')} || "
+            f"{_q(summary[3])}")
+    item = f"prio || ' / ' || a || {_q(f' / {score.ACTION_RATIONALE} / {score.ACTION_TIMELINE}')}"
+    prio = "case when lower(a) like '%debt%' or lower(a) like '%cost%' then 'High' else 'Medium' end"
+    own = (f"case when len(actions) = 0 then [{_q(' / '.join(score.NO_ACTION))}] else "
+           f"list_transform(actions, lambda a: {item.replace('prio', prio)}) end")
+    short = (f"list_transform((case when len(actions) = 0 then [{_q(' / '.join(score.NO_ACTION[1:]))}] else "
+             f"list_transform(actions, lambda a: a || {_q(f' / {score.ACTION_RATIONALE} / {score.ACTION_TIMELINE}')}) end)[1:2], "
+             f"lambda a: 'Medium / ' || a)")
+    return f"""
+select ticker, case when gated then {_q(score.GATE_SUMMARY)} else '' end || {text} as executive_summary,
+  cast(case when gated then least(final_score, 4) else final_score end as bigint) as performance_score,
+  case when gated then 'HOLD' else investment_verdict end as investment_verdict,
+  case when gated then 'Low' when sr2 >= 0.7 then 'High' when sr2 >= 0.4 then 'Medium' else 'Low' end as confidence,
+  case when gated and overall_risk = 'Low' then 'Medium' else overall_risk end as overall_risk,
+  array_to_string(list_concat(risks[1:2], case when gated then [{_q(score.GATE_WARNING_2)}, {_q(score.GATE_WARNING)}]
+                                          else []::varchar[] end), ' | ') as critical_warnings,
+  case when gated then {_q(' / '.join(better))}
+       when gap < 0 then 'Close growth gap to 10% target / ' || {_q(score.SHORTFALL_RATIONALE)} || ' / ' || {_f1('abs(gap)')} || '% toward target'
+       else {_q(f'Sustain above-target growth / {score.SURPLUS_RATIONALE} / Maintain momentum with lower volatility')} end as opportunities,
+  case when gated then array_to_string(list_concat({short}, [{_q(' / '.join(action))}]), ' | ')
+       else array_to_string({own}, ' | ') end as action_items,
+  cast(case when gated then least(final_score, 4) end as bigint) as capped_to,
+  case when gated then {_q(score.GATE_WARNING)} else '' end as gate_message
+from (select gt.*, gt.r2 as sr2, len(gt.reasons) > 0 as gated, f.status, f.pg, f.gap, f.risks, f.actions
+      from gt join fb1 f on gt.ticker = f.ticker) x"""
+
+
+@query("recommendation_record", ssql(_record_sql(), NORM))
+def recommendation_record_q(spark, sf_dir):
+    """The whole record after the gate's rewrite of summary, warnings,
+    opportunities and action items, flattened."""
+    base, sig = fallback_records(spark, sf_dir)
+    return score.flat_record(score.normalized_record(base, sig))
+
+
 @query("score_breakdown", ssql(f"""
 select ticker, component, {R('value', 8)} as value, {R('weight', 8)} as weight, {R('value * weight', 8)} as contribution
 from (select ticker, unnest([{{'component': 'growth_quality', 'value': c_growth_quality, 'weight': w_growth_quality}},
@@ -299,13 +357,12 @@ def anomaly_lines_q(spark, sf_dir):
     return score.anomaly_lines(insights.insight_lines(standard_table(spark, sf_dir)))
 
 
-@query("analysis_bundle")
-def analysis_bundle_q(spark, sf_dir):
-    """Per-ticker bundle — the trained champion's forecast ⟕ its metrics ⟕
-    latest ratios ⟕ anomaly lines ⟕ local drivers, with the global drivers and
-    the peer block (a row per feature and four peers), all tickers in one plan."""
+def bundle(spark, sf_dir):
+    """The bundle of every ticker with a forecast: the trained champion's forecast ⟕ its
+    metrics ⟕ latest ratios ⟕ anomaly lines ⟕ the champion's local drivers, with the
+    global drivers and the peer block (a row per feature and four peers)."""
     from ledgerline.operators import learners as L
-    from ledgerline.plans.learner_queries import linear_attributions, trained_forecast
+    from ledgerline.plans.learner_queries import champion_attributions, trained_forecast
     std = standard_table(spark, sf_dir)
     fg, met = trained_forecast(spark, sf_dir)
     lr = score.latest_ratios(std)
@@ -315,7 +372,7 @@ def analysis_bundle_q(spark, sf_dir):
 
     an = listed(score.anomaly_lines(insights.insight_lines(std)), "n", "message").select(
         "ticker", F.expr("transform(l, x -> x.message)").alias("anomalies"))
-    phi = linear_attributions(spark, sf_dir)
+    phi = champion_attributions(spark, sf_dir)
     local = listed(L.shap_local(phi), "rank", "feature", "shap_value", "direction").withColumnRenamed(
         "l", "local_drivers")
     everywhere = L.shap_global(phi).agg(F.sort_array(F.collect_list(
@@ -332,20 +389,94 @@ def analysis_bundle_q(spark, sf_dir):
                     "local_drivers", everywhere.alias("global_drivers"), peers.alias("peers"))
 
 
+def stored_bundle(spark, sf_dir):
+    """Phase artifact: the bundles as (ticker, bundle), one VARIANT document per ticker,
+    written once to the shared folder; readers take the paths they need."""
+    import uuid
+
+    from ledgerline.plans.memo import remember
+    from ledgerline.session import job_folder
+
+    def build():
+        b = bundle(spark, sf_dir)
+        path = f"{job_folder(spark, 'bundle')}-{uuid.uuid4().hex[:12]}"
+        b.select("ticker", F.to_variant_object(F.struct(*[c for c in b.columns if c != "ticker"])).alias("bundle")) \
+            .write.parquet(path)
+        return path
+    return spark.read.parquet(remember(spark, f"bundle|{sf_dir}", build))
+
+
+@query("analysis_bundle")
+def analysis_bundle_q(spark, sf_dir):
+    """The bundle of every ticker, all tickers in one plan."""
+    return bundle(spark, sf_dir)
+
+
+def _at(path: str, kind: str):
+    return F.variant_get("bundle", f"$.{path}", kind)
+
+
+def bundle_signals(b):
+    """What the recommendation needs of each bundle, as signals and a forecast."""
+    p, m = "predictions.", "model_metrics."
+    return b.select(
+        "ticker", _at(p + "predicted_growth_rate", "double").alias("predicted_period"),
+        _at(p + "target_growth_rate", "double").alias("target_period"),
+        _at(p + "gap_vs_target", "double").alias("gap_period"),
+        _at(p + "periods_per_year", "double").alias("periods_per_year"),
+        _at(p + "predicted_growth_rate_annualized_pct", "double").alias("predicted_annual"),
+        _at(p + "target_growth_rate_annualized_pct", "double").alias("target_annual"),
+        _at(p + "gap_vs_target_annualized_pct", "double").alias("gap_annual"),
+        _at(p + "model_reliability", "string").alias("model_reliability"),
+        _at(p + "beats_naive", "boolean").alias("beats_naive"),
+        _at(p + "benchmark_naive_mae", "double").alias("naive_mae"),
+        rnd(_at(m + "mae", "double"), 2).alias("mae"), rnd(_at(m + "rmse", "double"), 2).alias("rmse"),
+        F.coalesce(rnd(_at(m + "r2", "double"), 4), F.lit(0.0)).alias("r2"),
+        _at(m + "residual_std", "double").alias("residual_std"), _at(m + "test_size", "bigint").alias("test_size"))
+
+
+def recommendations(spark, sf_dir):
+    """Stored bundles -> base recommendation -> normalised records, with the bundle's own parts."""
+    b = stored_bundle(spark, sf_dir)
+    sig = bundle_signals(b)
+    forecast = sig.select("ticker", F.col("predicted_period").alias("predicted_growth_rate"),
+                          F.col("gap_period").alias("gap_vs_target"))
+    one = sig.select("r2").first()  # all tickers share the champion
+    base = score.fallback_record(latest_all(standard_table(spark, sf_dir)), forecast, F.lit(one and one["r2"]).cast("double"))
+    own = b.select("ticker", _at("predictions.selected_model", "string").alias("selected_model"),
+                   F.slice(_at("anomalies", "array<string>"), 1, 3).alias("anomalies_flagged"),
+                   _at("latest_ratios", "struct<fiscal_year string, profit_margin double, debt_to_asset double>")
+                   .alias("latest_ratios"),
+                   F.transform(_at("peers", "array<struct<peer string>>"), lambda x: x["peer"]).alias("peers"),
+                   F.slice(F.transform(_at("local_drivers", "array<struct<feature string>>"), lambda x: x["feature"]),
+                           1, 3).alias("top_drivers"))
+    return score.normalized_record(base, sig).join(own, "ticker")
+
+
 @query("recommend_all")
 def recommend_all_q(spark, sf_dir):
-    """Every ticker with a forecast -> bundle -> normalised
-    recommendation, assembled as one nested record per ticker."""
-    fb, sig = fallback_all(spark, sf_dir)
-    n = score.normalize_recommendation(fb, sig)
-    j = n.join(fb.select("ticker", "key_drivers", "critical_warnings", "opportunity_title",
-                         "estimated_upside"), "ticker")
-    return j.select(
-        "ticker", "performance_score", "investment_verdict",
-        F.struct("predicted_growth_rate", "target_growth_rate", "gap_vs_target", "gap_status",
-                 "confidence", "periods_per_year", "predicted_growth_rate_annualized_pct",
-                 "low_confidence_mode").alias("growth_outlook"),
-        F.struct("overall_risk", "critical_warnings").alias("risk_assessment"),
-        F.struct(F.coalesce("gated_opportunity", "opportunity_title").alias("title"),
-                 "estimated_upside").alias("opportunity"),
-        F.struct((F.length("gate_reasons") > 0).alias("triggered"), "gate_reasons").alias("reliability_gate"))
+    """Every ticker with a forecast -> its stored bundle (the trained champion's
+    forecast and drivers) -> normalised recommendation, one nested record per ticker."""
+    return recommendations(spark, sf_dir)
+
+
+@query("recommend_all_fixed", with_std("""
+select l.ticker, l.status, array_to_string(l.risks[1:2], ' | ') as own_warnings, r.fiscal_year, r.profit_margin, r.debt_to_asset,
+  coalesce(a.anomalies, '') as anomalies, (select string_agg(ticker, ' | ' order by ticker) from (
+     select ticker from lastrow order by revenue desc, ticker limit 4) t) as peers
+from lt2 l join (select ticker, strftime(date, '%Y-%m-%d') as fiscal_year, """ + R('coalesce(profit_margin, 0.0)', 2) + """ as profit_margin,
+                   """ + R('coalesce(debt_to_asset, 0.0)', 4) + """ as debt_to_asset from lastrow) r on l.ticker = r.ticker
+left join (select ticker, string_agg(message, ' | ' order by n) as anomalies from (
+    select ticker, message, row_number() over (partition by ticker order by line_no) as n
+    from (select *, row_number() over (order by section, ticker, item) as line_no from lines) x
+    where ticker <> '' and regexp_matches(lower(message), 'drop|anomal|decline|risk')) y where n <= 3 group by ticker) a
+  on l.ticker = a.ticker""", LIGHT, _DROPS, _EFF, _ANOM, _LINES,
+    "lt2 as (select ticker, arg_max(status, year) as status, arg_max(risks, year) as risks from lr group by ticker)",
+    "lastrow as (select * from (select *, row_number() over (partition by ticker order by date desc) as rn from std) x where rn = 1)"))
+def recommend_all_fixed_q(spark, sf_dir):
+    """The fields of the same records that no fitted model decides."""
+    r = recommendations(spark, sf_dir).join(latest_all(standard_table(spark, sf_dir)).select("ticker", "status", "risks"), "ticker")
+    return r.select("ticker", "status", F.array_join(F.slice("risks", 1, 2), " | ").alias("own_warnings"),
+                    "latest_ratios.fiscal_year", "latest_ratios.profit_margin", "latest_ratios.debt_to_asset",
+                    F.array_join("anomalies_flagged", " | ").alias("anomalies"),
+                    F.array_join(F.sort_array("peers"), " | ").alias("peers"))

@@ -268,6 +268,25 @@ def safe_cast_q(spark, sf_dir):
                     P.safe_float("Net Profit").alias("net_income"))
 
 
+FLAGS = ("true", " Yes ", "T", "1", "false", "N", "0", "maybe", "", None)
+
+
+@query("safe_bool", with_panel("""select upload_id, row_pos, flag,
+  case when lower(trim(flag)) in ('true', '1', 'yes', 'y', 't') then true
+       when lower(trim(flag)) in ('false', '0', 'no', 'n', 'f') then false else false end as strict,
+  case when lower(trim(flag)) in ('true', '1', 'yes', 'y', 't') then true
+       when lower(trim(flag)) in ('false', '0', 'no', 'n', 'f') then false else true end as lenient
+from (select upload_id, row_pos, ([""" + ", ".join("null" if f is None else f"'{f}'" for f in FLAGS)
+    + "])[(upload_id + row_pos) % " + str(len(FLAGS)) + """ + 1] as flag from mu) x""", MU))
+def safe_bool_q(spark, sf_dir):
+    """tolerant booleans, default false and default true, on a flag text per record."""
+    m = variants.messy_upload(panel(spark, sf_dir))
+    flag = F.get(F.array(*[F.lit(f).cast("string") for f in FLAGS]),
+                 F.pmod(F.col("upload_id") + F.col("row_pos"), F.lit(len(FLAGS))).cast("int"))
+    m = m.select("upload_id", "row_pos", flag.alias("flag"))
+    return m.select("*", P.safe_bool("flag").alias("strict"), P.safe_bool("flag", True).alias("lenient"))
+
+
 @query("ascii_safe", """select doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') as ascii_text,
   length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) as replaced
 from documents""")
@@ -299,3 +318,28 @@ def stream_ingest_q(spark, sf_dir):
     -> normalise -> append -> keep-last per (ticker, date, user) on read."""
     root = uploads_root(spark, sf_dir)
     return run_upload_stream(spark, root, job_folder(spark, "stream_" + os.path.basename(root)))
+
+
+def _unique_sql() -> str:
+    from ledgerline.plans.ingest_queries import CANON
+    return with_panel("""
+select upload_id, user_id, upper(ticker) as ticker, content_hash, (select count(*) from mu where mu.upload_id = c.upload_id) as records
+from canon c where upload_id % 2 = 1 and cast(floor(upload_id / 2) as bigint) % 3 < 2""", MU, CANON)
+
+
+@query("stream_unique_uploads", _unique_sql())
+def stream_unique_uploads_q(spark, sf_dir):
+    """A24 in the stream: all landed documents, then all of them landed again under other
+    names and the stream restarted; each content is accepted once."""
+    import uuid
+
+    from ledgerline.streaming import ingest as stream
+    root = uploads_root(spark, sf_dir)
+    work = job_folder(spark, "unique_") + uuid.uuid4().hex[:12]
+    for _ in range(2):
+        for shape in files.JSON_SHAPES[:2]:
+            spark.read.text(os.path.join(root, "json", shape)).write.mode("append").text(
+                os.path.join(work, "landing", "json", shape))
+        stream.append_unique(stream.document_stream(spark, os.path.join(work, "landing")), work)
+    u = stream.unique_uploads(spark, work)
+    return u.select("upload_id", "user_id", "ticker", "content_hash", F.size("records").cast("bigint").alias("records"))

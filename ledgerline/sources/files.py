@@ -98,23 +98,33 @@ def scan_json(spark: SparkSession, path: str) -> DataFrame:
     return _typed(raw).withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def flex_records(lines: DataFrame) -> DataFrame:
-    """S3: JSON documents (``value``) of any shape -> their records: an array's
-    elements, the elements of an object's first list-valued member, or the
-    object itself.  One expression per document, so it also runs on a stream."""
-    v = F.try_parse_json("value")
-    docs = lines.select(*[c for c in lines.columns if c != "value"], v.alias("v"))
-    kind = F.schema_of_variant("v")
-    members = F.map_entries(F.variant_get("v", "$", "map<string,variant>"))
+def _elements(v: Column) -> Column:
+    """The records of a document: an array's elements, the elements of an object's first
+    list-valued member, or the object itself."""
+    kind = F.schema_of_variant(v)
+    members = F.map_entries(F.variant_get(v, "$", "map<string,variant>"))
     lists = F.filter(members, lambda kv: F.schema_of_variant(kv["value"]).startswith("ARRAY"))
-    elements = F.when(kind.startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")) \
+    return F.when(kind.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")) \
         .when(kind.startswith("OBJECT"), F.coalesce(
-            F.variant_get(F.get(lists, F.lit(0))["value"], "$", "array<variant>"), F.array("v")))
-    recs = docs.select(*[c for c in docs.columns if c != "v"], F.explode(elements).alias("rec"))
+            F.variant_get(F.get(lists, F.lit(0))["value"], "$", "array<variant>"), F.array(v)))
+
+
+def flex_records(lines: DataFrame) -> DataFrame:
+    """S3: JSON documents (``value``) of any shape -> their records.  One expression per
+    document, so it also runs on a stream."""
+    docs = lines.select(*[c for c in lines.columns if c != "value"], F.try_parse_json("value").alias("v"))
+    recs = docs.select(*[c for c in docs.columns if c != "v"], F.explode(_elements(F.col("v"))).alias("rec"))
     return _typed(recs.select(*[c for c in recs.columns if c != "rec"], *[
         F.variant_get("rec", f"$['{c}']", "string").alias(c) for c in RECORD_COLS]))
 
 
+def document_records(lines: DataFrame) -> DataFrame:
+    """S3: the same documents, each with its records as one array of text fields."""
+    docs = lines.select(F.try_parse_json("value").alias("v"))
+    return docs.select(F.transform(_elements(F.col("v")), lambda r: F.struct(*[
+        F.variant_get(r, f"$['{c}']", "string").alias(c) for c in RECORD_COLS])).alias("records"))
+
+
 def scan_json_flex(spark: SparkSession, path: str) -> DataFrame:
     """S3: shape-tolerant JSON documents, one per line."""
     lines = spark.read.text([os.path.join(path, s) for s in JSON_SHAPES])

@@ -13,6 +13,10 @@ of arrival.  That is resolved when the table is read (one aggregation with
 map-side combine), so a batch costs its own size and never rewrites the
 table; :func:`compact` writes the resolved table anew now and then.
 
+An upload that lands again under another name is another matter: uploads that are
+whole documents carry a content hash, and keyed state on (user, ticker, hash) lets each
+content through once, over triggers and restarts (:func:`append_unique`).
+
 Table, stream checkpoint and compacted copies live under one folder that the
 caller names in shared storage, so a restarted job goes on where it ended.
 """
@@ -84,3 +88,63 @@ def run_upload_stream(spark: SparkSession, root: str, table_dir: str,
     """Ingest the uploads present under ``root`` and return the table."""
     append_stream(upload_stream(spark, root, files_per_trigger), table_dir)
     return read_table(spark, table_dir)
+
+
+# ------------------------------------------------------------ duplicate uploads
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def document_stream(spark: SparkSession, root: str, files_per_trigger: int = 200) -> DataFrame:
+    """Uploads that land as one document each (an array, or an object with the records
+    in its first list), one row per document: envelope, records and content hash."""
+    source = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    lines = [source.text(os.path.join(root, "json", shape)) for shape in files.JSON_SHAPES[:2]]
+    return identified(lines[0].union(lines[1]))
+
+
+def identified(lines: DataFrame) -> DataFrame:
+    """upload_id, user_id, ticker, content_hash, records of documents (``value``).
+
+    The hash is A23's: SHA-256 of the records' canonical JSON in upload order.  An
+    expression per document, so it needs no grouping and runs on a stream.
+    """
+    docs = files.document_records(lines)
+    canonical = F.transform("records", lambda r: F.struct(*[r[c].alias(c) for c in sorted(files.UPLOAD_COLS)]))
+    first = F.get("records", F.lit(0))
+    d = docs.filter(F.size("records") > 0).select(
+        first["upload_id"].cast("long").alias("upload_id"), F.upper(first["upload_ticker"]).alias("ticker"),
+        F.sha2(F.to_json(canonical, {"ignoreNullFields": "false"}), 256).alias("content_hash"), "records")
+    return d.select("upload_id", files.upload_user().alias("user_id"), "ticker", "content_hash", "records")
+
+
+def append_unique(documents: DataFrame, table_dir: str) -> None:
+    """Run a stream of documents to the end of what is there now; a content that its user
+    and ticker delivered before is dropped.
+
+    The state holds one key for each distinct upload, like the list of stored uploads it
+    stands for; RocksDB keeps it on disk.  It lives in the checkpoint, so a restart goes
+    on with it.
+    """
+    spark = documents.sparkSession
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        (documents.dropDuplicates(["user_id", "ticker", "content_hash"]).writeStream.format("parquet")
+         .outputMode("append").option("path", os.path.join(table_dir, "uploads"))
+         .option("checkpointLocation", os.path.join(table_dir, "uploads-checkpoint"))
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def unique_uploads(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The accepted uploads, one row each."""
+    return spark.read.parquet(os.path.join(table_dir, "uploads"))
+
+
+def unique_rows(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The typed rows of the accepted uploads."""
+    u = unique_uploads(spark, table_dir).select(F.explode("records").alias("r")).select("r.*")
+    return normalize_batch(u.withColumn("upload_id", F.col("upload_id").cast("long")))
