@@ -434,7 +434,7 @@ def _asked(model):
             count[w >= 0] = m.words.take("count", np.int64, w[w >= 0])
             base = np.log10((count + 1) / (m.tokens + len(m.words) + 1))
             here = (v < 0) | (w < 0)  # such a pair was never seen
-            local = np.bincount(rows[here], m.logp(v[here], w[here], np.zeros(here.sum(), np.int64)), n_docs)
+            local = np.bincount(rows[here], m.logp(v[here], w[here], np.zeros(here.sum(), np.int64)), n_docs).astype(float)
             shard, kind, sizes, data = [], [], [], []
             far = np.flatnonzero(~here)
             if len(far):
@@ -460,7 +460,7 @@ def _asked(model):
             table = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.bincount(rows, minlength=n_docs)),
                  pa.array(np.bincount(rows, count > 0, n_docs).astype(np.int64)),
-                 pa.array(np.bincount(rows, base, n_docs)), pa.array(local)],
+                 pa.array(np.bincount(rows, base, n_docs).astype(float)), pa.array(local)],
                 ["doc_id", "n_tokens", "n_known", "base_score", "score"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:

@@ -231,8 +231,9 @@ class NearDedup:
     def _confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the class pairs (a, b, na, nb, ...) whose full sets are similar enough."""
         ends = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+        # rows that repeat a text are one set
         sets = self.stages.keep(self._texts(ends).mapInArrow(
-            _sets(self.width), "h1 long, items array<long>"), f"{name}-sets")
+            _sets(self.width), "h1 long, items array<long>").dropDuplicates(["h1"]), f"{name}-sets")
         both = (pairs.join(sets.select(F.col("h1").alias("a"), F.col("items").alias("ia")), "a")
                 .join(sets.select(F.col("h1").alias("b"), F.col("items").alias("ib")), "b")
                 .withColumn("m", F.size(F.array_intersect("ia", "ib")).cast("long")))
@@ -262,11 +263,11 @@ class NearDedup:
         self.reads = 0
         sig = keep(self.keyed.mapInArrow(
             _signatures(self.width), "doc_id long, whole long, n long, h1 long, bands array<long>, "
-            + ", ".join(f"{s} long" for s in _SKETCH)), "signatures")
-        self.classes = classes = keep(sig.where("n > 0 and doc_id is not null").groupBy("h1")
-                                      .agg(F.min("doc_id").alias("rep")), "classes")
-        self.reps = reps = keep(sig.join(classes.select(F.col("rep").alias("doc_id"), "h1"), ["doc_id", "h1"],
-                                         "left_semi").drop("doc_id", "whole"), "reps")
+            + ", ".join(f"{s} long" for s in _SKETCH)).withColumn("row", F.monotonically_increasing_id()), "signatures")
+        # one row stands for each class, however often its text or its doc_id repeats
+        self.classes = classes = keep(sig.where("n > 0 and doc_id is not null").groupBy("h1").agg(
+            F.min(F.struct("doc_id", "row")).alias("x")).select("h1", "x.row", F.col("x.doc_id").alias("rep")), "classes")
+        self.reps = reps = keep(sig.join(classes.select("row"), "row", "left_semi").drop("doc_id", "whole", "row"), "reps")
         keys = reps.select("h1", F.posexplode("bands").alias("band", "key"))
         sizes = keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         met = keep(keys.join(sizes, "key").select("key", "band", "h1", "size"), "met")
@@ -303,7 +304,7 @@ class NearDedup:
         p = self.percent
         who = self.stages.keep(apart.select("h1").distinct(), "apart-classes")
         fine = self.stages.keep(self._texts(who).mapInArrow(_fine(self.width), "h1 long, fine array<long>")
-                                .join(who, "h1", "left_semi"), "fine")
+                                .join(who, "h1", "left_semi").dropDuplicates(["h1"]), "fine")
         rest = self.stages.keep(apart.join(self.reps.join(fine, "h1"), "h1"), "rest")
         odd = " + ".join(f"bit_count(x.{s} ^ y.{s})" for s in _SKETCH)
         pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"""
@@ -322,12 +323,12 @@ def near_dedup(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose document is in a group kept under a smaller id, by two-word shingles.
+    """`docs` without the rows whose document is in a group kept under a smaller id.
 
-    Rows that repeat a kept doc_id stay; of a doc_id with several texts each text is
+    Near copies share 0.8 of their five-word shingles.  Rows that repeat a kept doc_id stay; of a doc_id with several texts each text is
     judged alone.  Only the ids and text hashes to drop meet the texts.
     """
-    run = NearDedup(docs)
+    run = NearDedup(docs, width=5)
     stages = Stages(docs.sparkSession, "near-dedup-stage")
     gone = stages.keep(run.run().where("not kept").select(
         F.col("doc_id").alias("__id"), F.col("whole").alias("__whole")).distinct(), "gone")

@@ -66,3 +66,46 @@ def near_copies(seed=5, groups=6, size=14):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             out.append(" ".join(words))
     return out + [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(20)]
+
+
+def exact_languages(rows, learn):
+    """Label and support of every text by exact trigram sets: `rows` of (doc_id, text, lang),
+    `learn`: which of them teach."""
+    from collections import Counter
+
+    from ledgerline.llm import langid
+
+    def grams(text):
+        s = "\n" + (text or "").lower() + "\n"
+        edge = [c if c.isalpha() else "\0" for c in s]
+        return ["".join(edge[i - 1:i + 2]) for i in range(1, len(s) - 1) if edge[i] != "\0"]
+
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and learn(i):
+            counts.setdefault(lang, Counter()).update(grams(text))
+    share = {g: {t: n / (sum(c.values()) or 1) for t, n in c.items()} for g, c in counts.items()}
+    top = {}
+    for c in share.values():
+        for t, p in c.items():
+            top[t] = max(top.get(t, 0), p)
+    known = {g: {t for t, p in c.items() if p >= langid.FLOOR and p >= langid.RATIO * top[t]} for g, c in share.items()}
+    out = []
+    for _, text, _ in rows:
+        own = grams(text)
+        support = {g: sum(t in known[g] for t in own) / len(own) if own else 0.0 for g in sorted(known)}
+        best = max(sorted(support), key=lambda g: support[g]) if support else None
+        out.append((best if own and best else "und", support))
+    return out
+
+
+def without_boilerplate(docs, sites=10):
+    """Line dedup by hand: `docs` of (doc_id, text, source) -> the texts."""
+    where, whole = {}, {}
+    for _, text, source in docs:
+        for line in (text or "").split("\n") if text is not None else []:
+            if line.strip(" "):
+                where.setdefault(line.strip(" "), set()).update({source} - {None})
+                whole.setdefault(line.strip(" "), set()).add(text)
+    gone = {x for x in where if len(where[x]) >= sites and len(whole[x]) >= sites}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") not in gone) for _, t, _ in docs]

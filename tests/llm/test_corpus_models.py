@@ -269,8 +269,9 @@ def test_trie_with_small_shards(spark, limit, depth):
 
 
 def test_trie_with_repeated_rows_and_tied_turns(spark):
-    rows = [(1, 0, "user", "a")] * 5 + [(2, 0, "user", "a"), (2, 0, "user", "b")] + [(4, 3, "user", "tie"), (4, 3, "bot", "tie")]
-    df = spark.createDataFrame(rows * 1, "conv_id long, turn long, role string, text string")
+    # ids divisible by five lead themselves, so they are whole
+    rows = [(10, 0, "user", "a")] * 5 + [(20, 0, "user", "a"), (20, 0, "user", "b")] + [(35, 3, "user", "tie"), (35, 3, "bot", "tie")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     one = plain(prefix_trie.prefix_trie(df).collect())
     assert one == plain(prefix_trie.prefix_trie(df.orderBy("text", "role").repartition(3)).collect())  # whatever the rows' order
     assert max(r[1] for r in one) == 5 and next(r for r in one if r[1] == 0)[3] == 3

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import langid, license_scan, line_dedup, near_dedup, queries
-from tests.llm.helpers import CLASHING, SMALL, documents, near_components, near_copies, small_documents
+from tests.llm.helpers import (CLASHING, SMALL, documents, exact_languages, near_components, near_copies,
+                               small_documents)
 
 ENGLISH = "the house and the garden are where they were"
 FRENCH = "où est la très belle maison près du château où nous étions"
@@ -22,6 +24,20 @@ def test_language_is_found_on_held_out_rows(spark):
     assert got.where("score < 0 or score > 1").isEmpty()
 
 
+def test_language_equals_exact_trigram_sets(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in small_documents(spark).collect()]
+    want = exact_languages(rows, lambda i: zlib.crc32(str(i).encode()) % 4 != 2)
+    got = {r.doc_id: r for r in queries.op8_language(spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for (i, _, _), (label, support) in zip(rows, want, strict=True):
+        if label != "und":
+            assert got[i].support == pytest.approx(support[got[i].lang_pred], abs=0.02)  # the filters' false positives
+            assert support[got[i].lang_pred] >= support[label] - 0.02
+            assert 0 < got[i].score <= 1
+        else:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+
+
 def test_language_edge_cases(spark):
     rows = [(1, ENGLISH, "en", "a"), (2, FRENCH, "fr", "a"), (3, None, "en", None), (4, "", None, "a"),
             (5, "123 !!", "fr", "a"), (6, ENGLISH * 400, None, "a"), (1, ENGLISH, "en", "a"), (None, FRENCH, "fr", "b")]
@@ -186,3 +202,25 @@ def test_shingles_of_arrow_columns(text):
     from tests.llm.helpers import shingles
     got = {row: len(s) for row, s in near_dedup.shingle_sets(pa.array([text, None, text]), 2)}
     assert got == {0: len(shingles(text)), 1: 0, 2: len(shingles(text))}
+
+
+def test_repeated_rows_make_no_links_of_their_own(spark):
+    texts = near_copies(groups=2, size=6)
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+
+    def run(rows):
+        one = near_dedup.NearDedup(documents(spark, rows))
+        out = {(r.doc_id, r.component_id) for r in one.run().collect()}
+        return out, spark.read.parquet(one.stages.path("links")).count()
+
+    once, links = run(rows)
+    many, more = run(rows * 50)
+    assert many == once and more == links > 0
+
+
+def test_a_doc_id_with_several_texts_keeps_its_texts_apart(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base, "en", "a"), (2, base + " end", "en", "a"), (2, "something else entirely here", "en", "a"),
+            (2, base + " end", "en", "a")]
+    kept = near_dedup.keep_one_of_each(documents(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, base), (2, "something else entirely here")]
