@@ -3,9 +3,11 @@
 A page becomes its text blocks in page order, each with its chain of open elements.
 A small additive classifier gives every block evidence for content and for
 boilerplate (element names, class, id and role words, links, length); these are its
-capacities to the two terminals.  Class words of an element count for all below it, but
-length and paragraphs can outweigh them, and they count nothing on html, body, article,
-main and on a wrapper that holds most of the page's text; nor does a form that does.  Neighbouring blocks, and consecutive blocks of one
+capacities to the two terminals.  Names in class, id and role (whole names, their last
+part, or their first part before a word like "list") count for all below their element,
+but length and paragraphs can outweigh them, and they count nothing on html, body,
+article, main and on a wrapper that holds most of the page's text; nor does a form that
+does.  Neighbouring blocks, and consecutive blocks of one
 parent, are joined by smoothness capacities that shrink with their distance in the
 DOM.  The maximum flow's cut labels all blocks of the page at once; the source side
 is the article.
@@ -15,7 +17,11 @@ nothing.  Scripts, styles, forms' controls and comments have no text; character
 references are decoded; white space inside a block becomes one space.
 
 A page without an article or main part keeps every block that nothing speaks against,
-however short.
+however short; what menus and notices say speaks against a short one.
+
+The flow is found in two steps: nodes whose own evidence outweighs all their links are
+settled first, which turns their links into evidence of their neighbours; Dinic's
+algorithm cuts what is left.
 
 Defined results: null, empty or wholly boilerplate html gives an empty text; unclosed
 and stray tags, and tags cut off at the end, are tolerated; text outside any body is
@@ -26,7 +32,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,30 +50,53 @@ cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navi
 overlay pager pagination popup promo promotion related replies reply respond search share sharing sidebar signup
 social sponsor sponsored subscribe toolbar widget complementary contentinfo""".split())
 HEAD_WORDS = {"header", "masthead", "top"}  # noise only outside the article
+#: Last parts that leave the meaning of a name to its first part, as in "comments-area" or "related-posts".
+SHAPES = set("""area articles bar block body bottom box button buttons card col column container content first form
+grid group header icons inner item items last layer left link links list main outer panel post posts right row section
+slot small stories text title unit wide wrap wrapper""".split())
+#: What menus say, whole; and words that make a short block a notice.
+MENU_TEXTS = set("""home|menu|contact|contact us|about|about us|login|log in|sign in|sign up|register|search|next|previous|
+back|back to top|read more|more|share|imprint|sitemap|faq|help|privacy|privacy policy|terms|terms of use|startseite|kontakt|
+impressum|datenschutz|anmelden|suche|accueil|connexion|recherche|inicio|contacto|buscar""".replace("\n", "").split("|"))
+NOTICE_WORDS = set("""cookie cookies newsletter newsletters subscribe unsubscribe advertisement copyright cookie-richtlinie
+abonnieren abonnez suscríbete""".split())
+NOTICE_LENGTH = 15
 
 WHOLE = "html body article main".split()  # never noise by their own words
 #: Evidence and smoothness, in units of one link of a chain of paragraphs.
 SURE, LIKELY, SMOOTH = 1000, 80, 30
-#: Noise by the words of class, id and role: a paragraph of 36 words outweighs it.
+#: Noise by the names in class, id and role: a paragraph of 36 words outweighs it.
 WORDED = 90
+#: Noise by what a short block says, on pages without an article.
+SAID = 500
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*(?:>|\Z)|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _MARK = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
-_WORD = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[a-z0-9]+(?:[-_]+[a-z0-9]+)*")
+_PART = re.compile(r"[-_]+")
+_SPOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _BLOCK, _VOID, _OUTSIDE, _INSIDE, _WHOLE = set(BLOCK), set(VOID), set(OUTSIDE), set(INSIDE), set(WHOLE)
 _CLOSES_P = _BLOCK - {"body", "html"}
 
 
-def _words(attrs: str) -> tuple[set, bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    found, hidden = set(), False
+def _says(name: str, noise: set) -> bool:
+    """Whether a name is a noise word, ends with one, or begins with one and ends with a shape."""
+    if name in noise:
+        return True
+    first, *rest = _PART.split(name)
+    return bool(rest) and (rest[-1] in noise or ((rest[-1] in SHAPES or rest[-1].isdigit()) and first in noise))
+
+
+def _names(attrs: str) -> tuple[list, bool]:
+    """Names in class, id and role, and whether the element is hidden."""
+    found, hidden = [], False
     for m in _MARK.finditer(attrs):
         kind, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind in ("class", "id", "role"):
-            found.update(_WORD.findall(value))
+            found += _NAME.findall(value)
         elif kind == "hidden" or (kind == "aria-hidden" and value == "true"):
             hidden = True
         elif kind == "style" and "display:none" in value.replace(" ", ""):
@@ -77,7 +105,7 @@ def _words(attrs: str) -> tuple[set, bool]:
 
 
 class _Element:
-    """An open element; noise is 0, WORDED (class words) or SURE; `inside` has bits for main (1) and article (2)."""
+    """An open element; noise is 0, WORDED (names) or SURE; `inside` has bits for main (1) and article (2)."""
 
     __slots__ = ("name", "own", "noise", "inside", "depth", "parent", "size")
 
@@ -85,11 +113,11 @@ class _Element:
         self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
         self.inside = parent.inside if parent else 0
         self.own = self.size = 0
-        words, hidden = _words(attrs) if attrs else ((), False)
+        names, hidden = _names(attrs) if attrs else ((), False)
         if name in _OUTSIDE or name == "form" or hidden or (name == "header" and not self.inside):
             self.own = SURE
-        elif name not in _WHOLE and words and not (
-                words.isdisjoint(NOISE) and (self.inside or words.isdisjoint(HEAD_WORDS))):
+        elif name not in _WHOLE and any(
+                _says(n, NOISE) or (not self.inside and _says(n, HEAD_WORDS)) for n in names):
             self.own = WORDED
         if name in _INSIDE:
             self.inside |= 2 if name == "article" else 1
@@ -215,11 +243,22 @@ def evidence(text: str, element: _Element, linked: int, marked: bool = True) ->
             other += 40
     if 2 * linked > len(text):
         other += 60 if not element.inside else 10
-    if not marked and not other:  # a page without an article: only evidence removes text, no neighbours
-        content += SURE
+    if not marked:  # a page without an article: only evidence removes text, no neighbours
+        if _notice(text, words):
+            other += SAID
+        elif not other:
+            content += SURE
     return content, other
 
 
+def _notice(text: str, words: int) -> bool:
+    """Whether a block says what menus and notices say."""
+    if words > NOTICE_LENGTH:
+        return False
+    low = text.lower()
+    return low.strip(" .:!»›>|") in MENU_TEXTS or not NOTICE_WORDS.isdisjoint(_SPOKEN.findall(low))
+
+
 def _kinship(a: _Element, b: _Element) -> int:
     """Smoothness between two blocks: full for one parent, less with every element between them."""
     steps = 0
@@ -232,48 +271,81 @@ def _kinship(a: _Element, b: _Element) -> int:
     return SMOOTH // max(1, steps - 1) if steps > 1 else SMOOTH
 
 
+def _settled(left: list, near: list) -> list:
+    """Labels that a node's own evidence decides against all its links together, None elsewhere.
+
+    A settled node's links become evidence of its neighbours, which may settle them in turn; `left` and `near` keep
+    what is still open.  Such labels hold in the minimum cut with the smallest content side.
+    """
+    label = [None] * len(left)
+    todo = list(range(len(left)))
+    while todo:
+        i = todo.pop()
+        if label[i] is not None:
+            continue
+        pull = sum(near[i].values())
+        if left[i] > pull or -left[i] >= pull:
+            label[i] = left[i] > pull
+            for j, w in near[i].items():
+                del near[j][i]
+                left[j] += w if label[i] else -w
+                todo.append(j)
+            near[i] = {}
+    return label
+
+
 def cut(content: list, other: list, links: list) -> list:
-    """For every node, whether it is on the content side of a minimum cut."""
+    """For every node, whether it is on the content side of the minimum cut with the smallest content side."""
     n = len(content)
     left = [c - o for c, o in zip(content, other, strict=True)]  # flow through one node alone cancels
-    near = [[] for _ in range(n)]
-    room: dict = {}
+    near: list = [{} for _ in range(n)]
     for a, b, w in links:
         if w and a != b:
-            if (a, b) not in room:
-                near[a].append(b)
-                near[b].append(a)
-                room[a, b] = room[b, a] = 0
-            room[a, b] += w
-            room[b, a] += w
-    starts = [i for i in range(n) if left[i] > 0]
+            near[a][b] = near[b][a] = near[a].get(b, 0) + w
+    label = _settled(left, near)
+    open_ = [i for i in range(n) if label[i] is None]
+    # Dinic: levels from all nodes with evidence left to give, then paths that go up one level at a time
     while True:
-        came = dict.fromkeys(starts, -1)
-        queue, goal = deque(starts), None
-        while queue:
-            i = queue.popleft()
-            if left[i] < 0:
-                goal = i
-                break
-            for j in near[i]:
-                if j not in came and room[i, j] > 0:
-                    came[j] = i
+        level = {i: 0 for i in open_ if left[i] > 0}
+        queue, goal = list(level), None
+        for i in queue:
+            if left[i] < 0 and goal is None:
+                goal = level[i]
+            if goal is not None and level[i] >= goal:
+                continue
+            for j, w in near[i].items():
+                if w > 0 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
         if goal is None:
-            return [i in came for i in range(n)]
-        flow, j = -left[goal], goal
-        while came[j] >= 0:
-            flow, j = min(flow, room[came[j], j]), came[j]
-        flow = min(flow, left[j])
-        left[j] -= flow
-        left[goal] += flow
-        j = goal
-        while came[j] >= 0:
-            i = came[j]
-            room[i, j] -= flow
-            room[j, i] += flow
-            j = i
-        starts = [i for i in starts if left[i] > 0]
+            for i in open_:
+                label[i] = i in level
+            return label
+        ahead: dict = {}
+        for start in [i for i in queue if level[i] == 0]:
+            path = [start]
+            while left[start] > 0:
+                i = path[-1]
+                if left[i] < 0:
+                    flow = min(left[start], -left[i], *(near[a][b] for a, b in zip(path, path[1:], strict=False)))
+                    left[start] -= flow
+                    left[i] += flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                    path = [start]
+                    continue
+                if i not in ahead:
+                    ahead[i] = [j for j in near[i] if level.get(j) == level[i] + 1]
+                while ahead[i] and near[i][ahead[i][-1]] <= 0:
+                    ahead[i].pop()
+                if ahead[i]:
+                    path.append(ahead[i][-1])
+                elif len(path) == 1:
+                    break
+                else:
+                    path.pop()
+                    ahead[path[-1]].pop()
 
 
 def main_text(page: str) -> str:

@@ -335,3 +335,20 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     run.stages.clear()
     own = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__whole"))
     return docs.join(gone, own, "left_anti").select(*docs.columns)
+
+
+ORACLE = """
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(
+     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+     lambda x: x <> '') as words from documents),
+ s as (select doc_id, case when len(words) > 1 then list_distinct(list_transform(range(1, len(words)),
+     lambda i: words[i] || ' ' || words[i + 1])) else words end as grams from w),
+ e as (select doc_id, unnest(grams) as g from s),
+ c as (select a.doc_id as a, b.doc_id as b, count(*) as m from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by all),
+ l as (select a, b from c join s x on x.doc_id = a join s y on y.doc_id = b
+     where 100 * m >= 80 * (len(x.grams) + len(y.grams) - m)),
+ k as (select a, b from l union all select b, a from l),
+ r as (select doc_id as a, doc_id as b from s union select r.a, k.b from r join k on r.b = k.a),
+ f as (select a, min(b) as component_id from r group by a)
+select doc_id, len(grams)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join f on f.a = s.doc_id
+"""

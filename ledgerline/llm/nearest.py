@@ -9,14 +9,16 @@ perturbations are scored, so the order is the true one.
 
 Buckets are dealt by Spark: rows of a bucket in blocks of `BLOCK` by hash, queries
 likewise, so neither a hot bucket nor a popular probe makes a large group.  Each
-(bucket, row block, query block) reranks by the exact cosine and returns its k best,
-each vec_id once; they are merged per query.  Repeated rows collapse to one before
+(bucket, row block, query block) is a group of its own number, dealt by that number
+alone, so the blocks of a hot bucket spread over all tasks; it reranks by the exact
+cosine and returns its k best, each vec_id once; they are merged per query.  Repeated rows collapse to one before
 they are indexed.  A query that found fewer than k although more rows exist
 visits every bucket of the first table, so small tables are answered in full.
 
-The defaults were fitted on vectors that are close to random directions, where
-neighbours at cosine 0.4 must be told from background at 0.1; see the README for the
-measured recall.
+More rows take more hash functions, so that buckets stay small, and more tables and
+probes, so that neighbours stay found (`settings`).  The figures were fitted on vectors
+that are close to random directions, where neighbours at cosine 0.4 must be told from
+background at 0.1; see the README for the measured recall and share of rows visited.
 
 Defined results: null, zero or non-finite vectors take no part, nor do rows with a
 null vec_id; only vectors of the query's length are candidates; rows with the
@@ -27,18 +29,27 @@ vec_id count once, with their best score; an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Stages, mix64
-from ledgerline.llm.vectors import exact_cosine, matrix, unit, whole_vectors
+from ledgerline.llm.vectors import exact_cosine, matrix, scaled, unit, whole_vectors
 
 TABLES, HASHES, WIDTH, PROBES = 4, 6, 2.0, 48
+#: Up to so many rows the settings above hold; every eightfold adds a hash function and a table.
+FEW_ROWS = 2500
 BLOCK = 2048
 
 
+def settings(rows: int) -> tuple[int, int, int]:
+    """Tables, hash functions and probes for an index of so many rows."""
+    level = max(0, math.ceil(math.log(max(rows, 1) / FEW_ROWS, 8)))
+    return TABLES + level, HASHES + level, int(PROBES * 1.5 ** level)
+
+
 class PStable:
     """The hash functions for vectors of one length."""
 
@@ -103,7 +114,7 @@ def _rerank(k: int):
         import pyarrow as pa
 
         query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        ids, m = table.column("vec_id").to_numpy(), matrix(table.column("v"))
+        ids, m = table.column("vec_id").to_numpy(), scaled(matrix(table.column("v")))
         q, c = np.flatnonzero(query), np.flatnonzero(~query)
         out_q, out_v, out_s = [], [], []
         if len(q) and len(c):
@@ -146,17 +157,23 @@ def _visit(rows: DataFrame, probes: DataFrame, stages: Stages, name: str, k: int
                                      F.lit(False).alias("query"), "vec_id", "v")
     two = probes.join(grid, at).select(*at, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("part"),
                                        turn.alias("turn"), F.lit(True).alias("query"), "vec_id", "v")
-    return one.union(two).groupBy(*at, "part", "turn").applyInArrow(
-        _rerank(k), "query_id long, vec_id long, score double")
+    # one number for the five: Spark would let groups by the joins' own keys stay where the joins put them
+    both = one.union(two).select(F.xxhash64(*at, "part", "turn").alias("block"), "dim", "query", "vec_id", "v")
+    return both.groupBy("block", "dim").applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+
 
+def search(df: DataFrame, is_query, k: int = 5, tables: int | None = None, hashes: int | None = None,
+           width: float = WIDTH, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for every row that `is_query` (SQL) holds for.
 
-def search(df: DataFrame, is_query, k: int = 5, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH,
-           probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for every row that `is_query` (SQL) holds for."""
+    What isn't given of tables, hashes and probes follows the number of rows.
+    """
     stages = Stages(df.sparkSession, "nearest")
     rows = whole_vectors(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).where(
         "vec_id is not null").select("vec_id", "dim", "v")
     rows = stages.keep(rows.distinct(), "rows")
+    own = settings(rows.count())
+    tables, hashes, probes = (x if x is not None else y for x, y in zip((tables, hashes, probes), own, strict=True))
     schema = "vec_id long, dim int, v array<double>, tab int, bucket long"
     index = stages.keep(rows.mapInArrow(_hashed(tables, hashes, width, 0), schema), "index")
     queries = rows.where(is_query)

@@ -12,8 +12,8 @@ whatever the corpus.  On it the driver
 3. rounds them, largest first, within what the histogram still holds;
 4. packs the residual greedily, longest first, always the longest piece that fits.
 
-Pieces then get ranks within their length (hashed sub-groups with prefix counts, so
-a hot length is no hot task) and read their sequence and offset from the plan.
+Pieces then get ranks within their length (hashed sub-groups with prefix counts, as
+many as the length's count asks for, so a hot length is no hot task) and read their sequence and offset from the plan.
 
 Defined results: null text counts as empty, and an empty document is its end id
 alone; repeated rows are packed each; equal pieces are ranked by (doc_id, start);
@@ -34,8 +34,8 @@ from ledgerline.llm.tokens import encode_column, vocabulary, word_table
 WINDOW = 4096
 COMMON = 24
 STEPS = 300
-#: Sub-groups of one length whose ranks are counted apart.
-SALTS = 16
+#: Pieces of one length that are ranked together; a commoner length has as many sub-groups as it needs.
+RANKED = 1 << 16
 
 
 def _pieces(path: str, end_id: int, window: int):
@@ -167,15 +167,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
     run = _pieces(tokenizer or vocabulary(), end_id, window)
     pieces = stages.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
-    sizes = stages.keep(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "sizes")
     counts = np.zeros(window + 1, np.int64)
-    for length, n in sizes.groupBy("length").agg(F.sum("n")).collect():  # at most `window` rows
+    for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows
         counts[length] = n
+    groups = spark.createDataFrame([(int(k), -(-int(counts[k]) // RANKED)) for k in np.flatnonzero(counts)],
+                                   "length long, salts long")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
+    sizes = stages.keep(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "sizes")
     rows = slots(plan(counts, window)) if counts.any() else []
     table = spark.createDataFrame(rows, "length long, lo long, hi long, each long, first long, at long")
+    # a row for each sub-group, RANKED pieces or a length each
     before = sizes.select("length", "salt", (F.sum("n").over(
-        Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))  # SALTS rows a length
+        Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
     ranked = (salted.withColumn("k", within - 1).join(F.broadcast(before), ["length", "salt"])
               .withColumn("rank", F.col("before") + F.col("k")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (embed_dedup, html_mincut, kneser_ney, langid, license_scan, line_dedup, near_dedup, nearest, packing,
-                            prefix_trie, resample, sentence_pieces, token_store)
+from ledgerline.llm import (embed_dedup, html_mincut, kneser_ney, langid, license_scan, line_dedup, near_dedup,
+                            nearest, packing, prefix_trie, resample, sentence_pieces, token_store)
 from ledgerline.llm.common import table
 
 
@@ -74,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op12_perplexity, op13_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_line_dedup": line_dedup.ORACLE, "op11_resample": resample.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
+    "op3_line_dedup": line_dedup.ORACLE, "op4_near_dedup": near_dedup.ORACLE,
+    "op7_embedding_dedup": embed_dedup.ORACLE, "op11_resample": resample.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}

@@ -20,7 +20,7 @@ Spark does the rest: range partitioning by doc_id, the committed write, the read
 prefix sums over segments (per file, then over files) for the documents' starts.
 
 Defined results: null text counts as empty, and an empty document is its end id
-alone; null doc_ids come first; repeated rows are stored each, ordered by a hash of
+alone; an id of 65,536 or more is refused with an error; null doc_ids come first; repeated rows are stored each, ordered by a hash of
 their text; an empty table writes and reads no rows; other columns are not read.
 """
 
@@ -37,6 +37,8 @@ from ledgerline.llm.common import Stages
 from ledgerline.llm.tokens import encode_column, vocabulary, word_table
 
 MAGIC = b"LLT1"
+#: Ids lie below this: contexts and the order-0 model hold 16 bits.
+IDS = 1 << 16
 BLOCK = 1024
 SEGMENT_IDS = BLOCK * 4096
 CONTEXTS = 256
@@ -135,6 +137,8 @@ def encode_blocks(ids: np.ndarray) -> list:
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
+    if ids.max() >= IDS:
+        raise ValueError(f"id {ids.max()} of a vocabulary of more than {IDS} ids: the format has 16 bits an id")
     grid = np.zeros(lanes * BLOCK, np.int32)
     grid[:len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)

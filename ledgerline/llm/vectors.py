@@ -35,6 +35,15 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 1/2 .. 1.
+
+    Exact, so cosines stay the same bits, and no square overflows or vanishes.
+    """
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1]) if m.size else m
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise cosine of original vectors in double precision."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import itertools
 import random
+import time
 import re
 
 import numpy as np
@@ -87,7 +88,42 @@ def test_long_pages_and_deep_pages():
     assert html_mincut.main_text("<article>" + "<div>" * 800 + "deep" + "</div>" * 800 + "</article>") == "deep"
 
 
-@pytest.mark.parametrize("seed", range(40))
+@pytest.mark.parametrize("name", ["related-work", "social-history", "search-engines", "share-prices", "menu-of-the-day",
+                                  "ad-hoc", "advertising-law", "sharing_economy"])
+def test_names_that_only_contain_a_noise_word_keep_their_paragraph(name):
+    text = "One paragraph of exactly sixteen words that belongs to what this article is really all about."
+    assert html_mincut.main_text(f"<article>{STORY}<div class='{name}'><p>{text}</p></div></article>").endswith(text)
+
+
+@pytest.mark.parametrize("name", ["site-footer", "comments-area", "related_posts", "cookie-banner", "ad-slot", "sidebar-left",
+                                  "menu-item menu-item-12", "widget"])
+def test_names_of_parts_drop_their_text(name):
+    assert "Something else" not in html_mincut.main_text(f"<article>{STORY}</article><div class='{name}'>Something else here</div>")
+
+
+@pytest.mark.parametrize("text", ["Subscribe to our newsletter today", "We use cookies to improve your visit", "Home",
+                                  "About us", "Copyright notice of the owner"])
+def test_menus_and_notices_go_from_pages_without_an_article(text):
+    page = f"<ul><li>{text}</li></ul><div>Short text.</div><div>{LONG} cookies</div>"
+    assert html_mincut.main_text(page) == f"Short text.\n{LONG}cookies".replace("  ", " ")
+
+
+def test_long_alternating_pages():
+    advert = "<div class='ad'><p>Buy one of these many things now and save some of your money today or else</p></div>"
+    page = "<article>" + "".join(f"<p>Paragraph number {i} of a long text.</p>{advert}" for i in range(32_000)) + "</article>"
+    began = time.time()
+    got = html_mincut.main_text(page).split("\n")
+    assert len(got) == 32_000 and time.time() - began < 20
+    # weak evidence both ways, so that links decide and nothing is settled at once
+    rng = random.Random(1)
+    content, other = ([rng.randrange(0, 45) for _ in range(64_000)] for _ in range(2))
+    links = [(k, k + 1, 30) for k in range(63_999)] + [(k, k + 2, 15) for k in range(63_998)]
+    began = time.time()
+    html_mincut.cut(content, other, links)
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("seed", range(80))
 def test_the_cut_is_minimal(seed):
     rng = random.Random(seed)
     n = rng.randrange(1, 9)
@@ -99,7 +135,10 @@ def test_the_cut_is_minimal(seed):
                 + sum(w for a, b, w in links if label[a] != label[b]))
 
     best = min(map(cost, itertools.product((False, True), repeat=n)))
-    assert cost(html_mincut.cut(content, other, links)) == best
+    got = html_mincut.cut(content, other, links)
+    assert cost(got) == best
+    smallest = [label for label in itertools.product((False, True), repeat=n) if cost(label) == best]
+    assert got == [all(label[k] for label in smallest) for k in range(n)]
 
 
 def test_html_edge_cases(spark):
@@ -239,3 +278,32 @@ def test_rerank_counts_copies_once():
     ids = [0] + [i for i in range(1, 8) for _ in range(6)]
     out = nearest._rerank(5)(pa.table({"query": [True] + [False] * 42, "vec_id": ids, "v": v}))
     assert out.column("vec_id").to_pylist() == [1, 2, 3, 4, 5]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 0.999e200], 1), (3, [1.0, 1.0], 1), (4, [1e-200, 1e-200], 1), (5, [1e200, -1e200], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+    near = sorted(nearest.search(df, "vec_id = 1").collect(), key=lambda r: r["rank"])
+    assert {r.vec_id for r in near[:2]} == {3, 4} and [r.vec_id for r in near[2:]] == [2, 5]
+    assert [r.score for r in near] == pytest.approx([1.0, 1.0, 1.0, 0.0], abs=1e-6)
+
+
+def test_spread_vectors_meet_on_a_grid_of_several_axes(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 8)) * [4, 3, 2.5, 1, 1, 1, 1, 1]
+    m = np.concatenate([c + rng.normal(size=(12, 8)) * 0.15 for c in centres])
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+    for tile in (None, 16):
+        got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df, tile=tile).collect()}
+        assert got == {i: int(linked[i].sum()) for i in range(len(u))}
+    classes = df.selectExpr("embedding as v", "8 as dim")
+    assert len(embed_dedup.principal_axes(classes, 0.374)[8][1]) >= 2
+
+
+def test_more_rows_take_more_functions():
+    assert nearest.settings(0) == nearest.settings(2500) == (4, 6, 48)
+    assert nearest.settings(20_000)[1] == 7 < nearest.settings(10**9)[1] <= 14

@@ -190,3 +190,21 @@ def test_pieces_round_trip_on_spark(spark):
     assert len(out) == len(rows) and all(r.lossless for r in out)
     assert sentence_pieces.round_trip(docs.limit(0)).count() == 0
     assert all(r.lossless for r in sentence_pieces.round_trip(small_documents(spark)).collect())
+
+
+def test_ids_beyond_the_format_are_refused():
+    with pytest.raises(ValueError, match="16 bits"):
+        token_store.pack_segment([1], np.array([2]), np.array([5, 70_000], np.uint32))
+
+
+def test_common_lengths_are_ranked_in_sub_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    docs = documents(spark, [(i, "one two three", "en", "a") for i in range(60)] + [(100 + i, "word " * i, "en", "a") for i in range(30)])
+    seats = {}
+    rows = packing.pack(docs, window=64).collect()
+    for r in rows:
+        seats.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
+    for own in seats.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 64
