@@ -12,8 +12,11 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -73,9 +76,9 @@ def rf_forecast(split_df: DataFrame, features, params=RF_BENCH, name="RandomFore
 
 def forest(params) -> RandomForestRegressor:
     """The forest estimator; a level of all trees is grown in one pass where its
-    statistics fit in ``maxMemoryInMB``."""
+    statistics fit in ``maxMemoryInMB``, and rows remember their nodes."""
     return RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED, maxDepth=10,
-                                 maxMemoryInMB=1024, **params)
+                                 maxMemoryInMB=1024, cacheNodeIds=True, **params)
 
 
 def rf_importance(frame: DataFrame, target: str, features) -> DataFrame:
@@ -202,15 +205,18 @@ def forest_fold_predictions(split_df: DataFrame, folds: DataFrame, features, par
     vectors that are assembled and written once."""
     rows = assemble(split_df.filter(F.col("split") == "train"), features).select("ticker", "date", "target", "features")
     rows = rows.checkpoint()
-    out = None
-    for fold in [r[0] for r in folds.select("fold").distinct().sort("fold").collect()]:  # at most five
+
+    def tested(fold):
         own = folds.filter(F.col("fold") == fold)
         fit = forest(params).fit(rows.join(own.filter(F.col("role") == "train").select("date"), "date", "left_semi"))
-        pred = fit.transform(rows.join(own.filter(F.col("role") == "test").select("date"), "date", "left_semi")).select(
+        return fit.transform(rows.join(own.filter(F.col("role") == "test").select("date"), "date", "left_semi")).select(
             F.lit(fold).alias("fold"), "ticker", "date", F.col("target").alias("actual"),
             F.lit("RandomForest").alias("model"), F.col("prediction").alias("predicted"))
-        out = pred if out is None else out.unionByName(pred)
-    return out
+
+    names = [r[0] for r in folds.select("fold").distinct().sort("fold").collect()]  # at most five
+    with ThreadPool(len(names)) as pool:  # fits wait for small jobs most of the time
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(tested), names)
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ------------------------------------------------------------------ strategies

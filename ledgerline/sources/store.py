@@ -3,8 +3,9 @@
 The table is a Parquet folder partitioned by key bucket, a hash of the upper-cased
 ticker.  A change reads the buckets that hold changed keys, merges them, and writes
 them back with dynamic partition overwrite, so other buckets keep their files and a
-change costs its own buckets, not the table.  A written bucket is staged first and put
-in its place when the job commits; a job that dies before leaves the table as it was.
+change costs its own buckets, not the table.  Written buckets are staged and put in their
+places, one after another, when the job commits; a job that dies before its commit leaves
+the table as it was, and running it again ends in the same table.
 
 Buckets are few and fixed when the table is made; which of them a change touches (at
 most all of them) is what the driver learns of it.  Row counts of a change are observed
