@@ -9,9 +9,9 @@ perturbations are scored, so the order is the true one.
 
 Buckets are dealt by Spark: rows of a bucket in blocks of `BLOCK` by hash, queries
 likewise, so neither a hot bucket nor a popular probe makes a large group.  Each
-(bucket, row block, query block) is a group of its own number, dealt by that number
-alone, so the blocks of a hot bucket spread over all tasks; it reranks by the exact
-cosine and returns its k best, each vec_id once; they are merged per query.  Repeated rows collapse to one before
+(bucket, row block, query block) has a number of its own and is dealt by that number
+alone, so those of a hot bucket spread over all tasks; it reranks by the exact cosine
+and returns its k best, each vec_id once; they are merged per query.  Repeated rows collapse to one before
 they are indexed.  A query that found fewer than k although more rows exist
 visits every bucket of the first table, so small tables are answered in full.
 
@@ -42,6 +42,8 @@ TABLES, HASHES, WIDTH, PROBES = 4, 6, 2.0, 48
 #: Up to so many rows the settings above hold; every eightfold adds a hash function and a table.
 FEW_ROWS = 2500
 BLOCK = 2048
+#: Rows that one group holds on average: small blocks share a group, each is reranked by itself.
+DEALT = 1 << 15
 
 
 def settings(rows: int) -> tuple[int, int, int]:
@@ -109,37 +111,43 @@ def _hashed(tables: int, hashes: int, width: float, probes: int):
     return run
 
 
+def _best(ids: np.ndarray, m: np.ndarray, query: np.ndarray, k: int):
+    """(query ids, candidate ids, cosines) of the k best of one block, each candidate id once."""
+    q, c = np.flatnonzero(query), np.flatnonzero(~query)
+    if not len(q) or not len(c):
+        return
+    norm = np.sqrt((m * m).sum(axis=1))
+    c = c[np.argsort(ids[c], kind="stable")]
+    first = np.flatnonzero(np.diff(ids[c], prepend=ids[c[0]] - 1))
+    for s in range(0, len(q), 256):
+        mine = q[s:s + 256]
+        score = (m[mine] @ m[c].T) / np.outer(norm[mine], norm[c])
+        score[ids[mine][:, None] == ids[c][None, :]] = -np.inf
+        best = np.maximum.reduceat(score, first, axis=1)  # copies of a vec_id count once
+        edge = -np.partition(-best, k - 1, axis=1)[:, k - 1] if len(first) > k else best.min(axis=1)
+        r, j = np.nonzero((score >= edge[:, None] - 1e-12) & np.isfinite(score))  # all ties of the last place
+        exact, own = exact_cosine(m[mine[r]], m[c[j]]), ids[c[j]]
+        order = np.lexsort((-exact, own, r))
+        new = np.ones(len(r), bool)
+        new[1:] = (np.diff(own[order]) != 0) | (np.diff(r[order]) != 0)
+        r, j, exact, own = (x[order[new]] for x in (r, j, exact, own))
+        order = np.lexsort((own, -exact, r))
+        rank = np.arange(len(r)) - np.searchsorted(r[order], r[order], "left")
+        some = order[rank < k]
+        yield ids[mine[r[some]]], own[some], exact[some]
+
+
 def _rerank(k: int):
     def run(table):
         import pyarrow as pa
 
+        block = table.column("block").to_numpy() if "block" in table.schema.names else np.zeros(len(table), np.int64)
         query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
         ids, m = table.column("vec_id").to_numpy(), scaled(matrix(table.column("v")))
-        q, c = np.flatnonzero(query), np.flatnonzero(~query)
-        out_q, out_v, out_s = [], [], []
-        if len(q) and len(c):
-            norm = np.sqrt((m * m).sum(axis=1))
-            c = c[np.argsort(ids[c], kind="stable")]
-            first = np.flatnonzero(np.diff(ids[c], prepend=ids[c[0]] - 1))
-            for s in range(0, len(q), 256):
-                mine = q[s:s + 256]
-                score = (m[mine] @ m[c].T) / np.outer(norm[mine], norm[c])
-                score[ids[mine][:, None] == ids[c][None, :]] = -np.inf
-                best = np.maximum.reduceat(score, first, axis=1)  # copies of a vec_id count once
-                edge = -np.partition(-best, k - 1, axis=1)[:, k - 1] if len(first) > k else best.min(axis=1)
-                r, j = np.nonzero((score >= edge[:, None] - 1e-12) & np.isfinite(score))  # all ties of the last place
-                exact, own = exact_cosine(m[mine[r]], m[c[j]]), ids[c[j]]
-                order = np.lexsort((-exact, own, r))
-                new = np.ones(len(r), bool)
-                new[1:] = (np.diff(own[order]) != 0) | (np.diff(r[order]) != 0)
-                r, j, exact, own = (x[order[new]] for x in (r, j, exact, own))
-                order = np.lexsort((own, -exact, r))
-                rank = np.arange(len(r)) - np.searchsorted(r[order], r[order], "left")
-                some = order[rank < k]
-                out_q.append(ids[mine[r[some]]])
-                out_v.append(own[some])
-                out_s.append(exact[some])
-        flat = [np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_v, out_s)]
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        found = [x for at in np.split(order, cuts) for x in _best(ids[at], m[at], query[at], k)]
+        flat = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         return pa.table({"query_id": pa.array(flat[0].astype(np.int64)), "vec_id": pa.array(flat[1].astype(np.int64)),
                          "score": pa.array(flat[2].astype(float))})
     return run
@@ -148,18 +156,20 @@ def _rerank(k: int):
 def _visit(rows: DataFrame, probes: DataFrame, stages: Stages, name: str, k: int, block: int) -> DataFrame:
     """The k best of every (bucket, row block, query block), as (query_id, vec_id, score)."""
     at = ["tab", "bucket", "dim"]
-    sizes = rows.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    asked = probes.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("turns"))
+    sizes = rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    asked = probes.groupBy(*at).agg(F.count(F.lit(1)).alias("q"), F.ceil(F.count(F.lit(1)) / block).cast("long").alias("turns"))
     grid = stages.keep(sizes.join(asked, at), f"{name}-grid")  # buckets that somebody visits
+    deals = -(-int(grid.agg(F.sum(F.expr("n * turns + q * blocks"))).first()[0] or 1) // DEALT)
     part = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))
     turn = F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("turns"))
     one = rows.join(grid, at).select(*at, part.alias("part"), F.explode(F.expr("sequence(0L, turns - 1)")).alias("turn"),
                                      F.lit(False).alias("query"), "vec_id", "v")
     two = probes.join(grid, at).select(*at, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("part"),
                                        turn.alias("turn"), F.lit(True).alias("query"), "vec_id", "v")
-    # one number for the five: Spark would let groups by the joins' own keys stay where the joins put them
+    # a number of its own for each block: Spark would let groups by the joins' keys stay where the joins put them
     both = one.union(two).select(F.xxhash64(*at, "part", "turn").alias("block"), "dim", "query", "vec_id", "v")
-    return both.groupBy("block", "dim").applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
+    return both.groupBy(F.pmod("block", F.lit(deals)).alias("deal"), "dim").applyInArrow(
+        _rerank(k), "query_id long, vec_id long, score double")
 
 
 def search(df: DataFrame, is_query, k: int = 5, tables: int | None = None, hashes: int | None = None,

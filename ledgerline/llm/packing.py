@@ -34,8 +34,8 @@ from ledgerline.llm.tokens import encode_column, vocabulary, word_table
 WINDOW = 4096
 COMMON = 24
 STEPS = 300
-#: Pieces of one length that are ranked together; a commoner length has as many sub-groups as it needs.
-RANKED = 1 << 16
+#: A length has at least so many sub-groups, and more where one would rank more than RANKED pieces.
+SALTS, RANKED = 16, 1 << 16
 
 
 def _pieces(path: str, end_id: int, window: int):
@@ -170,14 +170,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
     counts = np.zeros(window + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `window` rows
         counts[length] = n
-    groups = spark.createDataFrame([(int(k), -(-int(counts[k]) // RANKED)) for k in np.flatnonzero(counts)],
+    groups = spark.createDataFrame([(int(k), max(SALTS, -(-int(counts[k]) // RANKED))) for k in np.flatnonzero(counts)],
                                    "length long, salts long")
     salted = pieces.join(F.broadcast(groups), "length").withColumn(
         "salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
     sizes = stages.keep(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "sizes")
     rows = slots(plan(counts, window)) if counts.any() else []
     table = spark.createDataFrame(rows, "length long, lo long, hi long, each long, first long, at long")
-    # a row for each sub-group, RANKED pieces or a length each
+    # a row for each sub-group: SALTS a length, or one for RANKED pieces
     before = sizes.select("length", "salt", (F.sum("n").over(
         Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))

@@ -31,7 +31,7 @@ class WordTable:
     """Open-addressing table from word hashes to runs in a pool of ids."""
 
     def __init__(self, encode):
-        self.encode = encode  # distinct words -> their lists of ids
+        self.encode = encode  # distinct words -> their lists of ids, or what `flat` makes of them
         self.clear()
 
     def clear(self):
@@ -55,14 +55,14 @@ class WordTable:
         return out
 
     def add(self, keys: np.ndarray, strings: list) -> None:
-        runs = self.encode(strings)
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        last, total = self.at[self.words], int(sizes.sum())
+        got = self.encode(strings)
+        ids, sizes = got if isinstance(got, tuple) else flat(got)
+        last, total = self.at[self.words], len(ids)
         if self.words + len(keys) + 1 >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros(max(len(self.at), len(keys) + 1), np.int64)])
         if last + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), np.uint32)])
-        self.pool[last:last + total] = np.fromiter((i for r in runs for i in r), np.uint32, total)
+        self.pool[last:last + total] = ids
         self.at[self.words + 1:self.words + 1 + len(keys)] = last + np.cumsum(sizes)
         number = np.arange(self.words, self.words + len(keys), dtype=np.int32)
         slot = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -96,6 +96,55 @@ class WordTable:
         return self.pool[np.repeat(first_id - (ends_at - sizes), sizes) + np.arange(total)], sizes
 
 
+def _bar(encoder) -> int | None:
+    """The id of a bar that stands between words and leaves them as they are; None if the vocabulary has no such id."""
+    def ids(text):
+        return encoder.encode(text, add_special_tokens=False).ids
+
+    bar = ids("|")
+    return bar[0] if len(bar) == 1 and ids("words | apart") == ids("words") + bar + ids("apart") else None
+
+
+def flat(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the runs end to end, and how many each has."""
+    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+    return np.fromiter((i for r in runs for i in r), np.uint32, int(sizes.sum())), sizes
+
+
+def joined_encoder(encoder):
+    """Distinct words -> `flat` ids: a thousand words in one call, with bars between them.
+
+    The library's objects cost more than its work on a short word.  Words that hold a bar, and calls whose
+    bars don't come out one for one, go word by word.
+    """
+    bar = _bar(encoder)
+
+    def one_by_one(words: list):
+        return flat([e.ids for s in range(0, len(words), 2048)
+                     for e in encoder.encode_batch_fast(words[s:s + 2048], add_special_tokens=False)])
+
+    def together(words: list):
+        ids = np.array(encoder.encode_batch_fast([" | ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == bar)
+        if len(cut) != len(words) - 1:
+            return one_by_one(words)
+        return np.delete(ids, cut), np.diff(np.append(cut, len(ids)), prepend=-1) - 1
+
+    def encode(words: list):
+        if bar is None:
+            return one_by_one(words)
+        alone = np.fromiter(("|" in w for w in words), bool, len(words))
+        plain = [w for w in words if "|" not in w]
+        parts = [together(plain[s:s + 1024]) for s in range(0, len(plain), 1024)]
+        parts.append(one_by_one([w for w in words if "|" in w]))
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        place = np.argsort(np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)]))  # back to the words' order
+        first, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        return ids[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))], sizes
+
+    return encode
+
+
 def word_table(path: str) -> WordTable:
     """The worker's table for a vocabulary file of the `tokenizers` library."""
     store = process_cache("tokens")
@@ -103,14 +152,7 @@ def word_table(path: str) -> WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(path)
-
-        def encode(words: list) -> list:
-            # the library's results are large: a few thousand words at a time
-            return [e.ids for s in range(0, len(words), 2048)
-                    for e in encoder.encode_batch_fast(words[s:s + 2048], add_special_tokens=False)]
-
-        store["words", path] = WordTable(encode)
+        store["words", path] = WordTable(joined_encoder(Tokenizer.from_file(path)))
     return store["words", path]
 
 

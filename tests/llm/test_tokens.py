@@ -198,7 +198,7 @@ def test_ids_beyond_the_format_are_refused():
 
 
 def test_common_lengths_are_ranked_in_sub_groups(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED", 7)
+    monkeypatch.setattr(packing, "RANKED", 2)
     docs = documents(spark, [(i, "one two three", "en", "a") for i in range(60)] + [(100 + i, "word " * i, "en", "a") for i in range(30)])
     seats = {}
     rows = packing.pack(docs, window=64).collect()
@@ -208,3 +208,17 @@ def test_common_lengths_are_ranked_in_sub_groups(spark, monkeypatch):
     for own in seats.values():
         own.sort()
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 64
+
+
+def test_words_encoded_together_equal_words_encoded_alone():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(tokens.vocabulary())
+    rng = random.Random(3)
+    odd = ["|", "a|b", "||", "", "<|endoftext|>", "\u0301x", "\u00a0z", "ﬀ", "ａ｜b", "😀", "it's", "x" * 5000, "1,234.5", "\u2028", "!?"]
+    words = [rng.choice(odd) if rng.random() < 0.1 else "".join(rng.choice("abcdeéß1.,'") for _ in range(rng.randrange(1, 9)))
+             for _ in range(5000)]
+    ids, sizes = tokens.joined_encoder(library)(words)
+    got = [r.tolist() for r in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [len(x) for x in tokens.joined_encoder(library)([])] == [0, 0]
+
