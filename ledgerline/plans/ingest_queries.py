@@ -511,7 +511,7 @@ def committed_reload_q(spark, sf_dir):
     p = panel(spark, sf_dir)
     t = _stored(spark, "reload", p, ("ticker", "date"))
     seen = t.reload(p)
-    return t.read().agg(F.lit(int(seen["rows"])).alias("written"), F.count_distinct("ticker").alias("tickers"),
+    return t.read().agg(F.lit(int(seen["rows"])).cast("bigint").alias("written"), F.count_distinct("ticker").alias("tickers"),
                         F.count(F.lit(1)).alias("stored"))
 
 

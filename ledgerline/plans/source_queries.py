@@ -236,9 +236,11 @@ from gt""", NORM)
 @query("recommendation_extract", _rec_extract_sql())
 def recommendation_extract_q(spark, sf_dir):
     """K7: store the recommendation as JSON text and extract the score, the
-    overall risk and the predicted growth rate from it."""
-    from ledgerline.plans.scoring_queries import recommend_all_q
-    rec = recommend_all_q(spark, sf_dir)
+    overall risk and the predicted growth rate from it (records of the models that SQL
+    can state)."""
+    from ledgerline.operators import score
+    from ledgerline.plans.scoring_queries import fallback_records
+    rec = score.normalized_record(*fallback_records(spark, sf_dir))
     js = rec.select("ticker", F.to_json(F.struct(*[c for c in rec.columns if c != "ticker"])).alias("j"))
     return js.select("ticker",
                      F.get_json_object("j", "$.performance_score").cast("bigint").alias("performance_score"),
@@ -247,7 +249,15 @@ def recommendation_extract_q(spark, sf_dir):
                      .alias("predicted_growth_rate"))
 
 
-@query("parse_fenced_json")
+def sql_unfenced(x: str) -> str:
+    s = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    s = f"regexp_replace({s}, '^```[A-Za-z]*\\s*', '')"
+    return f"regexp_replace(regexp_replace({s}, '\\s*```$', ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("parse_fenced_json", f"""
+select conv_id, turn, coalesce(json_valid(t), false) as is_json, case when json_valid(t) then json_type(t) end as json_type
+from (select conv_id, turn, {sql_unfenced('text')} as t from conversations) x""")
 def parse_fenced_json_q(spark, sf_dir):
     """Strip code fences from every conversation turn and parse it as
     JSON (invalid -> NULL), reporting the top-level type."""
@@ -257,6 +267,26 @@ def parse_fenced_json_q(spark, sf_dir):
                     F.when(v.isNotNull(), F.schema_of_variant(v)).alias("json_type"))
 
 
+@query("fenced_records", with_panel("""
+select upload_id, row_pos, k < 3 as is_json, case k when 1 then 'ARRAY' when 3 then null else 'OBJECT' end as kind,
+  case when k < 3 then "Total Revenue" end as revenue
+from (select *, (upload_id + row_pos) % 4 as k from mu) x""", MU))
+def fenced_records_q(spark, sf_dir):
+    """C36 on answers that hold records: fenced as JSON, fenced as an array, bare, and cut
+    off in the middle (no JSON); the revenue is read from what was parsed."""
+    m = variants.messy_upload(panel(spark, sf_dir))
+    k = F.pmod(F.col("upload_id") + F.col("row_pos"), F.lit(4))
+    rec = F.to_json(F.struct(*[F.col(c) for c in files.UPLOAD_COLS]))
+    text = (F.when(k == 0, F.concat(F.lit("```json\n"), rec, F.lit("\n```")))
+            .when(k == 1, F.concat(F.lit("  ```\n["), rec, F.lit("]\n```\n"))).when(k == 2, rec)
+            .otherwise(F.concat(F.lit("```json\n"), F.substring(rec, F.lit(1), F.length(rec) - 3), F.lit("\n```"))))
+    d = m.select("upload_id", "row_pos", F.try_parse_json(P.strip_code_fences(text)).alias("v"))
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^([A-Z]+)", 1)
+    return d.select("upload_id", "row_pos", F.col("v").isNotNull().alias("is_json"), F.when(F.col("v").isNotNull(), kind).alias("kind"),
+                    F.coalesce(F.variant_get("v", "$['Total Revenue']", "string"),
+                               F.variant_get("v", "$[0]['Total Revenue']", "string")).alias("revenue"))
+
+
 @query("safe_cast", with_panel("""select upload_id, row_pos,
   coalesce(try_cast(regexp_replace("Cash From Operations", '^\\s+|\\s+$', '', 'g') as double), 0.0) as operating_cashflow,
   try_cast(regexp_replace("Net Profit", '^\\s+|\\s+$', '', 'g') as double) as net_income from mu""", MU))
