@@ -26,8 +26,9 @@ their arrays with contexts would take more room than the corpus itself.
 
 Defined results: null or empty text is its end alone; rows with a null doc_id learn
 and are scored; repeated rows count each; without training rows every score is 0;
-a level whose counts of counts leave a discount outside (0, k] takes k / 2; an empty
-table gives no rows; other columns are not read.
+a level whose counts of counts leave a discount outside (0, k] takes k / 2; texts are
+read whole, however long; an empty table gives no rows; other columns are not read and
+may have any name.
 """
 
 from __future__ import annotations

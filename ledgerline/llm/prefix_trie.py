@@ -23,8 +23,9 @@ reads them as a sorted stream, however long.
 
 Defined results: rows with a null conv_id belong to no conversation; null turns come
 first; equal turns are ordered by the hashes of role and text, and repeated rows are
-turns of their own; null role or text is empty; an empty table gives no rows, not
-even a root; other columns are not read.
+turns of their own; null role or text is empty; texts count whole, however long; an
+empty table gives no rows, not even a root; other columns are not read and may have any
+name.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ Defined results: a null text has no words; fewer than `MIN_WORDS` words take no
 in the draw; null text, no words: weight 0; a null doc_id counts as an empty one in
 the noise and comes last among equal scores; repeated rows are rows of their own and
 are told apart by weight, then text; an empty target gives every bucket t = 0; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; texts are read whole, however long; other columns are not
+read and may have any name.
 """
 
 from __future__ import annotations
