@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import shared_dir
+from ledgerline.session import delete_folder, shared_dir
 
 # Task code travels by value, so Python workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -81,6 +81,7 @@ def forest_leaves(spark: SparkSession, model, n_features: int) -> Leaves:
     trees: dict = {}
     for t, i, *node in nodes.toPandas().itertuples(index=False):  # bounded by the model
         trees.setdefault(t, {})[i] = node
+    delete_folder(spark, path)
     paths = []
 
     def walk(tree, at, conditions):

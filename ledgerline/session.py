@@ -62,3 +62,9 @@ def job_folder(spark: SparkSession, name: str) -> str:
     """A per-application sub-folder of the shared dir for written tables."""
     app = spark.sparkContext.applicationId
     return os.path.join(shared_dir(spark), "ledgerline", app, name)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

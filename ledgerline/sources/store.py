@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from ledgerline.operators import tables
+from ledgerline.session import delete_folder
 
 BUCKET = "key_bucket"
 SCHEMA = "_schema"
@@ -57,8 +58,9 @@ class StoredTable:
         """K9: put `df` in place of everything; the rows written, as they were written."""
         seen = Observation()
         self._placed(df).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ticker").isNull()).alias("without_ticker")) \
-            .write.mode("overwrite").partitionBy(BUCKET).parquet(self.path)
-        self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/{SCHEMA}")
+            .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(self.path)
+        self.spark.createDataFrame([(df.schema.json(),)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(f"{self.path}/{SCHEMA}")
         return seen.get
 
     def _commit(self, touched: list[int], change) -> dict:
@@ -76,10 +78,8 @@ class StoredTable:
         return {"rows": got["rows"], "buckets": len(touched)}
 
     def _drop(self, buckets) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for b in buckets:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{BUCKET}={b}")
-            p.getFileSystem(conf).delete(p, True)
+            delete_folder(self.spark, f"{self.path}/{BUCKET}={b}")
 
     def upsert(self, new: DataFrame) -> dict:
         """K3: rows with a stored key replace the stored ones, others are added; of
