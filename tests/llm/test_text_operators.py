@@ -99,6 +99,18 @@ def test_fixed_blocks_and_copies_do_not_save_a_line_of_the_stage(spark):
     assert text[130] == "one text" and text[250] == "copied 1\nof few texts"
 
 
+def test_a_line_on_ten_sites_goes_from_the_query_in_few_texts_too(spark, tmp_path):
+    rows = [(i, f"of two texts\ncopied {i % 2}\nown {i}" if i < 3 else f"of two texts\ncopied {i % 2}", "en", f"s{i}")
+            for i in range(12)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[0] == (3, 1, "copied 0\nown 0") and got[7] == (2, 1, "copied 1")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == {r[0]: r[1:] for r in con.execute(
+        f"select doc_id, n_lines, n_removed, text from ({line_dedup.ORACLE})").fetchall()}
+
+
 def test_near_dedup_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in small_documents(spark).select("doc_id", "text").collect()]
     rows += [(10_000 + i, t) for i, t in enumerate(near_copies())]
