@@ -76,6 +76,40 @@ def test_forest_attributions_add_up_to_the_models_prediction(spark):
     assert both.p.to_numpy() == pytest.approx(both.prediction.to_numpy(), abs=1e-9)
 
 
+def test_leaves_are_looked_up_in_groups(spark, monkeypatch):
+    model, df = small_forest(spark)
+    x = df.select(*FEATS).limit(40).toPandas().to_numpy()
+    for table in (attribution.TABLE, 16, 2):  # the last one holds leaves of one feature only
+        monkeypatch.setattr(attribution, "TABLE", table)
+        leaves = attribution.forest_leaves(spark, model, 4)
+        n = len(leaves.groups)
+        assert list(leaves.groups[:, 0]) == [0, *leaves.groups[:-1, 1]] and leaves.groups[-1, 1] == len(leaves.value)
+        assert table < 1024 or n * 3 < len(leaves.value)
+        got = leaves.explain_block(x, 0, n // 2) + leaves.explain_block(x, n // 2, n)
+        phi, pred = leaves.explain(x)
+        assert got[:, :-1] == pytest.approx(phi, abs=1e-9) and got[:, -1] == pytest.approx(pred, abs=1e-9)
+
+
+def test_equal_and_incomplete_rows_are_explained_each(spark):
+    model, df = small_forest(spark)
+    rows = df.limit(5).withColumn("ticker", F.when(F.col("ticker") != "t0", F.col("ticker"))) \
+        .withColumn("b", F.when(F.col("ticker") != "t1", F.col("b")))
+    got = attribution.shapley_forest(model, rows.unionAll(rows), FEATS).toPandas()
+    assert len(got) == 2 * 5 * len(FEATS) and (got.ticker.isna()).sum() == 2 * len(FEATS)
+    leaves = attribution.forest_leaves(spark, model, 4)
+    for r in rows.filter("ticker = 't1'").collect():
+        phi, pred = leaves.explain(np.array([[np.nan if r[c] is None else r[c] for c in FEATS]]))
+        own = got[got.ticker == "t1"].groupby("feature").shap_value.mean()
+        assert own[FEATS].to_numpy() == pytest.approx(phi[0], abs=1e-9)
+
+
+def test_forests_are_fitted_on_few_partitions(spark):
+    cores = max(8, spark.sparkContext.defaultParallelism)
+    rows = spark.range(1000).repartition(4 * cores)
+    assert L.fewer_parts(rows).rdd.getNumPartitions() == cores
+    assert L.fewer_parts(rows.repartition(3)).rdd.getNumPartitions() == 3
+
+
 def test_a_forest_champion_has_forest_drivers(spark):
     std, _, _, _, sp = setup(spark, SMALL)
     sp = sp.checkpoint()
