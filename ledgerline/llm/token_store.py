@@ -3,18 +3,19 @@
 A file is a Parquet file with one row per segment: whole documents in ascending
 doc_id order.  A segment's bytes are
 
-    magic "LLT1", u32 documents, u32 blocks, u32 ids a block,
-    i64 doc_id x documents (with a null map), u32 length x documents,
+    magic "LLT2", u32 documents, u32 blocks, u32 ids a block, u32 bytes and u32 crc32 of the odds,
+    odds, i64 doc_id x documents (after a null map), u32 length x documents,
     (u32 ids, u32 crc32 of the ids as little-endian u32, u32 bytes) x blocks, payloads
 
-Every block of `BLOCK` ids is coded on its own: models and coder start afresh, so a
-damaged block costs itself alone and any block can be decoded by itself.
+Every block of `BLOCK` ids is coded on its own: contexts and coder start afresh, so a
+damaged block costs itself alone and any block can be decoded by itself with the odds.
 
-The coder is an adaptive range coder.  Per block, an order-2 and an order-1 context
-table predict the next id, each with a confidence; adaptive odds by order 2's
-confidence and by both confidences are mixed into the odds of "order 2 is right",
-"order 1 is right" and "neither".  A miss is coded under an adaptive order-0 model of id >> 8 and its low
-byte.  All blocks of a segment advance together as numpy lanes.
+The coder is a range coder with one 64-bit state a block (rANS).  Per block, an order-2 and an
+order-1 context table learn which id came last after the same context, and whether it came
+twice.  By both tables' sureness and whether they agree, the segment's odds say that
+order 2 is right, that only order 1 is, or neither; a miss is coded by the segment's
+order-0 counts of missed ids.  The odds are counted on a first walk and stored with the
+segment.  All blocks of a segment advance together as numpy lanes.
 
 Spark does the rest: range partitioning by doc_id, the committed write, the read, and
 prefix sums over segments (per file, then over files) for the documents' starts.
@@ -36,234 +37,255 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Stages
 from ledgerline.llm.tokens import encode_column, vocabulary, word_table
 
-MAGIC = b"LLT1"
-#: Ids lie below this: contexts and the order-0 model hold 16 bits.
+MAGIC = b"LLT2"
+#: Ids lie below this: contexts and the odds hold 16 bits.
 IDS = 1 << 16
 BLOCK = 1024
 SEGMENT_IDS = BLOCK * 4096
 CONTEXTS = 256
-TOP, LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
-#: Odds are out of 2**10, order-0 buckets out of 2**12, low bytes out of 2**8.
-ODDS, BUCKETS = 10, 12
+#: Odds of a kind are out of 2**KIND_BITS, of a missed id out of 2**ID_BITS.
+KIND_BITS, ID_BITS = 12, 18
+BITS = KIND_BITS + ID_BITS
+#: A state is at least this between two ids; it gives or takes 32 bits at a time.
+LEAST = np.uint64(2 << BITS)
+#: A class is 6 x sureness of order 2 + 2 x sureness of order 1 + agreement (sureness 0 to 2);
+#: a kind is 4 x class + 0 (order 2 is right), 1 (only order 1 is) or 2 (neither).
+CLASSES, SURE_TWO, SURE_ONE = 18, 6 << 16, 2 << 16
 
 
-class Model:
-    """The adaptive predictions of many blocks side by side, in flat arrays."""
+class Contexts:
+    """The ids that came last after an order-2 and an order-1 context, of many blocks side by side."""
 
     def __init__(self, lanes: int):
-        self.two = np.zeros(lanes * CONTEXTS, np.int32)  # id | confidence << 16
-        self.one = np.zeros(lanes * CONTEXTS, np.int32)
-        self.sure = np.full(lanes * 4, 1 << 14, np.int32)  # 16-bit odds of "order 2 is right", by its confidence
-        self.both = np.full(lanes * 32, 1 << 14, np.int32)  # the same, by both confidences and their agreement
-        self.next = np.full(lanes * 32, 1 << 14, np.int32)  # odds of "order 1 is right" once order 2 is wrong
-        self.count = np.ones((lanes, 256), np.int32)
-        self.edge = np.zeros((lanes, 257), np.int32)
-        self.flat_count = self.count.reshape(-1)
-        self.flat = self.edge.reshape(-1)
+        self.two = np.zeros(lanes * CONTEXTS, np.uint32)  # id | sureness << 16, as a class counts it
+        self.one = np.zeros(lanes * CONTEXTS, np.uint32)
         # what indexes is 64 bits wide, so that numpy needn't widen it
+        self.slot = np.arange(lanes, dtype=np.int64) * CONTEXTS
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.refresh()
-
-    def refresh(self):
-        total = np.cumsum(self.count, axis=1, dtype=np.int32)
-        scale = ((1 << BUCKETS) - 256) / total[:, -1:]
-        np.add(total * scale, np.arange(1, 257), out=self.edge[:, 1:], casting="unsafe")
 
     def predict(self, n: int):
-        """Odds out of 2**ODDS that order 2 is right, and that only order 1 is, for the first n lanes."""
-        last, lane = self.last[:n], self.lane[:n]
-        mixed = last * 40503
-        slot = lane * CONTEXTS
-        self.i2 = (((mixed + self.before[:n] * 30011) >> 6) & (CONTEXTS - 1)) + slot
-        self.i1 = ((mixed >> 7) & (CONTEXTS - 1)) + slot
-        self.e2, self.e1 = self.two.take(self.i2, mode="clip"), self.one.take(self.i1, mode="clip")
-        self.p2, self.p1 = self.e2 & 0xFFFF, self.e1 & 0xFFFF
-        self.c2, self.c1 = self.e2 >> 16, self.e1 >> 16
-        self.ka = (lane << 2) + self.c2
-        self.kb = (self.ka << 3) + ((self.c1 << 1) + (self.p1 == self.p2))
-        self.qa, self.qb = self.sure.take(self.ka, mode="clip"), self.both.take(self.kb, mode="clip")
-        self.qc = self.next.take(self.kb, mode="clip")
-        f0 = ((self.qa + self.qb) >> (17 - ODDS)) + 1  # the two predictions mixed evenly
-        np.minimum(f0, (1 << ODDS) - 3, out=f0)
-        rest = (1 << ODDS) - f0
-        f1 = (rest * (self.qc >> 6) >> 10) + 1
-        return f0, np.minimum(f1, rest - 1, out=f1)
-
-    def update(self, n: int, x: np.ndarray, which: np.ndarray, missed: np.ndarray):
-        """Learn the ids x; `missed`: the lanes that neither order predicted."""
-        goal = (which == 0) * np.int32(65535)
-        self.sure[self.ka] = self.qa + ((goal - self.qa) >> 5)
-        self.both[self.kb] = self.qb + ((goal - self.qb) >> 4)
-        # a right order 2 leaves the odds of order 1 as they are
-        step = ((which == 1) * np.int32(65535) - self.qc) >> 4
-        self.next[self.kb] = self.qc + step * (which > 0)
-        at = (missed << 8) + (x.take(missed) >> 8)
-        self.flat_count[at] = self.flat_count.take(at, mode="clip") + 24
-        for store, entry, guess, sure, i in ((self.two, self.e2, self.p2, self.c2, self.i2),
-                                             (self.one, self.e1, self.p1, self.c1, self.i1)):
-            right = guess == x
-            # a right guess gains confidence up to 3; a wrong one loses it, and at 1 gives way
-            gained = entry + ((sure < 3).astype(np.int32) << 16)
-            lost = np.where(sure > 1, entry - 65536, x | 65536)
-            store[i] = np.where(right & (sure > 0), gained, lost)
+        """Both predictions and the class of the first n lanes."""
+        mixed = self.last[:n] * 40503
+        self.i1 = mixed >> 7
+        mixed += self.before[:n] * 30011
+        mixed >>= 6
+        self.i2 = mixed
+        for i in (self.i1, self.i2):
+            i &= CONTEXTS - 1
+            i += self.slot[:n]
+        e2, e1 = self.two.take(self.i2, mode="clip"), self.one.take(self.i1, mode="clip")
+        p2, p1 = e2.astype(np.uint16), e1.astype(np.uint16)
+        e2 >>= 16
+        e1 >>= 16
+        e2 += e1
+        e2 += p2 == p1
+        return p2, p1, e2.astype(np.uint8)
+
+    def update(self, n: int, x: np.ndarray, right2: np.ndarray, right1: np.ndarray):
+        """Learn the ids x: a repeated one is surer."""
+        for table, i, right, sure in ((self.two, self.i2, right2, SURE_TWO), (self.one, self.i1, right1, SURE_ONE)):
+            entry = right.astype(np.uint32)
+            entry += np.uint32(1)
+            entry *= np.uint32(sure)
+            entry += x
+            table[i] = entry
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
 
-def _due(t: int) -> bool:
-    """When order-0 buckets are rebuilt: often at first, then every 128 ids."""
-    return t % 128 == 0 or t in (4, 8, 16, 32, 64)
-
-
-def _shrink(low: np.ndarray, width: np.ndarray, emit) -> None:
-    """Move settled 16-bit units out of the intervals."""
-    due = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < LEAST))
-    while len(due):
-        some_low, some_width = low[due], width[due]
-        tight = (some_low ^ (some_low + some_width)) >= TOP
-        if tight.any():
-            some_width[tight] = (~some_low[tight] + np.uint64(1)) & (LEAST - np.uint64(1))
-        emit(due, some_low)
-        some_low <<= np.uint64(16)
-        some_width <<= np.uint64(16)
-        low[due], width[due] = some_low, some_width
-        due = due[((some_low ^ (some_low + some_width)) < TOP) | (some_width < LEAST)]
-
-
-def encode_blocks(ids: np.ndarray) -> list:
-    """Payload bytes of every block of `ids`."""
-    lanes = -(-len(ids) // BLOCK)
-    if not lanes:
-        return []
-    if ids.max() >= IDS:
+def _shares(counts: np.ndarray, total: int) -> np.ndarray:
+    """Whole shares of `total` near the counts, at least 1 where there is a count."""
+    some = counts > 0
+    shares = np.where(some, counts * (total - some.sum()) // counts.sum() + 1, 0)
+    shares[shares.argmax()] += total - shares.sum()
+    return shares
+
+
+class Odds:
+    """Shares of kinds by class and of missed ids, each with where it begins."""
+
+    def __init__(self, kinds: np.ndarray, ids: np.ndarray):
+        self.kinds, self.ids = kinds, ids
+        begin = np.cumsum(kinds, axis=1) - kinds
+        pad = np.zeros((CLASSES, 1), np.int64)
+        self.share, self.begin = (np.hstack([x, pad]).reshape(-1).astype(np.uint64) for x in (kinds, begin))
+        self.only1, self.miss = (np.ascontiguousarray(begin[:, k]).astype(np.uint32) << np.uint32(ID_BITS) for k in (1, 2))
+        self.id_share = ids.astype(np.uint64)
+        self.id_begin = (np.cumsum(ids) - ids).astype(np.uint64)
+
+    @classmethod
+    def counted(cls, kinds: np.ndarray, missed: np.ndarray) -> Odds:
+        seen = np.bincount(kinds.reshape(-1), minlength=256)[:4 * CLASSES].reshape(CLASSES, 4)[:, :3] + 1
+        ids = np.bincount(missed, minlength=IDS)
+        if not len(missed):
+            ids[0] = 1
+        return cls(np.array([_shares(c, 1 << KIND_BITS) for c in seen]), _shares(ids, 1 << ID_BITS))
+
+    @classmethod
+    def even(cls) -> Odds:
+        """Odds that know nothing."""
+        return cls.counted(np.zeros(0, np.uint8), np.arange(IDS))
+
+    def pack(self) -> bytes:
+        at = np.flatnonzero(self.ids)
+        return zlib.compress(b"".join([self.kinds.astype("<u2").tobytes(), np.diff(at, prepend=0).astype("<u2").tobytes(),
+                                       self.ids[at].astype("<u4").tobytes()]), 1)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Odds:
+        raw = zlib.decompress(data)
+        rest = 6 * CLASSES
+        n = (len(raw) - rest) // 6
+        ids = np.zeros(IDS, np.int64)
+        ids[np.cumsum(np.frombuffer(raw, "<u2", n, rest), dtype=np.int64)] = np.frombuffer(raw, "<u4", n, rest + 2 * n)
+        return cls(np.frombuffer(raw, "<u2", 3 * CLASSES).reshape(CLASSES, 3).astype(np.int64), ids)
+
+
+def _walk(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids as step x block, and each one's kind (255 past the end)."""
+    if len(ids) and ids.max() >= IDS:
         raise ValueError(f"id {ids.max()} of a vocabulary of more than {IDS} ids: the format has 16 bits an id")
-    grid = np.zeros(lanes * BLOCK, np.int32)
+    lanes = -(-len(ids) // BLOCK)
+    grid = np.zeros(lanes * BLOCK, np.uint16)
     grid[:len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     tail = len(ids) - (lanes - 1) * BLOCK
-    model = Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
-    flat, place = out.reshape(-1), np.arange(lanes) * out.shape[1]
-    fill = place.copy()
-
-    def emit(due, value):
-        at = fill[due]
-        flat[at] = value >> np.uint64(48)
-        fill[due] = at + 1
-
-    for t in range(min(BLOCK, len(ids))):
+    kinds = np.full((min(BLOCK, len(ids)), lanes), 255, np.uint8)
+    contexts = Contexts(lanes)
+    for t in range(len(kinds)):
         n = lanes if t < tail else lanes - 1
-        if t and _due(t):
-            model.refresh()
         x = grid[t, :n]
-        f0, f1 = model.predict(n)
-        which = np.where((model.p2 == x) & (model.c2 > 0), np.int32(0),
-                         np.where((model.p1 == x) & (model.c1 > 0), np.int32(1), np.int32(2)))
-        first = np.where(which == 0, np.int32(0), f0) << 20
-        size = np.where(which == 0, f0, f1) << 20
-        m = np.flatnonzero(which == 2)
-        if len(m):
-            xm, fm = x[m], f0[m] + f1[m]
-            at = (m * 257) + (xm >> 8)
-            edge = model.flat.take(at, mode="clip")
-            span = model.flat.take(at + 1, mode="clip") - edge
-            rest = (1 << ODDS) - fm
-            first[m] = (fm << 20) + rest * ((edge << 8) + (xm & 255) * span)
-            size[m] = rest * span
-        unit = width[:n] >> np.uint64(30)
-        low[:n] += unit * first.astype(np.uint64)
-        np.multiply(unit, size.astype(np.uint64), out=width[:n])
-        _shrink(low[:n], width[:n], emit)
-        model.update(n, x, which, m)
-    for _ in range(4):
-        emit(model.lane, low)
-        low <<= np.uint64(16)
-    return [flat[a:b].astype("<u2").tobytes() for a, b in zip(place.tolist(), fill.tolist(), strict=True)]
-
-
-def decode_blocks(payloads: list, sizes: list) -> np.ndarray:
+        p2, p1, kind = contexts.predict(n)
+        right2, right1 = p2 == x, p1 == x
+        kind <<= 2
+        kind += (2 - right1.view(np.uint8)) * (~right2).view(np.uint8)
+        kinds[t, :n] = kind
+        contexts.update(n, x, right2, right1)
+    return grid, kinds
+
+
+def _code(grid: np.ndarray, kinds: np.ndarray, odds: Odds) -> list:
+    """Payload bytes of every block: the last id is coded first, so that the first is read first."""
+    steps, lanes = kinds.shape
+    out = np.zeros((lanes, steps + 2), np.uint32)
+    flat, fill = out.reshape(-1), np.arange(1, lanes + 1) * (steps + 2)
+    state = np.full(lanes, LEAST)
+    share_of, begin_of = odds.share << np.uint64(ID_BITS), odds.begin << np.uint64(ID_BITS)
+    for t in reversed(range(steps)):
+        n = lanes if kinds[t, -1] < 255 else lanes - 1
+        kind, s = kinds[t, :n], state[:n]
+        share, begin = share_of.take(kind), begin_of.take(kind)
+        m = np.flatnonzero(kind & 2)
+        x, within = grid[t].take(m), odds.share.take(kind.take(m))
+        share[m] = within * odds.id_share.take(x)
+        begin[m] += within * odds.id_begin.take(x)
+        due = np.flatnonzero(s >> np.uint64(33) >= share)
+        full, at = s[due], fill[due] - 1
+        flat[at] = full & np.uint64(0xFFFFFFFF)
+        fill[due] = at
+        s[due] = full >> np.uint64(32)
+        times = s // share
+        begin += s
+        begin -= times * share
+        times <<= np.uint64(BITS)
+        np.add(times, begin, out=s)
+    for half in (state & np.uint64(0xFFFFFFFF), state >> np.uint64(32)):
+        fill -= 1
+        flat[fill] = half
+    ends = np.arange(1, lanes + 1) * (steps + 2)
+    return [flat[a:b].astype("<u4").tobytes() for a, b in zip(fill.tolist(), ends.tolist(), strict=True)]
+
+
+def encode_blocks(ids: np.ndarray, odds: Odds | None = None) -> list:
+    """Payload bytes of every block of `ids`; without odds, all are even."""
+    return _code(*_walk(ids), odds or Odds.even()) if len(ids) else []
+
+
+def encode_counted(ids: np.ndarray) -> tuple[Odds, list]:
+    """The ids' own odds, and every block's payload bytes under them."""
+    grid, kinds = _walk(ids)
+    odds = Odds.counted(kinds, grid[:len(kinds)][(kinds & 3) == 2])
+    return odds, _code(grid, kinds, odds)
+
+
+def decode_blocks(payloads: list, sizes: list, odds: Odds | None = None) -> np.ndarray:
     """The ids of blocks that hold `sizes` ids each; all but the last are equally long."""
     lanes = len(payloads)
     if not lanes:
         return np.zeros(0, np.uint32)
+    odds = odds or Odds.even()
     length = max(sizes)
-    units = np.zeros((lanes, max(len(p) for p in payloads) // 2 + 8), np.uint16)
-    for k, p in enumerate(payloads):
-        units[k, :len(p) // 2] = np.frombuffer(p, "<u2")
-    model = Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << np.uint64(16)) | units[:, k]
-    flat, at = units.reshape(-1), np.arange(lanes) * units.shape[1] + 4
-    grid = np.zeros((length, lanes), np.int32)
-
-    def take(due, _):
-        where = at[due]
-        code[due] = (code[due] << np.uint64(16)) | flat[where]
-        at[due] = where + 1
-
+    words = np.frombuffer(b"".join(payloads), "<u4").astype(np.uint64)
+    at = np.cumsum([0, *(len(p) // 4 for p in payloads[:-1])])
+    state = words.take(at, mode="clip") << np.uint64(32) | words.take(at + 1, mode="clip")
+    at += 2
+    ids_at = np.repeat(np.arange(IDS, dtype=np.uint16), odds.ids)
+    share_of, begin_of = odds.share << np.uint64(ID_BITS), odds.begin << np.uint64(ID_BITS)
+    contexts = Contexts(lanes)
+    grid = np.zeros((length, lanes), np.uint16)
     for t in range(length):
         n = lanes if t < sizes[-1] else lanes - 1
-        if t and _due(t):
-            model.refresh()
-        f0, f1 = model.predict(n)
-        unit = width[:n] >> np.uint64(30)
-        value = np.minimum((code[:n] - low[:n]) // unit, np.uint64((1 << 30) - 1)).astype(np.int32)
-        odd = value >> 20
-        which = (odd >= f0).astype(np.int32) + (odd >= f0 + f1)
-        x = np.where(which == 0, model.p2, model.p1)
-        first = np.where(which == 0, np.int32(0), f0) << 20
-        size = np.where(which == 0, f0, f1) << 20
-        m = np.flatnonzero(which == 2)
-        if len(m):
-            fm = f0[m] + f1[m]
-            rest = (1 << ODDS) - fm
-            inner = (value[m] - (fm << 20)) // rest
-            want, bucket = inner >> 8, m * 257
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                bucket += step * (model.flat.take(bucket + step, mode="clip") <= want)
-            edge = model.flat.take(bucket, mode="clip")
-            span = model.flat.take(bucket + 1, mode="clip") - edge
-            byte = (inner - (edge << 8)) // span
-            x[m] = ((bucket - m * 257) << 8) + byte
-            first[m] = (fm << 20) + rest * ((edge << 8) + byte * span)
-            size[m] = rest * span
+        p2, p1, kind = contexts.predict(n)
+        s = state[:n]
+        slot = s & np.uint64((1 << BITS) - 1)
+        low = slot.astype(np.uint32)
+        wrong2 = low >= odds.only1.take(kind)
+        miss = low >= odds.miss.take(kind)
+        kind <<= 2
+        kind += wrong2
+        kind += miss
+        share, begin = share_of.take(kind), begin_of.take(kind)
+        x = np.where(wrong2, p1, p2)
+        m = np.flatnonzero(miss)
+        within = odds.share.take(kind.take(m))
+        inner = low.take(m)
+        inner -= begin.take(m).astype(np.uint32)
+        x_m = ids_at.take(inner // within.astype(np.uint32), mode="clip")
+        x[m] = x_m
+        share[m] = within * odds.id_share.take(x_m)
+        begin[m] += within * odds.id_begin.take(x_m)
+        slot -= begin
+        s >>= np.uint64(BITS)
+        s *= share
+        s += slot
+        due = np.flatnonzero(s < LEAST)
+        where = at[due]
+        s[due] = s[due] << np.uint64(32) | words.take(where, mode="clip")
+        at[due] = where + 1
         grid[t, :n] = x
-        low[:n] += unit * first.astype(np.uint64)
-        np.multiply(unit, size.astype(np.uint64), out=width[:n])
-        _shrink(low[:n], width[:n], take)
-        model.update(n, x, which, m)
+        contexts.update(n, x, p2 == x, p1 == x)
     return grid.T.reshape(-1)[:(lanes - 1) * length + sizes[-1]].astype(np.uint32)
 
 
 def pack_segment(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    blocks = encode_blocks(ids)
+    odds, blocks = encode_counted(ids)
+    odds = odds.pack()
     raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
     sizes = [min(BLOCK, len(ids) - k * BLOCK) for k in range(len(blocks))]
     index = np.array([(n, zlib.crc32(raw[4 * k * BLOCK:4 * (k * BLOCK + n)]), len(b))
                       for k, (n, b) in enumerate(zip(sizes, blocks, strict=True))], "<u4")
     null = np.array([d is None for d in doc_ids], np.uint8)
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, struct.pack("<III", len(doc_ids), len(blocks), BLOCK), null.tobytes(), names.tobytes(),
-                     lengths.astype("<u4").tobytes(), index.tobytes(), *blocks])
+    return b"".join([MAGIC, struct.pack("<IIIII", len(doc_ids), len(blocks), BLOCK, len(odds), zlib.crc32(odds)), odds,
+                     null.tobytes(), names.tobytes(), lengths.astype("<u4").tobytes(), index.tobytes(), *blocks])
 
 
 def unpack_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """doc_ids, lengths and ids; raises ValueError on a wrong magic or checksum."""
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    docs, blocks, _ = struct.unpack_from("<III", data, 4)
-    at = 16
+    docs, blocks, _, size, check = struct.unpack_from("<IIIII", data, 4)
+    at = 24 + size
+    if zlib.crc32(data[24:at]) != check:
+        raise ValueError("the odds of a token segment are damaged")
     null = np.frombuffer(data, np.uint8, docs, at)
     names = np.frombuffer(data, "<i8", docs, at := at + docs)
     lengths = np.frombuffer(data, "<u4", docs, at := at + 8 * docs).astype(np.int64)
     index = np.frombuffer(data, "<u4", 3 * blocks, at := at + 4 * docs).reshape(blocks, 3).astype(np.int64)
     ends = at + 12 * blocks + np.cumsum(index[:, 2])
-    ids = decode_blocks([data[e - n:e] for e, n in zip(ends, index[:, 2], strict=True)], index[:, 0].tolist())
+    ids = decode_blocks([data[e - n:e] for e, n in zip(ends, index[:, 2], strict=True)], index[:, 0].tolist(),
+                        Odds.unpack(data[24:24 + size]))
     raw, place = memoryview(ids.astype("<u4")).cast("B"), 0
     for k, (n, crc, _) in enumerate(index):
         if zlib.crc32(raw[4 * place:4 * (place + n)]) != crc:

@@ -2,15 +2,18 @@
 
 The vocabulary's pre-tokenizer never joins what white space separates, so a text's
 ids are its words' ids in order.  A worker looks words up in a bounded table that
-outlives its tasks and hands only unseen ones to the library.  ASCII letters are
-lowered first, as the vocabulary's normalizer does, and a full stop or comma after
-a letter counts as a word of its own, as its pre-tokenizer says.  A text that may
-hold a special token ("<|") goes to the library whole.
+outlives its tasks and hands only unseen ones to the library.  ASCII and Latin-1
+letters are lowered first, as the vocabulary's normalizer does, and a full stop or
+comma after a letter counts as a word of its own, as its pre-tokenizer says.  Words
+of such letters alone need no more of its rules: the library splits them at spaces.
+A text that may hold a special token ("<|") goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
@@ -111,13 +114,47 @@ def flat(runs: list) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for r in runs for i in r), np.uint32, int(sizes.sum())), sizes
 
 
+#: A word that `LEAVES` leave whole: lower-case letters of ASCII and Latin-1.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+#: The rules of a vocabulary that do no more to such a word than turn its bytes into characters.
+LEAVES = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def _spaced_encoder(encoder):
+    """Words of `LETTERS` -> `flat` ids, by the library's model and a split at spaces; None where a word's last
+    id doesn't tell that it is the last.  None instead of the function where the vocabulary has other rules."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+    suffix = getattr(encoder.model, "end_of_word_suffix", None)
+    rules = [x and json.loads(x.__getstate__()) for x in (encoder.normalizer, encoder.pre_tokenizer)]
+    if not suffix or rules != [{"type": "Sequence", k: v} for k, v in LEAVES.items()]:
+        return None
+    spaced = Tokenizer(encoder.model)
+    spaced.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocab = encoder.get_vocab()
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+
+    def encode(words: list):
+        ids = np.array(spaced.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(last[ids])
+        return (ids, np.diff(cut, prepend=-1)) if len(cut) == len(words) else None
+    return encode
+
+
 def joined_encoder(encoder):
-    """Distinct words -> `flat` ids: a thousand words in one call, with bars between them.
+    """Distinct words -> `flat` ids: many words in one call, with spaces or bars between them.
 
-    The library's objects cost more than its work on a short word.  Words that hold a bar, and calls whose
-    bars don't come out one for one, go word by word.
+    The library's objects cost more than its work on a short word.  Words of letters are told apart by their last
+    ids, others by bars.  Words that hold a bar, and calls that don't come out one for one, go word by word.
     """
-    bar = _bar(encoder)
+    bar, spaced = _bar(encoder), _spaced_encoder(encoder)
 
     def one_by_one(words: list):
         return flat([e.ids for s in range(0, len(words), 2048)
@@ -131,14 +168,15 @@ def joined_encoder(encoder):
         return np.delete(ids, cut), np.diff(np.append(cut, len(ids)), prepend=-1) - 1
 
     def encode(words: list):
-        if bar is None:
-            return one_by_one(words)
-        alone = np.fromiter(("|" in w for w in words), bool, len(words))
-        plain = [w for w in words if "|" not in w]
-        parts = [together(plain[s:s + 1024]) for s in range(0, len(plain), 1024)]
-        parts.append(one_by_one([w for w in words if "|" in w]))
+        # 0: letters alone, 1: told apart by bars, 2: alone
+        way = np.fromiter((0 if spaced and LETTERS.fullmatch(w) else 2 if bar is None or "|" in w else 1 for w in words),
+                          np.int8, len(words))
+        groups = [[words[k] for k in np.flatnonzero(way == v).tolist()] for v in range(3)]
+        parts = [spaced(groups[0][s:s + 128]) or one_by_one(groups[0][s:s + 128]) for s in range(0, len(groups[0]), 128)]
+        parts += [together(groups[1][s:s + 1024]) for s in range(0, len(groups[1]), 1024)]
+        parts.append(one_by_one(groups[2]))
         ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        place = np.argsort(np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)]))  # back to the words' order
+        place = np.argsort(np.argsort(way, kind="stable"), kind="stable")  # back to the words' order
         first, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
         return ids[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))], sizes
 
@@ -156,6 +194,15 @@ def word_table(path: str) -> WordTable:
     return store["words", path]
 
 
+def _lower(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the letters of ASCII and Latin-1 lowered."""
+    low = ascii_lower(buf)
+    at = np.flatnonzero(buf[:-1] == 0xC3) + 1 if len(buf) else np.zeros(0, np.int64)
+    at = at[(buf[at] <= 0x9E) & (buf[at] != 0x97)]
+    low[at] += 0x20
+    return low
+
+
 def _split_marks(buf, starts, ends, rows):
     """A last full stop or comma that follows a letter becomes a span of its own."""
     last, before = buf[ends - 1], buf[np.maximum(ends - 2, 0)]
@@ -178,7 +225,7 @@ def encode_column(column, table: WordTable, end_id: int):
     for i, j in row_chunks(off):
         raw = buf[off[i]:off[j]]
         at = off[i:j + 1] - off[i]
-        low = ascii_lower(raw)
+        low = _lower(raw)
         starts, ends, rows = _split_marks(low, *word_spans(low, at))
         marks = np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)) if len(raw) > 1 else np.zeros(0, np.int64)
         if len(marks):  # such a text is one span in its own spelling

@@ -222,3 +222,48 @@ def test_words_encoded_together_equal_words_encoded_alone():
     assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
     assert [len(x) for x in tokens.joined_encoder(library)([])] == [0, 0]
 
+
+def test_a_segment_takes_little_more_than_its_ids_tell():
+    rng = np.random.default_rng(5)
+    chance = 1 / np.arange(1, 3001)
+    ids = (rng.choice(3000, 60_000, p=chance / chance.sum()) * 13).astype(np.uint32)
+    data = token_store.pack_segment([1], np.array([len(ids)]), ids)
+    bits = -np.log2(chance / chance.sum()) @ (chance / chance.sum())
+    assert len(data) < 1.1 * len(ids) * bits / 8 + 6 * 3000
+    assert (token_store.unpack_segment(data)[2] == ids).all()
+
+
+def test_damaged_odds_are_noticed():
+    data = bytearray(token_store.pack_segment([1], np.array([2000]), np.arange(2000, dtype=np.uint32)))
+    data[40] ^= 255
+    with pytest.raises(ValueError, match="odds"):
+        token_store.unpack_segment(bytes(data))
+
+
+def test_latin_letters_and_words_of_them_give_the_librarys_ids(library):
+    rng = random.Random(8)
+    letters = "abcXYZßàöøÿÀÖØÞ×÷µªºŸé\u0301\u0323İſ'"
+    rows = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(40)))
+            for _ in range(400)]
+    table = tokens.WordTable(tokens.joined_encoder(library))
+    got = {i + k: ids[at[k]:at[k + 1]].tolist() for i, ids, at in tokens.encode_column(pa.array(rows), table, 7)
+           for k in range(len(at) - 1)}
+    assert [got[k] for k in range(len(rows))] == [library.encode(r, add_special_tokens=False).ids + [7] for r in rows]
+
+
+def test_words_of_letters_are_encoded_many_at_a_time(library):
+    asked = []
+
+    class Counting:
+        model, normalizer, pre_tokenizer = library.model, library.normalizer, library.pre_tokenizer
+        encode, get_vocab = library.encode, library.get_vocab
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    words = ["word" + a + b for a in "abcdéß" for b in "xyzö"]
+    ids, sizes = tokens.joined_encoder(Counting())(words)
+    assert [r.tolist() for r in np.split(ids, np.cumsum(sizes)[:-1])] == [
+        library.encode(w, add_special_tokens=False).ids for w in words]
+    assert not asked  # the rules for other words weren't needed
