@@ -12,8 +12,10 @@ score sum but the one its merges produce.  The forward state of a prefix is ther
 a feasible one: a last piece may follow the best path of the prefix before it exactly
 if the two pieces, put together, encode to themselves.  One piece survives per
 prefix, so the state is as small as a Viterbi score, and the ids are the library's.
-That check is remembered per pair of pieces.  Characters without a piece become
-their UTF-8 bytes' pieces.
+That check is remembered per pair of pieces.  An automaton over the vocabulary (Aho and
+Corasick) reads the word letter by letter and names the pieces that end at a prefix,
+longest first, so no other span is looked at.  Characters without a piece become their
+UTF-8 bytes' pieces.
 
 Decoding puts the pieces' bytes end to end and drops the mark in front.
 
@@ -24,6 +26,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Pairs of pieces whose check a worker remembers before it starts anew.
 MAX_PAIRS = 2_000_000
+#: Steps of the automaton beyond the vocabulary's own that a worker remembers.
+MAX_STEPS = 500_000
 
 
 class Pieces:
@@ -44,7 +50,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids, self.bytes, self.byte_ids = {}, [], {}
+        self.ids, self.scores, self.bytes, self.byte_ids = {}, {}, [], {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -53,67 +59,119 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i):
                 self.bytes.append(b"")
             else:
-                self.ids[piece] = (i, model.get_score(i))
+                self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
         self.unknown = model.unk_id()
-        self.longest = max(map(len, self.ids))
+        self.none = len(self.bytes)  # stands before the first piece; characters without a piece come after it
+        self.width = self.none + 1 + 0x110000
+        self.names = {i: piece for piece, i in self.ids.items()} | {self.none: ""}
         self.pairs: dict = {}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """Per state, its steps by letter, the state to fall back to, and the pieces (length, id) that end there."""
+        self.steps, self.back, self.ends, depth, above = [{}], [0], [()], [0], [(0, "")]
+        for piece in self.ids:
+            at = 0
+            for c in piece:
+                to = self.steps[at].get(c)
+                if to is None:
+                    to = self.steps[at][c] = len(self.steps)
+                    self.steps.append({})
+                    self.back.append(0)
+                    self.ends.append(())
+                    depth.append(depth[at] + 1)
+                    above.append((at, c))
+                at = to
+            self.ends[at] = ((len(piece), self.ids[piece]),)
+        for at in sorted(range(1, len(depth)), key=depth.__getitem__):
+            top, c = above[at]
+            if top:
+                top = self.back[top]
+                while top and c not in self.steps[top]:
+                    top = self.back[top]
+                self.back[at] = self.steps[top].get(c, 0)
+            self.ends[at] += self.ends[self.back[at]]
+        self.taken = 0
+
+    def step(self, at: int, c: str) -> int:
+        """The state after a letter that `at` has no step for, by way of the states to fall back to."""
+        to = at
+        while to and c not in self.steps[to]:
+            to = self.back[to]
+        to = self.steps[to].get(c, 0)
+        if self.taken < MAX_STEPS:
+            self.steps[at][c] = to
+            self.taken += 1
+        return to
 
     def merge(self, symbols: list) -> list:
         """Join the neighbours of the best piece, leftmost first, until none is left."""
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                found = self.ids.get(symbols[k] + symbols[k + 1])
-                if found and (best is None or found[1] > best):
-                    best, at = found[1], k
-            if best is None:
-                break
-            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2:]]
+        scores, none = self.scores, -np.inf
+        gains = [scores.get(a + b, none) for a, b in pairwise(symbols)]
+        while gains and (best := max(gains)) > none:
+            k = gains.index(best)
+            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+            del gains[k]
+            if k:
+                gains[k - 1] = scores.get(symbols[k - 1] + symbols[k], none)
+            if k < len(gains):
+                gains[k] = scores.get(symbols[k] + symbols[k + 1], none)
         return symbols
 
-    def stands(self, left: str, right: str) -> bool:
-        """Whether `left` and `right` encode to themselves when put together ('' for none)."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            found = self.merge(list(left + right)) == [p for p in (left, right) if p]
-            self.pairs[left, right] = found
+    def name(self, piece: int) -> str:
+        return self.names.get(piece) if piece <= self.none else chr(piece - self.none - 1)
+
+    def stands(self, left: int, right: int) -> bool:
+        """Whether `left` and `right` encode to themselves when put together (`none` for no piece)."""
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        names = [self.name(left), self.name(right)]
+        found = self.merge(list("".join(names))) == [p for p in names if p]
+        self.pairs[left * self.width + right] = found
         return found
 
-    def spell(self, piece: str) -> list:
-        found = self.ids.get(piece)
-        if found:
-            return [found[0]]
-        return [self.byte_ids.get(b, self.unknown) for b in piece.encode()]
+    def spell(self, piece: int) -> list:
+        if piece < self.none:
+            return [piece]
+        return [self.byte_ids.get(b, self.unknown) for b in self.name(piece).encode()]
 
     def encode(self, words: list) -> list:
         """Ids of every word; words share the states of common prefixes."""
         marked = [w.replace(" ", MARK) for w in words]
         out: list = [None] * len(words)
-        last, first, before = [""], [0], ""  # per prefix: its last piece, and where that starts
+        # per prefix: its last piece, where that starts, and the automaton's state
+        last, first, state, before = [self.none], [0], [0], ""
+        steps, ends, pairs, width, none = self.steps, self.ends, self.pairs, self.width, self.none
         for n in sorted(range(len(words)), key=marked.__getitem__):
             word = marked[n]
             k, end = 0, min(len(word), len(before), len(last) - 1)
             while k < end and word[k] == before[k]:
                 k += 1
-            del last[k + 1:], first[k + 1:]
-            ids, stands = self.ids, self.stands
-            for i in range(k + 1, len(word) + 1):
-                for s in range(max(0, i - self.longest), i):
-                    piece = word[s:i]
-                    if (s == i - 1 or piece in ids) and stands(last[s], piece):
-                        last.append(piece)
-                        first.append(s)
+            del last[k + 1:], first[k + 1:], state[k + 1:]
+            at, i = state[k], k
+            for c in word[k:]:
+                i += 1
+                to = steps[at].get(c)
+                at = self.step(at, c) if to is None else to
+                for size, piece in ends[at]:
+                    s = i - size
+                    ok = pairs.get(last[s] * width + piece)
+                    if ok or ok is None and self.stands(last[s], piece):
                         break
                 else:
-                    raise ValueError("no path")
-            before, pieces, i = word, [], len(word)
+                    s, piece = i - 1, none + 1 + ord(c)
+                    if not (pairs.get(last[s] * width + piece) or self.stands(last[s], piece)):
+                        raise ValueError("no path")
+                last.append(piece)
+                first.append(s)
+                state.append(at)
+            before, found, i = word, [], len(word)
             while i:
-                pieces.append(last[i])
+                found.append(last[i])
                 i = first[i]
-            out[n] = [x for p in reversed(pieces) for x in self.spell(p)]
+            found.reverse()
+            out[n] = found if not found or max(found) < none else [x for p in found for x in self.spell(p)]
         return out
 
 

@@ -267,3 +267,40 @@ def test_words_of_letters_are_encoded_many_at_a_time(library):
     assert [r.tolist() for r in np.split(ids, np.cumsum(sizes)[:-1])] == [
         library.encode(w, add_special_tokens=False).ids for w in words]
     assert not asked  # the rules for other words weren't needed
+
+
+def test_the_automaton_names_the_pieces_that_end_at_a_prefix():
+    known = sentence_pieces.pieces(tokens.vocabulary(sentence_pieces.MODEL))
+    longest = max(map(len, known.ids))
+    for word in ["▁internationalization", "▁▁▁the", "▁日本é\nthe", "▁" + "ab" * 20]:
+        at = 0
+        for i, c in enumerate(word, 1):
+            to = known.steps[at].get(c)
+            at = known.step(at, c) if to is None else to
+            ends = [word[s:i] for s in range(max(0, i - longest), i) if word[s:i] in known.ids]
+            assert [(len(p), known.ids[p]) for p in ends] == list(known.ends[at])
+
+
+def test_words_of_known_pairs_need_no_check(monkeypatch):
+    import sentencepiece
+    path = tokens.vocabulary(sentence_pieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = sentence_pieces.Pieces(path)
+    words = sorted({w for t in texts(300, 9) for w in t.split()})
+    spelled = known.encode([" " + w for w in words])
+    assert spelled == library.encode(words)
+    calls = []
+    monkeypatch.setattr(sentence_pieces.Pieces, "stands", lambda self, *pair: calls.append(pair))
+    assert known.encode([" " + w for w in reversed(words)]) == spelled[::-1] and not calls
+
+
+def test_a_worker_remembers_a_bounded_number_of_steps_and_pairs(monkeypatch):
+    import sentencepiece
+    path = tokens.vocabulary(sentence_pieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sentence_pieces, "MAX_STEPS", 3)
+    monkeypatch.setattr(sentence_pieces, "MAX_PAIRS", 5)
+    known = sentence_pieces.Pieces(path)
+    words = sorted({w for t in texts(100, 10) for w in t.split()})
+    assert known.encode([" " + w for w in words]) == library.encode(words)
+    assert known.taken == 3 and len(known.pairs) <= 5
