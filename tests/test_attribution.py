@@ -110,23 +110,25 @@ def test_forests_are_fitted_on_few_partitions(spark):
     assert L.fewer_parts(rows.repartition(3)).rdd.getNumPartitions() == 3
 
 
-def test_a_forest_is_fitted_on_even_partitions(spark, monkeypatch):
+def test_uploads_forest_is_fitted_on_even_partitions(spark, monkeypatch):
     cores = max(8, spark.sparkContext.defaultParallelism)
-    x = F.col("id").cast("double")
-    rows = spark.range(0, 4000, 1, 2 * cores).filter("id < 200 or id >= 3000").select(
-        F.lit("t").alias("ticker"), F.lit("2020-03-31").cast("date").alias("date"), x.alias("a"),
-        (x * 2).alias("target"), F.lit("train").alias("split"))
-    seen = {}
-
-    def fitted(est, df):
-        sizes = df.groupBy(F.spark_partition_id().alias("p")).count().collect()
-        seen["sizes"], seen["rows"] = [r["count"] for r in sizes], sorted(r["target"] for r in df.collect())
+
+    def sizes(df):
+        return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    uneven = spark.range(0, 4000, 1, 2 * cores).filter("id < 200 or id >= 3000")
+    dealt = L.even_parts(uneven)
+    assert len(sizes(dealt)) == cores and max(sizes(dealt)) <= 1.5 * 1200 / cores
+    assert sorted(r["id"] for r in dealt.collect()) == [*range(200), *range(3000, 4000)]
+
+    seen = []
+
+    def fit(est, df):
+        seen.extend(sizes(df))
         raise InterruptedError
-    monkeypatch.setattr(RandomForestRegressor, "fit", fitted)
+    monkeypatch.setattr(RandomForestRegressor, "fit", fit)
     with pytest.raises(InterruptedError):
-        L.rf_forecast(rows, ["a"])
-    assert len(seen["sizes"]) == cores and max(seen["sizes"]) <= 1.5 * 1200 / cores
-    assert seen["rows"] == [2.0 * i for i in (*range(200), *range(3000, 4000))]
+        Q.upload_analysis_q(spark, SMALL)
+    assert len(seen) == cores and max(seen) <= 1.5 * sum(seen) / cores
 
 
 def test_a_forest_champion_has_forest_drivers(spark):
