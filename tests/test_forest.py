@@ -122,3 +122,13 @@ def test_large_tables_do_not_go_through_mllibs_fit(spark, monkeypatch):
     monkeypatch.setattr(L, "FEW_ROWS", 100)
     pred, model = L.rf_forecast(sp, FEATS, params)
     assert model.getNumTrees == 3 and pred.count() == sp.filter("split = 'test'").count() > 0
+
+
+def test_all_folds_of_a_large_table_are_grown(spark, monkeypatch):
+    monkeypatch.setattr(RandomForestRegressor, "fit", no_fit)
+    sp = dated(spark)
+    monkeypatch.setattr(L, "FEW_ROWS", 600)  # more than the first fold has
+    folds = fc.ts_folds(sp)
+    got = L.forest_fold_predictions(sp, folds, FEATS, {"numTrees": 3, "minInstancesPerNode": 2})
+    want = sp.filter("split = 'train'").join(folds.filter("role = 'test'"), "date")
+    assert got.select("fold").distinct().count() == 5 and got.count() == want.count()
